@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import byte_bpe
 from .common import table
 from .packing import packed
+from .pivot_topk import top_k
+from .quality_mcd import BASE, quality
 from .token_counts import token_counts
+from .warc_index import capture_index
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back and merged to one capture index."""
+    index = capture_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every 50th embedding."""
+    return top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +30,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics of every document, base rules and robust outliers."""
+    return quality(table(spark, sf_dir, "documents")).select("doc_id", *BASE, "kept")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents concatenated and cut into sequences of 2048 tokens."""
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -26,5 +45,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op8_packing, op10_byte_bpe)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_topk, op3_token_counts, op7_quality, op8_packing, op10_byte_bpe)}
+SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+kept AS (SELECT payload_digest, max(page_id) AS stored FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id < stored THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < stored THEN stored END AS refers_to
+FROM p LEFT JOIN kept USING (payload_digest)""",
+    "op2_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS "rank", vec_id, score FROM s)
+SELECT query_id, CAST("rank" AS INTEGER) AS "rank", vec_id, score FROM r WHERE "rank" <= 5""",
+}
