@@ -23,7 +23,7 @@ D = len(FLOORS)
 #: Share of a group that a concentration step keeps, number of steps, rows that a group needs.
 SHARE, STEPS, LEAST = 0.75, 3, 200
 #: Chance that a row of a normal group lies beyond the cutoff.
-TAIL = 1e-7
+TAIL = 1e-6
 LEVELS = ("source", "lang", "all")
 
 
