@@ -12,6 +12,7 @@ from .partenum import jaccard_groups
 from .pivot_topk import top_k
 from .quality_mcd import BASE, quality
 from .token_counts import token_counts
+from .toxicity_ssk import toxicity
 from .warc_index import capture_index
 
 
@@ -46,12 +47,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and their decoding, as digests."""
     return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_topk, op3_token_counts, op6_jaccard_join, op7_quality, op8_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_topk, op3_token_counts, op6_jaccard_join, op7_quality, op8_packing, op9_toxicity, op10_byte_bpe)}
 SQL: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
