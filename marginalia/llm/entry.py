@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import byte_bpe
 from .common import table
+from .lang_bigru import languages
 from .packing import packed
 from .partenum import jaccard_groups
 from .pivot_topk import top_k
 from .quality_mcd import BASE, quality
+from .template_extract import main_text
 from .token_counts import token_counts
 from .toxicity_ssk import toxicity
 from .warc_index import capture_index
@@ -32,6 +34,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the template that pages of its host share."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose four-word shingle sets have a Jaccard similarity of 0.85."""
     return jaccard_groups(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
@@ -57,7 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_topk, op3_token_counts, op6_jaccard_join, op7_quality, op8_packing, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_topk, op3_token_counts, op4_template_text, op5_language, op6_jaccard_join, op7_quality, op8_packing, op9_toxicity, op10_byte_bpe)}
 SQL: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
