@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import profile  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["basic_stats"](spark, sf_dir)
