@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import division, profile  # noqa: F401
+from .plans import division, items, notes, profile  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 
