@@ -102,7 +102,7 @@ def speakers(text: Column) -> Column:
 
 
 def teams_speakers(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(all_matches(text, TEAMS_SPEAKER, 1), F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(all_matches(text, TEAMS_SPEAKER, 1), lambda x: F.trim(x))))
 
 
 def occurrences(text: Column, part: Column) -> Column:
