@@ -22,6 +22,8 @@ from .components import components
 ENUMERATE_BELOW = 16
 #: Signature rows that a task holds at once, and bytes of text shingled at once.
 ROWS_A_TASK, BLOCK = 3_000_000, 2_000_000
+#: Bits of the filter that keeps texts nobody needs out of a shuffle: 1 MB.
+FILTER_BITS = 2**23
 _rng = np.random.default_rng(20240607)
 _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
@@ -231,11 +233,16 @@ def _nodes(docs: DataFrame, n: int) -> DataFrame:
     return cut(joined.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "partenum-nodes")
 
 
+def _tasks(df: DataFrame, rows: int) -> int:
+    """Partitions that hold ``ROWS_A_TASK`` rows at most, the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+
+
 def _shared_signatures(docs: DataFrame, n: int, num: int, den: int, rows: int) -> DataFrame:
-    """(sig, head, doc_id) of the signatures that several documents have; the head is the
-    smallest. A task emits equal sets once, so copies arrive once a task at most."""
+    """(sig, head, members, doc_id) of the signatures that several documents have: the head is
+    the smallest of them, members their number. A task emits equal sets once, so copies arrive once a task at most."""
     schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
-    out = pa.schema([("sig", pa.int64()), ("head", pa.int64()), ("doc_id", pa.int64())])
+    out = pa.schema([("sig", pa.int64()), ("head", pa.int64()), ("members", pa.int64()), ("doc_id", pa.int64())])
 
     def emit(batches):
         make, seen = Signatures(num, den), set()
@@ -264,25 +271,44 @@ def _shared_signatures(docs: DataFrame, n: int, num: int, den: int, rows: int) -
         sig, doc = sig[fresh], doc[fresh]
         begins = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         lens = np.diff(np.concatenate([begins, [len(sig)]]))
-        head, many = np.repeat(doc[begins], lens), np.repeat(lens > 1, lens)
-        yield from _batches([sig[many], head[many], doc[many]], out)
+        head, size = np.repeat(doc[begins], lens), np.repeat(lens, lens)
+        many = size > 1
+        yield from _batches([sig[many], head[many], size[many], doc[many]], out)
 
     found = docs.where(F.col("doc_id").isNotNull()).mapInArrow(emit, "sig long, doc_id long")
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
-    return cut(found.repartition(tasks, "sig").mapInArrow(buckets, "sig long, head long, doc_id long"), "partenum-buckets")
+    tasks = _tasks(docs, rows)
+    return cut(found.repartition(tasks, "sig").mapInArrow(buckets, "sig long, head long, members long, doc_id long"), "partenum-buckets")
 
 
-def _pack_texts(docs: DataFrame) -> DataFrame:
-    """Texts compressed before the shuffle that looks some of them up."""
+def _pack_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """Compressed texts of the documents whose ids are in ``needed``.
+
+    A bitmap of ``FILTER_BITS`` hashed ids, of one size whatever the corpus, goes with the scan
+    and keeps most other texts out of the shuffle; the semi-join decides.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    maps = needed.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    size = 4096 * 8
+    bits = bytearray(FILTER_BITS // 8 + size // 8)
+    for r in maps:
+        at = (r["k"] - 1) * (size // 8)
+        bits[at : at + size // 8] = r["bits"]
+    bits = bytes(bits)
+    # bucket numbers start at 1 and hold 32768 places each
     schema = pa.schema([("doc_id", pa.int64()), ("z", pa.binary())])
 
     def run(batches):
-        press = zstandard.ZstdCompressor(1)
+        press, have = zstandard.ZstdCompressor(9), np.frombuffer(bits, np.uint8)
         for batch in batches:
-            z = [press.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], schema=schema)
+            k, pos = (batch.column(i).to_numpy() for i in (2, 3))
+            byte = (k - 1) * (size // 8) + pos // 8
+            keep = pa.array((have[byte] >> (pos % 8).astype(np.uint8)) & 1 == 1)
+            ids, texts = batch.column(0).filter(keep), batch.column(1).filter(keep)
+            z = [press.compress((t or "").encode()) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(z, pa.binary())], schema=schema)
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, z binary")
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("pos"))
+    return rows.mapInArrow(run, "doc_id long, z binary").join(needed, "doc_id", "left_semi")
 
 
 def _unpack(z: bytes) -> str:
@@ -316,6 +342,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return pairs.join(za, "a").join(zb, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
+def _open_buckets(members: DataFrame, tasks: int) -> DataFrame:
+    """Of the rows (sig, class_id, n, component), once each, those of buckets with three classes
+    or more that don't form one component."""
+    schema = pa.schema([(c, pa.int64()) for c in ("sig", "class_id", "n", "component")])
+
+    def run(batches):
+        parts = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not parts:
+            return
+        sig, cls, n, comp = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.lexsort((cls, sig))
+        sig, cls, n, comp = sig[order], cls[order], n[order], comp[order]
+        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
+        sig, cls, n, comp = sig[fresh], cls[fresh], n[fresh], comp[fresh]
+        begins = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        lens = np.diff(np.concatenate([begins, [len(sig)]]))
+        mixed = np.minimum.reduceat(comp, begins) != np.maximum.reduceat(comp, begins)
+        go = np.repeat(mixed & (lens > 2), lens)
+        yield from _batches([sig[go], cls[go], n[go], comp[go]], schema)
+
+    rows = members.select("sig", "class_id", "n", "component").repartition(tasks, "sig")
+    return rows.mapInArrow(run, "sig long, class_id long, n long, component long")
+
+
 def _residual_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     """Likely pairs (a, b) inside the buckets that still hold several components."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -368,15 +419,14 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
     fits = (F.least("head_n", "other_n") * den) >= (F.greatest("head_n", "other_n") * num)
     stars = cut(stars.select(F.least("head_class", "other_class").alias("a"), F.greatest("head_class", "other_class").alias("b"), fits.alias("fits")).distinct(), "partenum-stars")
     needed = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    texts = cut(_pack_texts(docs).join(needed, "doc_id", "left_semi"), "partenum-texts")
+    texts = cut(_pack_texts(docs, needed), "partenum-texts")
     tested = stars.where("fits").select("a", "b").distinct()
     links = cut(_verified(tested, texts, n, num, den), "partenum-links")
     first = components(links)
 
-    members = buckets.join(of, "doc_id").select("sig", "class_id", "n").distinct()
-    members = members.join(first.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    members = cut(members, "partenum-members")
-    open_ = members.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y and m > 2").select("sig")
+    # a bucket of two has no pair but the tested one
+    known = of.join(first.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
+    members = _open_buckets(buckets.where("members > 2").select("sig", "doc_id").join(known, "doc_id"), _tasks(docs, shingles * 6 // 10))
     schema = pa.schema([("class_id", pa.int64()), ("sketch", pa.binary())])
 
     def sketch(batches):
@@ -385,7 +435,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], schema=schema)
 
     sketches = texts.mapInArrow(sketch, "class_id long, sketch binary")
-    rest = _residual_pairs(members.join(open_, "sig", "left_semi").join(sketches, "class_id"), num, den)
+    rest = _residual_pairs(members.join(sketches, "class_id"), num, den)
     rest = rest.join(tested, ["a", "b"], "left_anti")
     more = cut(_verified(rest, texts, n, num, den), "partenum-more")
     groups = components(links.union(more)) if more.limit(1).count() else first
