@@ -92,12 +92,22 @@ def default_summary_line(spark, sf_dir):
     return g.select("doc_id", F.format_string("Analysis identified %d items across %d categories.", "n", "k").alias("summary"))
 
 
-_pairs = f"""WITH c AS (SELECT cast(floor(doc_id / 20) AS BIGINT) AS doc_id, doc_id * 100 + idx AS idx, substr(text, 1, 9) AS text FROM candidates), n AS (SELECT doc_id, idx, {_norm.format("text")} AS x FROM c),
+_pairs = f"""WITH c AS (SELECT cast(floor(doc_id / 20) AS BIGINT) AS doc_id, doc_id * 100 + idx AS idx, regexp_replace(substr(text, 1, 9), '[^ -~]', '?', 'g') AS text FROM candidates), n AS (SELECT doc_id, idx, {_norm.format("text")} AS x FROM c),
  p AS (SELECT a.doc_id, a.idx AS a, b.idx AS b, round({_ratio.format(a="a.x", b="b.x")}, 9) AS ratio FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.idx < b.idx)"""
 
 
+def _folded(text):
+    """Other than printable ASCII as question marks: the engines' edit distances count
+    characters or bytes, which are the same then."""
+    return F.regexp_replace(text, "[^ -~]", "?")
+
+
+def _issues(spark, sf_dir):
+    return load(spark, sf_dir, "items").withColumns({c: _folded(F.col(c)) for c in ("title", "description")})
+
+
 def _grouped(spark, sf_dir):
-    return load(spark, sf_dir, "candidates").select(F.floor(F.col("doc_id") / 20).alias("doc_id"), (F.col("doc_id") * 100 + F.col("idx")).alias("idx"), F.substring("text", 1, 9).alias("text"))
+    return load(spark, sf_dir, "candidates").select(F.floor(F.col("doc_id") / 20).alias("doc_id"), (F.col("doc_id") * 100 + F.col("idx")).alias("idx"), _folded(F.substring("text", 1, 9)).alias("text"))
 
 
 @query("similar_pairs", _pairs + " SELECT * FROM p WHERE ratio > 0.7", "annotations candidates")
@@ -110,7 +120,7 @@ def leader_groups(spark, sf_dir):
     return S.leader_groups(_grouped(spark, sf_dir))
 
 
-_kept = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id, item_id, title, substr(description, 1, 200) AS description, row_number() OVER (PARTITION BY doc_id ORDER BY {_rank} DESC, item_id) AS k FROM items),
+_kept = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id, item_id, regexp_replace(title, '[^ -~]', '?', 'g') AS title, regexp_replace(substr(description, 1, 200), '[^ -~]', '?', 'g') AS description, row_number() OVER (PARTITION BY doc_id ORDER BY {_rank} DESC, item_id) AS k FROM items),
  f AS (SELECT doc_id, 0 AS k, []::STRUCT(i BIGINT, t VARCHAR, d VARCHAR)[] AS kept FROM o GROUP BY doc_id
   UNION ALL SELECT f.doc_id, o.k, CASE WHEN len(list_filter(f.kept, lambda y: {_ratio.format(a="o.title", b="y.t")} > 0.6 AND {_ratio.format(a="o.description", b="y.d")} > 0.48)) > 0 THEN f.kept ELSE list_append(f.kept, {{'i': o.item_id, 't': o.title, 'd': o.description}}) END FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1),
  l AS (SELECT doc_id, unnest(kept) AS x FROM (SELECT doc_id, arg_max(kept, k) AS kept FROM f GROUP BY doc_id))"""
@@ -118,13 +128,13 @@ _kept = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id, item_id, title, sub
 
 @query("dedupe_items", _kept + " SELECT doc_id, x.i AS item_id FROM l", "items")
 def dedupe_items(spark, sf_dir):
-    return S.deduped(load(spark, sf_dir, "items"), A.priority(F.col("severity"), ORDER)).select("doc_id", "item_id")
+    return S.deduped(_issues(spark, sf_dir), A.priority(F.col("severity"), ORDER)).select("doc_id", "item_id")
 
 
-@query("issue_register", _kept + f" SELECT i.doc_id, i.item_id, i.title, i.category, coalesce(severity, 'Unknown') AS severity, {_rank} AS rank_value FROM l JOIN items i ON i.item_id = l.x.i", "items")
+@query("issue_register", _kept + f" SELECT i.doc_id, i.item_id, regexp_replace(i.title, '[^ -~]', '?', 'g') AS title, i.category, coalesce(severity, 'Unknown') AS severity, {_rank} AS rank_value FROM l JOIN items i ON i.item_id = l.x.i", "items")
 def issue_register(spark, sf_dir):
     rank = A.priority(F.col("severity"), ORDER)
-    return S.deduped(load(spark, sf_dir, "items"), rank).select("doc_id", "item_id", "title", "category", F.coalesce("severity", F.lit("Unknown")).alias("severity"), rank.alias("rank_value"))
+    return S.deduped(_issues(spark, sf_dir), rank).select("doc_id", "item_id", "title", "category", F.coalesce("severity", F.lit("Unknown")).alias("severity"), rank.alias("rank_value"))
 
 
 @query("exact_ratio")
