@@ -9,6 +9,7 @@ from ..functions.breaks import sized
 from ..operators import divide as D
 from ..registry import query
 from ..views import load
+from . import folds
 
 
 _ends = "list_transform(range(1, len(ms) + 1), lambda i: CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + list_sum(list_transform(ms[1:i], lambda x: length(x))) AS INTEGER))"
@@ -25,12 +26,12 @@ def chunk_even(spark, sf_dir):
     return D.exploded(load(spark, sf_dir, "dossiers"), sized(F.col("text"), lambda t, n: D.even(t, n, 3, D.default_size(n, 3))))
 
 
-@query("chunk_structure")
+@query("chunk_structure", folds.structural_sql("dossiers", 6), "dossiers")
 def chunk_structure(spark, sf_dir):
     return D.exploded(load(spark, sf_dir, "dossiers"), sized(F.col("text"), lambda t, n: D.structural(t, n, 6, D.default_size(n, 6))))
 
 
-@query("chunk_transcript")
+@query("chunk_transcript", folds.turns_sql("transcripts", 2), "transcripts")
 def chunk_transcript(spark, sf_dir):
     return D.exploded(load(spark, sf_dir, "transcripts"), sized(F.col("text"), lambda t, n: D.by_turns(t, n, 2, D.default_size(n, 2))))
 
@@ -96,20 +97,20 @@ def divide_essential(spark, sf_dir):
     return D.exploded(load(spark, sf_dir, "dossiers"), sized(F.col("text"), lambda t, n: D.essential(t, n, 1, TOKENS)))
 
 
-def _register(name, view, make):
-    @query(name)
+def _register(name, view, make, sql=None):
+    @query(name, sql, view if sql else "")
     def run(spark, sf_dir):
         return D.exploded(load(spark, sf_dir, view), sized(F.col("text"), make))
 
 
 _register("divide_long", "dossiers", lambda t, n: D.long_(t, n, 2, TOKENS))
-_register("divide_speakers", "transcripts", lambda t, n: D.by_speakers(t, n, 2, 400))
+_register("divide_speakers", "transcripts", lambda t, n: D.by_speakers(t, n, 2, 400), folds.speakers_sql("transcripts", 2, 400))
 _register("divide_topics", "dossiers", lambda t, n: D.by_topics(t, n, 2, TOKENS))
-_register("divide_structure", "dossiers", lambda t, n: D.by_structure(t, n, 2, TOKENS))
+_register("divide_structure", "dossiers", lambda t, n: D.by_structure(t, n, 2, TOKENS), folds.intervals_sql("dossiers", 2, TOKENS))
 _register("divide_context_aware", "dossiers", lambda t, n: D.context_aware(t, n, 2, TOKENS))
 _register("divide_complex", "dossiers", lambda t, n: D.complex_(t, n, 2, TOKENS))
 _register("divide_document", "dossiers", lambda t, n: D.divided(t, F.element_at(F.array(*map(F.lit, ["essential", "long", "complex", "auto", "other"])), (F.col("doc_id") % 5 + 1).cast("int")), 1, TOKENS))
-_register("divide_teams", "teams_transcripts", lambda t, n: D.teams(t, n, 2000))
+_register("divide_teams", "teams_transcripts", lambda t, n: D.teams(t, n, 2000), folds.teams_sql("teams_transcripts", 2000))
 _register("divide_by_size", "documents", lambda t, n: D.by_size(t, n, 2000))
 
 
