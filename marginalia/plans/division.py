@@ -98,7 +98,7 @@ def divide_essential(spark, sf_dir):
 
 
 def _register(name, view, make, sql=None):
-    @query(name, sql, view if sql else "")
+    @query(name, sql, view if sql and view != "documents" else "")
     def run(spark, sf_dir):
         return D.exploded(load(spark, sf_dir, view), sized(F.col("text"), make))
 
@@ -111,10 +111,10 @@ _register("divide_context_aware", "dossiers", lambda t, n: D.context_aware(t, n,
 _register("divide_complex", "dossiers", lambda t, n: D.complex_(t, n, 2, TOKENS))
 _register("divide_document", "dossiers", lambda t, n: D.divided(t, F.element_at(F.array(*map(F.lit, ["essential", "long", "complex", "auto", "other"])), (F.col("doc_id") % 5 + 1).cast("int")), 1, TOKENS))
 _register("divide_teams", "teams_transcripts", lambda t, n: D.teams(t, n, 2000), folds.teams_sql("teams_transcripts", 2000))
-_register("divide_by_size", "documents", lambda t, n: D.by_size(t, n, 2000))
+_register("divide_by_size", "documents", lambda t, n: D.by_size(t, n, 2000), folds.size_sql("documents", 2000))
 
 
-@query("nearest_breaks")
+@query("nearest_breaks", folds.nearest_sql("dossiers", r"\n", 4), "dossiers")
 def nearest_breaks(spark, sf_dir):
     from ..functions.breaks import starts
 

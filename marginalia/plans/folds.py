@@ -88,3 +88,27 @@ def intervals_sql(view: str, least: int, tokens: int) -> str:
   SELECT f.doc_id, i.k, f.s, f.e, i.s AS ns, i.e AS ne, (f.e - f.s) + (i.e - i.s) < (d.len / d.n) * 1.5::DOUBLE AS fits FROM f JOIN i ON i.doc_id = f.doc_id AND i.k = f.k + 1 JOIN d ON d.doc_id = f.doc_id)),
  o AS (SELECT doc_id, os AS s, oe AS e FROM f WHERE os IS NOT NULL UNION ALL SELECT doc_id, arg_max(s, k), arg_max(e, k) FROM f GROUP BY doc_id UNION ALL SELECT i.doc_id, s, e FROM i JOIN d USING (doc_id) WHERE m <= 2 * n)
  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS chunk_index, CAST(s AS INTEGER) AS start_pos, CAST(e AS INTEGER) AS end_pos, 'complex' AS chunk_type, substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS text FROM o JOIN d USING (doc_id)"""
+
+
+def nearest_sql(view: str, pattern: str, sections: int) -> str:
+    """The break closest to each ideal edge; those near a chosen one go."""
+    best = "list_sort(list_transform(rest, lambda b: {'d': abs(b - floor((i + 1) * ideal)), 'b': b}))[1].b"
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, length(text) / {sections} AS ideal, {starts(pattern)} AS breaks FROM {view}),
+ f AS (SELECT doc_id, 0 AS i, ideal, breaks AS rest, []::INTEGER[] AS o FROM p WHERE len(breaks) > {sections - 1}
+ UNION ALL SELECT doc_id, i + 1, ideal, CASE WHEN len(rest) = 0 THEN rest ELSE list_filter(rest, lambda b: abs(b - best) > ideal * 0.3::DOUBLE) END, CASE WHEN len(rest) = 0 THEN o ELSE list_append(o, best) END FROM (SELECT *, {best} AS best FROM f WHERE i < {sections - 1})),
+ g AS (SELECT doc_id, list_sort(list_distinct(o)) AS o FROM f WHERE i = {sections - 1} UNION ALL SELECT doc_id, list_sort(list_distinct(breaks)) FROM p WHERE len(breaks) <= {sections - 1})
+ SELECT doc_id, CAST(generate_subscripts(o, 1) - 1 AS INTEGER) AS k, unnest(o) AS pos FROM g"""
+
+
+def size_sql(view: str, most: int) -> str:
+    """About equal parts closed at the last paragraph or else sentence break in reach."""
+
+    def last(part: str, hi: str) -> str:
+        w = f"substr(text, CAST(s + 1 AS BIGINT), CAST({hi} - s AS BIGINT))"
+        return f"CASE WHEN contains({w}, {part}) THEN s + length({w}) - (instr(reverse({w}), reverse({part})) - 1) - length({part}) ELSE -1 END"
+
+    marks = ", ".join(last(x, "aim + 200") for x in ("'. '", "'! '", "'? '"))
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, text, length(text) AS n, CAST(greatest(1, floor(length(text) / ceil(length(text) / {most}))) AS BIGINT) AS t FROM {view} WHERE length(text) > {most}),
+ f AS (SELECT doc_id, 0::BIGINT AS s FROM d UNION ALL SELECT doc_id, CASE WHEN aim >= n THEN aim WHEN p >= 0 THEN p + 2 WHEN r >= 0 THEN r + 2 ELSE aim END FROM (
+  SELECT doc_id, n, aim, {last("chr(10) || chr(10)", "aim + 500").replace("reverse(chr(10) || chr(10))", "(chr(10) || chr(10))").replace("length(chr(10) || chr(10))", "2").replace(", chr(10) || chr(10))", ", (chr(10) || chr(10)))")} AS p, greatest({marks}) AS r FROM (SELECT f.doc_id, f.s, d.text, d.n, least(f.s + d.t, d.n) AS aim FROM f JOIN d USING (doc_id) WHERE f.s < d.n))),
+ c AS (SELECT f.doc_id, s AS e, 'size' AS kind FROM f JOIN d USING (doc_id) WHERE s > 0 AND s < n), {rows_of('c', 'size', view)}"""

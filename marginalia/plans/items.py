@@ -115,7 +115,14 @@ def similar_pairs(spark, sf_dir):
     return S.similar_pairs(_grouped(spark, sf_dir))
 
 
-@query("leader_groups")
+_led = f"""WITH RECURSIVE c AS (SELECT cast(floor(doc_id / 20) AS BIGINT) AS doc_id, doc_id * 100 + idx AS idx, {_norm.format("regexp_replace(substr(text, 1, 9), '[^ -~]', '?', 'g')")} AS x FROM candidates),
+ o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k FROM c),
+ f AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::STRUCT(i BIGINT, x VARCHAR)[] AS leaders, NULL::BIGINT AS idx, NULL::BIGINT AS group_id FROM o
+  UNION ALL SELECT doc_id, k, CASE WHEN len(mine) > 0 THEN leaders ELSE list_append(leaders, {{'i': oi, 'x': ox}}) END, oi, coalesce(mine[1].i, oi) FROM (
+   SELECT f.doc_id, o.k, f.leaders, o.idx AS oi, o.x AS ox, list_filter(f.leaders, lambda y: {_ratio.format(a="y.x", b="o.x")} > 0.7) AS mine FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1))"""
+
+
+@query("leader_groups", _led + " SELECT doc_id, idx, group_id FROM f WHERE k > 0", "annotations candidates")
 def leader_groups(spark, sf_dir):
     return S.leader_groups(_grouped(spark, sf_dir))
 
