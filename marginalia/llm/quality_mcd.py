@@ -24,7 +24,8 @@ D = len(FLOORS)
 SHARE, STEPS, LEAST = 0.75, 3, 200
 #: Chance that a row of a normal group lies beyond the cutoff.
 TAIL = 1e-6
-LEVELS = ("source", "lang", "all")
+#: Groups up to which their estimates (some 200 bytes each) go to every task.
+SMALL = 100_000
 
 
 def bound(value: Column, f) -> Column:
@@ -150,13 +151,19 @@ def _first_params(rows: DataFrame) -> DataFrame:
     return _factored(q.groupBy("key").agg(F.max("n").alias("n"), *cols))
 
 
+def _few(groups: DataFrame) -> DataFrame:
+    """A table with a row a group, to be joined to all rows: broadcast up to ``SMALL`` groups,
+    so that the rows of a large group stay where they are; beyond, Spark picks the join."""
+    return F.broadcast(groups) if groups.limit(SMALL + 1).count() <= SMALL else groups
+
+
 def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
     """One concentration step: keep each group's ``SHARE`` of nearest rows, estimate anew.
 
     The cutoff distance comes from counts of log distances on a fixed grid, so ties and any
     partitioning give the same rows; sums are partial a task before they are shuffled.
     """
-    near = rows.join(params.drop("n"), "key").withColumn("bin", F.floor(16 * F.log(1e-3 + _distance([F.col(f"x{i}") for i in range(D)]))))
+    near = rows.join(_few(params.drop("n")), "key").withColumn("bin", F.floor(16 * F.log(1e-3 + _distance([F.col(f"x{i}") for i in range(D)]))))
     counts = near.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("n"))
     w = W.Window.partitionBy("key")
     counts = counts.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "total": F.sum("n").over(w)})
@@ -164,7 +171,7 @@ def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
     edge = cut(edge, "mcd-edge")
     x = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(D)]  # from the last centre, for exact sums
     sums = [F.avg(x[i]).alias(f"d{i}") for i in range(D)] + [F.avg(x[i] * x[j]).alias(f"p{i}{j}") for i in range(D) for j in range(i, D)]
-    new = near.join(edge, "key").where(F.col("bin") <= F.col("edge")).groupBy("key").agg(F.max("n").alias("n"), *[F.max(f"m{i}").alias(f"m{i}") for i in range(D)], *sums)
+    new = near.join(_few(edge), "key").where(F.col("bin") <= F.col("edge")).groupBy("key").agg(F.max("n").alias("n"), *[F.max(f"m{i}").alias(f"m{i}") for i in range(D)], *sums)
     point = chi2_point(1 - SHARE, D)
     factor = SHARE / (1 - chi2_tail(point, D + 2))  # makes the covariance of the nearest share that of all
     cov = {f"c{i}{j}": factor * (F.col(f"p{i}{j}") - F.col(f"d{i}") * F.col(f"d{j}")) + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(D) for j in range(i, D)}
@@ -193,7 +200,7 @@ def verdict(stats: DataFrame, params: DataFrame, prefix: str = "", lang_col: str
     found = []
     for level, key in _keys(F.col(lang_col), F.col(source_col)).items():
         mine = p.where(F.substring("key", 1, 1) == level[0]).select(*[F.col(c).alias(f"{prefix}{level}_{c}") for c in p.columns])
-        out = out.join(mine, key == F.col(f"{prefix}{level}_key"), "left")
+        out = out.join(_few(mine), key == F.col(f"{prefix}{level}_key"), "left")
         z: list[Column] = []
         for i in range(D):
             rest = x[i] - F.col(f"{prefix}{level}_m{i}")
