@@ -48,8 +48,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """Arrow-batched map: ``f`` gets a dict of column lists and returns a dict of column lists."""
+def map_rows(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 1000) -> DataFrame:
+    """Arrow-batched map: ``f`` gets a dict of column lists, of ``rows`` rows at most, and returns
+    a dict of column lists."""
     out = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -57,8 +58,8 @@ def map_rows(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], sch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                made = f(batch.to_pydict())
+            for start in range(0, batch.num_rows, rows):
+                made = f(batch.slice(start, rows).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(made[x.name], x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
