@@ -228,7 +228,10 @@ def _nodes(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     found = cut(docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long"), "partenum-sets")
-    firsts = found.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
+    # written first, so that the join back has an exchange of its own, which Spark splits where a
+    # set has very many copies
+    firsts = found.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    firsts = cut(firsts.where("copies > 1").drop("copies"), "partenum-copied")
     joined = found.join(firsts, ["n", "f1", "f2"], "left")
     return cut(joined.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "partenum-nodes")
 
@@ -315,6 +318,43 @@ def _unpack(z: bytes) -> str:
     return zstandard.ZstdDecompressor().decompress(z).decode()
 
 
+def _sketches(texts: DataFrame, n: int) -> DataFrame:
+    schema = pa.schema([("class_id", pa.int64()), ("sketch", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            made = [parity_sketch(x) for x in shingle_sets([_unpack(z) for z in batch.column(1).to_pylist()], n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], schema=schema)
+
+    return texts.mapInArrow(run, "class_id long, sketch binary")
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ at the width of the shorter one."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, width = int.from_bytes(a, "little"), len(a)
+    while width > len(b):
+        width //= 2
+        x = (x & ((1 << 8 * width) - 1)) ^ (x >> 8 * width)
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def _unruled(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b, both sizes' sum) those that their sketches don't rule out for
+    certain: the sketches of others differ in more bits than sets within the threshold may."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            a, b, both, x, y = (c.to_pylist() for c in batch.columns)
+            keep = pa.array([differing(s, t) * (den + num) <= m * (den - num) for m, s, t in zip(both, x, y)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
+
+    x, y = (sketches.select(F.col("class_id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "both", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of documents that reach the threshold by their shingles."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -399,7 +439,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
     num/den or more.
 
     Equal sets are one class. Each shared signature links its members' classes to its smallest
-    one if their texts confirm it; where a bucket still holds several components, its other
+    one if sizes and parity sketches allow it and their texts confirm it; where a bucket still holds several components, its other
     pairs follow, but for those that size or parity sketch rule out for certain. So every link
     between different texts is found, or both ends are known to be connected. Null or blank
     texts have empty sets and link with nothing. Rows of one id are one document. A row with a
@@ -417,24 +457,18 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
     stars = buckets.where("head <> doc_id").select("head", F.col("doc_id").alias("other")).distinct()
     stars = stars.join(as_("head"), "head").join(as_("other"), "other").where("head_class <> other_class")
     fits = (F.least("head_n", "other_n") * den) >= (F.greatest("head_n", "other_n") * num)
-    stars = cut(stars.select(F.least("head_class", "other_class").alias("a"), F.greatest("head_class", "other_class").alias("b"), fits.alias("fits")).distinct(), "partenum-stars")
+    both = (F.col("head_n") + F.col("other_n")).alias("both")
+    stars = cut(stars.select(F.least("head_class", "other_class").alias("a"), F.greatest("head_class", "other_class").alias("b"), both, fits.alias("fits")).distinct(), "partenum-stars")
     needed = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
     texts = cut(_pack_texts(docs, needed), "partenum-texts")
-    tested = stars.where("fits").select("a", "b").distinct()
+    sketches = cut(_sketches(texts, n), "partenum-sketches")
+    tested = cut(_unruled(stars.where("fits"), sketches, num, den), "partenum-tested")
     links = cut(_verified(tested, texts, n, num, den), "partenum-links")
     first = components(links)
 
     # a bucket of two has no pair but the tested one
     known = of.join(first.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
     members = _open_buckets(buckets.where("members > 2").select("sig", "doc_id").join(known, "doc_id"), _tasks(docs, shingles * 6 // 10))
-    schema = pa.schema([("class_id", pa.int64()), ("sketch", pa.binary())])
-
-    def sketch(batches):
-        for batch in batches:
-            made = [parity_sketch(shingle_sets([_unpack(z)], n)[0]) for z in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], schema=schema)
-
-    sketches = texts.mapInArrow(sketch, "class_id long, sketch binary")
     rest = _residual_pairs(members.join(sketches, "class_id"), num, den)
     rest = rest.join(tested, ["a", "b"], "left_anti")
     more = cut(_verified(rest, texts, n, num, den), "partenum-more")

@@ -285,6 +285,19 @@ def test_residual_buckets():
     assert len(likely) < 60
 
 
+def test_sketches_bound_the_difference():
+    """Sketches never differ in more bits than the sets in members, at any two widths."""
+    rng = np.random.default_rng(6)
+    for size in (1, 5, 33, 100, 700):
+        for change in (0, 1, size // 2, 3 * size):
+            a = np.unique(rng.integers(1, 2**62, size, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[change // 2 :], rng.integers(1, 2**62, change, dtype=np.uint64)]))
+            x, y = partenum.parity_sketch(a), partenum.parity_sketch(b)
+            assert partenum.differing(x, y) == partenum.differing(y, x) <= len(np.setxor1d(a, b))
+            rows = [partenum.fold(np.frombuffer(z, np.uint8)[None], min(len(x), len(y))) for z in (x, y)]
+            assert int(np.bitwise_count(rows[0] ^ rows[1]).sum()) == partenum.differing(x, y)
+
+
 def test_jaccard_edges(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "z"), (None, None), (3, None), (4, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
