@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import RankEncoder, stable_units
-from .common import map_rows
+from .common import claim, map_rows
 
 _loaded: dict[str, tuple] = {}
 #: Units kept from batch to batch in a Python worker; beyond it the memory starts anew.
@@ -53,6 +53,7 @@ def byte_bpe(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(cols):
         kept = _encoder(path)[2]
+        claim("byte_bpe", kept.clear)
         if len(kept) > UNITS_KEPT:
             kept.clear()
         n, coded, decoded = [], [], []

@@ -11,6 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Say that an operator's memory of words is in use in this Python worker: those of other
+    operators, whose stages are over, are cleared."""
+    for other in [k for k in _memories if k != name]:
+        _memories.pop(other)()
+    _memories[name] = clear
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .bpe import WordEndEncoder
-from .common import cut, map_rows
+from .common import claim, cut, map_rows
 
 #: Words kept from batch to batch in a Python worker; beyond it the memory starts anew.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 400_000
 _loaded: dict[str, tuple] = {}
 #: Letters of one code point in composed form with a lower case of one code point, then other
 #: ASCII characters but for the apostrophe and those of special strings: two pieces at most.
@@ -66,6 +66,7 @@ def _ids(texts: list[str], path: str) -> Iterator[bytes]:
     match or special string holds any, so the words between blanks are encoded apart, equal
     words once a worker."""
     kept = _tokenizer(path)[2]
+    claim("packing", kept.clear)
     if len(kept) > WORDS_KEPT:
         kept.clear()
     cut = [t.replace("\n", " ").split(" ") for t in texts]
@@ -92,15 +93,15 @@ def packed(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col:
     def tokenize(batches):
         at, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            for s in range(0, batch.num_rows, 4000):
-                texts = [t or "" for t in batch.column(1).slice(s, 4000).to_pylist()]
+            for s in range(0, batch.num_rows, 1000):
+                texts = [t or "" for t in batch.column(1).slice(s, 1000).to_pylist()]
                 ids, starts, n = [], [], []
                 for x in _ids(texts, path):
                     ids.append(np.frombuffer(x + tail, "<u4").astype("<u2").tobytes())
                     starts.append(at)
                     n.append(len(x) // 4 + 1)
                     at += n[-1]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, 4000), *(pa.array(v, pass1.field(i + 1).type) for i, v in enumerate(([part] * len(n), starts, n, ids)))], schema=pass1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, 1000), *(pa.array(v, pass1.field(i + 1).type) for i, v in enumerate(([part] * len(n), starts, n, ids)))], schema=pass1)
 
     stored = cut(rows.mapInArrow(tokenize, f"doc_id {kind}, part int, local_start long, n long, ids binary"), "packing-ids")
     totals = stored.groupBy("part").agg(F.sum("n").alias("total"))

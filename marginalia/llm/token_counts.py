@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import stable_units
-from .common import map_rows
+from .common import claim, map_rows
 
 CHUNK, OVERLAP, HUGE = 16_384, 256, 32_768
 #: A chunk's last characters may be cut tokens or a cut special string; none is longer.
 EDGE = 64
-UNITS_KEPT = 400_000
+UNITS_KEPT = 300_000
 _loaded: dict[str, tuple] = {}
 _boundary = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -108,6 +108,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
 
     def run(cols):
         tokenizer, kept = _tokenizer(path)
+        claim("token_counts", kept.clear)
         if len(kept) > UNITS_KEPT:
             kept.clear()
         texts = [t or "" for t in cols["text"]]

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import claim, held_out
 
 #: Bounds of the labelled sample that the machine is fitted on, and of its landmarks.
 TOXIC_ROWS, CLEAN_ROWS, LANDMARKS = 1500, 3500, 64
@@ -24,7 +24,7 @@ TOXIC_ROWS, CLEAN_ROWS, LANDMARKS = 1500, 3500, 64
 LENGTH, DAMP, FLOOR = 3, np.float32(0.8), 0.5
 #: Tokens over this many characters are read in windows that overlap by half.
 WINDOW = 32
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 500_000
 _token = re.compile(r"[^\s|,;:\"()<>/\[\]{}=+]+")
 _spelled = re.compile(r"(?<![^\s])(?:\w[ .\-_*]){2,}\w(?![^\s.,;!?])")
 _edge = ".-_!?*'%&$#~^`"
@@ -277,9 +277,10 @@ def score_column(machine: Machine | None, text: Column) -> Column:
                 _memory.clear()
                 _memory[machine.key] = {}, set()
             kept, empty = _memory[machine.key]
+            claim("toxicity", _memory.clear)
             if len(empty) > WORDS_KEPT:
                 empty.clear()
-            out = [machine.score(texts.iloc[s : s + 2000].tolist(), kept, empty) for s in range(0, len(texts), 2000)]
+            out = [machine.score(texts.iloc[s : s + 1000].tolist(), kept, empty) for s in range(0, len(texts), 1000)]
             yield pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
     return score(text)
