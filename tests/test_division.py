@@ -1,4 +1,4 @@
-"""Division folds against plain restatements of their rules, and their properties."""
+"""Properties of the division folds; their rows are compared with SQL in test_oracles."""
 
 import re
 
@@ -14,108 +14,29 @@ def finds(pattern, text):
     return [m.start() for m in re.finditer(pattern, text)]
 
 
-def structure_cuts(text, least, most):
-    n, breaks = len(text), []
-    for k, (p, s) in enumerate(D.STRUCTURE):
-        breaks += [(x, k, s) for x in finds(p, text) if x > 10 or p not in (r"\n\s*\n", r"\n")]
-    target, at, best, top, cuts = n / least, 0, None, 0.0, []
-    for pos, _, s in sorted(breaks):
-        if pos <= at:
-            continue
-        if pos - at > most:
-            at = best if best is not None else at + most
-            cuts.append(at)
-            best, top = None, 0.0
-        size = pos - at
-        score = s * max(0.5, 1.0 - abs(size - target) / target)
-        if score > top:
-            best, top = pos, score
-        if size >= 0.8 * target and top > 0.6:
-            cuts.append(best)
-            at, best, top = best, None, 0.0
-    return cuts
-
-
-def turn_cuts(text, least, most):
-    turns = sorted(x for p in D.TRANSITIONS for x in finds(p, text))
-    if len(turns) < 3 * least:
-        return None
-    target, at, size, cuts = len(text) / max(least, min(len(turns) // 10, 20)), 0, 0, []
-    for pos in turns:
-        if pos == 0:
-            continue
-        if size + pos - at > most or size + pos - at >= target * 0.8:
-            cuts.append(pos)
-            at, size = pos, 0
-        else:
-            size += pos - at
-    return cuts
-
-
-def context_cuts(text, least, tokens):
-    import math
-
-    n = len(text)
-    t = n / max(least, math.ceil(n / 4 / tokens))
-    breaks = sorted(((x, k, s) for k, (p, s) in enumerate(D.CONTEXT) for x in finds(p, text)))
-    at, cuts = 0, []
-    while at < n:
-        best, top = None, 0
-        for pos, _, s in breaks:
-            if pos <= at:
-                continue
-            size = pos - at
-            if size >= max(1000, t // 3):
-                f = 1.2 if 0.8 * t <= size <= 1.2 * t else 0.8 if size < 0.5 * t else 0.7 if size > 1.5 * t else 1.0
-                if s * f > top:
-                    best, top = pos, s * f
-            if pos > at + 1.5 * t:
-                break
-        if best is None:
-            best = min(at + int(t), n)
-            if best < n:
-                tail = text[best - int(t * 0.2) : best]
-                e = max(tail.rfind(x) for x in (". ", "! ", "? "))
-                if e != -1:
-                    best = best - int(t * 0.2) + e + 2
-        at = best
-        cuts.append(at)
-    return [c for c in cuts if c < n]
+def factor(size, target):
+    """Weight of a break by the size of the section that it would close."""
+    bands = [(1.2, 0.8 <= size / target <= 1.2), (0.8, size / target < 0.5), (0.7, size / target > 1.5)]
+    return next((w for w, fits in bands if fits), 1.0)
 
 
 def got(df, column):
     return {r["doc_id"]: (r["text"], [(x["s"], x["e"]) for x in r["p"]]) for r in df.select("doc_id", "text", column.alias("p")).collect()}
 
 
-def edges(cuts, n):
-    return [(a, b) for a, b in zip([0, *cuts], [*cuts, n]) if b > a]
-
-
-@pytest.mark.parametrize("view", ["dossiers", "transcripts"])
-def test_structure(spark, sf, view):
-    size = lambda n: min(int((n // 6) * 1.2), 16000)
-    rows = got(load(spark, sf, view), sized(F.col("text"), lambda t, n: D.structural(t, n, 6, D.default_size(n, 6))))
-    for text, pieces in rows.values():
-        if any(finds(p, text) for p, _ in D.STRUCTURE):
-            assert pieces == edges(structure_cuts(text, 6, size(len(text))), len(text))
-
-
-def test_turns(spark, sf):
-    size = lambda n: min(int((n // 2) * 1.2), 16000)
-    rows = got(load(spark, sf, "transcripts"), sized(F.col("text"), lambda t, n: D.by_turns(t, n, 2, D.default_size(n, 2))))
-    tested = 0
-    for text, pieces in rows.values():
-        cuts = turn_cuts(text, 2, size(len(text)))
-        if cuts is not None:
-            tested += 1
-            assert pieces == edges(cuts, len(text))
-    assert tested
-
-
 def test_context(spark, sf):
+    """Every section ends at the break of most weight in its reach, or has none in reach."""
     rows = got(load(spark, sf, "dossiers"), sized(F.col("text"), lambda t, n: D.context_aware(t, n, 2, 1000)))
     for text, pieces in rows.values():
-        assert pieces == [(a, b) for a, b in edges(context_cuts(text, 2, 1000), len(text)) if text[a:b].strip()]
+        target = len(text) / max(2, -(-len(text) // 4000))
+        breaks = sorted((x, k, w) for k, (p, w) in enumerate(D.CONTEXT) for x in finds(p, text))
+        for start, end in pieces:
+            beyond = [i for i, b in enumerate(breaks) if b[0] > start + 1.5 * target]
+            reach = [(i, b) for i, b in enumerate(breaks[: beyond[0] + 1] if beyond else breaks) if b[0] > start and b[0] - start >= max(1000, target // 3)]
+            if reach:
+                assert end == max((b[2] * factor(b[0] - start, target), -i, b[0]) for i, b in reach)[2]
+            else:
+                assert end == len(text) or end - start <= target
 
 
 @pytest.mark.parametrize("name", ["even", "structural", "by_turns"])
