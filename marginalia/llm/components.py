@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def state(e: DataFrame) -> tuple:
+    """Number and summed hashes of the edges (u, v); as decimals, which no number of them overflows."""
+    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node with an edge (a, b); the component is its smallest id.
 
@@ -18,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e, "stars")
     before = None
-    while (now := e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**40)))).first()) != before:
+    while (now := state(e)) != before:
         before = now
         if not now[0]:
             break
