@@ -9,6 +9,9 @@ a set's content of such a subset of parts, so sets that reach the threshold shar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -24,6 +27,10 @@ ENUMERATE_BELOW = 16
 ROWS_A_TASK, BLOCK = 3_000_000, 2_000_000
 #: Bits of the filter that keeps texts nobody needs out of a shuffle: 1 MB.
 FILTER_BITS = 2**23
+#: Classes in a block of an open bucket, on average; a task compares two blocks at a time.
+BUCKET_ROWS = 1000
+#: Bytes of sketches that are compared at once.
+SKETCH_BYTES = 2**24
 _rng = np.random.default_rng(20240607)
 _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
@@ -184,13 +191,13 @@ def fold(sketches: np.ndarray, width: int) -> np.ndarray:
     return sketches
 
 
-def likely_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sketches: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of a bucket, from different components, that size and sketch don't rule out.
-    Blocks of rows against all; what they rule out is below the threshold for certain."""
+def likely_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sketches: list[bytes], num: int, den: int, sides: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs of a bucket, from different components (and sides, if given), that size and sketch
+    don't rule out. Blocks of rows against all; what they rule out is below the threshold for certain."""
     order = np.argsort(sizes, kind="stable")
     ids, comps, sizes = ids[order], comps[order], sizes[order]
+    sides = None if sides is None else sides[order]
     data = [sketches[i] for i in order]
-    out = []
     for s in range(0, len(ids), 256):
         e = min(len(ids), s + 256)
         upto = np.searchsorted(sizes, sizes[e - 1] * den // num, "right")
@@ -201,14 +208,16 @@ def likely_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sketches
             right = np.concatenate([fold(np.frombuffer(d, np.uint8)[None], width) for d in data[t:u]])
             both = sizes[s:e, None] + sizes[None, t:u]
             ok = (np.arange(s, e)[:, None] < np.arange(t, u)) & (comps[s:e, None] != comps[None, t:u])
+            if sides is not None:
+                ok &= sides[s:e, None] != sides[None, t:u]
             ok &= np.minimum(sizes[s:e, None], sizes[None, t:u]) * den >= np.maximum(sizes[s:e, None], sizes[None, t:u]) * num
             i, j = np.nonzero(ok)
-            for c in range(0, len(i), 100_000):
-                a, b = i[c : c + 100_000], j[c : c + 100_000]
+            step = max(1, min(100_000, SKETCH_BYTES // width))
+            for c in range(0, len(i), step):
+                a, b = i[c : c + step], j[c : c + step]
                 far = np.bitwise_count(left[a] ^ right[b]).sum(1, dtype=np.int64)
                 near = far * (den + num) <= both[a, b] * (den - num)
-                out += [(min(x, y), max(x, y)) for x, y in zip(ids[s + a[near]].tolist(), ids[t + b[near]].tolist())]
-    return out
+                yield from ((min(x, y), max(x, y)) for x, y in zip(ids[s + a[near]].tolist(), ids[t + b[near]].tolist()))
 
 
 def _batches(cols: list[np.ndarray], schema: pa.Schema, step: int = 100_000):
@@ -243,7 +252,7 @@ def _tasks(df: DataFrame, rows: int) -> int:
 
 def _shared_signatures(docs: DataFrame, n: int, num: int, den: int, rows: int) -> DataFrame:
     """(sig, head, members, doc_id) of the signatures that several documents have: the head is
-    the smallest of them, members their number. A task emits equal sets once, so copies arrive once a task at most."""
+    the smallest of them, members their number, 3 if there are more. A task emits equal sets once, so copies arrive once a task at most."""
     schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
     out = pa.schema([("sig", pa.int64()), ("head", pa.int64()), ("members", pa.int64()), ("doc_id", pa.int64())])
 
@@ -261,26 +270,43 @@ def _shared_signatures(docs: DataFrame, n: int, num: int, den: int, rows: int) -
                 order = np.argsort(at, kind="stable")  # a document's rows together shuffle smaller
                 yield from _batches([sig[order].view(np.int64), ids[new][at[order]].astype(np.int64) if len(new) else sig.view(np.int64)], schema)
 
+    def bucket_rows(sig, head, members, doc):
+        many = members > 1
+        yield from _batches([sig[many], head[many], members[many], doc[many]], out)
+
     def buckets(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not parts:
-            return
-        sig, doc = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
-        sig, doc = sig[fresh], doc[fresh]
-        begins = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        lens = np.diff(np.concatenate([begins, [len(sig)]]))
-        head, size = np.repeat(doc[begins], lens), np.repeat(lens, lens)
-        many = size > 1
-        yield from _batches([sig[many], head[many], size[many], doc[many]], out)
+        # Rows come in order. Between batches only a signature's first two rows are held; once
+        # it has three its head is known and its rows go on as they come.
+        sig, doc, last, big = np.empty(0, np.int64), np.empty(0, np.int64), None, None
+        for batch in batches:
+            s, d = (batch.column(i).to_numpy() for i in range(2))
+            if not len(s):
+                continue
+            fresh = np.ones(len(s), bool)
+            fresh[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+            fresh[0] = (s[0], d[0]) != last
+            last = s[-1], d[-1]
+            s, d = s[fresh], d[fresh]
+            if big is not None:
+                k = int(np.searchsorted(s, big[0], "right"))
+                yield from bucket_rows(s[:k], np.full(k, big[1]), np.full(k, 3), d[:k])
+                s, d = s[k:], d[k:]
+            if not len(s):
+                continue
+            sig, doc, big = np.concatenate([sig, s]), np.concatenate([doc, d]), None
+            begins = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            lens = np.diff(np.concatenate([begins, [len(sig)]]))
+            e = begins[-1] if lens[-1] < 3 else len(sig)
+            if lens[-1] > 2:
+                big = sig[-1], doc[begins[-1]]
+            yield from bucket_rows(sig[:e], np.repeat(doc[begins], lens)[:e], np.repeat(np.minimum(lens, 3), lens)[:e], doc[:e])
+            sig, doc = sig[e:], doc[e:]
+        yield from bucket_rows(sig, np.full(len(sig), doc[0] if len(doc) else 0), np.full(len(sig), len(sig)), doc)
 
     found = docs.where(F.col("doc_id").isNotNull()).mapInArrow(emit, "sig long, doc_id long")
     tasks = _tasks(docs, rows)
-    return cut(found.repartition(tasks, "sig").mapInArrow(buckets, "sig long, head long, members long, doc_id long"), "partenum-buckets")
+    found = found.repartition(tasks, "sig").sortWithinPartitions("sig", "doc_id")
+    return cut(found.mapInArrow(buckets, "sig long, head long, members long, doc_id long"), "partenum-buckets")
 
 
 def _pack_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -382,54 +408,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return pairs.join(za, "a").join(zb, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def _open_buckets(members: DataFrame, tasks: int) -> DataFrame:
+def _open_buckets(members: DataFrame) -> DataFrame:
     """Of the rows (sig, class_id, n, component), once each, those of buckets with three classes
-    or more that don't form one component."""
-    schema = pa.schema([(c, pa.int64()) for c in ("sig", "class_id", "n", "component")])
+    or more that don't form one component, dealt into tiles (sig, x, y) of two blocks.
 
-    def run(batches):
-        parts = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not parts:
-            return
-        sig, cls, n, comp = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        order = np.lexsort((cls, sig))
-        sig, cls, n, comp = sig[order], cls[order], n[order], comp[order]
-        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
-        sig, cls, n, comp = sig[fresh], cls[fresh], n[fresh], comp[fresh]
-        begins = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        lens = np.diff(np.concatenate([begins, [len(sig)]]))
-        mixed = np.minimum.reduceat(comp, begins) != np.maximum.reduceat(comp, begins)
-        go = np.repeat(mixed & (lens > 2), lens)
-        yield from _batches([sig[go], cls[go], n[go], comp[go]], schema)
-
-    rows = members.select("sig", "class_id", "n", "component").repartition(tasks, "sig")
-    return rows.mapInArrow(run, "sig long, class_id long, n long, component long")
+    A bucket of ``BUCKET_ROWS`` classes at most is one tile. Of a larger one, the classes of its
+    largest component and the others are cut into blocks by a hash; each block of others meets
+    every block, blocks of the largest component don't meet each other. So all pairs from
+    different components share a tile; a class's side there is its block.
+    """
+    rows = cut(members.select("sig", "class_id", "n", "component"), "partenum-members")
+    mixed = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+    rows = cut(rows.join(mixed, "sig", "left_semi").distinct(), "partenum-open")
+    each = rows.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("k"))
+    sizes = each.groupBy("sig").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("most")).where("size > 2")
+    blocks = [F.ceil(c / BUCKET_ROWS).cast("int").alias(name) for c, name in ((F.col("most.k"), "mains"), (F.col("size") - F.col("most.k"), "others"))]
+    sizes = sizes.select("sig", (F.col("size") <= BUCKET_ROWS).alias("small"), F.col("most.component").alias("main"), *blocks)
+    is_main, h = F.col("component") == F.col("main"), F.xxhash64("class_id")
+    # blocks of the largest component have numbers below 0
+    side = F.when(F.col("small"), 0).when(is_main, -1 - F.pmod(h, "mains")).otherwise(F.pmod(h, "others")).cast("int")
+    other = F.when(F.col("small"), F.array(F.lit(0))).when(is_main, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))
+    dealt = rows.join(sizes, "sig").select("sig", "class_id", "n", "component", side.alias("side"), F.explode(other).alias("other"))
+    return dealt.select("sig", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "class_id", "n", "component", "side")
 
 
 def _residual_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Likely pairs (a, b) inside the buckets that still hold several components."""
+    """Likely pairs (a, b) inside the tiles of buckets that still hold several components."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        sig, rows = None, []
+        tile, rows = None, []
 
         def done():
             if len(rows) > 1:
-                ids, comps, sizes, sketches = zip(*rows)
-                pairs = likely_pairs(np.array(ids), np.array(comps), np.array(sizes), list(sketches), num, den)
-                if pairs:
-                    yield from _batches([np.array(x) for x in zip(*pairs)], schema)
+                ids, comps, sizes, sketches, sides = zip(*rows)
+                sides = None if tile[1] == tile[2] else np.array(sides)
+                pairs = iter(likely_pairs(np.array(ids), np.array(comps), np.array(sizes), list(sketches), num, den, sides))
+                while some := list(islice(pairs, 100_000)):
+                    yield from _batches([np.array(x) for x in zip(*some)], schema)
 
         for batch in batches:
-            for s, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != sig:
+            for s, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (s, x, y) != tile:
                     yield from done()
-                    sig, rows = s, []
+                    tile, rows = (s, x, y), []
                 rows.append(row)
         yield from done()
 
-    dealt = members.select("sig", "class_id", "component", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
+    dealt = members.select("sig", "x", "y", "class_id", "component", "n", "sketch", "side").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -468,7 +494,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
 
     # a bucket of two has no pair but the tested one
     known = of.join(first.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
-    members = _open_buckets(buckets.where("members > 2").select("sig", "doc_id").join(known, "doc_id"), _tasks(docs, shingles * 6 // 10))
+    members = _open_buckets(buckets.where("members > 2").select("sig", "doc_id").join(known, "doc_id"))
     rest = _residual_pairs(members.join(sketches, "class_id"), num, den)
     rest = rest.join(tested, ["a", "b"], "left_anti")
     more = cut(_verified(rest, texts, n, num, den), "partenum-more")
