@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from marginalia.llm import partenum
+from marginalia.llm import partenum, template_extract
 from marginalia.llm.components import state
 
 
@@ -42,3 +42,12 @@ def test_open_bucket_in_blocks(spark, monkeypatch):
                 x, y = sorted((to[a], to[b]))
                 to = [x if t == y else t for t in to]
     assert got == dict(enumerate(to)) and len(set(to)) > 40
+
+
+def test_slot_of_one_page():
+    """A long text in a slot that no other page of the host fills stays, as on the page alone."""
+    words = " ".join(f"word{i}" for i in range(300))
+    page = "<body><div class=top>{}</div><section></section><div class=body>{}</div><hr></body>"
+    pages = [page.format(f"page {i}", "") for i in range(47)] + [page.format("page 47", words)]
+    assert words in template_extract.extract(pages[-1:])[0]
+    assert words in template_extract.extract(pages)[-1]
