@@ -116,28 +116,38 @@ def merge_matrix(ids: np.ndarray, pairs: PairTable) -> np.ndarray:
 
 
 def merge_long(ids: np.ndarray, pairs: PairTable) -> np.ndarray:
-    """The same merges for one very long row, by a heap of (rank, place) over a linked list."""
-    ids = ids.astype(np.int32).copy()
+    """The same merges for one very long row, by a heap of (rank, place) over a linked list;
+    each distinct pair is looked up in the table once."""
+    ids = ids.tolist()
     n = len(ids)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    rank, to = pairs.ranks(ids[:-1], ids[1:])
-    heap = [(int(r), int(i), int(ids[i]), int(ids[i + 1]), int(to[i])) for i, r in enumerate(rank) if r != NONE]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    known: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def look(found: list[tuple[int, int]]) -> None:
+        left, right = np.array(found, np.int64).T
+        known.update(zip(found, zip(*(x.tolist() for x in pairs.ranks(left, right)))))
+
+    look(list(set(zip(ids, ids[1:]))))
+    none = int(NONE)
+    heap = [(known[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if known[p][0] != none]
     heapq.heapify(heap)
     while heap:
-        _, i, a, b, m = heapq.heappop(heap)
+        _, i, (a, b) = heapq.heappop(heap)
         j = after[i]
         if ids[i] != a or j >= n or ids[j] != b:
             continue
-        ids[i], ids[j] = m, PAD
+        ids[i], ids[j] = known[a, b][1], PAD
         after[i] = after[j]
         if after[i] < n:
             before[after[i]] = i
         for x in (before[i], i):
             if x >= 0 and after[x] < n:
-                r, t = pairs.ranks(ids[x : x + 1], ids[after[x] : after[x] + 1])
-                if r[0] != NONE:
-                    heapq.heappush(heap, (int(r[0]), int(x), int(ids[x]), int(ids[after[x]]), int(t[0])))
-    return ids[ids >= 0]
+                p = ids[x], ids[after[x]]
+                if p not in known:
+                    look([p])
+                if known[p][0] != none:
+                    heapq.heappush(heap, (known[p][0], x, p))
+    return np.array([i for i in ids if i >= 0], np.int32)
 
 
 def merge_words(ids: np.ndarray, lens: np.ndarray, pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from hashlib import sha256
 
 import public_tokenizers
@@ -10,20 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import RankEncoder, stable_units
-from .common import claim, map_rows
+from .common import Units, map_rows
 
 _loaded: dict[str, tuple] = {}
-#: Units kept from batch to batch in a Python worker; beyond it the memory starts anew.
-UNITS_KEPT = 300_000
 
 
 def _encoder(path: str):
     if path not in _loaded:
-        _loaded[path] = RankEncoder(path), regex.compile(public_tokenizers.PATTERN), {}
+        _loaded[path] = RankEncoder(path), regex.compile(public_tokenizers.PATTERN), Units(96_000_000)
     return _loaded[path]
 
 
-def encode_units(units: set[str], path: str) -> dict[str, list[int]]:
+def encode_units(units: Iterable[str], path: str) -> dict[str, list[int]]:
     """Ids of each unit: every pattern match is encoded by itself, equal matches once."""
     encoder, pattern, _ = _encoder(path)
     pieces = {u: pattern.findall(u) for u in units}
@@ -48,23 +47,23 @@ def byte_bpe(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """Encode every whole text, decode the ids again: token count and digests a row.
 
     A null text counts as empty: no tokens, digests of nothing. Repeated rows stay repeated,
-    null ids stay null. Map only; memory is one Arrow batch and ``UNITS_KEPT`` units.
+    null ids stay null. Map only; memory is one Arrow batch and ``common.Units``.
     """
 
     def run(cols):
         kept = _encoder(path)[2]
-        claim("byte_bpe", kept.clear)
-        if len(kept) > UNITS_KEPT:
-            kept.clear()
+        kept.ready()
         n, coded, decoded = [], [], []
         cut = [stable_units(t or "") for t in cols["text"]]
-        for u, ids in encode_units({u for us in cut for u in us if u not in kept}, path).items():
+        new = list({u for us in cut for u in us if u not in kept})
+        for u, ids in encode_units(new, path).items():
             kept[u] = len(ids), " ".join(map(str, ids)), decode_ids(ids, path)
         for us in cut:
             got = [kept[u] for u in us]
             n.append(sum(x[0] for x in got))
             coded.append(sha256(" ".join([x[1] for x in got]).encode()).hexdigest())
             decoded.append(sha256(b"".join([x[2] for x in got])).hexdigest())
+        kept.done(new, 350, sum(len(kept[u][1]) for u in new))
         return {"doc_id": cols["doc_id"], "n_tokens": n, "ids_sha256": coded, "decoded_sha256": decoded}
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

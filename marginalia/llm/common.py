@@ -6,20 +6,57 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
-_memories: dict[str, Callable[[], None]] = {}
+_in_use: list = []
 
 
-def claim(name: str, clear: Callable[[], None]) -> None:
-    """Say that an operator's memory of words is in use in this Python worker: those of other
-    operators, whose stages are over, are cleared."""
-    for other in [k for k in _memories if k != name]:
-        _memories.pop(other)()
-    _memories[name] = clear
+class Units(dict):
+    """What a Python worker keeps of text units from batch to batch: one operator's at a time
+    and ``most`` bytes at most; units of over ``LONGEST`` characters go after their batch."""
+
+    LONGEST = 64
+
+    def __init__(self, most: int = 64_000_000):
+        self.most, self.size = most, 0
+
+    def ready(self) -> "Units":
+        """Say that this memory is in use: that of another operator, whose stage is over, is
+        cleared, and this one where it is full."""
+        for other in _in_use:
+            if other is not self:
+                other.forget()
+        _in_use[:] = [self]
+        if self.size > self.most:
+            self.forget()
+        return self
+
+    def forget(self) -> None:
+        self.clear()
+        self.size = 0
+
+    def done(self, new: list[str], each: int, more: int = 0) -> None:
+        """After a batch: drop its long units, count ``each`` bytes and the text of the others,
+        ``more`` bytes of results in all."""
+        for u in new:
+            if len(u) > self.LONGEST:
+                self.pop(u, None)
+            else:
+                self.size += each + len(u)
+        self.size += more
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +94,24 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 1000) -> DataFrame:
-    """Arrow-batched map: ``f`` gets a dict of column lists, of ``rows`` rows at most, and returns
+def slices(batch: pa.RecordBatch, rows: int = 1000, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch in parts of ``rows`` rows and about ``size`` bytes at most; a larger row is
+    a part of its own."""
+    weight = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            weight += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(weight)])
+    start = 0
+    while start < batch.num_rows:
+        end = min(start + rows, int(np.searchsorted(upto, upto[start] + size, "right")) - 1)
+        end = max(end, start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def map_rows(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+    """Arrow-batched map: ``f`` gets a dict of column lists, of bounded rows and bytes, and returns
     a dict of column lists."""
     out = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -67,8 +120,8 @@ def map_rows(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], sch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                made = f(batch.slice(start, rows).to_pydict())
+            for part in slices(batch):
+                made = f(part.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(made[x.name], x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

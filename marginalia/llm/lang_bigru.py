@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-#: Units a direction, bytes of a segment, segments computed together.
-HIDDEN, SEGMENT, TOGETHER = 8, 128, 2048
-#: Bound of the training sample in documents a language, and training steps.
-SAMPLE, STEPS, BATCH, SPAN = 300, 350, 128, 64
+#: Units a direction, bytes of a segment, bytes before and after it that are read to warm up both
+#: directions' states, segments computed together.
+HIDDEN, SEGMENT, WARM, TOGETHER = 8, 480, 32, 1024
+#: Bound of the training sample in documents a language and spans a document; steps, spans a step
+#: and bytes of a span.
+SAMPLE, SPANS, STEPS, BATCH, SPAN = 300, 32, 350, 128, 64
 _letter = re.compile(r"[^\W\d_]")
 
 
@@ -116,7 +118,8 @@ class Frozen:
         self.c = net.c.astype(np.float32)
 
     def positions(self, bytes_: np.ndarray, lens: np.ndarray | None) -> np.ndarray:
-        """Probabilities (time, language, row) of every position; ``lens`` where rows are padded."""
+        """Probabilities (time, language, row) of every position; where rows are padded, ``lens``
+        are their lengths and what follows says nothing."""
         steps, rows = bytes_.shape
         n = self.hidden
         logits = np.zeros((steps, len(self.langs), rows), np.float32)
@@ -145,51 +148,59 @@ class Frozen:
         logits -= logits.max(1, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(1, keepdims=True)
-        if lens is not None:
-            logits *= (np.arange(steps)[:, None] < lens)[:, None, :]
         return logits
 
     def documents(self, texts: list[str]) -> np.ndarray:
-        """Mean probabilities (row, language) over all positions of each whole text."""
+        """Mean probabilities (row, language) over all positions of each whole text.
+
+        Texts are cut into segments that are read with ``WARM`` bytes on either side, which
+        count for the states alone: gates forget, so the states there are those of the whole
+        text but for a small rest, and at the ends of a text exactly so.
+        """
         data = [t.encode() for t in texts]
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         out = np.zeros((len(data), len(self.langs)))
-        raw = np.frombuffer(b"".join(data) + bytes(SEGMENT), np.uint8)
+        width = SEGMENT + 2 * WARM
+        raw = np.frombuffer(b"".join(data) + bytes(width), np.uint8)
         parts = -(-sizes // SEGMENT)
         doc = np.repeat(np.arange(len(data)), parts)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = np.repeat(np.cumsum(sizes) - sizes, parts) + place * SEGMENT
-        lens = np.minimum(SEGMENT, sizes[doc] - place * SEGMENT)
-        for full in (True, False):
-            at = np.flatnonzero((lens == SEGMENT) == full)
-            for s in range(0, len(at), TOGETHER):
-                k = at[s : s + TOGETHER]
-                block = np.ascontiguousarray(raw[begin[k][:, None] + np.arange(SEGMENT)].T).astype(np.intp)
-                p = self.positions(block, None if full else lens[k]).sum(0, dtype=np.float64)
-                for j in range(len(self.langs)):
-                    out[:, j] += np.bincount(doc[k], p[j], len(data))
+        first = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
+        begin = np.maximum(0, first - WARM)
+        lens = np.minimum(sizes[doc], first + SEGMENT + WARM) - begin
+        lo, hi = first - begin, np.minimum(sizes[doc], first + SEGMENT) - begin  # what counts
+        begin = begin + (np.cumsum(sizes) - sizes)[doc]
+        steps = np.arange(width)[:, None]
+        order = np.argsort(lens, kind="stable")  # short texts share short blocks
+        for s in range(0, len(order), TOGETHER):
+            k = order[s : s + TOGETHER]
+            n = int(lens[k].max())
+            block = np.ascontiguousarray(raw[begin[k][:, None] + np.arange(n)].T).astype(np.intp)
+            inner = ((steps[:n] >= lo[k]) & (steps[:n] < hi[k])).astype(np.float32)
+            p = np.einsum("tlr,tr->lr", self.positions(block, None if lens[k].min() == n else lens[k]), inner)
+            for j in range(len(self.langs)):
+                out[:, j] += np.bincount(doc[k], p[j], len(data))
         return out / np.maximum(sizes, 1)[:, None]
 
 
-def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 11) -> Network | None:
-    """Fit the network by Adam on random spans, languages in equal shares; None without rows."""
-    rows = [(t.encode(), l) for t, l in zip(texts, langs) if t]
+def train(spans: list[list[bytes]], langs: list[str], steps: int = STEPS, seed: int = 11) -> Network | None:
+    """Fit the network by Adam on spans of documents, languages in equal shares; None without rows."""
+    rows = [([x[:SPAN] for x in xs if x], l) for xs, l in zip(spans, langs)]
+    rows = [(xs, l) for xs, l in rows if xs]
     names = sorted({l for _, l in rows})
     if not names:
         return None
-    by = {k: [d for d, l in rows if l == name] for k, name in enumerate(names)}
+    by = {k: [xs for xs, l in rows if l == name] for k, name in enumerate(names)}
     rng, net = np.random.default_rng(seed), Network(names)
     first = [np.zeros_like(w) for w in net.weights()]
     second = [np.zeros_like(w) for w in net.weights()]
     for step in range(1, steps + 1):
         label = rng.integers(0, len(names), BATCH)
-        spans, lens = np.zeros((BATCH, SPAN), np.int64), np.zeros(BATCH, np.int64)
+        batch, lens = np.zeros((BATCH, SPAN), np.int64), np.zeros(BATCH, np.int64)
         for i, k in enumerate(label):
-            d = by[int(k)][rng.integers(len(by[int(k)]))]
-            s = rng.integers(max(1, len(d) - SPAN + 1))
-            x = np.frombuffer(d[s : s + SPAN], np.uint8)
-            spans[i, : len(x)], lens[i] = x, len(x)
-        _, grads = net.gradients(spans.T, lens, label)
+            xs = by[int(k)][rng.integers(len(by[int(k)]))]
+            x = np.frombuffer(xs[rng.integers(len(xs))], np.uint8)
+            batch[i, : len(x)], lens[i] = x, len(x)
+        _, grads = net.gradients(batch.T, lens, label)
         norm = np.sqrt(sum((g * g).sum() for g in grads))
         rate = 0.03 * min(1.0, step / 20) * (1 - step / (steps + 1))
         for w, g, m, v in zip(net.weights(), grads, first, second):
@@ -204,24 +215,28 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Train on at most ``sample`` documents a language outside the held-out third.
 
     Counts a language fix the share of a hash of the id that is read, about twice the bound;
-    the first of those by the hash come to the driver.
+    of the first of those by the hash ``SPANS`` spans of ``SPAN`` bytes, at hashed places of the
+    whole text, come to the driver.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(~held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"), F.col(lang_col).alias("lang"))
+    rows = rows.where(~held_out("doc_id") & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     whole = 2**30
     shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(whole * min(1.0, 2 * sample / n)))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(whole))
-    picked = rows.where(place < F.element_at(shares, F.col("lang"))).orderBy(place, "doc_id").limit(3 * sample * len(counts)).collect()
-    texts, langs, taken = [], [], dict.fromkeys(counts, 0)
+    room = F.greatest(F.lit(1), F.octet_length("text") - (SPAN - 1))
+    spans = F.transform(F.sequence(F.lit(1), F.lit(SPANS)), lambda i: F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", i), room) + 1).cast("int"), SPAN))
+    picked = rows.where(place < F.element_at(shares, F.col("lang"))).select("lang", spans.alias("spans"), place.alias("place"), "doc_id")
+    picked = picked.orderBy("place", "doc_id").limit(3 * sample * len(counts)).collect()
+    found, langs, taken = [], [], dict.fromkeys(counts, 0)
     for r in picked:
         if taken[r["lang"]] < sample:
             taken[r["lang"]] += 1
-            texts.append(r["text"])
+            found.append([bytes(x) for x in r["spans"]])
             langs.append(r["lang"])
-    return train(texts, langs)
+    return train(found, langs)
 
 
 def language_column(net: Network | None, text: Column) -> Column:
@@ -233,8 +248,11 @@ def language_column(net: Network | None, text: Column) -> Column:
         for texts in batches:
             found, score = ["und"] * len(texts), np.zeros(len(texts))
             at = [i for i, t in enumerate(texts) if frozen and t and _letter.search(t)]
-            for s in range(0, len(at), 1000):
-                k = at[s : s + 1000]
+            upto = np.cumsum([0] + [len(texts.iloc[i]) for i in at])
+            s = 0
+            while s < len(at):  # parts of bounded rows and characters
+                e = max(s + 1, min(s + 1000, int(np.searchsorted(upto, upto[s] + 4_000_000, "right")) - 1))
+                k, s = at[s:e], e
                 p = frozen.documents([texts.iloc[i] for i in k])
                 best = p.argmax(1)
                 for i, b, row in zip(k, best, p):
@@ -248,7 +266,8 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """(doc_id, held_out, lang_pred, score) of every document.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing could be learned.
-    Repeated rows are labelled each. Equal probabilities go to the first language by name.
+    Repeated rows are labelled each, null ids too; those are not held out. Equal probabilities go
+    to the first language by name. Extra columns are not read.
     """
     net = fit(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), language_column(net, F.col(text_col)).alias("p"))

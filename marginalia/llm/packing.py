@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .bpe import WordEndEncoder
-from .common import claim, cut, map_rows
+from .common import Units, cut, map_rows, slices
 
-#: Words kept from batch to batch in a Python worker; beyond it the memory starts anew.
-WORDS_KEPT = 400_000
+#: Partitions up to which their offsets (some 16 bytes each) go to every task.
+SMALL = 1_000_000
 _loaded: dict[str, tuple] = {}
 #: Letters of one code point in composed form with a lower case of one code point, then other
 #: ASCII characters but for the apostrophe and those of special strings: two pieces at most.
@@ -32,7 +32,7 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path), WordEndEncoder(path), {}
+        _loaded[path] = Tokenizer.from_file(path), WordEndEncoder(path), Units(80_000_000)
     return _loaded[path]
 
 
@@ -66,22 +66,22 @@ def _ids(texts: list[str], path: str) -> Iterator[bytes]:
     match or special string holds any, so the words between blanks are encoded apart, equal
     words once a worker."""
     kept = _tokenizer(path)[2]
-    claim("packing", kept.clear)
-    if len(kept) > WORDS_KEPT:
-        kept.clear()
+    kept.ready()
     cut = [t.replace("\n", " ").split(" ") for t in texts]
     words = list(chain.from_iterable(cut))
-    _learn(list(set(words) - kept.keys()), path)
+    new = list(set(words) - kept.keys())
+    _learn(new, path)
     each = map(kept.__getitem__, words)
-    return (b"".join(islice(each, len(ws))) for ws in cut)
+    yield from (b"".join(islice(each, len(ws))) for ws in cut)
+    kept.done(new, 200)
 
 
 def packed(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into sequences of ``size`` tokens; one row a piece.
 
-    Pass 1 tokenizes each partition and stores ids with running starts inside the partition;
-    the partitions' totals, summed up in partition order, are global offsets. Pass 2 adds the
-    offset and cuts each document at the multiples of ``size``. Only the last sequence is not
+    Pass 1 tokenizes each partition and stores ids (16 bits each where the vocabulary allows it)
+    with running starts inside the partition; the partitions' totals, summed up in partition
+    order, are global offsets. Pass 2 reads the ids where they lie, adds the offset and cuts each document at the multiples of ``size``. Only the last sequence is not
     full. Pieces that go on from or into another sequence say so (``continued``,
     ``continues``). Null text: empty, that is its end id alone. Repeated rows are packed each.
     """
@@ -89,19 +89,20 @@ def packed(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col:
     kind = rows.schema["doc_id"].dataType.simpleString()
     pass1 = pa.schema([("doc_id", _arrow(kind)), ("part", pa.int32()), ("local_start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
     tail = np.array([end_id], "<u4").tobytes()
+    width = "<u2" if max(end_id, *_tokenizer(path)[0].get_vocab(True).values()) < 2**16 else "<u4"
 
     def tokenize(batches):
         at, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            for s in range(0, batch.num_rows, 1000):
-                texts = [t or "" for t in batch.column(1).slice(s, 1000).to_pylist()]
+            for some in slices(batch):
+                texts = [t or "" for t in some.column(1).to_pylist()]
                 ids, starts, n = [], [], []
                 for x in _ids(texts, path):
-                    ids.append(np.frombuffer(x + tail, "<u4").astype("<u2").tobytes())
+                    ids.append(np.frombuffer(x + tail, "<u4").astype(width).tobytes())
                     starts.append(at)
                     n.append(len(x) // 4 + 1)
                     at += n[-1]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, 1000), *(pa.array(v, pass1.field(i + 1).type) for i, v in enumerate(([part] * len(n), starts, n, ids)))], schema=pass1)
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(v, pass1.field(i + 1).type) for i, v in enumerate(([part] * len(n), starts, n, ids)))], schema=pass1)
 
     stored = cut(rows.mapInArrow(tokenize, f"doc_id {kind}, part int, local_start long, n long, ids binary"), "packing-ids")
     totals = stored.groupBy("part").agg(F.sum("n").alias("total"))
@@ -111,7 +112,7 @@ def packed(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col:
     def windows(cols):
         out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "continued", "continues")}
         for doc, first, n, ids in zip(*(cols[k] for k in ("doc_id", "first", "n", "ids"))):
-            ids = np.frombuffer(ids, "<u2").astype("<u4")
+            ids = np.frombuffer(ids, width).astype("<u4")
             s = 0
             while s < n:
                 e = min(n, s + size - (first + s) % size)
@@ -120,6 +121,9 @@ def packed(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col:
                 s = e
         return out
 
+    offsets = cut(offsets, "packing-offsets")
+    if offsets.count() <= SMALL:
+        offsets = F.broadcast(offsets)
     placed = stored.join(offsets, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("first"), "n", "ids")
     return map_rows(placed, windows, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, continued boolean, continues boolean")
 

@@ -10,6 +10,7 @@ a set's content of such a subset of parts, so sets that reach the threshold shar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import islice
 
 import numpy as np
@@ -17,10 +18,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import cut
+from .common import cut, fresh
 from .components import components
 
+#: Bytes up to which a word's hash is a polynomial; of longer words it is a keyed digest.
+LONG_WORD = 64
 #: Below this k, parts are cut into three and subsets of two enumerated; above, parts alone.
 ENUMERATE_BELOW = 16
 #: Signature rows that a task holds at once, and bytes of text shingled at once.
@@ -79,6 +83,8 @@ def _shingle_block(data: list[bytes], n: int) -> list[np.ndarray]:
     starts, ends = edge[0::2], edge[1::2]
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * _power(_BASE, len(raw)))])
     words = mix((upto[ends] - upto[starts]) * _power(_BACK, len(raw))[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        words[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]].tobytes().lower(), digest_size=8, key=b"word").digest(), "little")
     lens = np.fromiter((len(d) + 1 for d in data), np.int64, len(data))
     first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lens)]))
     if len(words) >= n:
@@ -469,8 +475,11 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
     pairs follow, but for those that size or parity sketch rule out for certain. So every link
     between different texts is found, or both ends are known to be connected. Null or blank
     texts have empty sets and link with nothing. Rows of one id are one document. A row with a
-    null id takes the component of its class, null if none has an id.
+    null id takes the component of its class, null if none has an id. Ids are whole numbers, as
+    components are named by the smallest: other types raise a TypeError. Extra columns are not read.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} holds {docs.schema[id_col].dataType.simpleString()}, not whole numbers")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     nodes = _nodes(docs, n)
     shingles = nodes.agg(F.sum("n")).first()[0] or 0
@@ -505,10 +514,12 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that a smaller id of their group stands for, and without
-    repeated rows of one id. Rows with a null id stay."""
+    repeated rows of one id, with their own columns. Rows with a null id stay, as do null and
+    blank texts. Ids as for ``jaccard_groups``."""
     groups = jaccard_groups(docs, n, num, den, id_col, text_col)
     if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         known = F.col(id_col).isNotNull()
         docs = docs.where(known).dropDuplicates([id_col]).union(docs.where(~known))
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    gone = fresh(docs, "gone")
+    smaller = groups.where("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(smaller, F.col(id_col).cast("long") == F.col(gone), "left_anti")

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import stable_units
-from .common import claim, map_rows
+from .common import Units, map_rows
 
 CHUNK, OVERLAP, HUGE = 16_384, 256, 32_768
 #: A chunk's last characters may be cut tokens or a cut special string; none is longer.
 EDGE = 64
-UNITS_KEPT = 300_000
 _loaded: dict[str, tuple] = {}
 _boundary = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -25,7 +24,7 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path), {}
+        _loaded[path] = Tokenizer.from_file(path), Units()
     return _loaded[path]
 
 
@@ -102,20 +101,19 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
     """Token count of every whole text by the tokenizer file, without begin or end tokens.
 
     Texts over ``huge`` characters go through ``splice_ids``; shorter ones are summed from
-    their stable units, each distinct unit encoded once a worker. Null text: empty, 0 tokens.
+    their stable units, each distinct unit encoded once a worker (``common.Units``). Null text: empty, 0 tokens.
     Repeated rows stay, null ids stay. Map only.
     """
 
     def run(cols):
         tokenizer, kept = _tokenizer(path)
-        claim("token_counts", kept.clear)
-        if len(kept) > UNITS_KEPT:
-            kept.clear()
+        kept.ready()
         texts = [t or "" for t in cols["text"]]
         cut = [stable_units(t) if len(t) <= huge else None for t in texts]
         new = list({u for us in cut if us for u in us if u not in kept})
         kept.update(zip(new, (len(x) for x in tokenizer.encode_batch_fast(new, add_special_tokens=False))))
         n = [len(splice_ids(t, tokenizer, chunk, overlap)) if us is None else sum([kept[u] for u in us]) for t, us in zip(texts, cut)]
+        kept.done(new, 200)
         return {"doc_id": cols["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -1,12 +1,15 @@
 """Toxicity by a support vector machine on a gapped-subsequence string kernel.
 
-Words are compared with landmark words by the kernel of common subsequences of three letters,
-where gaps only damp a match, so inserted characters leave an insult close to itself. Nyström
-features of the landmarks' kernel matrix carry the summed kernel of a text to a linear machine.
+Words are compared with landmark words by the normalised kernel of common subsequences of four
+letters, where gaps only damp a match, so inserted characters leave an insult close to itself.
+Its third power, a kernel as well, is summed over the words of a text; Nyström features of the
+landmarks' kernel matrix carry the sums and the closest words to a linear machine. It also
+learns from its toxic texts with signs inserted in the landmark words.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,15 +19,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, held_out
+from .common import Units, held_out
 
-#: Bounds of the labelled sample that the machine is fitted on, and of its landmarks.
-TOXIC_ROWS, CLEAN_ROWS, LANDMARKS = 1500, 3500, 64
-#: Subsequence length, damping a letter of span, and the kernel value that counts as nothing.
-LENGTH, DAMP, FLOOR = 3, np.float32(0.8), 0.5
+#: Bounds of the labelled sample that the machine is fitted on: rows of each label, characters
+#: of a row and of a label's rows.
+TOXIC_ROWS, CLEAN_ROWS, ROW_CHARS, LABEL_CHARS = 1500, 3500, 1_000_000, 16_000_000
+LANDMARKS = 64
+#: Subsequence length, damping a letter of span, power of the kernel that is summed.
+LENGTH, DAMP, POWER = 4, np.float32(0.9), 3
+#: Training weight of a toxic text whose landmark words have one or two signs inserted.
+STRETCH = 0.3
 #: Tokens over this many characters are read in windows that overlap by half.
 WINDOW = 32
-WORDS_KEPT = 500_000
 _token = re.compile(r"[^\s|,;:\"()<>/\[\]{}=+]+")
 _spelled = re.compile(r"(?<![^\s])(?:\w[ .\-_*]){2,}\w(?![^\s.,;!?])")
 _edge = ".-_!?*'%&$#~^`"
@@ -58,7 +64,9 @@ def forms(word: str) -> list[str]:
 
 def codes(words: list[str], width: int) -> np.ndarray:
     """Letters as numbers, rows padded by 0."""
-    return np.array([list(map(ord, w)) + [0] * (width - len(w)) for w in words], np.int32).reshape(len(words), width)
+    out, lens = np.zeros((len(words), width), np.int32), np.fromiter(map(len, words), np.int64, len(words))
+    out[np.arange(width) < lens[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32)
+    return out
 
 
 def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -81,30 +89,23 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
-def letters_mask(words: list[str]) -> np.ndarray:
-    """A bit a letter; others share the upper bits."""
-    if not words:
-        return np.empty(0, np.uint64)
-    c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    bit = np.where((c >= 97) & (c <= 122), c - np.uint64(97), np.uint64(26) + c % np.uint64(38))
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    return np.bitwise_or.reduceat(np.uint64(1) << bit, np.cumsum(lens) - lens)
-
-
 class Landmarks:
     """Landmark words with their kernel matrix."""
 
     def __init__(self, words: list[str]):
         self.words = words
-        self.mask = letters_mask(words)
+        # for the longest common subsequence: the places of each letter in each word as bits
+        letters = sorted(set("".join(words)))
+        self.letter = {ord(c): i + 1 for i, c in enumerate(letters)}
+        self.places = np.zeros((len(letters) + 1, len(words)), np.uint64)
+        for j, w in enumerate(words):
+            for i, c in enumerate(w):
+                self.places[self.letter[ord(c)], j] |= np.uint64(1 << i)
         self.own = self.self_kernel(words)
         self.width = max(map(len, words), default=1)
         self.codes = codes(words, self.width)
-        rows, cols, values = self.compare(words)
-        k = np.zeros((len(words), len(words)))
-        k[rows, cols] = values
-        k = (k + k.T) / 2
-        value, vector = np.linalg.eigh(k + 1e-3 * np.eye(len(words)))
+        k = self.dense(words) ** POWER
+        value, vector = np.linalg.eigh((k + k.T) / 2 + 1e-3 * np.eye(len(words)))
         self.whiten = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
 
     @staticmethod
@@ -117,22 +118,33 @@ class Landmarks:
                 out[at[c : c + 20_000]] = kernel(x, x)
         return out
 
-    def compare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, landmark, value): normalised kernel over ``FLOOR``, scaled to (0, 1]. A word
-        with fewer than 60 % of a landmark's letters, or of whose letters fewer than half are
-        the landmark's, has none."""
-        mask = letters_mask(words)
-        rows, cols = [], []
-        need = np.ceil(0.6 * np.bitwise_count(self.mask)).astype(np.uint8)
-        for c in range(0, len(words), 100_000):
-            m = mask[c : c + 100_000, None]
-            common = np.bitwise_count(m & self.mask)
-            i, j = np.nonzero((common >= need) & (2 * common >= np.bitwise_count(m)))
-            rows.append(i + c)
+    def related(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(word, landmark) pairs whose longest common subsequence has ``LENGTH`` letters or more,
+        by the bit-parallel recurrence over all words and landmarks at once."""
+        rows, cols = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lens, kind="stable")
+        order = order[np.searchsorted(lens[order], LENGTH) :]
+        full = np.array([(1 << len(w)) - 1 for w in self.words], np.uint64)
+        for c in range(0, len(order), 4000):
+            part = order[c : c + 4000]
+            x = codes([words[i] for i in part], int(lens[part[-1]]))
+            each, at = np.unique(x, return_inverse=True)
+            cls = np.array([self.letter.get(int(v), 0) for v in each])[at].reshape(x.shape)
+            v = np.broadcast_to(full, (len(part), len(full))).copy()
+            for t in range(x.shape[1]):
+                u = v & self.places[cls[:, t]]
+                v = (v + u) | (v - u)
+            i, j = np.nonzero(np.bitwise_count(~v & full) >= LENGTH)
+            rows.append(part[i])
             cols.append(j)
-        if not rows:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        return np.concatenate(rows), np.concatenate(cols)
+
+    def compare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, landmark, value): the normalised kernel where it isn't 0. It is 0 exactly where
+        no subsequence of ``LENGTH`` letters is common, so these pairs are not evaluated. Words
+        that are too short for a subsequence match only themselves."""
+        rows, cols = self.related(words)
         used, place = np.unique(rows, return_inverse=True)
         picked = [words[i] for i in used]
         own = self.self_kernel(picked)
@@ -142,50 +154,82 @@ class Landmarks:
             at = np.flatnonzero(lens == n)
             for c in range(0, len(at), 8192):
                 p = at[c : c + 8192]
-                k = kernel(codes([picked[i] for i in place[p]], int(n)), self.codes[cols[p]])
-                norm = np.sqrt(own[place[p]] * self.own[cols[p]])
-                value[p] = np.where(norm > 0, k / np.maximum(norm, 1e-9), 0)
-        # words too short for a subsequence match only themselves
-        for i in np.flatnonzero(lens < LENGTH):
-            value[i] = float(picked[place[i]] == self.words[cols[i]])
-        keep = value > FLOOR
-        return rows[keep], cols[keep], ((value[keep] - FLOOR) / (1 - FLOOR)) ** 2
+                some, each = np.unique(place[p], return_inverse=True)
+                k = kernel(codes([picked[i] for i in some], int(n))[each], self.codes[cols[p]])
+                value[p] = k / np.sqrt(own[place[p]] * self.own[cols[p]])
+        short = {w: j for j, w in enumerate(self.words) if len(w) < LENGTH}
+        same = [(i, short[w]) for i, w in enumerate(words) if w in short]
+        more = np.array(same, np.int64).reshape(-1, 2)
+        keep = value > 0
+        return np.concatenate([rows[keep], more[:, 0]]), np.concatenate([cols[keep], more[:, 1]]), np.concatenate([value[keep], np.ones(len(more), np.float32)])
+
+    def dense(self, words: list[str]) -> np.ndarray:
+        """Normalised kernel of each word with each landmark."""
+        out = np.zeros((len(words), len(self.words)))
+        rows, cols, values = self.compare(words)
+        out[rows, cols] = values
+        return out
+
+
+class Words(Units):
+    """Words to rows of a table of their kernel values, the largest of their forms."""
+
+    def __init__(self, landmarks: Landmarks, most: int = 96_000_000):
+        super().__init__(most)
+        self.landmarks, self.table, self.used = landmarks, np.zeros((1024, len(landmarks.words)), np.float32), 0
+
+    def forget(self) -> None:
+        super().forget()
+        self.table, self.used = np.zeros_like(self.table[:1024]), 0
+
+    def learn(self, words: list[str]) -> None:
+        n = len(words)
+        if self.used + n > len(self.table):
+            self.table = np.concatenate([self.table[: self.used], np.zeros((max(n, self.used), self.table.shape[1]), np.float32)])
+        at, read = [], []
+        for i, w in enumerate(words):
+            for f in forms(w):
+                at.append(self.used + i)
+                read.append(f)
+        rows, cols, values = self.landmarks.compare(read)
+        new = self.table[self.used : self.used + n]
+        new[:] = 0
+        np.maximum.at(self.table, (np.array(at, np.int64)[rows], cols), values)
+        self.update(zip(words, range(self.used, self.used + n)))
+        self.used += n
 
 
 class Machine:
     """Landmarks and the linear machine over their features."""
 
-    def __init__(self, landmarks: Landmarks, key: str):
-        self.landmarks, self.key = landmarks, key
-        self.weights, self.slope, self.shift = np.zeros(2 * len(landmarks.words) + 1), 0.0, -2.0
-
-    def sums(self, texts: list[str | None], kept: dict, empty: set) -> tuple[np.ndarray, np.ndarray]:
-        """Summed kernel with each landmark, and number of words, of whole texts."""
-        found = [tokens(t) for t in texts]
-        new = list({w for ws in found for w in ws} - kept.keys() - empty)
-        read = [(w, f) for w in new for f in forms(w)]
-        rows, cols, values = self.landmarks.compare([f for _, f in read])
-        for i, j, v in zip(rows.tolist(), cols.tolist(), values.tolist()):
-            each = kept.setdefault(read[i][0], {})
-            each[j] = max(each.get(j, 0.0), v)
-        empty.update(w for w in new if w not in kept)
-        s = np.zeros((len(texts), len(self.landmarks.words)))
-        for row, ws in zip(s, found):
-            for w in ws:
-                if w in kept:
-                    for j, v in kept[w].items():
-                        row[j] += v
-        return s, np.fromiter(map(len, found), np.int64, len(found))
-
-    def features(self, sums: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Damped totals and densities in the landmarks' whitened space, and a constant."""
+    def __init__(self, landmarks: Landmarks):
+        self.landmarks = landmarks
+        self.weights, self.slope, self.shift = np.zeros(3 * len(landmarks.words) + 1), 0.0, -2.0
+        self.key = hashlib.md5(repr(landmarks.words).encode()).hexdigest()
+
+    def features(self, found: list[list[str]], kept: Words) -> np.ndarray:
+        """Of texts as lists of words: damped totals and densities in the landmarks' whitened
+        space, each landmark's closest word, and a constant."""
+        kept.ready()
+        new = list({w for ws in found for w in ws} - kept.keys())
+        kept.learn(new)
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        sums, best = np.zeros((len(found), kept.table.shape[1])), np.zeros((len(found), kept.table.shape[1]))
+        place, text = np.fromiter((kept[w] for ws in found for w in ws), np.int64, n.sum()), np.repeat(np.arange(len(found)), n)
+        for s in range(0, len(place), 50_000):  # a block of words; a text may go on in the next one
+            k, t = kept.table[place[s : s + 50_000]], text[s : s + 50_000]
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            sums[t[first]] += np.add.reduceat(k**POWER, first)
+            best[t[first]] = np.maximum(best[t[first]], np.maximum.reduceat(k, first))
+        kept.done(new, 150 + 4 * sums.shape[1])
         w = self.landmarks.whiten
         dense = np.log1p(200 * sums / (n[:, None] + 50))
-        return np.hstack([np.log1p(sums) @ w, dense @ w, np.ones((len(sums), 1))])
+        return np.hstack([np.log1p(sums) @ w, dense @ w, best, np.ones((len(sums), 1))])
 
-    def score(self, texts: list[str | None], kept: dict, empty: set) -> np.ndarray:
-        sums, n = self.sums(texts, kept, empty)
-        return 1 / (1 + np.exp(-np.clip(self.slope * (self.features(sums, n) @ self.weights) + self.shift, -30, 30)))
+    def score(self, texts: list[str | None], kept: Words) -> np.ndarray:
+        """Probability that each whole text is toxic."""
+        margin = self.features([tokens(t) for t in texts], kept) @ self.weights
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -203,11 +247,11 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int) -> list[str]:
+def choose_landmarks(found: list[list[str]], toxic: np.ndarray, most: int) -> list[str]:
     """Words whose share of texts differs most in favour of the toxic ones, by a z score."""
     pos, neg = Counter(), Counter()
-    for t, y in zip(texts, toxic):
-        (pos if y else neg).update({f for w in tokens(t) for f in forms(w) if len(f) > 2})
+    for words, y in zip(found, toxic):
+        (pos if y else neg).update({f for w in words for f in forms(w) if len(f) > 2})
     p, n = max(1, toxic.sum()), max(1, (~toxic).sum())
     scored = []
     for w, c in pos.items():
@@ -217,23 +261,45 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int) -> list[str
     return [w for z, w in sorted(scored, key=lambda x: (-x[0], x[1]))[:most] if z > 0]
 
 
+def stretch(words: list[str], landmarks: set[str], signs: int, seed: int) -> list[str]:
+    """A text's words with foreign signs inside each landmark word."""
+    out, rng = [], np.random.default_rng(seed)
+    for w in words:
+        if w in landmarks and len(w) > LENGTH - 1:
+            for i in sorted(rng.choice(len(w) - 1, min(signs, len(w) - 1), replace=False) + 1, reverse=True):
+                w = w[:i] + "\u3007" + w[i:]
+        out.append(w)
+    return out
+
+
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Machine | None:
     """Fit landmarks, machine and probability scale; None without both labels."""
     if toxic.all() or not toxic.any():
         return None
-    words = choose_landmarks(texts, toxic, landmarks)
+    found = [tokens(t) for t in texts]
+    words = choose_landmarks(found, toxic, landmarks)
     if not words:
         return None
-    machine = Machine(Landmarks(words), f"{len(texts)}:{hash(tuple(words))}")
-    x = machine.features(*machine.sums(texts, {}, set()))
+    machine = Machine(Landmarks(words))
+    kept, chosen = Words(machine.landmarks, 10**12), set(words)
+    x = machine.features(found, kept)
+    bad = np.flatnonzero(toxic)
+    bad = bad[[not chosen.isdisjoint(found[i]) for i in bad]]
+    more = machine.features([stretch(found[i], chosen, k, int(i)) for k in (1, 2) for i in bad], kept)
     y = np.where(toxic, 1.0, -1.0)
     cost = np.where(toxic, min(4.0, (~toxic).sum() / toxic.sum()), 1.0)
     fold = np.arange(len(y)) % 4
+    again = np.tile(fold[bad], 2)
+
+    def fitted(on: np.ndarray, also: np.ndarray) -> np.ndarray:
+        costs = np.concatenate([cost[on], np.full(also.sum(), STRETCH * cost.max())])
+        return squared_hinge(np.concatenate([x[on], more[also]]), np.concatenate([y[on], np.ones(also.sum())]), costs)
+
     margin = np.zeros(len(y))
     for k in range(4):
-        margin[fold == k] = x[fold == k] @ squared_hinge(x[fold != k], y[fold != k], cost[fold != k])
-    machine.weights = squared_hinge(x, y, cost)
-    a, b = 1.0, 0.0  # logistic scale of the margins of rows left out, by Newton steps
+        margin[fold == k] = x[fold == k] @ fitted(fold != k, again != k)
+    machine.weights = fitted(fold >= 0, again >= 0)
+    a, b = 1.0, 0.0  # logistic scale of the margins of texts left out, by Newton steps
     t = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
@@ -248,20 +314,32 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Ma
     return machine
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Machine | None:
-    """Train on labelled rows outside the held-out third: of each label at most so many, the
-    first by a hash of the id. Only their ids, then their texts, come to the driver."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_rows: int, clean_rows: int) -> list[tuple[str, bool]]:
+    """Labelled texts outside the held-out third: of each label at most so many ids, the first by
+    a hash of the id, and of their texts as many as ``ROW_CHARS`` and ``LABEL_CHARS`` allow, one
+    an id. First ids, then lengths, then those texts come to the driver, all of bounded size."""
     known = labels.where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg((F.max("toxic") > 0).alias("__toxic"))
-    first = F.xxhash64("__id")
-    picked = known.where("__toxic").orderBy(first, "__id").limit(toxic_rows).union(known.where("not __toxic").orderBy(first, "__id").limit(clean_rows))
-    # at most toxic_rows + clean_rows ids: bounded, so safe to broadcast
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(picked), docs[id_col].cast("long") == F.col("__id")).select("__id", "__toxic", F.col(text_col).alias("text")).collect()
-    rows.sort(key=lambda r: (r["__id"], r["text"]))
-    return train([r["text"] for r in rows], np.array([r["__toxic"] for r in rows], bool))
+    known = known.groupBy(F.col("doc_id").cast("string").alias("id")).agg((F.max("toxic") > 0).alias("toxic")).withColumn("place", F.xxhash64("id"))
+    picked = known.where("toxic").orderBy("place", "id").limit(toxic_rows).union(known.where("not toxic").orderBy("place", "id").limit(clean_rows)).collect()
+    spark, schema = docs.sparkSession, "id string, toxic boolean, place long"
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.length(text_col).alias("n")).where(F.col("n") <= ROW_CHARS)
+    sizes = texts.join(F.broadcast(spark.createDataFrame(picked, schema)), "id").groupBy("id", "toxic", "place").agg(F.min("n").alias("n")).collect()
+    left, chosen = {True: LABEL_CHARS, False: LABEL_CHARS}, []
+    for r in sorted(sizes, key=lambda r: (r["place"], r["id"])):
+        left[r["toxic"]] -= r["n"]
+        if left[r["toxic"]] >= 0:
+            chosen.append((r["id"], r["toxic"], r["place"]))
+    rows = texts.join(F.broadcast(spark.createDataFrame(chosen, schema)), "id").groupBy("id", "toxic").agg(F.min(F.struct("n", "text")).alias("x")).collect()
+    return [(r["x"]["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["id"])]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Machine | None:
+    """Train on the labelled sample."""
+    rows = sample(docs, labels, id_col, text_col, toxic_rows, clean_rows)
+    return train([t for t, _ in rows], np.array([y for _, y in rows], bool))
 
 
-_memory: dict[str, tuple[dict, set]] = {}
+_memory: dict[str, Words] = {}
 
 
 def score_column(machine: Machine | None, text: Column) -> Column:
@@ -275,12 +353,14 @@ def score_column(machine: Machine | None, text: Column) -> Column:
                 continue
             if machine.key not in _memory:
                 _memory.clear()
-                _memory[machine.key] = {}, set()
-            kept, empty = _memory[machine.key]
-            claim("toxicity", _memory.clear)
-            if len(empty) > WORDS_KEPT:
-                empty.clear()
-            out = [machine.score(texts.iloc[s : s + 1000].tolist(), kept, empty) for s in range(0, len(texts), 1000)]
+                _memory[machine.key] = Words(machine.landmarks)
+            out, part, size, texts = [], [], 0, texts.tolist()
+            for i, t in enumerate(texts):
+                part.append(t)
+                size += len(t or "")
+                if size > 2_000_000 or len(part) == 1000 or i == len(texts) - 1:
+                    out.append(machine.score(part, _memory[machine.key]))
+                    part, size = [], 0
             yield pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
     return score(text)
@@ -291,7 +371,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
 
     Null and empty texts get the score of a text without words. Labels of unknown documents
     and null labels are not used; of several labels of one id the highest holds. Repeated rows
-    are scored each. Without both labels among the training rows every score is 0.
+    are scored each. Null ids are scored, not held out. Ids of documents and labels are compared
+    as text. Without both labels among the training rows every score is 0.
     """
     machine = fit(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), score_column(machine, F.col(text_col)).alias("score"))
@@ -299,6 +380,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose score stays below the threshold."""
+    """The documents, with all their columns, whose score stays below the threshold; edge cases
+    as for ``toxicity``, so null and empty texts stay."""
     machine = fit(docs, labels, id_col, text_col)
     return docs.where(score_column(machine, F.col(text_col)) < threshold)

@@ -19,6 +19,8 @@ from .common import cut, shared_path
 
 CRLF = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Repeated payloads up to which they (some 60 bytes each) go to every task; payload of an archive.
+SMALL, ARCHIVE_BYTES = 200_000, 2**28
 #: A capture without a time of its own gets this second plus its id (mod 2**31).
 BASE_TIME = 1_700_000_000
 _RUN = "url_key string, captured string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, offset long, run string, seq long"
@@ -28,14 +30,18 @@ def decisions(pages: DataFrame, least: int) -> DataFrame:
     """Pages with digest, size and, for revisits, the page they refer to.
 
     Of payloads of ``least`` bytes or more that are equal, the page with the largest id is
-    stored. The largest ids are pre-aggregated a partition, so a payload that fills a third of
-    the table shuffles one row a task there; the join back is one that Spark splits when skewed.
+    stored. Ids and digests alone are compared, pre-aggregated a partition; only payloads that
+    repeat are joined back, broadcast up to ``SMALL`` of them, so that html stays where it is;
+    beyond, in a join that Spark splits where a payload is hot.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    found = pages.withColumn("payload_bytes", F.octet_length(html).cast("long")).withColumn("payload_digest", F.sha1(html.cast("binary")))
-    kept = pages.select(F.sha1(html.cast("binary")).alias("payload_digest"), F.octet_length(html).alias("b"), "page_id").where(F.col("b") >= least)
+    digest, size = F.sha1(html.cast("binary")), F.octet_length(html).cast("long")
+    kept = pages.select(digest.alias("payload_digest"), "page_id").where(size >= least)
     kept = kept.groupBy("payload_digest").agg(F.max("page_id").alias("stored_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = found.join(kept, "payload_digest", "left")
+    kept = cut(kept, "warc-repeated")
+    if kept.limit(SMALL + 1).count() <= SMALL:
+        kept = F.broadcast(kept)
+    found = pages.withColumn("payload_bytes", size).withColumn("payload_digest", digest).join(kept, "payload_digest", "left")
     again = (F.col("payload_bytes") >= least) & (F.col("page_id") < F.col("stored_id"))
     return found.withColumn("refers_to", F.when(again, F.col("stored_id")))
 
@@ -62,14 +68,24 @@ def record_text(date: str | None) -> "F.Column":
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), block)
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 1000, per_file: int = 2000, date: str | None = None) -> None:
-    """Write a WARC record a page to gzipped archives of ``per_file`` records at most.
+def write_archives(pages: DataFrame, path: str, least: int = 1000, per_file: int = 2000, date: str | None = None) -> list[str]:
+    """Write a WARC record a page to gzipped archives; returns their folders.
 
     The text sink ends each value by a separator; with two blank lines as that separator its
-    files are WARC files byte for byte, committed and retried as any Spark output.
+    files are WARC files byte for byte, committed and retried as any Spark output. An archive
+    holds ``per_file`` records and ``ARCHIVE_BYTES`` of payload at most, but for a larger single
+    record: pages of like size, by powers of 16, share a folder with its own number of records.
     """
-    records = decisions(pages, least).select(record_text(date).alias("value"))
-    records.write.options(compression="gzip", lineSep=CRLF * 2, maxRecordsPerFile=per_file).text(path)
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    bits = F.ceil(F.log2(F.greatest(size, F.lit(1)) / 2**16) / 4)
+    level = F.greatest(F.lit(0), bits).cast("int")  # 64 KB, 1 MB, 16 MB, 256 MB, 4 GB
+    decided, folders = decisions(pages, least), []
+    for (k,) in sorted(tuple(r) for r in pages.select(level).distinct().collect()):
+        folders.append(f"{path}/size-{k}")
+        records = decided.where(level == k).select(record_text(date).alias("value"))
+        most = max(1, min(per_file, ARCHIVE_BYTES // 2 ** (16 + 4 * k)))
+        records.write.options(compression="gzip", lineSep=CRLF * 2, maxRecordsPerFile=most).text(folders[-1])
+    return folders
 
 
 def url_key(url: str | None) -> str:
@@ -116,20 +132,20 @@ def _order(row: dict) -> tuple:
     return row["url_key"], row["captured"], (row["page_id"] is not None, row["page_id"] or 0)
 
 
-def sorted_runs(spark: SparkSession, path: str) -> DataFrame:
+def sorted_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Read archives back; the entries of each, sorted by URL key, time and id, are one run."""
     schema = _schema(spark, _RUN)
 
     def run(batches):
         for batch in batches:
             for where, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                name = where.rpartition("/")[2]
+                name = "/".join(where.rsplit("/", 2)[1:])
                 rows = sorted(parse_archive(content.as_py(), name), key=_order)
                 for i, row in enumerate(rows):
                     row |= {"run": name, "seq": i}
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _RUN)
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, _RUN)
 
 
 def _schema(spark: SparkSession, text: str) -> pa.Schema:
@@ -242,10 +258,11 @@ def capture_index(pages: DataFrame, least: int = 1000, date: str | None = None,
 
     Null html: an empty payload. Null url: an empty URL key. Null page_id: a response that
     nothing refers to. Repeated rows are captured each; those that share the largest id are
-    all responses. No pages: no archives, an empty index.
+    all responses. No pages: no archives, an empty index. Extra columns are not read.
     """
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
     columns = ["page_id", "url", "html", *([date] if date else [])]
-    write_archives(pages.select(F.col("page_id").cast("long"), *columns[1:]), path, least, date=date)
-    return merged_index(cut(sorted_runs(spark, path), "capture-runs"))
+    folders = write_archives(pages.select(F.col("page_id").cast("long"), *columns[1:]), path, least, date=date)
+    runs = sorted_runs(spark, folders) if folders else spark.createDataFrame([], _RUN)
+    return merged_index(cut(runs, "capture-runs"))

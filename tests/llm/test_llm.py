@@ -66,7 +66,7 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(text.encode()), hashlib.sha1(text.encode()).hexdigest())
     order = [(r["url_key"], r["captured"]) for r in sorted(got, key=lambda r: (r["shard"], r["shard_pos"]))]
     assert order == sorted(order)
-    archives = [gzip.open(f).read() for f in (tmp_path / "w").glob("*.gz")]
+    archives = [gzip.open(f).read() for f in (tmp_path / "w").glob("*/*.gz")]
     assert sum(a.count(b"WARC-Record-ID") for a in archives) == len(rows) and all(a.startswith(b"WARC/1.1\r\n") for a in archives if a)
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc_index.capture_index(none).count() == 0
@@ -408,11 +408,16 @@ def test_kernel():
                     total += d ** (a[-1] - a[0] + b[-1] - b[0] + 2)
         return total
 
-    words = ["idiot", "idxiot", "clown", "abc", "aaaa", "ab"]
-    for s in words:
-        for t in words:
-            k = toxicity_ssk.kernel(toxicity_ssk.codes([s], len(s)), toxicity_ssk.codes([t], 7))[0]
-            assert abs(k - slow(s, t, 3, 0.8)) < 1e-4 * max(1, k)
+    words = ["idiot", "idxiot", "clown", "abcd", "aaaaaa", "ab", "cxlxoxwn", "tidiotic"]
+    exact = lambda s, t: slow(s, t, toxicity_ssk.LENGTH, float(toxicity_ssk.DAMP))
+    marks = [w for w in words if len(w) >= toxicity_ssk.LENGTH]
+    values = toxicity_ssk.Landmarks(marks).dense(words)
+    for i, s in enumerate(words):
+        for j, t in enumerate(marks):
+            k = toxicity_ssk.kernel(toxicity_ssk.codes([s], len(s)), toxicity_ssk.codes([t], 9))[0]
+            assert abs(k - exact(s, t)) < 1e-4 * max(1, k)
+            norm = np.sqrt(exact(s, s) * exact(t, t))
+            assert abs(values[i, j] - (exact(s, t) / norm if norm else 0)) < 1e-4
 
 
 def test_toxicity(spark):
