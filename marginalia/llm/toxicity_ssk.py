@@ -276,7 +276,8 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Ma
     """Fit landmarks, machine and probability scale; None without both labels."""
     if toxic.all() or not toxic.any():
         return None
-    found = [tokens(t) for t in texts]
+    shared: dict[str, str] = {}  # one string a word, however often it stands
+    found = [[shared.setdefault(w, w) for w in tokens(t)] for t in texts]
     words = choose_landmarks(found, toxic, landmarks)
     if not words:
         return None
