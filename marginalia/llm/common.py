@@ -88,9 +88,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it, so that later plans start from the
-    files and a lost executor costs no recomputation of what came before."""
+    files and a lost executor costs no recomputation of what came before. Row groups are small,
+    since a writer holds one in memory."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 2**25).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

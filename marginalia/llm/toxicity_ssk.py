@@ -23,7 +23,7 @@ from .common import Units, held_out
 
 #: Bounds of the labelled sample that the machine is fitted on: rows of each label, characters
 #: of a row and of a label's rows.
-TOXIC_ROWS, CLEAN_ROWS, ROW_CHARS, LABEL_CHARS = 1500, 3500, 1_000_000, 16_000_000
+TOXIC_ROWS, CLEAN_ROWS, ROW_CHARS, LABEL_CHARS = 1500, 3500, 500_000, 8_000_000
 LANDMARKS = 64
 #: Subsequence length, damping a letter of span, power of the kernel that is summed.
 LENGTH, DAMP, POWER = 4, np.float32(0.9), 3
@@ -174,13 +174,13 @@ class Landmarks:
 class Words(Units):
     """Words to rows of a table of their kernel values, the largest of their forms."""
 
-    def __init__(self, landmarks: Landmarks, most: int = 96_000_000):
+    def __init__(self, landmarks: Landmarks, most: int = 64_000_000):
         super().__init__(most)
-        self.landmarks, self.table, self.used = landmarks, np.zeros((1024, len(landmarks.words)), np.float32), 0
+        self.landmarks, self.table, self.used = landmarks, np.zeros((4096, len(landmarks.words)), np.float32), 0
 
     def forget(self) -> None:
         super().forget()
-        self.table, self.used = np.zeros_like(self.table[:1024]), 0
+        self.table, self.used = np.zeros_like(self.table[:4096]), 0
 
     def learn(self, words: list[str]) -> None:
         n = len(words)
@@ -247,17 +247,20 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
-def choose_landmarks(found: list[list[str]], toxic: np.ndarray, most: int) -> list[str]:
+def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int) -> list[str]:
     """Words whose share of texts differs most in favour of the toxic ones, by a z score."""
     pos, neg = Counter(), Counter()
-    for words, y in zip(found, toxic):
-        (pos if y else neg).update({f for w in words for f in forms(w) if len(f) > 2})
+    of = lambda t: {f for w in set(tokens(t)) for f in forms(w) if len(f) > 2}
+    for i in np.flatnonzero(toxic):
+        pos.update(of(texts[i]))
+    pos = Counter({w: c for w, c in pos.items() if c >= 2})
+    for i in np.flatnonzero(~toxic):
+        neg.update(w for w in of(texts[i]) if w in pos)
     p, n = max(1, toxic.sum()), max(1, (~toxic).sum())
     scored = []
     for w, c in pos.items():
-        if c >= 2:
-            a, b, m = c / p, neg[w] / n, (c + neg[w]) / (p + n)
-            scored.append(((a - b) / np.sqrt(m * (1 - m) * (1 / p + 1 / n) + 1e-12), w))
+        a, b, m = c / p, neg[w] / n, (c + neg[w]) / (p + n)
+        scored.append(((a - b) / np.sqrt(m * (1 - m) * (1 / p + 1 / n) + 1e-12), w))
     return [w for z, w in sorted(scored, key=lambda x: (-x[0], x[1]))[:most] if z > 0]
 
 
@@ -276,17 +279,23 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Ma
     """Fit landmarks, machine and probability scale; None without both labels."""
     if toxic.all() or not toxic.any():
         return None
-    shared: dict[str, str] = {}  # one string a word, however often it stands
-    found = [[shared.setdefault(w, w) for w in tokens(t)] for t in texts]
-    words = choose_landmarks(found, toxic, landmarks)
+    words = choose_landmarks(texts, toxic, landmarks)
     if not words:
         return None
     machine = Machine(Landmarks(words))
-    kept, chosen = Words(machine.landmarks, 10**12), set(words)
-    x = machine.features(found, kept)
-    bad = np.flatnonzero(toxic)
-    bad = bad[[not chosen.isdisjoint(found[i]) for i in bad]]
-    more = machine.features([stretch(found[i], chosen, k, int(i)) for k in (1, 2) for i in bad], kept)
+    kept, chosen = Words(machine.landmarks, 40_000_000), set(words)
+
+    def features(which: np.ndarray, signs: int = 0) -> np.ndarray:
+        """Features of some texts, in blocks, so that few words are in memory at a time."""
+        out = [np.zeros((0, len(machine.weights)))]
+        for s in range(0, len(which), 100):
+            found = [tokens(texts[i]) for i in which[s : s + 100]]
+            out.append(machine.features([stretch(ws, chosen, signs, int(i)) for ws, i in zip(found, which[s : s + 100])] if signs else found, kept))
+        return np.concatenate(out)
+
+    x = features(np.arange(len(texts)))
+    bad = np.array([i for i in np.flatnonzero(toxic) if not chosen.isdisjoint(tokens(texts[i]))], np.int64)
+    more = np.concatenate([features(bad, 1), features(bad, 2)])
     y = np.where(toxic, 1.0, -1.0)
     cost = np.where(toxic, min(4.0, (~toxic).sum() / toxic.sum()), 1.0)
     fold = np.arange(len(y)) % 4
