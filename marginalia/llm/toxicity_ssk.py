@@ -288,9 +288,9 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Ma
     def features(which: np.ndarray, signs: int = 0) -> np.ndarray:
         """Features of some texts, in blocks, so that few words are in memory at a time."""
         out = [np.zeros((0, len(machine.weights)))]
-        for s in range(0, len(which), 100):
-            found = [tokens(texts[i]) for i in which[s : s + 100]]
-            out.append(machine.features([stretch(ws, chosen, signs, int(i)) for ws, i in zip(found, which[s : s + 100])] if signs else found, kept))
+        for s in range(0, len(which), 500):
+            found = [tokens(texts[i]) for i in which[s : s + 500]]
+            out.append(machine.features([stretch(ws, chosen, signs, int(i)) for ws, i in zip(found, which[s : s + 500])] if signs else found, kept))
         return np.concatenate(out)
 
     x = features(np.arange(len(texts)))
