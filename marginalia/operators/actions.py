@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
+from pyspark.sql.types import ArrayType
 
 from ..functions.lists import LEVELS
 
 
+def as_items(found: Column) -> Column:
+    """Items of a text: its bullet lines, or else the whole of it."""
+    lines = F.transform(F.filter(F.split(found, "\n"), lambda x: F.regexp_like(F.trim(x), F.lit(r"^[-*]"))), lambda x: F.trim(x))
+    return F.when(F.size(lines) > 0, lines).otherwise(F.array(F.trim(found)))
+
+
 def candidates(notes: DataFrame) -> DataFrame:
-    """Action items of all chunks, one mark stripped, with what is known of their chunk."""
-    rows = notes.select("doc_id", F.col("chunk_index").alias("source_chunk"), F.coalesce("position", F.lit("unknown")).alias("position"), F.coalesce("importance", F.lit(3)).alias("importance"), "speakers", F.posexplode("action_items").alias("place", "item"))
+    """Action items of all chunks, given as lists or as texts, one mark stripped, with what is known of their chunk."""
+    items = F.col("action_items") if isinstance(notes.schema["action_items"].dataType, ArrayType) else as_items(F.col("action_items"))
+    rows = notes.select("doc_id", F.col("chunk_index").alias("source_chunk"), F.coalesce("position", F.lit("unknown")).alias("position"), F.coalesce("importance", F.lit(3)).alias("importance"), "speakers", F.posexplode(items).alias("place", "item"))
     return rows.select("doc_id", "source_chunk", "place", F.trim(F.regexp_replace(F.trim("item"), r"^[-*]", "")).alias("text"), "position", "importance", "speakers")
 
 

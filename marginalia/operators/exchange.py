@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Labels and separators of replies.
 LIST_SPLIT = r'[,\n•\-\[\]"]+'
 ITEM_SPLIT = r'[•\-\[\]"]+'
+LISTS = ["keywords", "speakers", "action_items", "key_quotes"]
 FIELDS = ["keywords", "speakers", "importance", "action_items", "key_quotes"]
 ANNOTATION = "struct<summary:string,keywords:array<string>,speakers:array<string>,importance:int,action_items:array<string>,key_quotes:array<string>>"
 #: Instructions by the place of a chunk.
@@ -36,9 +37,12 @@ def pending(prompts: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def attached(chunks: DataFrame, responses: DataFrame) -> DataFrame:
-    """Every chunk with its response; a missing one gives the fallback annotation."""
+    """Every chunk with its response; a missing one gives the fallback annotation: importance 1
+    and empty lists."""
     found = chunks.join(responses, ["doc_id", "chunk_index"], "left")
-    return found.withColumns({"failed": F.col("response").isNull(), "importance": F.when(F.col("response").isNull(), 1)})
+    none = F.col("response").isNull()
+    empty = {c: F.when(none, F.array().cast("array<string>")) for c in LISTS}
+    return found.withColumns({"failed": none, "importance": F.when(none, 1)} | empty)
 
 
 def labelled(text: Column, name: str, stops: list[str]) -> Column:

@@ -119,13 +119,14 @@ def action_prompts(spark, sf_dir):
     return E.queued(E.joined_text(rows, "doc_id", "line", "importance desc, chunk_index", "\\n"), F.concat(F.lit("Find action items.\n"), "body"), "doc_id")
 
 
-REFINE = {"more_detail": "Add detail.", "more_concise": "Shorten."}
+REFINE = {"more_detail": "Add detail.", "more_concise": "Shorten.", "custom": "Follow these instructions: Name the owners."}
 
 
-@query("refine_prompts", _keyed.format(f"SELECT doc_id, chunk_index, {_case('kind', REFINE)} || chr(10) || summary AS prompt FROM (SELECT *, CASE (doc_id + chunk_index) % 3 WHEN 0 THEN 'more_detail' WHEN 1 THEN 'more_concise' ELSE 'other' END AS kind FROM annotations) WHERE kind IN ('more_detail', 'more_concise') AND summary <> ''"), "annotations")
+@query("refine_prompts", _keyed.format(f"SELECT doc_id, chunk_index, {_case('kind', REFINE)} || chr(10) || summary AS prompt FROM (SELECT *, CASE (doc_id + chunk_index) % 4 WHEN 0 THEN 'more_detail' WHEN 1 THEN 'more_concise' WHEN 2 THEN 'custom' ELSE 'other' END AS kind FROM annotations) WHERE kind <> 'other' AND summary <> ''"), "annotations")
 def refine_prompts(spark, sf_dir):
-    i = (F.col("doc_id") + F.col("chunk_index")) % 3
-    rows = load(spark, sf_dir, "annotations").withColumn("kind", F.when(i == 0, "more_detail").when(i == 1, "more_concise").otherwise("other"))
+    """By kind, one of them the user's own instructions; unknown kinds and empty summaries stay as they are, so they are not queued."""
+    i = (F.col("doc_id") + F.col("chunk_index")) % 4
+    rows = load(spark, sf_dir, "annotations").withColumn("kind", F.when(i == 0, "more_detail").when(i == 1, "more_concise").when(i == 2, "custom").otherwise("other"))
     return E.queued(rows.where(F.col("kind").isin(*REFINE) & (F.col("summary") != "")), F.concat(E.lookup(F.col("kind"), REFINE), F.lit("\n"), "summary"), "doc_id", "chunk_index")
 
 
@@ -147,17 +148,17 @@ def context_prompts(spark, sf_dir):
     return E.queued(load(spark, sf_dir, "annotations").where("chunk_index = 0"), F.concat(F.lit("Name purpose, goals and outcomes.\n"), "summary"), "doc_id")
 
 
-@query("pending_prompts", "WITH p AS (SELECT DISTINCT md5(substr(text, 1, 500)) AS prompt_key FROM documents), c AS (SELECT DISTINCT md5(substr(text, 1, 500)) AS prompt_key FROM documents WHERE doc_id % 3 = 0) SELECT prompt_key FROM p WHERE prompt_key NOT IN (SELECT prompt_key FROM c)")
+@query("pending_prompts", "WITH p AS (SELECT DISTINCT md5(text) AS prompt_key FROM documents), c AS (SELECT DISTINCT md5(text) AS prompt_key FROM documents WHERE doc_id % 3 = 0) SELECT prompt_key FROM p WHERE prompt_key NOT IN (SELECT prompt_key FROM c)")
 def pending_prompts(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    made = lambda d: E.queued(d, F.substring("text", 1, 500), "doc_id")
+    made = lambda d: E.queued(d, F.col("text"), "doc_id")
     return E.pending(made(docs), made(docs.where("doc_id % 3 = 0"))).select("prompt_key")
 
 
-@query("attach_responses", "SELECT a.doc_id, a.chunk_index, response IS NULL AS failed, CASE WHEN response IS NULL THEN 1 END AS importance FROM annotations a LEFT JOIN (SELECT * FROM responses WHERE (doc_id + chunk_index) % 5 <> 0) r USING (doc_id, chunk_index)", "annotations responses")
+@query("attach_responses", "SELECT a.doc_id, a.chunk_index, response IS NULL AS failed, CASE WHEN response IS NULL THEN 1 END AS importance, " + ", ".join(f"CASE WHEN response IS NULL THEN []::VARCHAR[] END AS {c}" for c in E.LISTS) + " FROM annotations a LEFT JOIN (SELECT * FROM responses WHERE (doc_id + chunk_index) % 5 <> 0) r USING (doc_id, chunk_index)", "annotations responses")
 def attach_responses(spark, sf_dir):
     got = load(spark, sf_dir, "responses").where("(doc_id + chunk_index) % 5 <> 0")
-    return E.attached(load(spark, sf_dir, "annotations").select("doc_id", "chunk_index"), got).select("doc_id", "chunk_index", "failed", "importance")
+    return E.attached(load(spark, sf_dir, "annotations").select("doc_id", "chunk_index"), got).select("doc_id", "chunk_index", "failed", "importance", *E.LISTS)
 
 
 def _label(name, stops):
@@ -207,9 +208,9 @@ def parse_preview(spark, sf_dir):
 _ITEM = "struct<title:string,severity:string>"
 
 
-@query("parse_pass_items", "SELECT doc_id, item_id, substr(regexp_replace(title, '[^A-Za-z ]', '', 'g'), 1, 20) AS title, severity FROM items WHERE item_id % 4 <> 3", "items")
+@query("parse_pass_items", "SELECT doc_id, item_id, regexp_replace(title, '[^A-Za-z ]', '', 'g') AS title, severity FROM items WHERE item_id % 4 <> 3", "items")
 def parse_pass_items(spark, sf_dir):
-    clean = F.substring(F.regexp_replace("title", "[^A-Za-z ]", ""), 1, 20)
+    clean = F.regexp_replace("title", "[^A-Za-z ]", "")
     reply = F.when(F.col("item_id") % 4 == 3, "no JSON").otherwise(F.to_json(F.struct(F.array(F.struct(clean.alias("title"), "severity")).alias("issues"))))
     rows = load(spark, sf_dir, "items").select("doc_id", "item_id", E.parsed_items(reply, "issues", _ITEM).alias("x"))
     return rows.select("doc_id", "item_id", F.inline("x"))
@@ -239,21 +240,21 @@ def parse_validation(spark, sf_dir):
     return rows.join(found, ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce("given", F.lit(3)).alias("score"))
 
 
-@query("split_batched", "SELECT doc_id, CAST(chunk_index AS INTEGER) AS part, regexp_replace(substr(summary, 1, 50), '^\\s+|\\s+$', '', 'g') AS summary FROM annotations", "annotations")
+@query("split_batched", "SELECT doc_id, CAST(chunk_index AS INTEGER) AS part, regexp_replace(summary, '^\\s+|\\s+$', '', 'g') AS summary FROM annotations", "annotations")
 def split_batched(spark, sf_dir):
-    rows = load(spark, sf_dir, "annotations").withColumn("line", F.concat(F.lit("## SUMMARY FOR SECTION "), F.col("chunk_index").cast("string"), F.lit("\n"), F.substring("summary", 1, 50)))
+    rows = load(spark, sf_dir, "annotations").withColumn("line", F.concat(F.lit("## SUMMARY FOR SECTION "), F.col("chunk_index").cast("string"), F.lit("\n"), "summary"))
     reply = E.joined_text(rows, "doc_id", "line", "chunk_index", "\\n")
     found = reply.select("doc_id", F.posexplode(E.batched_parts(F.col("body"))).alias("part", "summary"))
     return found.withColumn("summary", F.regexp_replace("summary", r"^\s+|\s+$", ""))
 
 
 _report = "'# Notes ' || doc_id || chr(10) || chr(10) || '## Summary' || chr(10) || s || chr(10) || chr(10) || '## Topics' || chr(10) || t || chr(10) || chr(10) || '## Processing' || chr(10) || n || ' chunks'"
-_report_sql = f"SELECT doc_id, {_report} AS report FROM (SELECT doc_id, string_agg(substr(summary, 1, 40), ' ' ORDER BY chunk_index) AS s, array_to_string(list_sort(list_distinct(flatten(list(keywords))))[1:15], ', ') AS t, count(*) AS n FROM annotations GROUP BY doc_id)"
+_report_sql = f"SELECT doc_id, {_report} AS report FROM (SELECT doc_id, string_agg(summary, ' ' ORDER BY chunk_index) AS s, array_to_string(list_sort(list_distinct(flatten(list(keywords))))[1:15], ', ') AS t, count(*) AS n FROM annotations GROUP BY doc_id)"
 
 
 @query("summary_report", _report_sql, "annotations")
 def summary_report(spark, sf_dir):
-    rows = load(spark, sf_dir, "annotations").withColumn("s", F.substring("summary", 1, 40))
+    rows = load(spark, sf_dir, "annotations").withColumn("s", F.col("summary"))
     topics = T.exploded_keywords(rows).groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("keyword")), 1, 15), ", ").alias("topics"))
     g = rows.groupBy("doc_id").agg(F.expr("listagg(s, ' ') within group (order by chunk_index)").alias("s"), F.count(F.lit(1)).alias("n")).join(topics, "doc_id")
     text = R.document(F.concat(F.lit("Notes "), F.col("doc_id").cast("string")), R.section("Summary", F.col("s")), R.section("Topics", F.col("topics")), R.section("Processing", F.concat(F.col("n").cast("string"), F.lit(" chunks"))))
@@ -278,16 +279,16 @@ def comparison_report(spark, sf_dir):
     return E.joined_text(g, "doc_id", "line", "position", "\\n").select("doc_id", F.concat(F.lit("# Strategies\n\n"), "body").alias("report"))
 
 
-@query("collection_report", "SELECT collection_id, '# Collection of ' || count(*) || ' documents' || chr(10) || chr(10) || string_agg('## ' || coalesce(company, title, 'Document ' || doc_id) || chr(10) || substr(text, 1, 80), chr(10) || chr(10) ORDER BY doc_id) AS report FROM calls GROUP BY collection_id", "calls")
+@query("collection_report", "SELECT collection_id, '# Collection of ' || count(*) || ' documents' || chr(10) || chr(10) || string_agg('## ' || coalesce(company, title, 'Document ' || doc_id) || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS report FROM calls GROUP BY collection_id", "calls")
 def collection_report(spark, sf_dir):
-    rows = load(spark, sf_dir, "calls").withColumn("block", F.concat(F.lit("## "), F.coalesce("company", "title", F.concat(F.lit("Document "), F.col("doc_id").cast("string"))), F.lit("\n"), F.substring("text", 1, 80)))
+    rows = load(spark, sf_dir, "calls").withColumn("block", F.concat(F.lit("## "), F.coalesce("company", "title", F.concat(F.lit("Document "), F.col("doc_id").cast("string"))), F.lit("\n"), "text"))
     g = rows.groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"), F.expr("listagg(block, '\\n\\n') within group (order by doc_id)").alias("body"))
     return g.select("collection_id", F.concat(F.format_string("# Collection of %d documents\n\n", "n"), "body").alias("report"))
 
 
-@query("single_report", "SELECT doc_id, concat_ws(chr(10), '# Document ' || doc_id, 'Language: ' || lang, 'Source: ' || source, 'Characters: ' || format('{:,}', length(text)), substr(text, 1, 200)) AS report FROM documents")
+@query("single_report", "SELECT doc_id, concat_ws(chr(10), '# Document ' || doc_id, 'Language: ' || lang, 'Source: ' || source, 'Characters: ' || format('{:,}', length(text)), text) AS report FROM documents")
 def single_report(spark, sf_dir):
-    parts = [F.concat(F.lit("# Document "), F.col("doc_id").cast("string")), F.concat(F.lit("Language: "), "lang"), F.concat(F.lit("Source: "), "source"), F.concat(F.lit("Characters: "), F.format_number(F.length("text"), 0)), F.substring("text", 1, 200)]
+    parts = [F.concat(F.lit("# Document "), F.col("doc_id").cast("string")), F.concat(F.lit("Language: "), "lang"), F.concat(F.lit("Source: "), "source"), F.concat(F.lit("Characters: "), F.format_number(F.length("text"), 0)), F.col("text")]
     return load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *parts).alias("report"))
 
 
@@ -297,17 +298,17 @@ def map_items(spark, sf_dir):
     return U.map_items(rows, lambda d: d.assign(title=d["title"].str[:5], size=d["description"].str.len())[["item_id", "title", "size"]], "item_id long, title string, size long")
 
 
-@query("level_functions", "WITH a AS (SELECT doc_id, chunk_index // 3 AS item, string_agg(substr(summary, 1, 10), '+' ORDER BY chunk_index) AS text FROM annotations GROUP BY ALL) SELECT doc_id, 1 AS level, item, text FROM a UNION ALL SELECT doc_id, 2, a.item // 2 AS item, string_agg(text, '/' ORDER BY a.item) FROM a GROUP BY doc_id, a.item // 2", "annotations")
+@query("level_functions", "WITH a AS (SELECT doc_id, chunk_index // 3 AS item, string_agg(summary, '+' ORDER BY chunk_index) AS text FROM annotations GROUP BY ALL) SELECT doc_id, 1 AS level, item, text FROM a UNION ALL SELECT doc_id, 2, a.item // 2 AS item, string_agg(text, '/' ORDER BY a.item) FROM a GROUP BY doc_id, a.item // 2", "annotations")
 def level_functions(spark, sf_dir):
-    rows = load(spark, sf_dir, "annotations").withColumn("text", F.substring("summary", 1, 10))
+    rows = load(spark, sf_dir, "annotations").withColumn("text", F.col("summary"))
     return U.level_functions(rows, [(3, lambda g: "+".join(g["text"])), (2, lambda g: "/".join(g["text"]))])
 
 
-@query("custom_pass", f"SELECT doc_id, item_id, title, coalesce(severity, 'Unknown') AS severity, {_rank} AS rank_value FROM (SELECT doc_id, item_id, substr(regexp_replace(title, '[^A-Za-z ]', '', 'g'), 1, 20) AS title, severity FROM items WHERE item_id % 4 <> 3) WHERE {_rank} > 0", "items")
+@query("custom_pass", f"SELECT doc_id, item_id, title, coalesce(severity, 'Unknown') AS severity, {_rank} AS rank_value FROM (SELECT doc_id, item_id, regexp_replace(title, '[^A-Za-z ]', '', 'g') AS title, severity FROM items WHERE item_id % 4 <> 3) WHERE {_rank} > 0", "items")
 def custom_pass(spark, sf_dir):
     """A configuration alone: its item key and order drive parsing, ranking and filtering."""
     config = {"item_key": "opportunities", "order": ORDER, "schema": _ITEM}
-    clean = F.substring(F.regexp_replace("title", "[^A-Za-z ]", ""), 1, 20)
+    clean = F.regexp_replace("title", "[^A-Za-z ]", "")
     reply = F.when(F.col("item_id") % 4 == 3, "none").otherwise(F.to_json(F.struct(F.array(F.struct(clean.alias("title"), "severity")).alias(config["item_key"]))))
     rows = load(spark, sf_dir, "items").select("doc_id", "item_id", E.parsed_items(reply, config["item_key"], config["schema"]).alias("x")).select("doc_id", "item_id", F.inline("x"))
     rank = A.priority(F.col("severity"), config["order"])
@@ -354,10 +355,10 @@ def write_reports(spark, sf_dir):
     return files.select(F.regexp_extract("path", r"document=Team_Notes__notes_(\d+)", 1).cast("long").alias("doc_id"), F.col("text").alias("report"))
 
 
-@query("read_results", "SELECT doc_id, substr(summary, 1, 40) AS summary, keywords AS topics FROM annotations WHERE chunk_index = 0", "annotations")
+@query("read_results", "SELECT doc_id, summary, keywords AS topics FROM annotations WHERE chunk_index = 0", "annotations")
 def read_results(spark, sf_dir):
     path = _scratch(spark, "results")
-    load(spark, sf_dir, "annotations").where("chunk_index = 0").select("doc_id", F.substring("summary", 1, 40).alias("summary"), F.col("keywords").alias("topics")).write.json(path)
+    load(spark, sf_dir, "annotations").where("chunk_index = 0").select("doc_id", "summary", F.col("keywords").alias("topics")).write.json(path)
     return IO.read_results(spark, path).select("doc_id", "summary", "topics")
 
 

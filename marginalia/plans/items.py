@@ -16,12 +16,26 @@ from ..views import load
 ORDER = {"High": 3, "Medium": 2, "Low": 1}
 _rank = "CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END"
 _ratio = "(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
+#: DuckDB's edit distance counts bytes: for it each letter beyond ASCII that the tables hold is
+#: one control character, so that bytes are characters.
+_WIDE = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_one = "translate({}, " + q(_WIDE) + ", " + " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 27)]) + ")"
 _norm = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')"
 
 
-@query("action_candidates", "SELECT doc_id, chunk_index AS source_chunk, CAST(generate_subscripts(action_items, 1) - 1 AS INTEGER) AS place, trim(regexp_replace(trim(unnest(action_items)), '^[-*]', '')) AS text, position, importance, speakers FROM annotations", "annotations")
+_lines = "list_transform(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(trim(x), '^[-*]')), lambda x: trim(x))"
+_texts = "CASE WHEN doc_id % 3 = 0 THEN 'To do: ' || array_to_string(action_items, ', ') ELSE array_to_string(list_transform(action_items, lambda x: '- ' || x), chr(10)) END"
+_given = f"SELECT * EXCLUDE (action_items, t), CASE WHEN len({_lines}) > 0 THEN {_lines} ELSE [trim(t)] END AS action_items FROM (SELECT *, {_texts} AS t FROM annotations WHERE doc_id % 2 = 0) UNION ALL BY NAME SELECT * FROM annotations WHERE doc_id % 2 = 1"
+
+
+@query("action_candidates", f"SELECT doc_id, chunk_index AS source_chunk, CAST(generate_subscripts(action_items, 1) - 1 AS INTEGER) AS place, trim(regexp_replace(trim(unnest(action_items)), '^[-*]', '')) AS text, position, importance, speakers FROM ({_given})", "annotations")
 def action_candidates(spark, sf_dir):
-    return A.candidates(load(spark, sf_dir, "annotations"))
+    """Items come as lists, in every second document as one text, with bullets or without."""
+    notes = load(spark, sf_dir, "annotations")
+    bullets = F.array_join(F.transform("action_items", lambda x: F.concat(F.lit("- "), x)), "\n")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("To do: "), F.array_join("action_items", ", "))).otherwise(bullets)
+    as_texts = notes.where("doc_id % 2 = 0").withColumn("action_items", text)
+    return A.candidates(notes.where("doc_id % 2 = 1")).union(A.candidates(as_texts))
 
 
 _valid = "SELECT doc_id, idx, c.text, v.score AS validation_score, v.reason FROM candidates c JOIN validation v USING (doc_id, idx) WHERE v.score >= 3"
@@ -38,13 +52,25 @@ def scores_to_candidates(spark, sf_dir):
     return load(spark, sf_dir, "candidates").join(v, ["doc_id", "idx"]).select("doc_id", "idx", "text", "given", "reason")
 
 
-_best_sql = """WITH g AS (SELECT *, idx // 2 AS group_id FROM candidates), w AS (SELECT *, row_number() OVER o AS k, first_value(assignee IGNORE NULLS) OVER f AS who, first_value(due IGNORE NULLS) OVER f AS whn FROM g
+def _led(doc, idx):
+    """Leaders of each document's candidates, item by item, and the leader that each joins."""
+    return f"""WITH RECURSIVE c AS (SELECT {doc} AS doc_id, {idx} AS idx, {_one.format(_norm.format("text"))} AS x FROM candidates),
+ o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k FROM c),
+ f AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::STRUCT(i BIGINT, x VARCHAR)[] AS leaders, NULL::BIGINT AS idx, NULL::BIGINT AS group_id FROM o
+  UNION ALL SELECT doc_id, k, CASE WHEN len(mine) > 0 THEN leaders ELSE list_append(leaders, {{'i': oi, 'x': ox}}) END, oi, coalesce(mine[1].i, oi) FROM (
+   SELECT f.doc_id, o.k, f.leaders, o.idx AS oi, o.x AS ox, list_filter(f.leaders, lambda y: {_ratio.format(a="y.x", b="o.x")} > 0.7) AS mine FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1))"""
+
+
+_best_sql = _led("doc_id", "idx") + """, g AS (SELECT candidates.*, f.group_id FROM candidates JOIN f USING (doc_id, idx)), w AS (SELECT *, row_number() OVER o AS k, first_value(assignee IGNORE NULLS) OVER f AS who, first_value(due IGNORE NULLS) OVER f AS whn FROM g
  WINDOW o AS (PARTITION BY doc_id, group_id ORDER BY score DESC, importance DESC, assignee IS NOT NULL DESC, due IS NOT NULL DESC, idx), f AS (PARTITION BY doc_id, group_id ORDER BY score DESC, importance DESC, assignee IS NOT NULL DESC, due IS NOT NULL DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
  b AS (SELECT doc_id, idx, text, who AS assignee, whn AS due, score, importance, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, importance DESC, idx) AS "rank" FROM w WHERE k = 1)"""
 
 
 def _best(spark, sf_dir):
-    return A.prioritised(load(spark, sf_dir, "candidates").withColumn("group_id", F.floor(F.col("idx") / 2)))
+    """The best of each group of similar candidates of a document."""
+    items = load(spark, sf_dir, "candidates")
+    groups = S.leader_groups(items.select("doc_id", "idx", "text")).select("doc_id", "idx", "group_id")
+    return A.prioritised(items.join(groups, ["doc_id", "idx"]))
 
 
 
@@ -92,22 +118,13 @@ def default_summary_line(spark, sf_dir):
     return g.select("doc_id", F.format_string("Analysis identified %d items across %d categories.", "n", "k").alias("summary"))
 
 
-_pairs = f"""WITH c AS (SELECT cast(floor(doc_id / 20) AS BIGINT) AS doc_id, doc_id * 100 + idx AS idx, regexp_replace(substr(text, 1, 9), '[^ -~]', '?', 'g') AS text FROM candidates), n AS (SELECT doc_id, idx, {_norm.format("text")} AS x FROM c),
+_pairs = f"""WITH n AS (SELECT cast(floor(doc_id / 4) AS BIGINT) AS doc_id, doc_id * 100 + idx AS idx, {_one.format(_norm.format("text"))} AS x FROM candidates),
  p AS (SELECT a.doc_id, a.idx AS a, b.idx AS b, round({_ratio.format(a="a.x", b="b.x")}, 9) AS ratio FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.idx < b.idx)"""
 
 
-def _folded(text):
-    """Other than printable ASCII as question marks: the engines' edit distances count
-    characters or bytes, which are the same then."""
-    return F.regexp_replace(text, "[^ -~]", "?")
-
-
-def _issues(spark, sf_dir):
-    return load(spark, sf_dir, "items").withColumns({c: _folded(F.col(c)) for c in ("title", "description")})
-
-
 def _grouped(spark, sf_dir):
-    return load(spark, sf_dir, "candidates").select(F.floor(F.col("doc_id") / 20).alias("doc_id"), (F.col("doc_id") * 100 + F.col("idx")).alias("idx"), _folded(F.substring("text", 1, 9)).alias("text"))
+    """Candidates of four conversations as those of one document."""
+    return load(spark, sf_dir, "candidates").select(F.floor(F.col("doc_id") / 4).alias("doc_id"), (F.col("doc_id") * 100 + F.col("idx")).alias("idx"), "text")
 
 
 @query("similar_pairs", _pairs + " SELECT * FROM p WHERE ratio > 0.7", "annotations candidates")
@@ -115,19 +132,12 @@ def similar_pairs(spark, sf_dir):
     return S.similar_pairs(_grouped(spark, sf_dir))
 
 
-_led = f"""WITH RECURSIVE c AS (SELECT cast(floor(doc_id / 20) AS BIGINT) AS doc_id, doc_id * 100 + idx AS idx, {_norm.format("regexp_replace(substr(text, 1, 9), '[^ -~]', '?', 'g')")} AS x FROM candidates),
- o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k FROM c),
- f AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::STRUCT(i BIGINT, x VARCHAR)[] AS leaders, NULL::BIGINT AS idx, NULL::BIGINT AS group_id FROM o
-  UNION ALL SELECT doc_id, k, CASE WHEN len(mine) > 0 THEN leaders ELSE list_append(leaders, {{'i': oi, 'x': ox}}) END, oi, coalesce(mine[1].i, oi) FROM (
-   SELECT f.doc_id, o.k, f.leaders, o.idx AS oi, o.x AS ox, list_filter(f.leaders, lambda y: {_ratio.format(a="y.x", b="o.x")} > 0.7) AS mine FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1))"""
-
-
-@query("leader_groups", _led + " SELECT doc_id, idx, group_id FROM f WHERE k > 0", "annotations candidates")
+@query("leader_groups", _led("cast(floor(doc_id / 4) AS BIGINT)", "doc_id * 100 + idx") + " SELECT doc_id, idx, group_id FROM f WHERE k > 0", "annotations candidates")
 def leader_groups(spark, sf_dir):
     return S.leader_groups(_grouped(spark, sf_dir))
 
 
-_kept = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id, item_id, regexp_replace(title, '[^ -~]', '?', 'g') AS title, regexp_replace(substr(description, 1, 200), '[^ -~]', '?', 'g') AS description, row_number() OVER (PARTITION BY doc_id ORDER BY {_rank} DESC, item_id) AS k FROM items),
+_kept = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id, item_id, {_one.format("title")} AS title, {_one.format("substr(description, 1, 200)")} AS description, row_number() OVER (PARTITION BY doc_id ORDER BY {_rank} DESC, item_id) AS k FROM items),
  f AS (SELECT doc_id, 0 AS k, []::STRUCT(i BIGINT, t VARCHAR, d VARCHAR)[] AS kept FROM o GROUP BY doc_id
   UNION ALL SELECT f.doc_id, o.k, CASE WHEN len(list_filter(f.kept, lambda y: {_ratio.format(a="o.title", b="y.t")} > 0.6 AND {_ratio.format(a="o.description", b="y.d")} > 0.48)) > 0 THEN f.kept ELSE list_append(f.kept, {{'i': o.item_id, 't': o.title, 'd': o.description}}) END FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1),
  l AS (SELECT doc_id, unnest(kept) AS x FROM (SELECT doc_id, arg_max(kept, k) AS kept FROM f GROUP BY doc_id))"""
@@ -135,13 +145,13 @@ _kept = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id, item_id, regexp_rep
 
 @query("dedupe_items", _kept + " SELECT doc_id, x.i AS item_id FROM l", "items")
 def dedupe_items(spark, sf_dir):
-    return S.deduped(_issues(spark, sf_dir), A.priority(F.col("severity"), ORDER)).select("doc_id", "item_id")
+    return S.deduped(load(spark, sf_dir, "items"), A.priority(F.col("severity"), ORDER)).select("doc_id", "item_id")
 
 
-@query("issue_register", _kept + f" SELECT i.doc_id, i.item_id, regexp_replace(i.title, '[^ -~]', '?', 'g') AS title, i.category, coalesce(severity, 'Unknown') AS severity, {_rank} AS rank_value FROM l JOIN items i ON i.item_id = l.x.i", "items")
+@query("issue_register", _kept + f" SELECT i.doc_id, i.item_id, i.title, i.category, coalesce(severity, 'Unknown') AS severity, {_rank} AS rank_value FROM l JOIN items i ON i.item_id = l.x.i", "items")
 def issue_register(spark, sf_dir):
     rank = A.priority(F.col("severity"), ORDER)
-    return S.deduped(_issues(spark, sf_dir), rank).select("doc_id", "item_id", "title", "category", F.coalesce("severity", F.lit("Unknown")).alias("severity"), rank.alias("rank_value"))
+    return S.deduped(load(spark, sf_dir, "items"), rank).select("doc_id", "item_id", "title", "category", F.coalesce("severity", F.lit("Unknown")).alias("severity"), rank.alias("rank_value"))
 
 
 @query("exact_ratio")

@@ -85,11 +85,11 @@ def chunk_speakers(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), X.speakers(said).alias("speakers"))
 
 
-@query("hierarchical_merge", """WITH a AS (SELECT doc_id, chunk_index // 3 AS item, string_agg(substr(summary, 1, 20), ' | ' ORDER BY chunk_index) AS text, count(*) AS items FROM annotations GROUP BY ALL),
+@query("hierarchical_merge", """WITH a AS (SELECT doc_id, chunk_index // 3 AS item, string_agg(summary, ' | ' ORDER BY chunk_index) AS text, count(*) AS items FROM annotations GROUP BY ALL),
  b AS (SELECT doc_id, a.item // 3 AS item, string_agg(text, ' | ' ORDER BY a.item) AS text, count(*) AS items FROM a GROUP BY ALL)
  SELECT doc_id, 1 AS level, item, items, text FROM a UNION ALL SELECT doc_id, 2, item, items, text FROM b""", "annotations")
 def hierarchical_merge(spark, sf_dir):
-    return A.merged_levels(_chunks(spark, sf_dir).withColumn("text", F.substring("text", 1, 20)))
+    return A.merged_levels(_chunks(spark, sf_dir))
 
 
 @query("tiered_summary", f"SELECT doc_id, string_agg(substr(text, 1, 60), ' ' ORDER BY chunk_index) AS summary FROM ({_essential}) WHERE doc_id IN (SELECT doc_id FROM dossiers WHERE length(text) >= 20000) GROUP BY doc_id", "dossiers")
@@ -154,13 +154,18 @@ def keyword_importance(spark, sf_dir):
     return g.orderBy(F.desc("importance"), "keyword").limit(20)
 
 
-@query("keyword_merge", f"""WITH {_k}, p AS (SELECT doc_id, keyword, 3 AS weight FROM k WHERE position = 'beginning' UNION ALL SELECT doc_id, keyword, 4 FROM k WHERE position = 'end'
+@query("keyword_merge", f"""WITH {_k}, t AS (SELECT doc_id, keyword, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(chunk_index * 1000 + ix)) AS r FROM k GROUP BY doc_id, keyword),
+ p AS (SELECT doc_id, keyword, 3 AS weight FROM t WHERE r <= 5 UNION ALL SELECT doc_id, d[1 + doc_id % len(d)], 4 FROM (SELECT DISTINCT doc_id, {_list([d.lower() for d in X.DOMAINS])} AS d FROM k)
  UNION ALL SELECT doc_id, keyword, least(5, greatest(1, count(*) // 2 + 1)) FROM k GROUP BY doc_id, keyword) SELECT doc_id, keyword, CAST(max(weight) AS INTEGER) AS weight FROM p GROUP BY ALL""", "annotations")
 def keyword_merge(spark, sf_dir):
     k = T.exploded_keywords(load(spark, sf_dir, "annotations"))
-    part = lambda p, w: k.where(F.col("position") == p).select("doc_id", "keyword", F.lit(w).alias("weight"))
+    place = F.min(F.col("chunk_index") * 1000 + F.col("at"))
+    ranked = k.groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n"), place.alias("f"))
+    topics = ranked.withColumn("r", F.row_number().over(W.Window.partitionBy("doc_id").orderBy(F.desc("n"), "f"))).where("r <= 5").select("doc_id", "keyword", F.lit(3).alias("weight"))
+    names = F.array(*[F.lit(d.lower()) for d in X.DOMAINS])
+    domains = k.select("doc_id").distinct().select("doc_id", F.get(names, (F.col("doc_id") % len(X.DOMAINS)).cast("int")).alias("keyword"), F.lit(4).alias("weight"))
     counted = k.groupBy("doc_id", "keyword").agg(T.frequency_weight(F.count(F.lit(1))).alias("weight"))
-    return T.merged_keywords([part("beginning", 3), part("end", 4), counted])
+    return T.merged_keywords([topics, domains, counted])
 
 
 @query("key_topic_line", f"WITH {_k} SELECT doc_id, array_to_string(list_sort(list(DISTINCT keyword))[1:15], ', ') AS topics FROM k GROUP BY doc_id", "annotations")

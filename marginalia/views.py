@@ -31,7 +31,7 @@ _ANNOTATIONS = """SELECT conv_id AS doc_id, turn AS chunk_index,
  @keywords AS keywords, CASE WHEN role = 'system' THEN @none ELSE @role END AS speakers, 1 + (conv_id + turn) % 5 AS importance, @items AS action_items FROM conversations"""
 _VALIDATION = """SELECT doc_id, chunk_index AS idx, 1 + (doc_id * 7 + chunk_index * 3) % 5 AS score, concat('reason ', cast(chunk_index AS STRING)) AS reason FROM annotations
  UNION ALL SELECT doc_id, 99 AS idx, 5 AS score, 'no such candidate' AS reason FROM annotations WHERE chunk_index = 0"""
-_CANDIDATES = """SELECT doc_id, chunk_index AS idx, substr(summary, 1, 80) AS text, CASE WHEN chunk_index % 3 = 0 THEN NULL ELSE concat('Owner ', cast(chunk_index AS STRING)) END AS assignee,
+_CANDIDATES = """SELECT doc_id, chunk_index AS idx, summary AS text, CASE WHEN chunk_index % 3 = 0 THEN NULL ELSE concat('Owner ', cast(chunk_index AS STRING)) END AS assignee,
  CASE WHEN chunk_index % 2 = 0 THEN NULL ELSE concat('2024-05-', lpad(cast(1 + chunk_index AS STRING), 2, '0')) END AS due, importance, 1 + (doc_id + 2 * chunk_index) % 5 AS score FROM annotations"""
 _ASSESSMENTS = """SELECT cast(floor(doc_id / 20) AS BIGINT) AS doc_id, doc_id AS item_id,
  CASE doc_id % 5 WHEN 0 THEN 'Strategy' WHEN 1 THEN 'Policy' WHEN 2 THEN 'Quality' WHEN 3 THEN 'Security' ELSE 'Roles' END AS dimension,
