@@ -13,6 +13,13 @@ FIELDS = ["keywords", "speakers", "importance", "action_items", "key_quotes"]
 ANNOTATION = "struct<summary:string,keywords:array<string>,speakers:array<string>,importance:int,action_items:array<string>,key_quotes:array<string>>"
 #: Instructions by the place of a chunk.
 PLACES = {"beginning": "Introduce the subject and the people.", "middle": "Keep decisions and facts.", "end": "Keep conclusions and next steps."}
+SPOKEN = "This is a transcript: keep who says what."
+#: Instructions of a synthesis by level of detail, and whether the text is spoken.
+SYNTHESIS = {
+    "essential": "Combine these sections in a paragraph.", "essential spoken": "Combine these sections in a paragraph that names the speakers.",
+    "detailed": "Combine these sections, with all decisions and figures.", "detailed spoken": "Combine these sections, with all decisions and who took them.",
+    "detailed-complex": "Combine these sections theme by theme, with open questions.", "detailed-complex spoken": "Combine these sections theme by theme, with each speaker's view and open questions.",
+}
 TYPES = {"transcript": "Name who says what.", "earnings": "Keep figures and guidance.", "academic": "Keep method and findings.", "general": "Keep the main points."}
 
 
@@ -88,3 +95,12 @@ def bullets(text: Column) -> Column:
 def batched_parts(reply: Column, marker: str = "## SUMMARY FOR SECTION ") -> Column:
     """Parts of a combined reply, after each numbered marker."""
     return F.transform(F.filter(F.split(reply, f"(?={marker}\\d+)"), lambda x: F.startswith(x, F.lit(marker))), lambda x: F.trim(F.regexp_replace(x, f"^{marker}\\d+", "")))
+
+
+def split_batched(asked: DataFrame) -> DataFrame:
+    """Parts of combined replies ``body`` to ``n`` sections; where a reply is missing or has
+    another number of parts, one row without a part that says to queue the document anew."""
+    found = asked.withColumn("parts", batched_parts(F.coalesce("body", F.lit(""))))
+    whole = F.size("parts") == F.col("n")
+    parts = found.where(whole).select("doc_id", F.posexplode("parts").alias("part", "summary"), F.lit(False).alias("requeue"))
+    return parts.unionByName(found.where(~whole).select("doc_id", F.lit(None).cast("int").alias("part"), F.lit(None).cast("string").alias("summary"), F.lit(True).alias("requeue")))

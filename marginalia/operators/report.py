@@ -24,3 +24,10 @@ def grouped_blocks(items: DataFrame, group: str, order: str, line: Column) -> Da
     blocks = items.withColumn("line", line).groupBy("doc_id", group).agg(F.expr(f"listagg(line, '\\n') within group (order by {order})").alias("lines"), F.count(F.lit(1)).alias("n"))
     head = F.concat(F.lit("### "), F.col(group), F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"), F.col("lines"))
     return blocks.withColumn("block", head).groupBy("doc_id").agg(F.expr(f"listagg(block, '\\n\\n') within group (order by {group})").alias("body"))
+
+
+def pass_report(items: DataFrame, title: str, group: str, line: Column) -> DataFrame:
+    """The report of an extraction pass: title, number of items, categories, blocks of items."""
+    known = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("names"))
+    head = F.concat(F.lit(f"# {title}\n"), F.col("total").cast("string"), F.lit(" items\nCategories: "), "names", F.lit("\n\n"))
+    return grouped_blocks(items, group, "item_id", line).join(known, "doc_id").select("doc_id", F.concat(head, "body").alias("report"))

@@ -10,17 +10,18 @@ from pyspark.sql import window as W
 
 from ..functions import text as X
 from ..operators import actions as A
+from ..operators import annotate as N
 from ..operators import apply as U
 from ..operators import exchange as E
 from ..operators import report as R
-
+from ..operators import similar as S
 from ..operators import topics as T
 from ..registry import literal as q
 from ..registry import query
 from ..sources import files as IO
 from ..streaming import arrivals as ST
 from ..views import load
-from .items import ORDER, _rank
+from .items import ORDER, _kept, _rank
 
 _folders: dict[str, str] = {}
 
@@ -44,19 +45,28 @@ _nl = "chr(10)"
 _keyed = "SELECT *, md5(prompt) AS prompt_key FROM ({})"
 
 
-@query("chunk_prompts", _keyed.format(f"SELECT doc_id, chunk_index, concat_ws(chr(10), {_case('position', E.PLACES)}, 'Speakers: ' || array_to_string(speakers, ', '), 'Topics: ' || array_to_string(keywords, ', '), summary) AS prompt FROM annotations"), "annotations")
+_domain = f"list_value({', '.join(map(q, X.DOMAINS))})[1 + doc_id % {len(X.DOMAINS)}]"
+
+
+def _domains():
+    """A document's domain; the tables have none of their own."""
+    return F.get(F.array(*map(F.lit, X.DOMAINS)), (F.col("doc_id") % len(X.DOMAINS)).cast("int"))
+
+
+@query("chunk_prompts", _keyed.format(f"SELECT doc_id, chunk_index, concat_ws(chr(10), {_case('position', E.PLACES)}, CASE WHEN len(speakers) > 0 THEN {q(E.SPOKEN)} END, 'Domains: ' || {_domain}, 'Speakers: ' || array_to_string(speakers, ', '), 'Topics: ' || array_to_string(keywords, ', '), summary) AS prompt FROM annotations"), "annotations")
 def chunk_prompts(spark, sf_dir):
-    p = F.concat_ws("\n", E.lookup(F.col("position"), E.PLACES), F.concat(F.lit("Speakers: "), F.array_join("speakers", ", ")), F.concat(F.lit("Topics: "), F.array_join("keywords", ", ")), "summary")
+    spoken = F.when(F.size("speakers") > 0, E.SPOKEN)
+    p = F.concat_ws("\n", E.lookup(F.col("position"), E.PLACES), spoken, F.concat(F.lit("Domains: "), _domains()), F.concat(F.lit("Speakers: "), F.array_join("speakers", ", ")), F.concat(F.lit("Topics: "), F.array_join("keywords", ", ")), "summary")
     return E.queued(load(spark, sf_dir, "annotations"), p, "doc_id", "chunk_index")
 
 
-_type = f"CASE WHEN regexp_matches(summary, {q(X.EARNINGS)}) THEN 'earnings' WHEN regexp_matches(summary, {q(X.ACADEMIC)}) THEN 'academic' ELSE 'general' END"
+_type = f"CASE WHEN regexp_matches(summary, {q(X.EARNINGS)}) THEN 'earnings' WHEN regexp_matches(summary, {q(X.ACADEMIC)}) THEN 'academic' WHEN len(speakers) > 0 THEN 'transcript' ELSE 'general' END"
 
 
 @query("division_prompts", _keyed.format(f"SELECT doc_id, chunk_index, concat_ws(chr(10), {_case(f'({_type})', E.TYPES)}, CASE WHEN chunk_index = 0 THEN 'This is the first part.' WHEN chunk_index = n - 1 THEN 'This is the last part.' ELSE 'This is part ' || (chunk_index + 1) || ' of ' || n || '.' END, summary) AS prompt FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM annotations)"), "annotations")
 def division_prompts(spark, sf_dir):
     rows = load(spark, sf_dir, "annotations").withColumn("n", F.count(F.lit(1)).over(W.Window.partitionBy("doc_id")))
-    kind = F.when(F.regexp_like("summary", F.lit(X.EARNINGS)), "earnings").when(F.regexp_like("summary", F.lit(X.ACADEMIC)), "academic").otherwise("general")
+    kind = F.when(F.regexp_like("summary", F.lit(X.EARNINGS)), "earnings").when(F.regexp_like("summary", F.lit(X.ACADEMIC)), "academic").when(F.size("speakers") > 0, "transcript").otherwise("general")
     i = F.col("chunk_index")
     place = F.when(i == 0, "This is the first part.").when(i == F.col("n") - 1, "This is the last part.").otherwise(F.format_string("This is part %d of %d.", i + 1, "n"))
     return E.queued(rows, F.concat_ws("\n", E.lookup(kind, E.TYPES), place, "summary"), "doc_id", "chunk_index")
@@ -70,7 +80,8 @@ def preview_prompts(spark, sf_dir):
 _sections = "string_agg('SECTION ' || (chunk_index + 1) || ' (' || upper(position) || '): ' || summary, chr(10) ORDER BY chunk_index)"
 
 
-@query("synthesis_prompts", _keyed.format(f"""SELECT doc_id, 'Combine these sections.' || {_nl} || body || {_nl} || 'Topics: ' || topics AS prompt FROM (SELECT doc_id, {_sections} AS body FROM annotations GROUP BY 1)
+@query("synthesis_prompts", _keyed.format(f"""SELECT doc_id, concat_ws({_nl}, {_case("(list_value('essential', 'detailed', 'detailed-complex')[1 + doc_id % 3] || CASE WHEN len(who) > 0 THEN ' spoken' ELSE '' END)", E.SYNTHESIS)}, body, 'Topics: ' || topics, CASE WHEN len(who) > 0 THEN 'Speakers: ' || array_to_string(who, ', ') END) AS prompt
+ FROM (SELECT doc_id, {_sections} AS body, list_sort(list_distinct(flatten(list(speakers)))) AS who FROM annotations GROUP BY 1)
  JOIN (SELECT doc_id, string_agg(keyword, ', ' ORDER BY k) AS topics FROM (SELECT doc_id, keyword, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, keyword) AS k FROM (SELECT doc_id, unnest(keywords) AS keyword FROM annotations) GROUP BY doc_id, keyword) WHERE k <= 5 GROUP BY 1) USING (doc_id)"""), "annotations")
 def synthesis_prompts(spark, sf_dir):
     notes = load(spark, sf_dir, "annotations")
@@ -79,7 +90,12 @@ def synthesis_prompts(spark, sf_dir):
     g = T.exploded_keywords(notes).groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n"))
     g = g.withColumn("k", F.row_number().over(W.Window.partitionBy("doc_id").orderBy(F.desc("n"), "keyword"))).where("k <= 5")
     topics = E.joined_text(g, "doc_id", "keyword", "k", ", ").withColumnRenamed("body", "topics")
-    return E.queued(body.join(topics, "doc_id"), F.concat(F.lit("Combine these sections.\n"), "body", F.lit("\nTopics: "), "topics"), "doc_id")
+    who = notes.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("speakers")))).alias("who"))
+    detail = F.get(F.array(*map(F.lit, ("essential", "detailed", "detailed-complex"))), (F.col("doc_id") % 3).cast("int"))
+    spoken = F.size("who") > 0
+    head = E.lookup(F.concat(detail, F.when(spoken, " spoken").otherwise("")), E.SYNTHESIS)
+    speakers = F.when(spoken, F.concat(F.lit("Speakers: "), F.array_join("who", ", ")))
+    return E.queued(body.join(topics, "doc_id").join(who, "doc_id"), F.concat_ws("\n", head, "body", F.concat(F.lit("Topics: "), "topics"), speakers), "doc_id")
 
 
 PASSES = [
@@ -113,10 +129,17 @@ def pass_summary_prompts(spark, sf_dir):
     return E.queued(g, F.concat(F.lit("Summarise:\n"), "body", more), "doc_id")
 
 
-@query("action_prompts", _keyed.format("SELECT doc_id, 'Find action items.' || chr(10) || string_agg('[' || importance || '] ' || summary, chr(10) ORDER BY importance DESC, chunk_index) AS prompt FROM annotations GROUP BY doc_id"), "annotations")
+@query("action_prompts", _keyed.format("""SELECT doc_id, concat_ws(chr(10), 'Find action items.', body, 'Candidates:', listed, 'Key sections:', keys) AS prompt FROM (SELECT doc_id, string_agg('[' || importance || '] ' || summary, chr(10) ORDER BY importance DESC, chunk_index) AS body FROM annotations GROUP BY doc_id)
+ JOIN (SELECT doc_id, string_agg((idx + 1) || '. ' || text, chr(10) ORDER BY idx) AS listed FROM candidates GROUP BY doc_id) USING (doc_id)
+ JOIN (SELECT doc_id, string_agg(summary, chr(10) ORDER BY chunk_index) AS keys FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM annotations) WHERE chunk_index = 0 OR chunk_index = n - 1 OR (n > 3 AND chunk_index = n // 2) GROUP BY doc_id) USING (doc_id)"""), "annotations candidates")
 def action_prompts(spark, sf_dir):
     rows = load(spark, sf_dir, "annotations").withColumn("line", F.concat(F.lit("["), F.col("importance").cast("string"), F.lit("] "), "summary"))
-    return E.queued(E.joined_text(rows, "doc_id", "line", "importance desc, chunk_index", "\\n"), F.concat(F.lit("Find action items.\n"), "body"), "doc_id")
+    body = E.joined_text(rows, "doc_id", "line", "importance desc, chunk_index", "\\n")
+    items = load(spark, sf_dir, "candidates").withColumn("line", F.concat((F.col("idx") + 1).cast("string"), F.lit(". "), "text"))
+    listed = E.joined_text(items, "doc_id", "line", "idx", "\\n").withColumnRenamed("body", "listed")
+    keys = E.joined_text(N.key_sections(load(spark, sf_dir, "sections").withColumnRenamed("summary", "text")), "doc_id", "text", "chunk_index", "\\n").withColumnRenamed("body", "keys")
+    p = F.concat_ws("\n", F.lit("Find action items."), "body", F.lit("Candidates:"), "listed", F.lit("Key sections:"), "keys")
+    return E.queued(body.join(listed, "doc_id").join(keys, "doc_id"), p, "doc_id")
 
 
 REFINE = {"more_detail": "Add detail.", "more_concise": "Shorten.", "custom": "Follow these instructions: Name the owners."}
@@ -240,24 +263,25 @@ def parse_validation(spark, sf_dir):
     return rows.join(found, ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce("given", F.lit(3)).alias("score"))
 
 
-@query("split_batched", "SELECT doc_id, CAST(chunk_index AS INTEGER) AS part, regexp_replace(summary, '^\\s+|\\s+$', '', 'g') AS summary FROM annotations", "annotations")
+@query("split_batched", "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN CAST(chunk_index AS INTEGER) END AS part, CASE WHEN doc_id % 5 <> 0 THEN regexp_replace(summary, '^\\s+|\\s+$', '', 'g') END AS summary, doc_id % 5 = 0 AS requeue FROM annotations WHERE doc_id % 5 <> 0 OR chunk_index = 0", "annotations")
 def split_batched(spark, sf_dir):
     rows = load(spark, sf_dir, "annotations").withColumn("line", F.concat(F.lit("## SUMMARY FOR SECTION "), F.col("chunk_index").cast("string"), F.lit("\n"), "summary"))
-    reply = E.joined_text(rows, "doc_id", "line", "chunk_index", "\\n")
-    found = reply.select("doc_id", F.posexplode(E.batched_parts(F.col("body"))).alias("part", "summary"))
-    return found.withColumn("summary", F.regexp_replace("summary", r"^\s+|\s+$", ""))
+    # replies of every fifth document lack their first section
+    reply = E.joined_text(rows.where("doc_id % 5 <> 0 OR chunk_index > 0"), "doc_id", "line", "chunk_index", "\\n")
+    asked = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(reply, "doc_id", "left")
+    return E.split_batched(asked).withColumn("summary", F.regexp_replace("summary", r"^\s+|\s+$", ""))
 
 
-_report = "'# Notes ' || doc_id || chr(10) || chr(10) || '## Summary' || chr(10) || s || chr(10) || chr(10) || '## Topics' || chr(10) || t || chr(10) || chr(10) || '## Processing' || chr(10) || n || ' chunks'"
-_report_sql = f"SELECT doc_id, {_report} AS report FROM (SELECT doc_id, string_agg(summary, ' ' ORDER BY chunk_index) AS s, array_to_string(list_sort(list_distinct(flatten(list(keywords))))[1:15], ', ') AS t, count(*) AS n FROM annotations GROUP BY doc_id)"
+_report = "'# Notes ' || doc_id || chr(10) || chr(10) || '## Summary' || chr(10) || s || chr(10) || chr(10) || '## Actions' || chr(10) || a || chr(10) || chr(10) || '## Topics' || chr(10) || t || chr(10) || chr(10) || '## Processing' || chr(10) || n || ' chunks' || chr(10) || chr(10) || '## Levels' || chr(10) || levels"
+_report_sql = f"SELECT doc_id, {_report} AS report FROM (SELECT doc_id, string_agg(summary, ' ' ORDER BY chunk_index) AS s, array_to_string(list_sort(list_distinct(flatten(list(keywords))))[1:15], ', ') AS t, count(*) AS n, string_agg('- ' || array_to_string(action_items, '; '), chr(10) ORDER BY chunk_index) AS a, string_agg(DISTINCT position, ', ' ORDER BY position) AS levels FROM annotations GROUP BY doc_id)"
 
 
 @query("summary_report", _report_sql, "annotations")
 def summary_report(spark, sf_dir):
-    rows = load(spark, sf_dir, "annotations").withColumn("s", F.col("summary"))
+    rows = load(spark, sf_dir, "annotations").withColumns({"s": F.col("summary"), "acts": F.concat(F.lit("- "), F.array_join("action_items", "; "))})
     topics = T.exploded_keywords(rows).groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("keyword")), 1, 15), ", ").alias("topics"))
-    g = rows.groupBy("doc_id").agg(F.expr("listagg(s, ' ') within group (order by chunk_index)").alias("s"), F.count(F.lit(1)).alias("n")).join(topics, "doc_id")
-    text = R.document(F.concat(F.lit("Notes "), F.col("doc_id").cast("string")), R.section("Summary", F.col("s")), R.section("Topics", F.col("topics")), R.section("Processing", F.concat(F.col("n").cast("string"), F.lit(" chunks"))))
+    g = rows.groupBy("doc_id").agg(F.expr("listagg(s, ' ') within group (order by chunk_index)").alias("s"), F.count(F.lit(1)).alias("n"), F.expr("listagg(acts, '\\n') within group (order by chunk_index)").alias("a"), F.array_join(F.array_sort(F.collect_set("position")), ", ").alias("levels")).join(topics, "doc_id")
+    text = R.document(F.concat(F.lit("Notes "), F.col("doc_id").cast("string")), R.section("Summary", F.col("s")), R.section("Actions", F.col("a")), R.section("Topics", F.col("topics")), R.section("Processing", F.concat(F.col("n").cast("string"), F.lit(" chunks"))), R.section("Levels", F.col("levels")))
     return g.select("doc_id", text.alias("report"))
 
 
@@ -265,11 +289,22 @@ _blocks = "SELECT doc_id, {g} AS grp, string_agg({line}, chr(10) ORDER BY {o}) A
 _whole = "SELECT doc_id, {head} || string_agg('### ' || grp || ' (' || n || ')' || chr(10) || lines, chr(10) || chr(10) ORDER BY grp) AS report FROM ({b}) GROUP BY doc_id"
 
 
-@query("pass_report", _whole.format(head="'# Issues' || chr(10) || chr(10)", b=_blocks.format(g="category", line="'- ' || title || ' [' || coalesce(severity, 'Unknown') || ']'", o="item_id", v="items")), "items")
+_line = "'- ' || title || ' [' || coalesce(severity, 'Unknown') || ']'"
+_priority = f"'Priority ' || (4 - {_rank}) || ': ' || coalesce(severity, 'Unknown')"
+_form = f"CASE doc_id % 3 WHEN 0 THEN category WHEN 1 THEN {_priority} ELSE 'All' END"
+
+
+def _by_priority(order):
+    rank = A.priority(F.col("severity"), order)
+    return F.concat(F.lit("Priority "), (4 - rank).cast("string"), F.lit(": "), F.coalesce("severity", F.lit("Unknown")))
+
+
+@query("pass_report", f"SELECT doc_id, '# Issues' || chr(10) || total || ' items' || chr(10) || 'Categories: ' || names || substr(report, 1) AS report FROM ({_whole.format(head='chr(10) || chr(10)', b=_blocks.format(g=_form, line=_line, o='item_id', v='items'))}) JOIN (SELECT doc_id, count(*) AS total, string_agg(DISTINCT category, ', ' ORDER BY category) AS names FROM items GROUP BY doc_id) USING (doc_id)", "items")
 def pass_report(spark, sf_dir):
     line = F.concat(F.lit("- "), "title", F.lit(" ["), F.coalesce("severity", F.lit("Unknown")), F.lit("]"))
-    g = R.grouped_blocks(load(spark, sf_dir, "items"), "category", "item_id", line)
-    return g.select("doc_id", F.concat(F.lit("# Issues\n\n"), "body").alias("report"))
+    # by category, by priority or flat
+    form = F.when(F.col("doc_id") % 3 == 0, F.col("category")).when(F.col("doc_id") % 3 == 1, _by_priority(ORDER)).otherwise("All")
+    return R.pass_report(load(spark, sf_dir, "items").withColumn("form", form), "Issues", "form", line)
 
 
 @query("comparison_report", "SELECT doc_id, '# Strategies' || chr(10) || chr(10) || string_agg('| ' || position || ' | ' || n || ' | ' || chars || ' |', chr(10) ORDER BY position) AS report FROM (SELECT doc_id, position, count(*) AS n, sum(length(summary)) AS chars FROM annotations GROUP BY ALL) GROUP BY doc_id", "annotations")
@@ -286,9 +321,9 @@ def collection_report(spark, sf_dir):
     return g.select("collection_id", F.concat(F.format_string("# Collection of %d documents\n\n", "n"), "body").alias("report"))
 
 
-@query("single_report", "SELECT doc_id, concat_ws(chr(10), '# Document ' || doc_id, 'Language: ' || lang, 'Source: ' || source, 'Characters: ' || format('{:,}', length(text)), text) AS report FROM documents")
+@query("single_report", "SELECT doc_id, concat_ws(chr(10), '# Document ' || doc_id, 'Language: ' || lang, 'Source: ' || source, 'Characters: ' || format('{:,}', length(text)), 'Processed: ' || len(string_split(text, chr(10))) || ' lines', text) AS report FROM documents")
 def single_report(spark, sf_dir):
-    parts = [F.concat(F.lit("# Document "), F.col("doc_id").cast("string")), F.concat(F.lit("Language: "), "lang"), F.concat(F.lit("Source: "), "source"), F.concat(F.lit("Characters: "), F.format_number(F.length("text"), 0)), F.col("text")]
+    parts = [F.concat(F.lit("# Document "), F.col("doc_id").cast("string")), F.concat(F.lit("Language: "), "lang"), F.concat(F.lit("Source: "), "source"), F.concat(F.lit("Characters: "), F.format_number(F.length("text"), 0)), F.concat(F.lit("Processed: "), F.size(F.split("text", "\n")).cast("string"), F.lit(" lines")), F.col("text")]
     return load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *parts).alias("report"))
 
 
@@ -304,15 +339,23 @@ def level_functions(spark, sf_dir):
     return U.level_functions(rows, [(3, lambda g: "+".join(g["text"])), (2, lambda g: "/".join(g["text"]))])
 
 
-@query("custom_pass", f"SELECT doc_id, item_id, title, coalesce(severity, 'Unknown') AS severity, {_rank} AS rank_value FROM (SELECT doc_id, item_id, regexp_replace(title, '[^A-Za-z ]', '', 'g') AS title, severity FROM items WHERE item_id % 4 <> 3) WHERE {_rank} > 0", "items")
+_told = "SELECT doc_id, item_id, category, regexp_replace(title, '[^A-Za-z ]', '', 'g') AS title, regexp_replace(description, '[^A-Za-z ]', '', 'g') AS description, severity FROM items WHERE item_id % 4 <> 3"
+_custom = _kept.replace("FROM items", "FROM p").replace("WITH RECURSIVE o AS", f"WITH RECURSIVE p AS ({_told}), o AS") + ", kept AS (SELECT p.* FROM p JOIN l ON p.item_id = l.x.i)"
+
+
+@query("custom_pass", f"{_custom} SELECT doc_id, '# Opportunities' || chr(10) || total || ' items' || chr(10) || 'Categories: ' || names || report AS report FROM ({_whole.format(head='chr(10) || chr(10)', b=_blocks.format(g=_priority, line=_line, o='item_id', v='kept'))}) JOIN (SELECT doc_id, count(*) AS total, string_agg(DISTINCT category, ', ' ORDER BY category) AS names FROM kept GROUP BY doc_id) USING (doc_id)", "items")
 def custom_pass(spark, sf_dir):
-    """A configuration alone: its item key and order drive parsing, ranking and filtering."""
-    config = {"item_key": "opportunities", "order": ORDER, "schema": _ITEM}
-    clean = F.regexp_replace("title", "[^A-Za-z ]", "")
-    reply = F.when(F.col("item_id") % 4 == 3, "none").otherwise(F.to_json(F.struct(F.array(F.struct(clean.alias("title"), "severity")).alias(config["item_key"]))))
-    rows = load(spark, sf_dir, "items").select("doc_id", "item_id", E.parsed_items(reply, config["item_key"], config["schema"]).alias("x")).select("doc_id", "item_id", F.inline("x"))
-    rank = A.priority(F.col("severity"), config["order"])
-    return rows.where(rank > 0).select("doc_id", "item_id", "title", F.coalesce("severity", F.lit("Unknown")).alias("severity"), rank.alias("rank_value"))
+    """A configuration alone: prompts, parsing, ranking, removal of near-equal items, report."""
+    config = {"pass_type": "opportunity", "purpose": "Find opportunities.", "item_key": "opportunities", "title": "Opportunities", "order": ORDER, "schema": "struct<title:string,severity:string,description:string>"}
+    rows = load(spark, sf_dir, "items")
+    asked = E.queued(rows, F.concat_ws("\n", F.lit(config["purpose"]), F.lit(f"Answer as JSON with {config['item_key']}."), "description"), "doc_id", "item_id", "category")
+    clean = [F.regexp_replace(c, "[^A-Za-z ]", "").alias(c) for c in ("title", "description")]
+    reply = F.when(F.col("item_id") % 4 == 3, "none").otherwise(F.to_json(F.struct(F.array(F.struct(clean[0], "severity", clean[1])).alias(config["item_key"]))))
+    answers = rows.select("item_id", reply.alias("response"))
+    items = asked.join(answers, "item_id").select("doc_id", "item_id", "category", F.inline(E.parsed_items(F.col("response"), config["item_key"], config["schema"])))
+    kept = S.deduped(items, A.priority(F.col("severity"), config["order"]))
+    line = F.concat(F.lit("- "), "title", F.lit(" ["), F.coalesce("severity", F.lit("Unknown")), F.lit("]"))
+    return R.pass_report(kept.withColumn("form", _by_priority(config["order"])), config["title"], "form", line)
 
 
 @query("decode_text", "SELECT doc_id, text FROM documents")
