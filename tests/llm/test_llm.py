@@ -28,7 +28,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 def frame(spark, texts, extra=True):
     rows = [(i, t, "en" if i % 3 else None, None if i % 4 == 0 else "s", None if t is None else len(t)) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, DOCS)
-    names = "n score words part bin key n_words kept a b z sig class_id component_id __id".split()
+    names = "n score words part bin key n_words kept a b z sig class_id component_id __id __toxic __gone gone __q_kept __q_n_words row x0 template host number".split()
     return df.select("*", *[F.lit("clash").alias(x) for x in names]) if extra else df
 
 
@@ -100,6 +100,29 @@ def test_topk(spark):
     assert pivot_topk.top_k(df.limit(0)).count() == 0
 
 
+def test_elimination_on_clusters(spark, monkeypatch):
+    """On clustered vectors most candidates are never evaluated, and the result is exact."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16)) * 4
+    centres *= 12 / np.linalg.norm(centres, axis=1)[:, None]
+    x = np.concatenate([c + rng.normal(size=(150, 16)) * 0.05 for c in centres])
+    whole = np.floor(256 * x)
+    pivots = pivot_topk.farthest_first(whole, pivot_topk.PIVOTS)
+    far = pivot_topk.pivot_distances(whole, pivots)
+    q = np.arange(0, len(x), 50)
+    least = np.sort(whole[q] @ whole.T, 1)[:, -6]
+    seen = pivot_topk.block_topk(q, whole[q], far[q], np.arange(len(x)), whole, far, 5, least)[1]
+    assert seen < 0.1 * len(q) * len(x)
+    monkeypatch.setattr(pivot_topk, "CANDIDATES", 200)
+    monkeypatch.setattr(pivot_topk, "QUERIES", 7)
+    got = defaultdict(list)
+    for r in pivot_topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for i in q:
+        every = sorted(((j, int(s)) for j, s in enumerate(whole @ whole[i]) if j != i), key=lambda z: (-z[1], z[0]))
+        assert got[i] == every[:5]
+
+
 def test_bounds_stop_early():
     rng = np.random.default_rng(3)
     x = np.floor(np.concatenate([rng.normal(size=(40, 8)) * 200, rng.normal(size=(2000, 8)) * 5]))
@@ -173,6 +196,32 @@ def test_template_on_pages(spark, sf):
     assert got == {i: plain(x) for i, x in source.items()}
 
 
+@pytest.mark.parametrize("shape", ["<div class=x9>{}</div>", "<article>{}<div class=comments><p>Nice {i}</p></div></article>", "<table><tr><td>{}</td></tr></table>"])
+def test_template_alone(shape):
+    """The main element is found by what varies between pages, without any name."""
+    rng = random.Random(1)
+    pages, want = [], []
+    for i in range(30):
+        ps = [" ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(5, 60))) for _ in range(rng.randrange(2, 6))]
+        body = shape.replace("{i}", str(i)).replace("{}", "".join(f"<p>{p}</p>" for p in ps))
+        pages.append(f"<html><body><div class=q1><a href=/>Home</a><a href=/n>News {i % 3}</a></div><div class=q2>Text of the day {i % 4}</div>{body}<div class=q3>All rights {i % 2}</div></body></html>")
+        want.append("\n".join(ps))
+    if "comments" in shape:
+        assert template_extract.extract(pages) == want
+    else:
+        assert template_extract.extract(pages, labels=False) == want
+
+
+def test_template_of_given_pages(spark, sf):
+    """Without names the template alone finds nearly all articles of the table."""
+    rows = [(r["url"], r["html"]) for r in table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    hosts = defaultdict(list)
+    for url, x in rows:
+        hosts[re.match(r"[a-z]*://([^/]*)", url or "x://")[1]].append(x)
+    same = [a == b for xs in hosts.values() for a, b in zip(template_extract.extract(xs, labels=False), template_extract.extract(xs))]
+    assert len(same) == len(rows) and np.mean(same) >= 0.99
+
+
 def test_classes():
     pages = [template_extract.parse(f"<div><p>{'<i>x</i>' * (i + 1)}</p><ul>{'<li>a</li>' * 2}</ul></div>") for i in range(4)]
     classes = template_extract.equivalence_classes(pages)
@@ -215,6 +264,20 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in lang_bigru.languages(frame(spark, ["abc"]).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_labels_equal_the_slow_recurrence():
+    """Segments with warm-up give the probabilities of the network run over the whole text."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["der", "the", "les", "und", "ß", "é"]) for _ in range(n)) for n in (1, 30, 150, 500, 900)]
+    net = lang_bigru.train([[t.encode()[i : i + 64] for i in range(0, 600, 64)] for t in texts[3:]], ["de", "en"], steps=20)
+    got = net.frozen().documents(texts)
+    for text, p in zip(texts, got):
+        x = np.frombuffer(text.encode(), np.uint8)[:, None].astype(int)
+        there, back = net.there.forward(x, np.ones(x.shape)), net.back.forward(x[::-1], np.ones(x.shape))
+        h = np.stack([np.concatenate([there[i][5], back[len(x) - 1 - i][5]]) for i in range(len(x))], 1)[:, :, 0]
+        z = np.exp(net.v @ h + net.c)
+        assert np.abs((z / z.sum(0)).mean(1) - p).max() < 2e-3
+
+
 # 6
 def brute(rows, n, num, den):
     sets, up = {}, {}
@@ -352,17 +415,42 @@ def test_outliers(spark):
 
 
 def test_mcd_matches_numpy(spark):
-    """The last concentration step's location is that of the nearest rows by its start."""
+    """The determinant is as low as the best of many random starts of an own numpy version, and
+    what that calls outlying is what the query rejects."""
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(size=(500, 4)), rng.normal(5, 1, (50, 4))])
-    rows = spark.createDataFrame([("a", *map(float, r)) for r in x], "key string, x0 double, x1 double, x2 double, x3 double")
-    params = quality_mcd._first_params(rows)
-    for _ in range(3):
-        params = quality_mcd._step(rows, params)
-    p = params.first().asDict()
-    assert np.abs([p[f"m{i}"] for i in range(4)]).max() < 0.25
-    low = np.array([[p.get(f"l{i}{j}", 0.0) for j in range(4)] for i in range(4)])
-    assert np.allclose(np.diag(low @ low.T), 1, atol=0.5)
+    x = np.concatenate([rng.normal(0, [0.1, 0.8, 0.1, 0.2], (500, 4)), rng.normal([0.8, 4, 0.8, 1], 0.2, (90, 4))])
+    rows = spark.createDataFrame([("a", "", *map(float, r)) for r in x], "key string, parent string, x0 double, x1 double, x2 double, x3 double").cache()
+    params = quality_mcd._starts(rows, quality_mcd._medians(rows), 1)
+    for _ in range(quality_mcd.STEPS):
+        params = quality_mcd.cut(quality_mcd._step(rows, params, 1), "test-step")
+        if not params.where("live").count():
+            break
+    floor, h = np.diag(np.array(quality_mcd.FLOORS) ** 2), round(quality_mcd.SHARE * len(x))
+    factor = quality_mcd.SHARE / (1 - quality_mcd.chi2_tail(quality_mcd.chi2_point(1 - quality_mcd.SHARE, 4), 6))
+    best = (np.inf, None, None)
+    for _ in range(60):
+        at = rng.choice(len(x), 6, False)
+        for _ in range(30):
+            m, c = x[at].mean(0), factor * np.cov(x[at].T, bias=True) + floor
+            at = np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m))[:h]
+        best = min(best, (np.linalg.slogdet(c)[1], m.tolist(), c.tolist()))
+    got = params.orderBy("ld").first().asDict()
+    assert got["ld"] < best[0] + 0.1
+    assert np.allclose([got[f"m{i}"] for i in range(4)], best[1], atol=0.05)
+    d = np.einsum("ij,jk,ik->i", x - best[1], np.linalg.inv(best[2]), x - best[1])
+    assert ((d > quality_mcd.chi2_point(quality_mcd.TAIL, 4)) == (np.arange(len(x)) >= 500)).all()
+
+
+def test_small_groups(spark):
+    """A source of few documents is judged by its own estimate as far as it goes: what is usual
+    there stays, also where the language has nothing like it."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoins") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    plain = [" ".join(rng.choice(words) for _ in range(rng.randrange(60, 200))) for _ in range(300)]
+    marked = [" ".join(rng.choice(words) + ("%" if rng.random() < 0.6 else "") for _ in range(rng.randrange(60, 200))) for _ in range(60)]
+    rows = [(i, t, "en", "small" if i >= 300 else "large", 1) for i, t in enumerate(plain + marked)] + [(900 + i, t, "en", "large", 1) for i, t in enumerate(marked[:5])]
+    got = {r["doc_id"]: r["kept"] for r in quality_mcd.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] for i in range(360)) and not any(got[900 + i] for i in range(5))
 
 
 # 8
@@ -465,6 +553,26 @@ def test_byte_bpe(spark, sf):
     assert byte_bpe.byte_bpe(empty(spark), RANKS).count() == 0
 
 
+def test_huge_words():
+    """Long unbroken runs are merged in time that grows with their length."""
+    enc, mine = library(), bpe.RankEncoder(RANKS)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeinrst") for _ in range(150_000)), "a" * 100_000, "日本" * 20_000]
+    assert [enc.encode_ordinary(w) for w in words] == mine.encode_words([w.encode() for w in words])
+
+
+def test_units_are_bounded():
+    from marginalia.llm.common import Units
+
+    kept = Units(10_000)
+    for i in range(200):
+        kept.ready()
+        new = [f"{i}-{j}" for j in range(20)] + ["x" * 100 + str(i)]
+        kept.update(dict.fromkeys(new, 1))
+        kept.done(new, 100)
+    assert len(kept) < 150 and not any(len(u) > 64 for u in kept)
+
+
 def test_merges_of_any_length():
     enc, mine = library(), bpe.RankEncoder(RANKS)
     rng = random.Random(9)
@@ -472,6 +580,37 @@ def test_merges_of_any_length():
     assert [enc.encode_ordinary(w) for w in words] == mine.encode_words([w.encode() for w in words])
 
 
+def test_stages_with_odd_tables(spark, sf):
+    """Clashing columns come back unchanged; nulls, repeated rows, empty tables have a rule."""
+    import corpus_pipeline as p
+
+    texts = [r["text"] for r in table(spark, sf, "documents").select("text").limit(40).collect()] + ODD
+    docs = frame(spark, texts)
+    docs = docs.union(docs.limit(5)).union(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).cache()
+    for _, stage in p.STAGES[:3]:
+        left = stage(spark, docs, sf)
+        assert left.columns == docs.columns
+        rows = left.collect()
+        assert rows and all(r[c] == "clash" for r in rows for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars"))
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    assert p.packing(spark, docs, sf).select("doc_id").distinct().count() == len(texts) + 1
+    with pytest.raises(TypeError):
+        partenum.jaccard_groups(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_long_texts(spark):
+    """Texts of a megabyte go through every operator."""
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "moron"]) + str(rng.randrange(10**6)) for _ in range(90_000))
+    docs = frame(spark, [long, long + " end", "x" * 1_000_000, "日本語" * 100_000])
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
+    assert lang_bigru.languages(docs).count() == toxicity_ssk.toxicity(docs, marks).count() == quality_mcd.quality(docs).count() == 4
+    assert {r["doc_id"]: r["component_id"] for r in partenum.jaccard_groups(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.example.com").alias("url"), F.concat(F.lit("<p>"), "text").alias("html"))
+    assert sorted(r["n_chars"] for r in template_extract.main_text(pages).collect()) == sorted(len(x) for x in (long, long + " end", "x" * 1_000_000, "日本語" * 100_000))
+    assert warc_index.capture_index(pages).where("record_type = 'response'").count() == 4
+
+
 def test_pipeline(spark, sf):
     """Each stage against its own operator's rule on the rows that the one before kept."""
     import corpus_pipeline as p
