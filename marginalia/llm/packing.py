@@ -32,7 +32,7 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path), WordEndEncoder(path), Units(64_000_000)
+        _loaded[path] = Tokenizer.from_file(path), WordEndEncoder(path), Units(24_000_000)
     return _loaded[path]
 
 

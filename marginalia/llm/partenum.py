@@ -28,7 +28,7 @@ LONG_WORD = 64
 #: Below this k, parts are cut into three and subsets of two enumerated; above, parts alone.
 ENUMERATE_BELOW = 16
 #: Signature rows that a task holds at once, and bytes of text shingled at once.
-ROWS_A_TASK, BLOCK = 3_000_000, 2_000_000
+ROWS_A_TASK, BLOCK = 3_000_000, 1_000_000
 #: Bits of the filter that keeps texts nobody needs out of a shuffle: 1 MB.
 FILTER_BITS = 2**23
 #: Classes in a block of an open bucket, on average; a task compares two blocks at a time.

@@ -174,7 +174,7 @@ class Landmarks:
 class Words(Units):
     """Words to rows of a table of their kernel values, the largest of their forms."""
 
-    def __init__(self, landmarks: Landmarks, most: int = 64_000_000):
+    def __init__(self, landmarks: Landmarks, most: int = 32_000_000):
         super().__init__(most)
         self.landmarks, self.table, self.used = landmarks, np.zeros((4096, len(landmarks.words)), np.float32), 0
 
@@ -185,7 +185,7 @@ class Words(Units):
     def learn(self, words: list[str]) -> None:
         n = len(words)
         if self.used + n > len(self.table):
-            self.table = np.concatenate([self.table[: self.used], np.zeros((max(n, self.used), self.table.shape[1]), np.float32)])
+            self.table = np.concatenate([self.table[: self.used], np.zeros((max(n, self.used // 4), self.table.shape[1]), np.float32)])
         at, read = [], []
         for i, w in enumerate(words):
             for f in forms(w):
