@@ -17,6 +17,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+def alike(a: Column, b: Column, threshold: float) -> Column:
+    """Whether the ratio passes a threshold; lengths that rule it out are tested first."""
+    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    return ((shorter > threshold * longer) | (longer == 0)) & (ratio(a, b) > threshold)
+
+
 def similar_pairs(items: DataFrame, threshold: float = 0.7, doc: str = "doc_id", key: str = "idx", text: str = "text") -> DataFrame:
     """Pairs of a document's items whose normalised texts are more alike than the threshold.
     Lengths that rule a pair out are tested before the distance."""
@@ -39,9 +45,9 @@ def deduped(items: DataFrame, rank: Column, threshold: float = 0.6) -> DataFrame
     g = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # the items of one document
 
     def step(kept: Column, x: Column) -> Column:
-        alike = lambda y: (ratio(x["title"], y["title"]) > threshold) & (ratio(x["description"], y["description"]) > threshold * 0.8)
+        like = lambda y: alike(x["title"], y["title"], threshold) & alike(x["description"], y["description"], threshold * 0.8)
         new = F.struct(x["idx"].alias("idx"), x["title"].alias("title"), x["description"].alias("description"))
-        return F.when(F.exists(kept, alike), kept).otherwise(F.array_append(kept, new))
+        return F.when(F.exists(kept, like), kept).otherwise(F.array_append(kept, new))
 
     kept = F.aggregate("rows", F.array().cast(_LEADERS), step)
     return g.select("doc_id", F.explode(F.transform(kept, lambda x: x["idx"])).alias("item_id")).join(items, ["doc_id", "item_id"])
@@ -53,7 +59,7 @@ def leader_groups(items: DataFrame, threshold: float = 0.7, doc: str = "doc_id",
     g = items.groupBy(doc).agg(F.array_sort(F.collect_list(row)).alias("rows"))  # the items of one document
 
     def step(a: Column, x: Column) -> Column:
-        mine = F.filter(a["leaders"], lambda y: ratio(y["x"], x["x"]) > threshold)
+        mine = F.filter(a["leaders"], lambda y: alike(y["x"], x["x"], threshold))
         lead = F.coalesce(F.get(mine, F.lit(0))["idx"], x["idx"])
         leaders = F.when(F.size(mine) > 0, a["leaders"]).otherwise(F.array_append(a["leaders"], x))
         return F.struct(leaders.alias("leaders"), F.array_append(a["out"], F.struct(x["idx"].alias("idx"), lead.alias("group_id"))).alias("out"))
