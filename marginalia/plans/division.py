@@ -10,6 +10,7 @@ from ..operators import divide as D
 from ..registry import query
 from ..views import load
 from . import folds
+from .profile import _like
 
 
 _ends = "list_transform(range(1, len(ms) + 1), lambda i: CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + list_sum(list_transform(ms[1:i], lambda x: length(x))) AS INTEGER))"
@@ -36,7 +37,11 @@ def chunk_transcript(spark, sf_dir):
     return D.exploded(load(spark, sf_dir, "transcripts"), sized(F.col("text"), lambda t, n: D.by_turns(t, n, 2, D.default_size(n, 2))))
 
 
-@query("chunk_document")
+_both = "SELECT doc_id * 2 AS doc_id, text FROM transcripts UNION ALL SELECT doc_id * 2 + 1, text FROM dossiers"
+_chunks = f"WITH both_kinds AS MATERIALIZED ({_both}), " + folds.chunks_sql("both_kinds", _like, 3)[len("WITH RECURSIVE ") :]
+
+
+@query("chunk_document", _chunks, "transcripts dossiers")
 def chunk_document(spark, sf_dir):
     both = load(spark, sf_dir, "transcripts").select((F.col("doc_id") * 2).alias("doc_id"), "text").union(load(spark, sf_dir, "dossiers").select(F.col("doc_id") * 2 + 1, "text"))
     return D.position_labels(D.exploded(both, D.chunked(F.col("text"), 3)))
@@ -103,9 +108,9 @@ def _register(name, view, make, sql=None):
         return D.exploded(load(spark, sf_dir, view), sized(F.col("text"), make))
 
 
-_register("divide_long", "dossiers", lambda t, n: D.long_(t, n, 2, TOKENS))
+_register("divide_long", "dossiers", lambda t, n: D.long_(t, n, 2, TOKENS), folds.long_sql("dossiers", 2, TOKENS))
 _register("divide_speakers", "transcripts", lambda t, n: D.by_speakers(t, n, 2, 400), folds.speakers_sql("transcripts", 2, 400))
-_register("divide_topics", "dossiers", lambda t, n: D.by_topics(t, n, 2, TOKENS))
+_register("divide_topics", "dossiers", lambda t, n: D.by_topics(t, n, 2, TOKENS), folds.topics_sql("dossiers", 2, TOKENS))
 _register("divide_structure", "dossiers", lambda t, n: D.by_structure(t, n, 2, TOKENS), folds.intervals_sql("dossiers", 2, TOKENS))
 _register("divide_context_aware", "dossiers", lambda t, n: D.context_aware(t, n, 2, TOKENS))
 _register("divide_complex", "dossiers", lambda t, n: D.complex_(t, n, 2, TOKENS))
@@ -123,7 +128,7 @@ def nearest_breaks(spark, sf_dir):
     return load(spark, sf_dir, "dossiers").select("doc_id", F.posexplode(found).alias("k", "pos"))
 
 
-@query("split_paragraphs")
+@query("split_paragraphs", f"WITH RECURSIVE {folds.paragraph_ctes('dossiers')} SELECT doc_id, para_index, text AS paragraph FROM pp", "dossiers")
 def split_paragraphs(spark, sf_dir):
     return load(spark, sf_dir, "dossiers").select("doc_id", F.posexplode(D.paragraphs(F.col("text"))).alias("para_index", "paragraph"))
 
@@ -147,7 +152,7 @@ def topic_boundaries(spark, sf_dir):
     return D.topic_boundaries(D.adjacent_similarity(load(spark, sf_dir, "paragraph_vectors")))
 
 
-@query("semantic_sections")
+@query("semantic_sections", folds.sections_sql("dossiers", _bounds, 300), "dossiers paragraph_vectors")
 def semantic_sections(spark, sf_dir):
     paras = load(spark, sf_dir, "dossiers").select("doc_id", F.posexplode(D.paragraphs(F.col("text"))).alias("para_index", "text"))
     return D.semantic_sections(paras, topic_boundaries(spark, sf_dir), 300)

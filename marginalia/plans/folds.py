@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.text import SPEAKERS
 from ..operators import divide as D
 from ..registry import literal as q
 
@@ -112,3 +113,78 @@ def size_sql(view: str, most: int) -> str:
  f AS (SELECT doc_id, 0::BIGINT AS s FROM d UNION ALL SELECT doc_id, CASE WHEN aim >= n THEN aim WHEN p >= 0 THEN p + 2 WHEN r >= 0 THEN r + 2 ELSE aim END FROM (
   SELECT doc_id, n, aim, {last("chr(10) || chr(10)", "aim + 500").replace("reverse(chr(10) || chr(10))", "(chr(10) || chr(10))").replace("length(chr(10) || chr(10))", "2").replace(", chr(10) || chr(10))", ", (chr(10) || chr(10)))")} AS p, greatest({marks}) AS r FROM (SELECT f.doc_id, f.s, d.text, d.n, least(f.s + d.t, d.n) AS aim FROM f JOIN d USING (doc_id) WHERE f.s < d.n))),
  c AS (SELECT f.doc_id, s AS e, 'size' AS kind FROM f JOIN d USING (doc_id) WHERE s > 0 AND s < n), {rows_of('c', 'size', view)}"""
+
+
+def paragraph_ctes(view: str, most: int = 1000) -> str:
+    """``pp``: (doc_id, para_index, text) of paragraphs; larger ones packed from sentences."""
+    return rf"""pr AS MATERIALIZED (SELECT doc_id, i, regexp_replace(ps[i], '^\s+|\s+$', '', 'g') AS p FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS ps FROM {view}))),
+ pl AS MATERIALIZED (SELECT doc_id, i, string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM pr WHERE length(p) > {most}),
+ pf AS (SELECT doc_id, i, 1::BIGINT AS k, parts[1] AS part, length(parts[1]) AS size, 0 AS g FROM pl
+ UNION ALL SELECT f.doc_id, f.i, f.k + 1, l.parts[f.k + 1], CASE WHEN f.size + length(l.parts[f.k + 1]) > {most} THEN length(l.parts[f.k + 1]) ELSE f.size + length(l.parts[f.k + 1]) END, CASE WHEN f.size + length(l.parts[f.k + 1]) > {most} THEN f.g + 1 ELSE f.g END
+  FROM pf f JOIN pl l ON l.doc_id = f.doc_id AND l.i = f.i WHERE f.k < len(l.parts)),
+ pp AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, g) - 1 AS INTEGER) AS para_index, text FROM (SELECT doc_id, i, g, string_agg(part, ' ' ORDER BY k) AS text FROM pf GROUP BY doc_id, i, g UNION ALL SELECT doc_id, i, 0, p FROM pr WHERE p <> '' AND length(p) <= {most}))"""
+
+
+def sections_sql(view: str, bounds: str, tokens: int) -> str:
+    """Paragraphs with section and subsection; ``bounds`` gives (doc_id, boundary)."""
+    return f"""WITH RECURSIVE {paragraph_ctes(view)}, bo AS MATERIALIZED ({bounds}),
+ r AS (SELECT doc_id, para_index, length(text) // 4 AS t, (SELECT count(DISTINCT boundary) FROM bo WHERE bo.doc_id = pp.doc_id AND boundary <= para_index) AS section FROM pp WHERE doc_id IN (SELECT doc_id FROM bo)),
+ n AS MATERIALIZED (SELECT *, row_number() OVER g AS k, sum(t) OVER (PARTITION BY doc_id, section) > {tokens} * 1.2::DOUBLE AND count(*) OVER (PARTITION BY doc_id, section) > 3 AS large FROM r WINDOW g AS (PARTITION BY doc_id, section ORDER BY para_index)),
+ f AS (SELECT doc_id, section, k, para_index, t AS size, 0 AS sub FROM n WHERE k = 1 AND large
+ UNION ALL SELECT f.doc_id, f.section, n.k, n.para_index, CASE WHEN f.size + n.t > {tokens} AND f.size > 0 THEN n.t ELSE f.size + n.t END, CASE WHEN f.size + n.t > {tokens} AND f.size > 0 THEN f.sub + 1 ELSE f.sub END
+  FROM f JOIN n ON n.doc_id = f.doc_id AND n.section = f.section AND n.k = f.k + 1)
+ SELECT doc_id, para_index, CAST(section AS INTEGER) AS section, sub AS subsection FROM f UNION ALL SELECT doc_id, para_index, CAST(section AS INTEGER), 0 FROM n WHERE NOT large"""
+
+
+def behind(pattern: str, text: str = "text") -> str:
+    """As ``starts``; blanks between a sentence end and a capital, found without lookaround."""
+    if pattern == r"(?<=[.!?])\s+(?=[A-Z])":
+        return f"list_transform({starts(r'[.!?]\s+[A-Z]', text)}, lambda x: x + 1)"
+    return starts(pattern, text)
+
+
+def topic_ctes(view: str, least: int, tokens: int) -> str:
+    """``xc``: inner cuts at the topic breaks closest to ideal edges; every text has breaks."""
+    breaks = " || ".join(behind(p) for p in D.TOPICS)
+    best = "list_sort(list_transform(rest, lambda b: {'d': abs(b - floor((i + 1) * ideal)), 'b': b}))[1].b"
+    return f"""xd AS MATERIALIZED (SELECT doc_id, greatest({least}, CAST(ceil(length(text) / 4 / {tokens}) AS INTEGER)) AS n, length(text) / greatest({least}, CAST(ceil(length(text) / 4 / {tokens}) AS INTEGER)) AS ideal, list_sort({breaks}) AS breaks FROM {view}),
+ xf AS (SELECT doc_id, 0 AS i, n, ideal, breaks AS rest, NULL::INTEGER AS cut FROM xd WHERE len(breaks) > n - 1
+ UNION ALL SELECT doc_id, i + 1, n, ideal, list_filter(rest, lambda b: abs(b - best) > ideal * 0.3::DOUBLE), best FROM (SELECT *, {best} AS best FROM xf WHERE i < n - 1 AND len(rest) > 0)),
+ xc AS (SELECT DISTINCT doc_id, cut AS e, 'long' AS kind FROM xf WHERE cut > 0 UNION SELECT doc_id, e, 'long' FROM (SELECT doc_id, unnest(breaks) AS e FROM xd WHERE len(breaks) <= n - 1) WHERE e > 0)"""
+
+
+def topics_sql(view: str, least: int, tokens: int) -> str:
+    return f"WITH RECURSIVE {topic_ctes(view, least, tokens)}, {rows_of('xc', 'long', view)}"
+
+
+def long_sql(view: str, least: int, tokens: int) -> str:
+    """By speakers where a text names some, else by topics."""
+    named = " OR ".join(f"regexp_matches(text, {q(p)})" for p in SPEAKERS)
+    return f"""WITH RECURSIVE sv AS MATERIALIZED (SELECT doc_id, text FROM {view} WHERE {named}), tv AS MATERIALIZED (SELECT doc_id, text FROM {view} WHERE NOT ({named})),
+ {topic_ctes("tv", least, tokens)}, sp AS MATERIALIZED ({speakers_sql("sv", least, tokens)}),
+ tp AS MATERIALIZED (WITH {rows_of('xc', 'long', 'tv')}) SELECT * FROM sp UNION ALL SELECT * FROM tp"""
+
+
+def even_sql(view: str, least: int) -> str:
+    """Chunks that end at the sentence end nearest to the target; texts without one in slices."""
+    at = "list_transform(range(1, len(ms) + 1), lambda i: CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + list_sum(list_transform(ms[1:i], lambda x: length(x))) AS INTEGER))"
+    near = "list_sort(list_transform(list_filter(e.ends, lambda b: b > f.e AND abs(b - least(f.e + e.t, n)) <= 0.3::DOUBLE * e.t), lambda b: {'d': abs(b - least(f.e + e.t, n)), 'b': b}))[1].b"
+    return rf"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, text, length(text) AS n, string_split_regex(text, '[.!?]\s+') AS ps, regexp_extract_all(text, '[.!?]\s+') AS ms FROM {view}),
+ e AS MATERIALIZED (SELECT doc_id, text, n, greatest(1.0::DOUBLE, least(CAST(least(floor((n // {least}) * 1.2::DOUBLE), 16000) AS DOUBLE), n / {least})) AS t, {at} AS ends FROM p),
+ f AS (SELECT doc_id, 0 AS e FROM e WHERE len(ends) > 0 UNION ALL SELECT f.doc_id, coalesce({near}, CAST(least(f.e + floor(e.t), n) AS INTEGER)) FROM f JOIN e USING (doc_id) WHERE f.e < e.n),
+ c AS (SELECT f.doc_id, f.e, 'sentence_boundary_segment' AS kind FROM f JOIN e USING (doc_id) WHERE f.e > 0 AND f.e < n
+  UNION ALL SELECT doc_id, e, 'even_segment' FROM (SELECT doc_id, n, unnest(range(1, {least})) * (n // {least}) AS e FROM e WHERE len(ends) = 0) WHERE e > 0 AND e < n),
+ ks AS (SELECT doc_id, CASE WHEN len(ends) = 0 THEN 'even_segment' ELSE 'sentence_boundary_segment' END AS k FROM e),
+ {rows_of('c', 'sentence_boundary_segment', view).replace("kind AS chunk_type", "(SELECT k FROM ks WHERE ks.doc_id = y.doc_id) AS chunk_type")}"""
+
+
+def chunks_sql(view: str, like: str, least: int) -> str:
+    """By turns where a text is like a transcript, else by structure, evenly if that makes too
+    few; with the place of each chunk."""
+    return f"""WITH RECURSIVE lv AS MATERIALIZED (SELECT doc_id, text FROM {view} WHERE {like}), ov AS MATERIALIZED (SELECT doc_id, text FROM {view} WHERE NOT ({like})),
+ sm AS MATERIALIZED (SELECT * FROM ({turns_sql("lv", least)}) UNION ALL SELECT * FROM ({structural_sql("ov", least)})),
+ en AS MATERIALIZED (SELECT doc_id FROM sm GROUP BY 1 HAVING count(*) >= {least}), ev AS MATERIALIZED (SELECT doc_id, text FROM {view} WHERE doc_id NOT IN (SELECT doc_id FROM en)),
+ al AS MATERIALIZED (SELECT * FROM sm WHERE doc_id IN (SELECT doc_id FROM en) UNION ALL SELECT * FROM ({even_sql("ev", least)})),
+ c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM al)
+ SELECT doc_id, chunk_index, start_pos, end_pos, chunk_type, text, CASE WHEN n = 1 THEN 'full_document' WHEN chunk_index = 0 THEN 'introduction' WHEN chunk_index = n - 1 THEN 'conclusion' WHEN n <= 4 THEN 'middle'
+ WHEN chunk_index < greatest(1, n // 4) THEN 'early' WHEN chunk_index >= greatest(n - greatest(1, n // 4) - 1, 3 * n // 4) THEN 'late' ELSE 'middle' END AS position FROM c"""
