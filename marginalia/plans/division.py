@@ -88,7 +88,8 @@ def _window(f, part, at, reach):
 
 _marks = lambda f, at: "greatest(" + ", ".join(_window(f, x, at, 200) for x in ("'. '", "'! '", "'? '")) + ")"
 _nn = "chr(10) || chr(10)"
-_essential = f"""WITH d AS (SELECT doc_id, text, length(text) AS len, greatest(1, CAST(ceil(length(text) / 4 / {TOKENS}) AS INTEGER)) AS n FROM dossiers),
+def _essential_sql(view: str, least: int) -> str:
+    return f"""WITH d AS (SELECT doc_id, text, length(text) AS len, greatest({least}, CAST(ceil(length(text) / 4 / {TOKENS}) AS INTEGER)) AS n FROM {view}),
  s AS (SELECT *, unnest(range(0, n)) AS i FROM d), b AS (SELECT *, CAST(floor(i * (len / n)) AS INTEGER) AS st, CAST(least(len, floor((i + 1) * (len / n))) AS INTEGER) AS en FROM s),
  w AS (SELECT *, {_window("last", f"({_nn})", "st", 500)} AS p, {_marks("last", "st")} AS m, {_window("first", f"({_nn})", "en", 500)} AS q, {_marks("first", "en")} AS r FROM b),
  x AS (SELECT doc_id, text, i, CASE WHEN i > 0 AND st > 0 THEN CASE WHEN p >= 0 AND abs(p - st) < 500 THEN p + 2 WHEN m >= 0 AND abs(m - st) < 200 THEN m + 2 ELSE st END ELSE st END AS s,
@@ -97,6 +98,9 @@ _essential = f"""WITH d AS (SELECT doc_id, text, length(text) AS len, greatest(1
  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, CAST(s AS INTEGER) AS start_pos, CAST(e AS INTEGER) AS end_pos, 'essential' AS chunk_type, piece AS text FROM t WHERE regexp_matches(piece, '\\S')"""
 
 
+_essential = _essential_sql("dossiers", 1)
+
+
 @query("divide_essential", _essential, "dossiers")
 def divide_essential(spark, sf_dir):
     return D.exploded(load(spark, sf_dir, "dossiers"), sized(F.col("text"), lambda t, n: D.essential(t, n, 1, TOKENS)))
@@ -112,9 +116,9 @@ _register("divide_long", "dossiers", lambda t, n: D.long_(t, n, 2, TOKENS), fold
 _register("divide_speakers", "transcripts", lambda t, n: D.by_speakers(t, n, 2, 400), folds.speakers_sql("transcripts", 2, 400))
 _register("divide_topics", "dossiers", lambda t, n: D.by_topics(t, n, 2, TOKENS), folds.topics_sql("dossiers", 2, TOKENS))
 _register("divide_structure", "dossiers", lambda t, n: D.by_structure(t, n, 2, TOKENS), folds.intervals_sql("dossiers", 2, TOKENS))
-_register("divide_context_aware", "dossiers", lambda t, n: D.context_aware(t, n, 2, TOKENS))
-_register("divide_complex", "dossiers", lambda t, n: D.complex_(t, n, 2, TOKENS))
-_register("divide_document", "dossiers", lambda t, n: D.divided(t, F.element_at(F.array(*map(F.lit, ["essential", "long", "complex", "auto", "other"])), (F.col("doc_id") % 5 + 1).cast("int")), 1, TOKENS))
+_register("divide_context_aware", "dossiers", lambda t, n: D.context_aware(t, n, 2, TOKENS), folds.context_sql("dossiers", 2, TOKENS))
+_register("divide_complex", "dossiers", lambda t, n: D.complex_(t, n, 2, TOKENS), folds.complex_sql("dossiers", _essential_sql, 2, TOKENS))
+_register("divide_document", "dossiers", lambda t, n: D.divided(t, F.element_at(F.array(*map(F.lit, ["essential", "long", "complex", "auto", "other"])), (F.col("doc_id") % 5 + 1).cast("int")), 1, TOKENS), folds.divided_sql("dossiers", "['essential', 'long', 'complex', 'auto', 'other'][doc_id % 5 + 1]", _essential_sql, TOKENS))
 _register("divide_teams", "teams_transcripts", lambda t, n: D.teams(t, n, 2000), folds.teams_sql("teams_transcripts", 2000))
 _register("divide_by_size", "documents", lambda t, n: D.by_size(t, n, 2000), folds.size_sql("documents", 2000))
 
@@ -158,7 +162,12 @@ def semantic_sections(spark, sf_dir):
     return D.semantic_sections(paras, topic_boundaries(spark, sf_dir), 300)
 
 
-@query("compare_strategies")
+_counted = lambda sql: f"(SELECT doc_id, count(*) AS k FROM ({sql}) GROUP BY 1)"
+_compared = f"""SELECT v.doc_id, CAST(length(text) AS INTEGER) AS text_length, CAST(length(text) // 4 AS BIGINT) AS estimated_tokens, CAST(coalesce(e.k, 0) AS INTEGER) AS essential, CAST(coalesce(l.k, 0) AS INTEGER) AS long, CAST(coalesce(c.k, 0) AS INTEGER) AS complex
+ FROM dossiers v LEFT JOIN {_counted(_essential)} e USING (doc_id) LEFT JOIN {_counted(folds.long_sql("dossiers", 2, TOKENS))} l USING (doc_id) LEFT JOIN {_counted(folds.complex_sql("dossiers", _essential_sql, 2, TOKENS))} c USING (doc_id)"""
+
+
+@query("compare_strategies", _compared, "dossiers")
 def compare_strategies(spark, sf_dir):
     t, n = F.col("text"), F.length("text")
     on = lambda f: sized(t, f)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import SPEAKERS
+from ..functions.text import SPEAKERS, STRUCTURE as HEADINGS
 from ..operators import divide as D
 from ..registry import literal as q
 
@@ -136,18 +136,22 @@ def sections_sql(view: str, bounds: str, tokens: int) -> str:
  SELECT doc_id, para_index, CAST(section AS INTEGER) AS section, sub AS subsection FROM f UNION ALL SELECT doc_id, para_index, CAST(section AS INTEGER), 0 FROM n WHERE NOT large"""
 
 
-def behind(pattern: str, text: str = "text") -> str:
-    """As ``starts``; blanks between a sentence end and a capital, found without lookaround."""
+def break_rows(view: str, pattern: str) -> str:
+    """As ``starts``, in rows (doc_id, pos); blanks between a sentence end and a capital are found
+    without lookaround."""
+    ahead = 0
     if pattern == r"(?<=[.!?])\s+(?=[A-Z])":
-        return f"list_transform({starts(r'[.!?]\s+[A-Z]', text)}, lambda x: x + 1)"
-    return starts(pattern, text)
+        pattern, ahead = r"[.!?]\s+[A-Z]", 1
+    return f"""SELECT doc_id, CAST(sum(length(b) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) + {ahead} AS INTEGER) AS pos FROM (
+  SELECT doc_id, unnest(string_split_regex(text, {q(pattern)})[1:len(ms)]) AS b, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, {q(pattern)}) AS ms FROM {view}))"""
 
 
 def topic_ctes(view: str, least: int, tokens: int) -> str:
     """``xc``: inner cuts at the topic breaks closest to ideal edges; every text has breaks."""
-    breaks = " || ".join(behind(p) for p in D.TOPICS)
+    breaks = " UNION ALL ".join(break_rows(view, p) for p in D.TOPICS)
     best = "list_sort(list_transform(rest, lambda b: {'d': abs(b - floor((i + 1) * ideal)), 'b': b}))[1].b"
-    return f"""xd AS MATERIALIZED (SELECT doc_id, greatest({least}, CAST(ceil(length(text) / 4 / {tokens}) AS INTEGER)) AS n, length(text) / greatest({least}, CAST(ceil(length(text) / 4 / {tokens}) AS INTEGER)) AS ideal, list_sort({breaks}) AS breaks FROM {view}),
+    return f"""xb AS (SELECT doc_id, list(pos ORDER BY pos) AS breaks FROM ({breaks}) GROUP BY doc_id),
+ xd AS MATERIALIZED (SELECT doc_id, greatest({least}, CAST(ceil(length(text) / 4 / {tokens}) AS INTEGER)) AS n, length(text) / greatest({least}, CAST(ceil(length(text) / 4 / {tokens}) AS INTEGER)) AS ideal, breaks FROM {view} JOIN xb USING (doc_id)),
  xf AS (SELECT doc_id, 0 AS i, n, ideal, breaks AS rest, NULL::INTEGER AS cut FROM xd WHERE len(breaks) > n - 1
  UNION ALL SELECT doc_id, i + 1, n, ideal, list_filter(rest, lambda b: abs(b - best) > ideal * 0.3::DOUBLE), best FROM (SELECT *, {best} AS best FROM xf WHERE i < n - 1 AND len(rest) > 0)),
  xc AS (SELECT DISTINCT doc_id, cut AS e, 'long' AS kind FROM xf WHERE cut > 0 UNION SELECT doc_id, e, 'long' FROM (SELECT doc_id, unnest(breaks) AS e FROM xd WHERE len(breaks) <= n - 1) WHERE e > 0)"""
@@ -188,3 +192,43 @@ def chunks_sql(view: str, like: str, least: int) -> str:
  c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM al)
  SELECT doc_id, chunk_index, start_pos, end_pos, chunk_type, text, CASE WHEN n = 1 THEN 'full_document' WHEN chunk_index = 0 THEN 'introduction' WHEN chunk_index = n - 1 THEN 'conclusion' WHEN n <= 4 THEN 'middle'
  WHEN chunk_index < greatest(1, n // 4) THEN 'early' WHEN chunk_index >= greatest(n - greatest(1, n // 4) - 1, 3 * n // 4) THEN 'late' ELSE 'middle' END AS position FROM c"""
+
+
+def context_sql(view: str, least: int, tokens: int) -> str:
+    """Sections that end at the break of most adjusted strength near the target size, else at a
+    sentence end; every text has breaks."""
+    found = " UNION ALL ".join(f"SELECT doc_id, pos, {k} AS p, {s}::DOUBLE AS w FROM ({break_rows(view, x)})" for k, (x, s) in enumerate(D.CONTEXT))
+    window = "substr(text, CAST(lo + 1 AS BIGINT), CAST(hard - lo AS BIGINT))"
+    marks = ", ".join(f"CASE WHEN contains({window}, {x}) THEN lo + length({window}) - (instr(reverse({window}), reverse({x})) - 1) - 2 ELSE -1 END" for x in ("'. '", "'! '", "'? '"))
+    factor = "CASE WHEN b.pos - s BETWEEN t * 0.8::DOUBLE AND t * 1.2::DOUBLE THEN 1.2::DOUBLE WHEN b.pos - s < t * 0.5::DOUBLE THEN 0.8::DOUBLE WHEN b.pos - s > t * 1.5::DOUBLE THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END"
+    return f"""WITH RECURSIVE cb AS (SELECT doc_id, list({{'i': i, 'pos': pos, 'w': w}} ORDER BY i) AS bl FROM (SELECT doc_id, pos, w, row_number() OVER (PARTITION BY doc_id ORDER BY pos, p) AS i FROM ({found})) GROUP BY doc_id),
+ ct AS (SELECT doc_id, text, length(text) AS n, greatest(1.0::DOUBLE, length(text) / greatest({least}, CAST(ceil(length(text) / 4 / {tokens}) AS INTEGER))) AS t, bl FROM {view} JOIN cb USING (doc_id)),
+ cd AS MATERIALIZED (SELECT *, greatest(1000.0::DOUBLE, floor(t / 3)) AS small, CAST(floor(t * 0.2::DOUBLE) AS INTEGER) AS back FROM ct),
+ cf AS (SELECT doc_id, 0::BIGINT AS s FROM cd
+ UNION ALL SELECT doc_id, coalesce(best, CASE WHEN hard < n AND mark >= 0 AND mark + 2 > s THEN mark + 2 ELSE hard END) FROM (SELECT *, greatest({marks}) AS mark,
+   list_sort(list_transform(list_filter(bl, lambda b: b.pos - s >= small AND b.pos > s AND b.i <= stop), lambda b: {{'v': -(b.w * {factor}), 'i': b.i, 'pos': b.pos}}))[1].pos AS best FROM (
+  SELECT f.s, d.*, least(f.s + CAST(floor(d.t) AS INTEGER), d.n) AS hard, greatest(0, least(f.s + CAST(floor(d.t) AS INTEGER), d.n) - d.back) AS lo,
+   coalesce(list_min(list_transform(list_filter(d.bl, lambda b: b.pos > f.s + d.t * 1.5::DOUBLE), lambda b: b.i)), 2147483647) AS stop FROM cf f JOIN cd d USING (doc_id) WHERE f.s < d.n))),
+ cc AS (SELECT f.doc_id, s AS e, 'complex' AS kind FROM cf f JOIN cd d USING (doc_id) WHERE s > 0 AND s < n),
+ ca AS MATERIALIZED (WITH {rows_of('cc', 'complex', view)})
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_pos) - 1 AS INTEGER) AS chunk_index, start_pos, end_pos, chunk_type, text FROM ca WHERE regexp_matches(text, '\\S')"""
+
+
+def complex_sql(view: str, essential, least: int, tokens: int) -> str:
+    """Of structure and context the division whose count is closest to the target, else
+    ``essential(view, least)``."""
+    both = f"na >= {least} AND (nb < {least} OR abs(na - target) <= abs(nb - target))"
+    return f"""WITH RECURSIVE ga AS MATERIALIZED ({intervals_sql(view, least, tokens)}), gb AS MATERIALIZED ({context_sql(view, least, tokens)}),
+ gc AS MATERIALIZED (SELECT doc_id, CASE WHEN {both} THEN 'a' WHEN nb >= {least} THEN 'b' ELSE 'c' END AS pick FROM (SELECT doc_id, greatest({least}, length(text) // {4 * tokens}) AS target,
+  (SELECT count(*) FROM ga WHERE ga.doc_id = v.doc_id) AS na, (SELECT count(*) FROM gb WHERE gb.doc_id = v.doc_id) AS nb FROM {view} v)),
+ ge AS MATERIALIZED (SELECT doc_id, text FROM {view} WHERE doc_id IN (SELECT doc_id FROM gc WHERE pick = 'c'))
+ SELECT * FROM ga WHERE doc_id IN (SELECT doc_id FROM gc WHERE pick = 'a') UNION ALL SELECT * FROM gb WHERE doc_id IN (SELECT doc_id FROM gc WHERE pick = 'b') UNION ALL SELECT * FROM ({essential('ge', least)})"""
+
+
+def divided_sql(view: str, strategy: str, essential, tokens: int) -> str:
+    """By a strategy expression; ``auto`` by the opening 2000 characters and the length."""
+    some = lambda patterns: "(" + " OR ".join(f"regexp_matches(substr(text, 1, 2000), {q(p)})" for p in patterns) + ")"
+    auto = f"CASE WHEN {some(SPEAKERS)} THEN 'long' WHEN {some(HEADINGS)} THEN 'complex' WHEN length(text) / 4 > 50000 THEN 'long' ELSE 'essential' END"
+    return f"""WITH RECURSIVE hv AS MATERIALIZED (SELECT doc_id, text, CASE WHEN {strategy} = 'auto' THEN {auto} ELSE {strategy} END AS name FROM {view}),
+ hl AS MATERIALIZED (SELECT doc_id, text FROM hv WHERE name = 'long'), hc AS MATERIALIZED (SELECT doc_id, text FROM hv WHERE name = 'complex'), he AS MATERIALIZED (SELECT doc_id, text FROM hv WHERE name NOT IN ('long', 'complex'))
+ SELECT * FROM ({long_sql('hl', 2, tokens)}) UNION ALL SELECT * FROM ({complex_sql('hc', essential, 2, tokens)}) UNION ALL SELECT * FROM ({essential('he', 1)})"""
