@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import host_rank, merkle, turn_trie
 from .byte_bpe import byte_bpe
 from .common import table
 from .lang_bigru import languages
@@ -70,7 +72,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_topk, op3_token_counts, op4_template_text, op5_language, op6_jaccard_join, op7_quality, op8_packing, op9_toxicity, op10_byte_bpe)}
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return turn_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_host_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by rules, else by trust and distrust over the graph of hosts."""
+    return host_rank.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether its received copy, which has lost its
+    line ends where the CRC-32 of its id is even, still leads to the root."""
+    received = F.when(merkle.even_id(), F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), received={"text": received})
+    proof, end = F.sha2(merkle.proof_text(F.col("path")), 256), merkle.folded(F.col("received_leaf"), F.col("path"))
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), end.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_topk, op3_token_counts, op4_template_text, op5_language, op6_jaccard_join, op7_quality, op8_packing, op9_toxicity, op10_byte_bpe, op11_turn_trie, op12_host_rank, op13_merkle)}
 SQL: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -97,4 +118,7 @@ l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc
 r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT t.b, r.root FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) t ON t.a = r.doc_id)
 SELECT doc_id, n AS n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id) GROUP BY ALL""",
     "op7_quality": quality_sql(),
+    "op11_turn_trie": turn_trie.SQL,
+    "op12_host_rank": host_rank.SQL,
+    "op13_merkle": merkle.SQL,
 }
