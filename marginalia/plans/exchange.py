@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -19,24 +16,11 @@ from ..operators import topics as T
 from ..registry import literal as q
 from ..registry import query
 from ..sources import files as IO
+from ..sources.scratch import scratch
 from ..streaming import arrivals as ST
 from ..views import load
 from .items import ORDER, _kept, _rank
 
-_folders: dict[str, str] = {}
-
-
-def _scratch(spark, label):
-    """A fresh folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _folders.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-notes-"))
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _case(col, table, default=""):
     return f"CASE {col} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items()) + f" ELSE {q(default)} END"
 
@@ -239,7 +223,7 @@ def parse_pass_items(spark, sf_dir):
     return rows.select("doc_id", "item_id", F.inline("x"))
 
 
-@query("parse_candidates", "SELECT doc_id, idx, CASE WHEN idx % 4 = 3 THEN 0 ELSE idx END AS source_chunk FROM (SELECT doc_id, idx FROM candidates)", "annotations candidates")
+@query("parse_candidates", "SELECT doc_id, idx, CASE WHEN idx % 4 = 3 OR idx >= n THEN 0 ELSE idx END AS source_chunk FROM (SELECT doc_id, idx, count(*) OVER (PARTITION BY doc_id) AS n FROM candidates)", "annotations candidates")
 def parse_candidates(spark, sf_dir):
     number = F.when(F.col("idx") % 4 == 3, F.lit("99")).otherwise((F.col("idx") + 1).cast("string"))
     reply = F.to_json(F.struct(F.array(F.struct("text", number.alias("source_section"))).alias("items")))
@@ -365,7 +349,7 @@ def decode_text(spark, sf_dir):
 
 
 def _as_files(spark, sf_dir, rows=None):
-    path = _scratch(spark, "files")
+    path = scratch(spark, "files")
     rows = load(spark, sf_dir, "dossiers") if rows is None else rows
     rows.select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(path)
     return path
@@ -382,7 +366,7 @@ def load_text_files(spark, sf_dir):
 @query("arrivals", "SELECT doc_id, text || chr(10) AS text FROM dossiers", "dossiers")
 def arrivals(spark, sf_dir):
     """Files dropped in two lots; each run of the stream takes what is new."""
-    inbox, table, point = (_scratch(spark, x) for x in ("inbox", "ingested", "progress"))
+    inbox, table, point = (scratch(spark, x) for x in ("inbox", "ingested", "progress"))
     docs = load(spark, sf_dir, "dossiers").select("doc_id", "text")
     for lot in (0, 1):
         docs.where(F.col("doc_id") % 2 == lot).repartition("doc_id").write.partitionBy("doc_id").mode("append").text(inbox)
@@ -392,7 +376,7 @@ def arrivals(spark, sf_dir):
 
 @query("write_reports", f"SELECT doc_id, report || chr(10) AS report FROM ({_report_sql})", "annotations")
 def write_reports(spark, sf_dir):
-    path = _scratch(spark, "reports")
+    path = scratch(spark, "reports")
     IO.write_reports(summary_report(spark, sf_dir).withColumn("name", F.lit("Team Notes!")), path)
     files = IO.load_text_files(spark, f"{path}/md")
     return files.select(F.regexp_extract("path", r"document=Team_Notes__notes_(\d+)", 1).cast("long").alias("doc_id"), F.col("text").alias("report"))
@@ -400,7 +384,7 @@ def write_reports(spark, sf_dir):
 
 @query("read_results", "SELECT doc_id, summary, keywords AS topics FROM annotations WHERE chunk_index = 0", "annotations")
 def read_results(spark, sf_dir):
-    path = _scratch(spark, "results")
+    path = scratch(spark, "results")
     load(spark, sf_dir, "annotations").where("chunk_index = 0").select("doc_id", "summary", F.col("keywords").alias("topics")).write.json(path)
     return IO.read_results(spark, path).select("doc_id", "summary", "topics")
 
@@ -425,7 +409,7 @@ def pass_catalog(spark, sf_dir):
 
 @query("save_pass_config", "SELECT DISTINCT 'about_' || lower(category) AS pass_type, category AS purpose FROM items WHERE category <> 'Data'", "items")
 def save_pass_config(spark, sf_dir):
-    path = _scratch(spark, "configs")
+    path = scratch(spark, "configs")
     kind = F.when(F.col("category") != "Data", F.concat(F.lit("about_"), F.lower("category")))
     IO.save_pass_config(load(spark, sf_dir, "items").select(kind.alias("pass_type"), F.col("category").alias("purpose")).distinct(), path)
     return spark.read.schema("purpose string, pass_type string").json(path).select("pass_type", "purpose")

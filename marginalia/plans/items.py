@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 from ..functions import lists as L
 from ..functions.breaks import starts
 from ..operators import actions as A
+from ..operators import intervals as I
 from ..operators import similar as S
 from ..registry import literal as q
 from ..registry import query
@@ -15,9 +16,9 @@ from ..views import load
 
 ORDER = {"High": 3, "Medium": 2, "Low": 1}
 _rank = "CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END"
-_ratio = "(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
-#: DuckDB's edit distance counts bytes: for it each letter beyond ASCII that the tables hold is
-#: one control character, so that bytes are characters.
+_ratio = "(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 WHEN least(length({a}), length({b})) < 0.4 * greatest(length({a}), length({b})) THEN 0.0 ELSE 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
+#: DuckDB's edit distance counts bytes: for it each letter beyond ASCII that the given tables hold is
+#: one control character, so that bytes are characters. Tables with other letters need a longer list.
 _WIDE = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
 _one = "translate({}, " + q(_WIDE) + ", " + " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 27)]) + ")"
 _norm = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')"
@@ -118,13 +119,13 @@ def default_summary_line(spark, sf_dir):
     return g.select("doc_id", F.format_string("Analysis identified %d items across %d categories.", "n", "k").alias("summary"))
 
 
-_pairs = f"""WITH n AS (SELECT cast(floor(doc_id / 4) AS BIGINT) AS doc_id, doc_id * 100 + idx AS idx, {_one.format(_norm.format("text"))} AS x FROM candidates),
+_pairs = f"""WITH n AS (SELECT cast(floor(doc_id / 4) AS BIGINT) AS doc_id, doc_id * 10000000 + idx AS idx, {_one.format(_norm.format("text"))} AS x FROM candidates),
  p AS (SELECT a.doc_id, a.idx AS a, b.idx AS b, round({_ratio.format(a="a.x", b="b.x")}, 9) AS ratio FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.idx < b.idx)"""
 
 
 def _grouped(spark, sf_dir):
     """Candidates of four conversations as those of one document."""
-    return load(spark, sf_dir, "candidates").select(F.floor(F.col("doc_id") / 4).alias("doc_id"), (F.col("doc_id") * 100 + F.col("idx")).alias("idx"), "text")
+    return load(spark, sf_dir, "candidates").select(F.floor(F.col("doc_id") / 4).alias("doc_id"), (F.col("doc_id") * 10000000 + F.col("idx")).alias("idx"), "text")
 
 
 @query("similar_pairs", _pairs + " SELECT * FROM p WHERE ratio > 0.7", "annotations candidates")
@@ -132,7 +133,7 @@ def similar_pairs(spark, sf_dir):
     return S.similar_pairs(_grouped(spark, sf_dir))
 
 
-@query("leader_groups", _led("cast(floor(doc_id / 4) AS BIGINT)", "doc_id * 100 + idx") + " SELECT doc_id, idx, group_id FROM f WHERE k > 0", "annotations candidates")
+@query("leader_groups", _led("cast(floor(doc_id / 4) AS BIGINT)", "doc_id * 10000000 + idx") + " SELECT doc_id, idx, group_id FROM f WHERE k > 0", "annotations candidates")
 def leader_groups(spark, sf_dir):
     return S.leader_groups(_grouped(spark, sf_dir))
 
@@ -206,4 +207,4 @@ def turns_in_chunks(spark, sf_dir):
     n = F.length("text")
     chunks = t.select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor(n / 500).cast("int"))).alias("chunk_index"))
     chunks = chunks.select("doc_id", "chunk_index", (F.col("chunk_index") * 500).alias("s"), F.least(F.col("n"), (F.col("chunk_index") + 1) * 500).alias("e"))
-    return turns.join(chunks, "doc_id").where("pos >= s and pos < e").select("doc_id", "pos", "chunk_index")
+    return I.containing(turns, chunks.drop("n")).select("doc_id", "pos", "chunk_index")

@@ -22,7 +22,7 @@ _RESPONSES = """SELECT conv_id AS doc_id, turn AS chunk_index, CASE (conv_id + t
  WHEN 1 THEN concat('Summary: ', clean, chr(10), 'keywords: alpha, beta', chr(10), 'speakers: ', role, chr(10), 'importance: 4', chr(10), 'action_items: [send report]', chr(10), 'key_quotes: none')
  ELSE concat('{"summary":"', clean, '","keywords":["', substr(clean,1,6), '","shared"],"speakers":["', role, '"],"importance":', cast(1 + turn % 5 AS STRING), ',"action_items":["send report ', cast(turn AS STRING), '"],"key_quotes":[]}') END AS response
 FROM (SELECT conv_id, turn, role, @ AS clean FROM conversations) t"""
-_ITEMS = """SELECT cast(floor(doc_id / 100) AS BIGINT) AS doc_id, doc_id AS item_id, substr(@first, 1, 60) AS title, substr(text, 1, 200) AS description,
+_ITEMS = """SELECT cast(floor(doc_id / 100) AS BIGINT) AS doc_id, doc_id AS item_id, @first AS title, text AS description,
  CASE doc_id % 6 WHEN 0 THEN 'Strategy' WHEN 1 THEN 'People' WHEN 2 THEN 'Platforms' WHEN 3 THEN 'Infrastructure' WHEN 4 THEN 'Data' ELSE 'Adoption' END AS category,
  CASE doc_id % 5 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low' WHEN 3 THEN 'low' END AS severity,
  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('Speaker ', cast(doc_id % 4 AS STRING)) END AS speaker FROM documents"""
@@ -31,11 +31,14 @@ _ANNOTATIONS = """SELECT conv_id AS doc_id, turn AS chunk_index,
  @keywords AS keywords, CASE WHEN role = 'system' THEN @none ELSE @role END AS speakers, 1 + (conv_id + turn) % 5 AS importance, @items AS action_items FROM conversations"""
 _VALIDATION = """SELECT doc_id, chunk_index AS idx, 1 + (doc_id * 7 + chunk_index * 3) % 5 AS score, concat('reason ', cast(chunk_index AS STRING)) AS reason FROM annotations
  UNION ALL SELECT doc_id, 99 AS idx, 5 AS score, 'no such candidate' AS reason FROM annotations WHERE chunk_index = 0"""
+#: Every second candidate comes again with its first word changed, assigned and dated where the first is not.
 _CANDIDATES = """SELECT doc_id, chunk_index AS idx, summary AS text, CASE WHEN chunk_index % 3 = 0 THEN NULL ELSE concat('Owner ', cast(chunk_index AS STRING)) END AS assignee,
- CASE WHEN chunk_index % 2 = 0 THEN NULL ELSE concat('2024-05-', lpad(cast(1 + chunk_index AS STRING), 2, '0')) END AS due, importance, 1 + (doc_id + 2 * chunk_index) % 5 AS score FROM annotations"""
+ CASE WHEN chunk_index % 2 = 0 THEN NULL ELSE concat('2024-05-', lpad(cast(1 + chunk_index AS STRING), 2, '0')) END AS due, importance, 1 + (doc_id + 2 * chunk_index) % 5 AS score FROM annotations
+ UNION ALL SELECT doc_id, 1000000 + chunk_index AS idx, regexp_replace(summary, '^[^ ]+', 'Again'), CASE WHEN chunk_index % 3 = 0 THEN 'Owner again' END AS assignee,
+ CASE WHEN chunk_index % 2 = 0 THEN '2024-06-01' END AS due, 3 AS importance, 1 AS score FROM annotations WHERE (doc_id + chunk_index) % 2 = 0"""
 _ASSESSMENTS = """SELECT cast(floor(doc_id / 20) AS BIGINT) AS doc_id, doc_id AS item_id,
  CASE doc_id % 5 WHEN 0 THEN 'Strategy' WHEN 1 THEN 'Policy' WHEN 2 THEN 'Quality' WHEN 3 THEN 'Security' ELSE 'Roles' END AS dimension,
- 1 + cast(floor(doc_id / 5) AS BIGINT) % 3 + doc_id % 2 AS level, substr(text, 1, 40) AS evidence FROM documents"""
+ 1 + cast(floor(doc_id / 5) AS BIGINT) % 3 + doc_id % 2 AS level, text AS evidence FROM documents"""
 _SECTIONS = "SELECT doc_id, chunk_index, summary FROM annotations"
 
 SPARK = {
