@@ -22,9 +22,10 @@ SYMBOLS = "#*$%&|<>"
 #: Standard deviations below which a feature's spread isn't trusted (clean groups have many zeros).
 FLOORS = (0.04, 0.35, 0.05, 0.08)
 D = len(FLOORS)
-#: Share of a group that a concentration step keeps, the fall of a log determinant below which
-#: steps end, and most steps.
-SHARE, FALL, STEPS = 0.75, 0.02, 12
+#: Share of a group that a concentration step keeps, and the fall of a log determinant below which
+#: a start is done: steps go on until no start falls by more, however many they are. STEPS is what the
+#: SQL of the query, which can't loop until then, unrolls.
+SHARE, FALL, STEPS = 0.75, 0.02, 30
 #: Rows that the estimate one level up counts for, and the spread above all levels, in floors.
 PRIOR, WIDE = 40, 3
 #: Chance that a row of a normal group lies beyond the cutoff.
@@ -229,10 +230,10 @@ def fit(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") ->
     first = cut(_medians(rows), "mcd-medians")
     groups = first.count()
     params = cut(_starts(rows, first, groups), "mcd-starts")
-    for _ in range(STEPS):
+    live = True
+    while live:  # ends: each step lowers a determinant that the floors bound from below
         params = cut(_step(rows, params, groups), "mcd-step")
-        if not params.where("live").limit(1).count():
-            break
+        live = params.where("live").limit(1).count() > 0
     best = params.withColumn("place", F.row_number().over(W.Window.partitionBy("key").orderBy("ld", "start"))).where("place = 1")
     level = lambda c: best.where(F.substring("key", 1, 1) == c)
     wide = {f"c{i}{j}": F.lit((WIDE * FLOORS[i]) ** 2 if i == j else 0.0) for i, j in PAIRS}
