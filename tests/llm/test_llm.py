@@ -223,10 +223,11 @@ def test_template_of_given_pages(spark, sf):
 
 
 def test_classes():
-    pages = [template_extract.parse(f"<div><p>{'<i>x</i>' * (i + 1)}</p><ul>{'<li>a</li>' * 2}</ul></div>") for i in range(4)]
+    paths = template_extract.Paths()
+    pages = [template_extract.parse(f"<div><p>{'<i>x</i>' * (i + 1)}</p><ul>{'<li>a</li>' * 2}</ul></div>", paths) for i in range(4)]
     classes = template_extract.equivalence_classes(pages)
     root = template_extract.skeleton(pages, classes)
-    assert ("", "<div") in root and len(template_extract.nested(pages, classes, root)) > 0
+    assert (0, "<div") in root and len(template_extract.nested(pages, classes, root)) > 0
 
 
 # 5
