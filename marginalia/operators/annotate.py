@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from ..functions.lists import COMMIT_TERMS, SECTION_STOP
 from ..functions.text import WORD, all_matches
+from ..sources.scratch import cut
 
 BULLET = r"^\s*(?:[-*•]|\d+\.)\s+"
 
@@ -78,6 +79,33 @@ def merged_levels(rows: DataFrame, size: int = 3, levels: int = 2) -> DataFrame:
     return found
 
 
+def merge_tree(rows: DataFrame, budget: int, sep: str = " | ") -> DataFrame:
+    """Every node (doc_id, level, node, first, last, size, text) of the trees that merge the items (doc_id, item, text)
+    of a document, from the items at level 0 up to one node.
+
+    At each level the sizes before an item, summed up in order, tell its group: items go together while
+    they begin below one more ``budget``; at least two go together, so that a level halves. A node's text is that
+    of its items in order, so nothing is lost. A level is written before the next; only whether a document
+    has several nodes left comes to the driver. Null texts are empty.
+    """
+    order = W.Window.partitionBy("doc_id").orderBy("node")
+    now = rows.select("doc_id", F.lit(0).cast("long").alias("level"), F.row_number().over(W.Window.partitionBy("doc_id").orderBy("item")).cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    now = now.withColumns({"node": F.col("node") - 1, "size": F.length("text").cast("long")}).withColumns({"first": F.col("node"), "last": F.col("node")})
+    found = []
+    while True:
+        found.append(cut(now.select("doc_id", "level", "node", "first", "last", "size", "text"), "merge-level"))
+        now = found[-1].withColumns({"many": F.count(F.lit(1)).over(W.Window.partitionBy("doc_id")), "before": F.sum("size").over(order) - F.col("size")}).where("many > 1")
+        if not now.head(1):
+            break
+        group = F.least(F.floor(F.col("before") / budget), F.floor(F.col("node") / 2))
+        now = now.groupBy("doc_id", group.alias("part")).agg((F.max("level") + 1).alias("level"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("size").alias("size"), F.expr(f"listagg(text, '{sep}') within group (order by node)").alias("text"))
+        now = now.withColumn("node", F.row_number().over(W.Window.partitionBy("doc_id").orderBy("part")).cast("long") - 1)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
 def key_sections(chunks: DataFrame) -> DataFrame:
     """First, last and, of more than three, the middle chunk."""
     n = F.count(F.lit(1)).over(W.Window.partitionBy("doc_id"))

@@ -62,17 +62,75 @@ def split_list(text: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(text, pattern), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
+def json_of(reply: Column) -> Column:
+    """The JSON object of a reply as a variant: the whole reply, else what a code fence holds, else what
+    stands between the first and the last brace; null where none of them is an object."""
+    parts = (reply, F.regexp_extract(reply, r"(?s)```(?:json|JSON)?\s*(.*?)```", 1), F.regexp_extract(reply, r"(?s)(\{.*\})", 1))
+    found = [F.try_parse_json(x) for x in parts]
+    return F.coalesce(*[F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v) for v in found])
+
+
+def text_in(found: Column, name: str) -> Column:
+    """A field of a variant as text: strings as they are, other values as JSON."""
+    return F.try_variant_get(found, f"$.{name}", "string")
+
+
+def list_in(found: Column, name: str, pattern: str) -> Column:
+    """A list field of a variant: an array's values as they are, without nulls; a single text split as in the
+    labelled form; empty where it is missing or null."""
+    values = F.filter(F.try_variant_get(found, f"$.{name}", "array<string>"), lambda x: x.isNotNull())
+    return F.coalesce(values, split_list(text_in(found, name), pattern), F.array().cast("array<string>"))
+
+
+def level_in(found: Column, name: str) -> Column:
+    """A level: a number, rounded half up, or the first number in a text; else 3."""
+    first = F.nullif(F.regexp_extract(text_in(found, name), r"(\d+)", 1), F.lit(""))
+    return F.coalesce(F.round(F.try_variant_get(found, f"$.{name}", "double")).cast("int"), first.cast("int"), F.lit(3))
+
+
+def _labelled_level(response: Column) -> Column:
+    level = F.regexp_extract(F.lower(response), r"importance:\s*(\d)", 1)
+    return F.when(level == "", 3).otherwise(level.cast("int"))
+
+
+def _labelled_summary(response: Column) -> Column:
+    said = F.regexp_replace(F.split(response, "keywords:")[0], r"^\s+|\s+$", "")
+    return F.when(F.contains(F.lower(response), F.lit("keywords:")), said).otherwise(response)
+
+
 def parsed_annotation(response: Column, schema: str = ANNOTATION) -> Column:
-    """An annotation from a reply: its JSON object, else its labelled fields."""
-    low = F.lower(response)
-    summary = F.when(F.contains(low, F.lit("keywords:")), F.regexp_replace(F.split(response, "keywords:")[0], r"^\s+|\s+$", "")).otherwise(response)
-    level = F.regexp_extract(low, r"importance:\s*(\d)", 1)
+    """An annotation from a reply: its JSON object, whatever the types of its fields, else its labelled
+    fields. A null reply gives null."""
+    found = json_of(response)
+    read = lambda name, stops, pattern: split_list(labelled(response, name, stops), pattern)
+    text = F.struct(
+        _labelled_summary(response).alias("summary"), read("keywords", FIELDS[1:], LIST_SPLIT).alias("keywords"), read("speakers", FIELDS[2:], LIST_SPLIT).alias("speakers"),
+        _labelled_level(response).alias("importance"), read("action_items", FIELDS[4:], ITEM_SPLIT).alias("action_items"), read("key_quotes", [], ITEM_SPLIT).alias("key_quotes"),
+    )
+    given = F.struct(
+        text_in(found, "summary").alias("summary"), list_in(found, "keywords", LIST_SPLIT).alias("keywords"), list_in(found, "speakers", LIST_SPLIT).alias("speakers"), level_in(found, "importance").alias("importance"),
+        list_in(found, "action_items", ITEM_SPLIT).alias("action_items"), list_in(found, "key_quotes", ITEM_SPLIT).alias("key_quotes"),
+    )
+    return F.when(response.isNull(), None).when(found.isNotNull(), given.cast(schema)).otherwise(text.cast(schema))
+
+
+SECTION = "struct<summary:string,keywords:array<string>,speakers:array<string>,importance:int,next_steps:string>"
+
+
+def parsed_section(response: Column) -> Column:
+    """The older form of five fields, with ``next_steps``, a text or a list, as one text."""
+    found = json_of(response)
+    read = lambda name, stops, pattern: split_list(labelled(response, name, stops), pattern)
+    steps = lambda x: F.array_join(x, "; ")
     text = F.struct(
-        summary.alias("summary"), split_list(labelled(response, "keywords", FIELDS[1:]), LIST_SPLIT).alias("keywords"), split_list(labelled(response, "speakers", FIELDS[2:]), LIST_SPLIT).alias("speakers"),
-        F.when(level == "", 3).otherwise(level.cast("int")).alias("importance"), split_list(labelled(response, "action_items", FIELDS[4:]), ITEM_SPLIT).alias("action_items"),
-        split_list(labelled(response, "key_quotes", []), ITEM_SPLIT).alias("key_quotes"),
+        _labelled_summary(response).alias("summary"), read("keywords", FIELDS[1:], LIST_SPLIT).alias("keywords"), read("speakers", FIELDS[2:], LIST_SPLIT).alias("speakers"),
+        _labelled_level(response).alias("importance"), steps(read("next_steps", ["key_quotes"], ITEM_SPLIT)).alias("next_steps"),
+    )
+    given = F.struct(
+        text_in(found, "summary").alias("summary"), list_in(found, "keywords", LIST_SPLIT).alias("keywords"), list_in(found, "speakers", LIST_SPLIT).alias("speakers"),
+        level_in(found, "importance").alias("importance"), steps(list_in(found, "next_steps", ITEM_SPLIT)).alias("next_steps"),
     )
-    return F.when(F.expr("try_parse_json(response)").isNotNull(), F.from_json(response, schema)).otherwise(text.cast(schema))
+    return F.when(response.isNull(), None).when(found.isNotNull(), given.cast(SECTION)).otherwise(text.cast(SECTION))
 
 
 def preview_field(response: Column, name: str) -> Column:

@@ -13,12 +13,14 @@ from ..operators import exchange as E
 from ..operators import report as R
 from ..operators import similar as S
 from ..operators import topics as T
+from ..registry import BODY, QUERIES
 from ..registry import literal as q
 from ..registry import query
 from ..sources import files as IO
 from ..sources.scratch import scratch
 from ..streaming import arrivals as ST
 from ..views import load
+from . import profile  # noqa: F401
 from .items import ORDER, _kept, _rank
 
 def _case(col, table, default=""):
@@ -137,10 +139,40 @@ def refine_prompts(spark, sf_dir):
     return E.queued(rows.where(F.col("kind").isin(*REFINE) & (F.col("summary") != "")), F.concat(E.lookup(F.col("kind"), REFINE), F.lit("\n"), "summary"), "doc_id", "chunk_index")
 
 
-@query("collection_prompts", _keyed.format("SELECT collection_id, 'Compare:' || chr(10) || string_agg(coalesce(company, 'Document ' || doc_id) || ': ' || substr(text, 1, 200), chr(10) ORDER BY doc_id) AS prompt FROM calls GROUP BY 1"), "calls")
+#: Task of a collection's prompt, label of its documents and what stands between them, by type.
+_FORMS = {
+    "earnings_calls_multi_company": ("Compare these companies: results, strategy, outlook and risks of each, then common themes and differences.", "COMPANY: "),
+    "earnings_calls_sequential": ("Describe the development over these periods: trends of results, changes of strategy, commitments kept, changed or dropped, outlook.", "PERIOD: "),
+    "generic_documents": ("Bring these documents together: common themes, agreements, contradictions, conclusions.", "DOCUMENT: "),
+}
+_BETWEEN = chr(10) * 2 + "===== NEXT =====" + chr(10) * 2
+_ACTIONS = "List the action items of this document, with owner and date where named." + chr(10) * 2
+_form_sql = lambda i: "CASE collection_type " + " ".join(f"WHEN {q(k)} THEN {q(v[i])}" for k, v in _FORMS.items()) + " END"
+_told_sql = f"""WITH {", ".join(f"{n} AS ({BODY[n]})" for n in ("collection_type", "company_name", "period_label", "title_label", "chronological"))},
+ r AS (SELECT c.collection_id, c.doc_id, c.text, collection_type, CASE collection_type WHEN 'earnings_calls_multi_company' THEN n.company WHEN 'earnings_calls_sequential' THEN p.period ELSE t.title END AS label,
+  CASE WHEN collection_type = 'earnings_calls_sequential' THEN o.place ELSE c.doc_id END AS k FROM calls c JOIN collection_type USING (collection_id) JOIN company_name n USING (doc_id) JOIN period_label p USING (doc_id) JOIN title_label t USING (doc_id) JOIN chronological o USING (doc_id)),
+ a AS (SELECT collection_id, NULL::BIGINT AS doc_id, 'collection' AS kind, any_value({_form_sql(0)}) || ' (' || string_agg(label, ', ' ORDER BY k) || ')' || {q(chr(10) * 2)} || string_agg({_form_sql(1)} || label || {q(chr(10) * 2)} || text, {q(_BETWEEN)} ORDER BY k) AS prompt FROM r GROUP BY collection_id
+  UNION ALL SELECT collection_id, doc_id, 'actions', {q(_ACTIONS)} || label || chr(10) || substr(text, 1, 8000) FROM r)"""
+
+
+@query("collection_prompts", _told_sql + " SELECT *, md5(prompt) AS prompt_key FROM a", "calls")
 def collection_prompts(spark, sf_dir):
-    rows = load(spark, sf_dir, "calls").withColumn("line", F.concat(F.coalesce("company", F.concat(F.lit("Document "), F.col("doc_id").cast("string"))), F.lit(": "), F.substring("text", 1, 200)))
-    return E.queued(E.joined_text(rows, "collection_id", "line", "doc_id", "\\n"), F.concat(F.lit("Compare:\n"), "body"), "collection_id")
+    """One prompt a collection, in the form of its type over its documents' whole texts, by company, period
+    or title, and one a document for its actions, from its first 8,000 characters."""
+    made = lambda name: QUERIES[name](spark, sf_dir)
+    rows = load(spark, sf_dir, "calls").select("collection_id", "doc_id", "text").join(made("collection_type").select("collection_id", "collection_type"), "collection_id")
+    for name, column in (("company_name", "company"), ("period_label", "period"), ("title_label", "title"), ("chronological", "place")):
+        rows = rows.join(made(name).select("doc_id", column), "doc_id")
+    kind = F.col("collection_type")
+    label = F.when(kind == "earnings_calls_multi_company", F.col("company")).when(kind == "earnings_calls_sequential", F.col("period")).otherwise(F.col("title"))
+    rows = rows.withColumns({"label": label, "k": F.when(kind == "earnings_calls_sequential", F.col("place")).otherwise(F.col("doc_id"))})
+    form = lambda i: E.lookup(kind, {k: v[i] for k, v in _FORMS.items()})
+    rows = rows.withColumns({"task": form(0), "block": F.concat(form(1), "label", F.lit("\n\n"), "text")})
+    listed = lambda c, sep: F.expr(f"listagg({c}, '{sep}') within group (order by k)")
+    g = rows.groupBy("collection_id").agg(F.first("task").alias("task"), listed("label", ", ").alias("labels"), listed("block", _BETWEEN).alias("body"))
+    whole = g.select("collection_id", F.lit(None).cast("long").alias("doc_id"), F.lit("collection").alias("kind"), F.concat("task", F.lit(" ("), "labels", F.lit(")\n\n"), "body").alias("p"))
+    each = rows.select("collection_id", "doc_id", F.lit("actions").alias("kind"), F.concat(F.lit(_ACTIONS), "label", F.lit("\n"), F.substring("text", 1, 8000)).alias("p"))
+    return E.queued(whole.union(each), F.col("p"), "collection_id", "doc_id", "kind")
 
 
 @query("batched_prompts", _keyed.format("SELECT doc_id, chunk_index // 2 AS batch, string_agg('## SECTION ' || chunk_index || chr(10) || summary, chr(10) ORDER BY chunk_index) AS prompt FROM annotations GROUP BY ALL"), "annotations")
@@ -192,20 +224,23 @@ def parse_annotation(spark, sf_dir):
     return rows.select("doc_id", "chunk_index", "a.*")
 
 
-@query("parse_section", _parsed.split(" AS importance,")[0].replace("SELECT doc_id", "SELECT doc_id", 1) + f" AS importance, array_to_string({_js.format(_arr.format('action_items'), _split(_label('action_items', E.FIELDS[4:]), E.ITEM_SPLIT))}, '; ') AS next_steps FROM responses", "responses")
+_steps = "(SELECT * REPLACE (replace(response, 'action_items', 'next_steps') AS response) FROM responses)"
+
+
+@query("parse_section", _parsed.split(" AS importance,")[0] + f" AS importance, array_to_string({_js.format(_arr.format('next_steps'), _split(_label('next_steps', ['key_quotes']), E.ITEM_SPLIT))}, '; ') AS next_steps FROM {_steps}", "responses")
 def parse_section(spark, sf_dir):
-    rows = load(spark, sf_dir, "responses").select("doc_id", "chunk_index", E.parsed_annotation(F.col("response")).alias("a"))
-    return rows.select("doc_id", "chunk_index", "a.summary", "a.keywords", "a.speakers", "a.importance", F.array_join("a.action_items", "; ").alias("next_steps"))
+    reply = F.replace("response", F.lit("action_items"), F.lit("next_steps"))
+    return load(spark, sf_dir, "responses").select("doc_id", "chunk_index", E.parsed_section(reply).alias("a")).select("doc_id", "chunk_index", "a.*")
 
 
-_preview = "'Summary: ' || substr(replace(text, chr(10), ' '), 1, 60) || chr(10) || 'client_name: ' || CASE WHEN doc_id % 3 = 0 THEN 'N/A' ELSE source END || chr(10) || 'domain_categories: Data, People, other'"
+_preview = "'Summary: ' || replace(text, chr(10), ' ') || chr(10) || 'client_name: ' || CASE WHEN doc_id % 3 = 0 THEN 'N/A' ELSE source END || chr(10) || 'domain_categories: Data, People, other'"
 
 
 @query("parse_preview", f"""WITH r AS (SELECT doc_id, lower({_preview}) AS low FROM documents) SELECT doc_id, trim(regexp_extract(low, 'summary:([^\\n]*)', 1)) AS summary,
  CASE WHEN trim(regexp_extract(low, 'client_name:([^\\n]*)', 1)) IN ('', 'null', 'none', 'n/a') THEN NULL ELSE trim(regexp_extract(low, 'client_name:([^\\n]*)', 1)) END AS client_name, ['data', 'people'] AS domain_categories FROM r""")
 def parse_preview(spark, sf_dir):
     client = F.when(F.col("doc_id") % 3 == 0, "N/A").otherwise(F.col("source"))
-    reply = F.concat(F.lit("Summary: "), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60), F.lit("\nclient_name: "), client, F.lit("\ndomain_categories: Data, People, other"))
+    reply = F.concat(F.lit("Summary: "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\nclient_name: "), client, F.lit("\ndomain_categories: Data, People, other"))
     rows = load(spark, sf_dir, "documents").select("doc_id", reply.alias("response"))
     field = lambda n: E.preview_field(F.col("response"), n)
     domains = X.domain_filter(E.split_list(field("domain_categories"), ","))

@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 from ..functions import lists as L
 from ..functions.breaks import starts
 from ..operators import actions as A
+from ..operators import commitments as CM
 from ..operators import intervals as I
 from ..operators import similar as S
 from ..registry import literal as q
@@ -163,6 +164,22 @@ def exact_ratio(spark, sf_dir):
     return S.exact_ratio(texts.drop("ratio")).select("doc_id", "a", "b", "ratio")
 
 
+_tracked = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT company_id AS g, period, item, dense_rank() OVER (PARTITION BY company_id ORDER BY period) AS k, {_one.format(_norm.format("text"))} AS x FROM commitments),
+ p AS MATERIALIZED (SELECT a.g, a.k, a.item AS a, b.item AS b, round({_ratio.format(a="a.x", b="b.x")}, 9) AS ratio FROM c a JOIN c b ON a.g = b.g AND b.k = a.k + 1),
+ o AS (SELECT *, row_number() OVER (PARTITION BY g, k, b ORDER BY ratio DESC, a) AS i, row_number() OVER (PARTITION BY g, k, a ORDER BY ratio DESC, b) AS j FROM p WHERE ratio > 0.7),
+ l AS MATERIALIZED (SELECT g, k, a, b, ratio FROM o WHERE i = 1 AND j = 1),
+ h AS (SELECT c.g, c.k, c.item, c.k AS hk, c.item AS hi FROM c LEFT JOIN l ON l.g = c.g AND l.k = c.k - 1 AND l.b = c.item WHERE l.g IS NULL UNION ALL SELECT l.g, l.k + 1, l.b, hk, hi FROM h JOIN l ON l.g = h.g AND l.k = h.k AND l.a = h.item)
+ SELECT c.g AS company_id, c.period, c.item, CASE WHEN c.k = 1 THEN 'first' WHEN l.a IS NULL THEN 'new' WHEN l.ratio = 1 THEN 'kept' ELSE 'changed' END AS status, l.a AS previous_item, l.ratio,
+  n.a IS NULL AND c.k < max(c.k) OVER (PARTITION BY c.g) AS dropped, f.period AS chain_period, hi AS chain_item
+ FROM c LEFT JOIN l ON l.g = c.g AND l.k = c.k - 1 AND l.b = c.item LEFT JOIN l n ON n.g = c.g AND n.k = c.k AND n.a = c.item JOIN h ON h.g = c.g AND h.k = c.k AND h.item = c.item
+ JOIN (SELECT DISTINCT g, k, period FROM c) f ON f.g = c.g AND f.k = hk"""
+
+
+@query("commitment_chains", _tracked, "commitments")
+def commitment_chains(spark, sf_dir):
+    return CM.tracked(load(spark, sf_dir, "commitments"))
+
+
 @query("chunk_context", "SELECT a.doc_id, chunk_index, count(*) OVER (PARTITION BY a.doc_id) AS total_chunks, length(t.text) AS original_text_length FROM annotations a JOIN transcripts t USING (doc_id)", "annotations transcripts")
 def chunk_context(spark, sf_dir):
     doc = load(spark, sf_dir, "transcripts").select("doc_id", F.length("text").alias("original_text_length"))

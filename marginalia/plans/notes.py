@@ -10,10 +10,11 @@ from ..functions import text as X
 from ..operators import annotate as A
 from ..operators import divide as D
 from ..operators import topics as T
+from ..registry import BODY
 from ..registry import literal as q
 from ..registry import query
 from ..views import load
-from .division import TOKENS, _essential, divide_essential
+from .division import TOKENS, _essential, _essential_sql, divide_essential
 
 
 def _chunks(spark, sf_dir):
@@ -92,13 +93,34 @@ def hierarchical_merge(spark, sf_dir):
     return A.merged_levels(_chunks(spark, sf_dir))
 
 
-@query("tiered_summary", f"SELECT doc_id, string_agg(substr(text, 1, 60), ' ' ORDER BY chunk_index) AS summary FROM ({_essential}) WHERE doc_id IN (SELECT doc_id FROM dossiers WHERE length(text) >= 20000) GROUP BY doc_id", "dossiers")
+LONG = 60_000  # characters from which on a text is summarised in tiers
+BUDGET = 2_000  # characters of a merged node, as far as a level allows
+_tree = """WITH RECURSIVE t AS (SELECT doc_id, 0::BIGINT AS level, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS node, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS first, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS last, length(text) AS size, text FROM ({src})
+  UNION ALL SELECT doc_id, level + 1, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1, first, last, size, text FROM (
+   SELECT doc_id, part, max(level) AS level, min(first) AS first, max(last) AS last, CAST(sum(size) AS BIGINT) AS size, string_agg(text, ' | ' ORDER BY node) AS text FROM (
+    SELECT *, least((before // {budget})::BIGINT, node // 2) AS part FROM (SELECT *, CAST(sum(size) OVER (PARTITION BY doc_id ORDER BY node) - size AS BIGINT) AS before, count(*) OVER (PARTITION BY doc_id) AS many FROM t) WHERE many > 1) GROUP BY doc_id, part))"""
+
+
+@query("merge_tree", _tree.format(src="SELECT doc_id, chunk_index, summary AS text FROM annotations", budget=1000) + " SELECT * FROM t", "annotations")
+def merge_tree(spark, sf_dir):
+    rows = load(spark, sf_dir, "annotations").select("doc_id", F.col("chunk_index").alias("item"), F.col("summary").alias("text"))
+    return A.merge_tree(rows, 1000)
+
+
+_long = f"SELECT doc_id, chunk_index, text AS summary FROM ({_essential_sql('binders', 1)}) WHERE doc_id IN (SELECT doc_id FROM binders WHERE length(text) >= {LONG})"
+_sums = BODY["extractive_summary"].replace("FROM annotations", f"FROM ({_long})")
+
+
+@query("tiered_summary", _tree.format(src=f"SELECT doc_id, chunk_index, summary AS text FROM ({_sums})", budget=BUDGET) + " SELECT doc_id, level AS levels, text AS summary FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) = 1", "binders")
 def tiered_summary(spark, sf_dir):
+    """Long texts: sections, a summary of each by its sentences, merged level by level to one."""
     from ..functions.breaks import sized
 
-    big = load(spark, sf_dir, "dossiers").where(F.length("text") >= 20000)
-    parts = D.exploded(big, sized(F.col("text"), lambda t, n: D.essential(t, n, 1, TOKENS))).withColumn("text", F.substring("text", 1, 60))
-    return parts.groupBy("doc_id").agg(F.expr("listagg(text, ' ') within group (order by chunk_index)").alias("summary"))
+    big = load(spark, sf_dir, "binders").where(F.length("text") >= LONG)
+    parts = A.extractive_summary(D.exploded(big, sized(F.col("text"), lambda t, n: D.essential(t, n, 1, TOKENS))))
+    tree = A.merge_tree(parts.select("doc_id", F.col("chunk_index").alias("item"), F.col("summary").alias("text")), BUDGET)
+    top = F.row_number().over(W.Window.partitionBy("doc_id").orderBy(F.desc("level")))
+    return tree.withColumn("top", top).where("top = 1").select("doc_id", F.col("level").alias("levels"), F.col("text").alias("summary"))
 
 
 @query("key_section_sample", "SELECT doc_id, chunk_index, summary AS text FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM annotations) WHERE chunk_index = 0 OR chunk_index = n - 1 OR (n > 3 AND chunk_index = n // 2)", "annotations")

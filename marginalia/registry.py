@@ -8,6 +8,8 @@ from .views import DUCK
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+#: The statements alone, for use in others.
+BODY: dict[str, str] = {}
 
 
 def literal(text: str) -> str:
@@ -35,7 +37,7 @@ def query(name: str, sql: str | None = None, views: str = ""):
         assert name not in QUERIES, name
         QUERIES[name] = f
         if sql:
-            SQL[name] = oracle(sql, views)
+            SQL[name], BODY[name] = oracle(sql, views), sql
         return f
 
     return wrap

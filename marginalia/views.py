@@ -39,12 +39,17 @@ _CANDIDATES = """SELECT doc_id, chunk_index AS idx, summary AS text, CASE WHEN c
 _ASSESSMENTS = """SELECT cast(floor(doc_id / 20) AS BIGINT) AS doc_id, doc_id AS item_id,
  CASE doc_id % 5 WHEN 0 THEN 'Strategy' WHEN 1 THEN 'Policy' WHEN 2 THEN 'Quality' WHEN 3 THEN 'Security' ELSE 'Roles' END AS dimension,
  1 + cast(floor(doc_id / 5) AS BIGINT) % 3 + doc_id % 2 AS level, text AS evidence FROM documents"""
+#: Turns as the commitments of a company in four periods; some come again in the next period, or the one after, as they are or changed.
+_COMMITMENTS = """SELECT cast(floor(conv_id / 4) AS BIGINT) AS company_id, conv_id % 4 AS period, turn AS item, text FROM conversations
+ UNION ALL SELECT cast(floor(conv_id / 4) AS BIGINT), conv_id % 4 + 1, 1000000 + turn, CASE WHEN turn % 2 = 0 THEN text ELSE regexp_replace(text, '^[^ ]+', 'Still') END FROM conversations WHERE conv_id % 4 < 3 AND (conv_id + turn) % 3 = 0
+ UNION ALL SELECT cast(floor(conv_id / 4) AS BIGINT), conv_id % 4 + 2, 2000000 + turn, regexp_replace(text, '^[^ ]+', 'Even') FROM conversations WHERE conv_id % 4 < 2 AND (conv_id + turn) % 6 = 0"""
 _SECTIONS = "SELECT doc_id, chunk_index, summary FROM annotations"
 
 SPARK = {
     "transcripts": f"SELECT conv_id AS doc_id, listagg({_TURN}, chr(10)) WITHIN GROUP (ORDER BY turn) AS text, count(*) AS n_turns FROM conversations GROUP BY conv_id",
     "teams_transcripts": f"SELECT conv_id AS doc_id, listagg(concat('9:', lpad(cast(turn % 60 AS STRING),2,'0'), ':', lpad(cast(conv_id % 60 AS STRING),2,'0'), ' AM From ', {_TURN[7:]}, chr(10)) WITHIN GROUP (ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
     "dossiers": f"SELECT cast(floor(doc_id / 10) AS BIGINT) AS doc_id, listagg({_DOSSIER}, concat(chr(10), chr(10))) WITHIN GROUP (ORDER BY doc_id) AS text FROM documents GROUP BY cast(floor(doc_id / 10) AS BIGINT)",
+    "binders": f"SELECT cast(floor(doc_id / 50) AS BIGINT) AS doc_id, listagg({_DOSSIER}, concat(chr(10), chr(10))) WITHIN GROUP (ORDER BY doc_id) AS text FROM documents GROUP BY cast(floor(doc_id / 50) AS BIGINT)",
     "calls": _CALLS,
     "paragraph_vectors": "SELECT cast(floor(vec_id / 20) AS BIGINT) AS doc_id, cast(vec_id % 20 AS INT) AS para_index, embedding FROM embeddings",
     "annotations": _ANNOTATIONS.replace("@keywords", "slice(regexp_extract_all(lower(text), '[a-z]{3,}', 0), 1, 8)").replace("@none", "array()").replace("@role", "array(role)").replace("@items", "slice(split(text, chr(10)), 1, 3)"),
@@ -54,6 +59,7 @@ SPARK = {
     "candidates": _CANDIDATES,
     "assessments": _ASSESSMENTS,
     "sections": _SECTIONS,
+    "commitments": _COMMITMENTS,
 }
 
 
