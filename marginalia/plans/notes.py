@@ -131,7 +131,7 @@ def key_section_sample(spark, sf_dir):
 _k = "k AS (SELECT doc_id, chunk_index, position, importance, unnest(keywords) AS keyword, generate_subscripts(keywords, 1) AS ix FROM annotations)"
 
 
-@query("top_topics", f"""WITH {_k}, g AS (SELECT doc_id, keyword, count(*) AS frequency, min(chunk_index * 1000 + ix) AS f FROM k GROUP BY ALL)
+@query("top_topics", f"""WITH {_k}, g AS (SELECT doc_id, keyword, count(*) AS frequency, min((chunk_index, ix)) AS f FROM k GROUP BY ALL)
  SELECT doc_id, keyword, frequency, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, f) AS "rank" FROM g QUALIFY "rank" <= 15""", "annotations")
 def top_topics(spark, sf_dir):
     return T.top_topics(load(spark, sf_dir, "annotations"))
@@ -151,7 +151,7 @@ def all_speakers(spark, sf_dir):
     return said.groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("speakers"))
 
 
-_distinct = "WITH r AS (SELECT doc_id, chunk_index, unnest(action_items) AS item, generate_subscripts(action_items, 1) AS ix FROM annotations), g AS (SELECT doc_id, {} AS item, min(chunk_index * 1000 + ix) AS f FROM r WHERE {} GROUP BY ALL) SELECT doc_id, item, row_number() OVER (PARTITION BY doc_id ORDER BY f) AS place FROM g WHERE item <> ''"
+_distinct = "WITH r AS (SELECT doc_id, chunk_index, unnest(action_items) AS item, generate_subscripts(action_items, 1) AS ix FROM annotations), g AS (SELECT doc_id, {} AS item, min((chunk_index, ix)) AS f FROM r WHERE {} GROUP BY ALL) SELECT doc_id, item, row_number() OVER (PARTITION BY doc_id ORDER BY f) AS place FROM g WHERE item <> ''"
 
 
 @query("unique_actions", _distinct.format("item", "true"), "annotations")
@@ -176,12 +176,12 @@ def keyword_importance(spark, sf_dir):
     return g.orderBy(F.desc("importance"), "keyword").limit(20)
 
 
-@query("keyword_merge", f"""WITH {_k}, t AS (SELECT doc_id, keyword, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(chunk_index * 1000 + ix)) AS r FROM k GROUP BY doc_id, keyword),
+@query("keyword_merge", f"""WITH {_k}, t AS (SELECT doc_id, keyword, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min((chunk_index, ix))) AS r FROM k GROUP BY doc_id, keyword),
  p AS (SELECT doc_id, keyword, 3 AS weight FROM t WHERE r <= 5 UNION ALL SELECT doc_id, d[1 + doc_id % len(d)], 4 FROM (SELECT DISTINCT doc_id, {_list([d.lower() for d in X.DOMAINS])} AS d FROM k)
  UNION ALL SELECT doc_id, keyword, least(5, greatest(1, count(*) // 2 + 1)) FROM k GROUP BY doc_id, keyword) SELECT doc_id, keyword, CAST(max(weight) AS INTEGER) AS weight FROM p GROUP BY ALL""", "annotations")
 def keyword_merge(spark, sf_dir):
     k = T.exploded_keywords(load(spark, sf_dir, "annotations"))
-    place = F.min(F.col("chunk_index") * 1000 + F.col("at"))
+    place = F.min(F.struct("chunk_index", "at"))
     ranked = k.groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n"), place.alias("f"))
     topics = ranked.withColumn("r", F.row_number().over(W.Window.partitionBy("doc_id").orderBy(F.desc("n"), "f"))).where("r <= 5").select("doc_id", "keyword", F.lit(3).alias("weight"))
     names = F.array(*[F.lit(d.lower()) for d in X.DOMAINS])
