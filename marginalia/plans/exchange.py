@@ -409,12 +409,12 @@ def arrivals(spark, sf_dir):
     return spark.read.parquet(table).select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "text")
 
 
-@query("write_reports", f"SELECT doc_id, report || chr(10) AS report FROM ({_report_sql})", "annotations")
+@query("write_reports", f"SELECT doc_id, report FROM ({_report_sql})", "annotations")
 def write_reports(spark, sf_dir):
     path = scratch(spark, "reports")
     IO.write_reports(summary_report(spark, sf_dir).withColumn("name", F.lit("Team Notes!")), path)
     files = IO.load_text_files(spark, f"{path}/md")
-    return files.select(F.regexp_extract("path", r"document=Team_Notes__notes_(\d+)", 1).cast("long").alias("doc_id"), F.col("text").alias("report"))
+    return files.select(F.regexp_extract("file_name", r"^Team_Notes__notes_(\d+)\.md$", 1).cast("long").alias("doc_id"), F.col("text").alias("report"))
 
 
 @query("read_results", "SELECT doc_id, summary, keywords AS topics FROM annotations WHERE chunk_index = 0", "annotations")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as X
+from .reports import write_files
 
 #: Saved results, read with this schema: what is missing is null.
 RESULT = "doc_id long, summary string, topics array<string>, action_items array<string>, metadata struct<model: string, chunks: int, processing_time: double>"
@@ -42,11 +43,12 @@ def clean_name(base: Column) -> Column:
 
 
 def write_reports(reports: DataFrame, path: str, suffix: str = "notes") -> None:
-    """Markdown and JSON files of a table with doc_id, name, report and any result columns; the
-    files of a document stand in a folder of its own by its cleaned name."""
+    """Markdown and JSON files of a table with doc_id, name, report and any result columns, one of each
+    a document, named by its cleaned name, the suffix and its id; a folder a task holds them."""
     named = reports.withColumn("document", F.concat_ws("_", clean_name(F.col("name")), F.lit(suffix), F.col("doc_id").cast("string")))
-    named.select("document", "report").write.partitionBy("document").mode("overwrite").text(f"{path}/md")
-    named.drop("report").write.partitionBy("document").mode("overwrite").json(f"{path}/json")
+    write_files(named.select(F.concat("document", F.lit(".md")).alias("name"), F.col("report").alias("content")), f"{path}/md")
+    result = F.to_json(F.struct(*[c for c in reports.columns if c != "report"]))
+    write_files(named.select(F.concat("document", F.lit(".json")).alias("name"), result.alias("content")), f"{path}/json")
 
 
 def read_results(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
