@@ -17,6 +17,7 @@ from ..registry import BODY, QUERIES
 from ..registry import literal as q
 from ..registry import query
 from ..sources import files as IO
+from ..sources.reports import write_files
 from ..sources.scratch import scratch
 from ..streaming import arrivals as ST
 from ..views import load
@@ -383,30 +384,29 @@ def decode_text(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", IO.decode_text(content).alias("text"))
 
 
-def _as_files(spark, sf_dir, rows=None):
-    path = scratch(spark, "files")
-    rows = load(spark, sf_dir, "dossiers") if rows is None else rows
-    rows.select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(path)
+def _as_files(rows, path):
+    """A file a document, named by its id."""
+    write_files(rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").alias("content")), path)
     return path
 
 
+_named = lambda c: F.regexp_extract(c, r"(\d+)\.txt$", 1).cast("long").alias("doc_id")
 
 
-@query("load_text_files", "SELECT doc_id, text || chr(10) AS text FROM dossiers", "dossiers")
+@query("load_text_files", "SELECT doc_id, text FROM dossiers", "dossiers")
 def load_text_files(spark, sf_dir):
-    files = IO.load_text_files(spark, _as_files(spark, sf_dir))
-    return files.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "text")
+    return IO.load_text_files(spark, _as_files(load(spark, sf_dir, "dossiers"), scratch(spark, "files"))).select(_named("file_name"), "text")
 
 
-@query("arrivals", "SELECT doc_id, text || chr(10) AS text FROM dossiers", "dossiers")
+@query("arrivals", "SELECT doc_id, text FROM dossiers", "dossiers")
 def arrivals(spark, sf_dir):
     """Files dropped in two lots; each run of the stream takes what is new."""
     inbox, table, point = (scratch(spark, x) for x in ("inbox", "ingested", "progress"))
     docs = load(spark, sf_dir, "dossiers").select("doc_id", "text")
     for lot in (0, 1):
-        docs.where(F.col("doc_id") % 2 == lot).repartition("doc_id").write.partitionBy("doc_id").mode("append").text(inbox)
+        _as_files(docs.where(F.col("doc_id") % 2 == lot), f"{inbox}/lot-{lot}")
         ST.ingest(spark, inbox, table, point)
-    return spark.read.parquet(table).select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "text")
+    return spark.read.parquet(table).select(_named("path"), "text")
 
 
 @query("write_reports", f"SELECT doc_id, report FROM ({_report_sql})", "annotations")
@@ -426,7 +426,7 @@ def read_results(spark, sf_dir):
 
 @query("list_outputs")
 def list_outputs(spark, sf_dir):
-    return IO.list_outputs(spark, _as_files(spark, sf_dir))
+    return IO.list_outputs(spark, _as_files(load(spark, sf_dir, "dossiers"), scratch(spark, "files")))
 
 
 _catalog = f"SELECT pass_type, purpose, CASE pass_type WHEN 'opportunity' THEN 'Opportunity' WHEN 'issue_identification' THEN 'Issue Identification' WHEN 'data_governance' THEN 'Data Governance' END AS name FROM {_passes_sql} UNION ALL SELECT 'about_' || lower(category), min(purpose), 'About ' || category FROM (SELECT category, 'Find ' || severity AS purpose FROM items) GROUP BY category"
