@@ -400,13 +400,18 @@ def load_text_files(spark, sf_dir):
 
 @query("arrivals", "SELECT doc_id, text FROM dossiers", "dossiers")
 def arrivals(spark, sf_dir):
-    """Files dropped in two lots; each run of the stream takes what is new."""
+    """Files dropped in two lots, in each a third of them twice, and a third of the first lot again in the second under another
+    name; each run of the stream takes what is new, and its batches are merged."""
     inbox, table, point = (scratch(spark, x) for x in ("inbox", "ingested", "progress"))
     docs = load(spark, sf_dir, "dossiers").select("doc_id", "text")
+    name = lambda c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name")
     for lot in (0, 1):
-        _as_files(docs.where(F.col("doc_id") % 2 == lot), f"{inbox}/lot-{lot}")
+        new, known = docs.where(F.col("doc_id") % 2 == lot), docs.where((F.col("doc_id") % 2 == 0) & (F.col("doc_id") % 3 == 1))
+        again = (new.where("doc_id % 3 = 0") if lot == 0 else new.where("doc_id % 3 = 0").union(known)).select(name("again"), "text")
+        write_files(new.select(name("file"), "text").union(again).select("name", F.col("text").alias("content")), f"{inbox}/lot-{lot}")
         ST.ingest(spark, inbox, table, point)
-    return spark.read.parquet(table).select(_named("path"), "text")
+    ST.compact(spark, table)
+    return ST.ingested(spark, table).select(_named("path"), "text")
 
 
 @query("write_reports", f"SELECT doc_id, report FROM ({_report_sql})", "annotations")
