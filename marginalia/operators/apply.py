@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def map_items(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -37,3 +39,74 @@ def level_functions(df: DataFrame, levels: list[tuple[int, Callable[[pd.DataFram
         tagged = now.select("doc_id", F.lit(level).alias("level"), "item", "text")
         found = tagged if found is None else found.union(tagged)
     return found
+
+
+def sql_function(f: Callable[..., Iterator[tuple] | tuple], schema: str, column: str) -> type:
+    """A Python table function that gives, for each row of its table argument, the rows of ``f(value of column)``:
+    the columns of the table, then those of ``schema``. Its result type is found when a query is analysed, so it serves any table
+    that has the column; names of ``schema`` that the table has too are an error."""
+    added = StructType.fromDDL(schema)
+
+    class Items:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+            known = _table(rows, column)
+            clash = sorted(set(known.names) & set(added.names))
+            if clash:
+                raise ValueError(f"the table has columns {clash} already")
+            return AnalyzeResult(StructType([*known.fields, *added.fields]))
+
+        def eval(self, row: Row) -> Iterator[tuple]:
+            for out in f(row[column]):
+                yield (*row, *out)
+
+    return Items
+
+
+def sql_level(f: Callable[[list[str]], str]) -> type:
+    """A Python table function ``(TABLE(rows), size)`` over rows of (doc_id, item, text) and any other columns: the texts of each
+    ``size`` successive items of a document, in order, become one by ``f``: (doc_id, item, items, text).
+
+    The function asks for its own partitions, a group of ``size`` items each, and their order, so a document of any length is
+    dealt over tasks and one call holds ``size`` texts. Null texts reach ``f`` as empty ones; null items form a group of their own, by text.
+    ``size`` has to be a constant of at least 1."""
+
+    class Level:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, size: AnalyzeArgument) -> AnalyzeResult:
+            known = _table(rows, "doc_id", "item", "text")
+            if not size.isConstantExpression or not isinstance(size.value, int) or size.value < 1:
+                raise ValueError("size has to be a constant whole number of at least 1")
+            out = StructType([known["doc_id"], StructField("item", LongType()), StructField("items", LongType()), StructField("text", StringType())])
+            group = PartitioningColumn(f"floor(item / {size.value})")
+            return AnalyzeResult(out, partitionBy=[PartitioningColumn("doc_id"), group], orderBy=[OrderingColumn("item"), OrderingColumn("text")])
+
+        def __init__(self) -> None:
+            self.texts: list[str] = []
+            self.first: Row | None = None
+
+        def eval(self, row: Row, size: int) -> None:
+            self.size = size
+            self.first = self.first or row
+            self.texts.append(row["text"] or "")
+
+        def terminate(self) -> Iterator[tuple]:
+            if self.first is not None:
+                at = self.first["item"]
+                yield self.first["doc_id"], None if at is None else at // self.size, len(self.texts), f(self.texts)
+
+    return Level
+
+
+def _table(rows: AnalyzeArgument, *columns: str) -> StructType:
+    if not rows.isTable:
+        raise ValueError("the first argument has to be a table")
+    missing = sorted(set(columns) - set(rows.dataType.names))
+    if missing:
+        raise ValueError(f"the table lacks columns {missing}")
+    return rows.dataType
+
+
+def register(spark: SparkSession, name: str, function: type) -> None:
+    """Make a table function of ``sql_function`` or ``sql_level`` known to SQL under a name."""
+    spark.udtf.register(name, udtf(function))

@@ -359,6 +359,30 @@ def level_functions(spark, sf_dir):
     return U.level_functions(rows, [(3, lambda g: "+".join(g["text"])), (2, lambda g: "/".join(g["text"]))])
 
 
+def _sentences(text):
+    """The parts of a text between full stops, numbered from 0; none of a null or blank one."""
+    return enumerate(x.strip() for x in (text or "").split(".") if x.strip())
+
+
+@query("map_items_sql", "SELECT item_id, category, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS place, s AS sentence FROM (SELECT item_id, category, regexp_replace(unnest(x), '^\\s+|\\s+$', '', 'g') AS s, generate_subscripts(x, 1) AS i FROM (SELECT item_id, category, string_split(description, '.') AS x FROM items)) WHERE s <> ''", "items")
+def map_items_sql(spark, sf_dir):
+    """A user function called from SQL, a row an item to a row a sentence."""
+    U.register(spark, "sentences_of", U.sql_function(_sentences, "place long, sentence string", "description"))
+    load(spark, sf_dir, "items").select("item_id", "category", "description").createOrReplaceTempView("items_for_sql")
+    return spark.sql("SELECT item_id, category, place, sentence FROM sentences_of(TABLE(items_for_sql))")
+
+
+@query("level_functions_sql", """WITH a AS (SELECT doc_id, chunk_index // 3 AS item, count(*) AS items, string_agg(summary, '+' ORDER BY chunk_index) AS text FROM annotations GROUP BY ALL)
+ SELECT doc_id, 1 AS level, item, items, text FROM a UNION ALL SELECT doc_id, 2, a.item // 2 AS item, count(*), string_agg(text, '/' ORDER BY a.item) FROM a GROUP BY doc_id, a.item // 2""", "annotations")
+def level_functions_sql(spark, sf_dir):
+    """Levels of groups by table functions that name their own partitions, one called on the rows of the other."""
+    U.register(spark, "merge_by_plus", U.sql_level("+".join))
+    U.register(spark, "merge_by_slash", U.sql_level("/".join))
+    load(spark, sf_dir, "annotations").selectExpr("doc_id", "chunk_index AS item", "summary AS text").createOrReplaceTempView("notes_for_sql")
+    lower = "SELECT doc_id, item, items, text FROM merge_by_plus(TABLE(notes_for_sql), 3)"
+    return spark.sql(f"WITH a AS ({lower}) SELECT doc_id, 1 AS level, item, items, text FROM a UNION ALL SELECT doc_id, 2, item, items, text FROM merge_by_slash(TABLE(SELECT * FROM a), 2)")
+
+
 _told = "SELECT doc_id, item_id, category, regexp_replace(title, '[^A-Za-z ]', '', 'g') AS title, regexp_replace(description, '[^A-Za-z ]', '', 'g') AS description, severity FROM items WHERE item_id % 4 <> 3"
 _custom = _kept.replace("FROM items", "FROM p").replace("WITH RECURSIVE o AS", f"WITH RECURSIVE p AS ({_told}), o AS") + ", kept AS (SELECT p.* FROM p JOIN l ON p.item_id = l.x.i)"
 
