@@ -172,9 +172,7 @@ def compare_strategies(spark, sf_dir):
     t, n = F.col("text"), F.length("text")
     on = lambda f: sized(t, f)
     strategies = {"essential": on(lambda t, n: D.essential(t, n, 1, TOKENS)), "long": on(lambda t, n: D.long_(t, n, 2, TOKENS)), "complex": on(lambda t, n: D.complex_(t, n, 2, TOKENS))}
-    counts = F.array(*[F.struct(F.lit(k).alias("strategy"), F.size(c).alias("divisions")) for k, c in strategies.items()])
-    rows = load(spark, sf_dir, "dossiers").select("doc_id", n.alias("text_length"), F.floor(n / 4).alias("estimated_tokens"), F.inline(counts))
-    return rows.groupBy("doc_id", "text_length", "estimated_tokens").pivot("strategy", list(strategies)).agg(F.first("divisions"))
+    return load(spark, sf_dir, "dossiers").select("doc_id", n.alias("text_length"), F.floor(n / 4).alias("estimated_tokens"), *[F.size(c).alias(k) for k, c in strategies.items()])
 
 
 @query("detail_scaling", "SELECT doc_id, detail, 3 * CASE detail WHEN 'essential' THEN 1 WHEN 'detailed' THEN 2 WHEN 'detailed-complex' THEN 3 ELSE 1 END AS min_chunks FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'essential' WHEN 1 THEN 'detailed' WHEN 2 THEN 'detailed-complex' ELSE 'other' END AS detail FROM documents)")

@@ -327,13 +327,6 @@ def pass_report(spark, sf_dir):
     return R.pass_report(load(spark, sf_dir, "items").withColumn("form", form), "Issues", "form", line)
 
 
-@query("comparison_report", "SELECT doc_id, '# Strategies' || chr(10) || chr(10) || string_agg('| ' || position || ' | ' || n || ' | ' || chars || ' |', chr(10) ORDER BY position) AS report FROM (SELECT doc_id, position, count(*) AS n, sum(length(summary)) AS chars FROM annotations GROUP BY ALL) GROUP BY doc_id", "annotations")
-def comparison_report(spark, sf_dir):
-    g = load(spark, sf_dir, "annotations").groupBy("doc_id", "position").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("summary")).alias("chars"))
-    g = g.withColumn("line", F.format_string("| %s | %d | %d |", "position", "n", "chars"))
-    return E.joined_text(g, "doc_id", "line", "position", "\\n").select("doc_id", F.concat(F.lit("# Strategies\n\n"), "body").alias("report"))
-
-
 @query("collection_report", "SELECT collection_id, '# Collection of ' || count(*) || ' documents' || chr(10) || chr(10) || string_agg('## ' || coalesce(company, title, 'Document ' || doc_id) || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS report FROM calls GROUP BY collection_id", "calls")
 def collection_report(spark, sf_dir):
     rows = load(spark, sf_dir, "calls").withColumn("block", F.concat(F.lit("## "), F.coalesce("company", "title", F.concat(F.lit("Document "), F.col("doc_id").cast("string"))), F.lit("\n"), "text"))

@@ -9,12 +9,14 @@ from ..functions import lists as L
 from ..functions import text as X
 from ..operators import annotate as A
 from ..operators import divide as D
+from ..operators import strategies as ST
 from ..operators import topics as T
 from ..registry import BODY
 from ..registry import literal as q
 from ..registry import query
 from ..views import load
-from .division import TOKENS, _essential, _essential_sql, divide_essential
+from . import folds
+from .division import TOKENS, _essential, _essential_sql
 
 
 def _chunks(spark, sf_dir):
@@ -229,11 +231,30 @@ def term_matrix(spark, sf_dir):
     return T.term_matrix(load(spark, sf_dir, "documents").select(F.col("source").alias("label"), "text"))
 
 
-@query("strategy_metrics", f"WITH s AS (SELECT doc_id, count(*) AS divisions, sum(length(text)) AS characters FROM ({_essential}) GROUP BY 1) SELECT doc_id, divisions / max(divisions) OVER () AS division_share, characters / max(characters) OVER () AS length_share FROM s", "dossiers")
+_strategies = {"essential": lambda t, n: D.essential(t, n, 1, TOKENS), "long": lambda t, n: D.long_(t, n, 2, TOKENS), "complex": lambda t, n: D.complex_(t, n, 2, TOKENS)}
+_pieces = " UNION ALL ".join(f"SELECT {q(k)} AS strategy, {i} AS o, doc_id, chunk_index, text FROM ({s})" for i, (k, s) in enumerate({"essential": _essential, "long": folds.long_sql("dossiers", 2, TOKENS), "complex": folds.complex_sql("dossiers", _essential_sql, 2, TOKENS)}.items()))
+_told = f"SELECT doc_id, strategy, o, count(*) AS divisions, string_agg(list_filter(string_split_regex(trim(text), '[.!?]+\\s+'), lambda x: x <> '')[1], '. ' ORDER BY chunk_index) AS summary FROM ({_pieces}) GROUP BY ALL"
+
+
+@query("strategy_metrics", f"""WITH s AS (SELECT doc_id, strategy, divisions, length(summary) AS n FROM ({_told})),
+ m AS (SELECT *, divisions / max(divisions) OVER (PARTITION BY doc_id) AS ds, n / max(n) OVER (PARTITION BY doc_id) AS ls FROM s)
+ SELECT doc_id, strategy, false AS total, divisions, n AS summary_length, round(ds, 9) AS division_share, round(ls, 9) AS length_share FROM m
+ UNION ALL SELECT NULL, strategy, true, CAST(sum(divisions) AS BIGINT), CAST(sum(n) AS BIGINT), round(avg(ds), 9), round(avg(ls), 9) FROM m GROUP BY strategy""", "dossiers")
 def strategy_metrics(spark, sf_dir):
-    g = divide_essential(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("divisions"), F.sum(F.length("text")).alias("characters"))
-    most = g.agg(F.max("divisions").alias("d"), F.max("characters").alias("c"))  # one row
-    return g.crossJoin(F.broadcast(most)).select("doc_id", (F.col("divisions") / F.col("d")).alias("division_share"), (F.col("characters") / F.col("c")).alias("length_share"))
+    return ST.metrics(load(spark, sf_dir, "dossiers"), _strategies)
+
+
+_count = lambda x: f"format('{{:,}}', {x})"
+_named = "len(list_distinct(flatten([" + ", ".join(f"regexp_extract_all(text, {q(p)}, 1)" for p in X.SPEAKERS) + "])))"
+
+
+@query("comparison_report", f"""WITH s AS ({_told}), g AS (SELECT doc_id, string_agg('| ' || strategy || ' | ' || {_count('divisions')} || ' | ' || {_count('length(summary)')} || ' chars |', chr(10) ORDER BY o) AS lines,
+  string_agg('### ' || upper(substr(strategy, 1, 1)) || substr(strategy, 2) || ' strategy' || chr(10) || CASE WHEN summary = '' THEN {q(ST.NONE)} ELSE summary END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY o) AS parts FROM s GROUP BY doc_id)
+ SELECT doc_id, concat_ws(chr(10) || chr(10), '# Comparison ' || doc_id, '## Document information' || chr(10) || concat_ws(chr(10), '- Characters: ' || {_count('length(text)')},
+  '- Words: ' || {_count("len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '))")}, CASE WHEN {_named} > 0 THEN '- Speakers: ' || {_count(_named)} END),
+  '## Strategy comparison' || chr(10) || '| Strategy | Divisions | Summary length |' || chr(10) || '|---|---|---|' || chr(10) || lines, '## Strategy summaries' || chr(10) || parts) AS report FROM dossiers JOIN g USING (doc_id)""", "dossiers")
+def comparison_report(spark, sf_dir):
+    return ST.comparison_report(load(spark, sf_dir, "dossiers"), _strategies)
 
 
 @query("run_rollup", "SELECT doc_id, count(*) AS chunks, max(importance) AS top_importance, sum(len(action_items)) AS action_items, sum(len(keywords)) AS keywords FROM annotations GROUP BY doc_id", "annotations")
