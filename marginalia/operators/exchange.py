@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import domain_filter
+
 # Labels and separators of replies.
 LIST_SPLIT = r'[,\n•\-\[\]"]+'
 ITEM_SPLIT = r'[•\-\[\]"]+'
@@ -133,10 +135,50 @@ def parsed_section(response: Column) -> Column:
     return F.when(response.isNull(), None).when(found.isNotNull(), given.cast(SECTION)).otherwise(text.cast(SECTION))
 
 
-def preview_field(response: Column, name: str) -> Column:
-    """The rest of a labelled line, lower case; null for null, none, n/a or no such line."""
-    value = F.trim(F.regexp_extract(F.lower(response), f"{name}:([^\n]*)", 1))
-    return F.when(value.isin("", "null", "none", "n/a"), None).otherwise(value)
+# Items of a list in a labelled preview, fields of a preview, words for no value.
+PREVIEW_ITEM = r"[-•*]?\s*([^,\n]+)"
+PREVIEW = "struct<summary:string,client_name:string,meeting_purpose:string,key_topics:array<string>,domain_categories:array<string>,participants:array<string>>"
+NO_VALUE = ["null", "none", "n/a"]
+
+
+def parsed_preview(response: Column) -> Column:
+    """The six fields of a preview: from the reply's JSON object as it says, else from its labelled lines in lower case, where null, none
+    and n/a are no value and categories are those that hold a known domain.
+
+    Labelled lists run from their label to the next list's, so over several lines; only a mark at their start or right after a comma
+    goes. Missing texts are null but for the summary, which is then empty; missing lists are empty. A null reply gives null.
+    """
+    found, low = json_of(response), F.lower(response)
+    line = lambda name: F.trim(F.regexp_extract(low, f"{name}:([^\n]*)", 1))
+    value = lambda name: F.when(~line(name).isin("", *NO_VALUE), line(name))
+
+    def listed(name: str, upto: str | None = None) -> Column:
+        rest = F.coalesce(F.get(F.split(low, f"{name}:"), F.lit(1)), F.lit(""))
+        part = F.get(F.split(rest, f"{upto}:"), F.lit(0)) if upto else rest
+        return F.filter(F.transform(F.regexp_extract_all(part, F.lit(PREVIEW_ITEM), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
+
+    text = F.struct(
+        line("summary").alias("summary"), value("client_name").alias("client_name"), value("meeting_purpose").alias("meeting_purpose"), listed("key_topics", "domain_categories").alias("key_topics"),
+        domain_filter(listed("domain_categories", "participants")).alias("domain_categories"), listed("participants").alias("participants"),
+    )
+    given = F.struct(
+        F.coalesce(text_in(found, "summary"), F.lit("")).alias("summary"), text_in(found, "client_name").alias("client_name"), text_in(found, "meeting_purpose").alias("meeting_purpose"),
+        *[list_in(found, c, LIST_SPLIT).alias(c) for c in ("key_topics", "domain_categories", "participants")],
+    )
+    return F.when(response.isNull(), None).when(found.isNotNull(), given.cast(PREVIEW)).otherwise(text.cast(PREVIEW))
+
+
+def pass_prompt() -> Column:
+    """The prompt of a pass for a chunk, over columns of both: purpose, kind of document, client, position, instructions,
+    categories and fields with their descriptions, form of the answer, whole text. Parts that are null or empty are left out."""
+    told = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x["name"], F.lit(": "), x["description"])), "\n"))
+    after = lambda label, body: F.concat(F.lit(label), F.nullif(body, F.lit("")))
+    kind = F.when(F.col("is_transcript"), "Document type: meeting transcript").otherwise("Document type: document")
+    form = F.concat(F.lit('Answer as JSON: {"'), "item_key", F.lit('": [items]}'))
+    return F.concat_ws(
+        "\n", "purpose", kind, after("Client: ", F.col("client")), after("Section position: ", F.col("position")), after("Instructions: ", F.col("instructions")),
+        after("Use these categories:\n", told("categories")), after("Give for each item:\n", told("fields")), form, F.lit("Text:"), "text",
+    )
 
 
 def parsed_items(response: Column, item_key: str, schema: str) -> Column:

@@ -19,15 +19,37 @@ def bullet_list(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
 
 
-def grouped_blocks(items: DataFrame, group: str, order: str, line: Column) -> DataFrame:
-    """Per document the blocks of its groups, each headed by name and count, in one text."""
-    blocks = items.withColumn("line", line).groupBy("doc_id", group).agg(F.expr(f"listagg(line, '\\n') within group (order by {order})").alias("lines"), F.count(F.lit(1)).alias("n"))
-    head = F.concat(F.lit("### "), F.col(group), F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"), F.col("lines"))
-    return blocks.withColumn("block", head).groupBy("doc_id").agg(F.expr(f"listagg(block, '\\n\\n') within group (order by {group})").alias("body"))
-
-
-def pass_report(items: DataFrame, title: str, group: str, line: Column) -> DataFrame:
-    """The report of an extraction pass: title, number of items, categories, blocks of items."""
-    known = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("names"))
-    head = F.concat(F.lit(f"# {title}\n"), F.col("total").cast("string"), F.lit(" items\nCategories: "), "names", F.lit("\n\n"))
-    return grouped_blocks(items, group, "item_id", line).join(known, "doc_id").select("doc_id", F.concat(head, "body").alias("report"))
+#: Levels with a block of their own in reports by priority, compared without case.
+LEVELS = ["High", "Medium", "Low"]
+
+
+def pass_report(items: DataFrame, title: str, form: Column, summaries: DataFrame) -> DataFrame:
+    """(doc_id, report) of an extraction pass over items (doc_id, item_id, title, description, category, severity, maybe speaker).
+
+    On top stands the document's text of ``summaries`` (doc_id, summary), if it has one, then the number of items a category, then
+    the items in whole, by ``form``: in blocks by ``priority``, with those of another or no level last, in blocks by
+    ``category``, or ``flat``. Items come in order of their ids. Null titles, descriptions and categories have a standing text, a null or
+    empty speaker no line. A block's items are joined before a document's blocks; documents without items have no report.
+    """
+    flat, author = F.col("form") == "flat", F.col("speaker") if "speaker" in items.columns else F.lit(None).cast("string")
+    category = F.coalesce("category", F.lit("Uncategorized"))
+    level = F.array_position(F.array(*[F.lit(x.lower()) for x in LEVELS]), F.lower(F.coalesce("severity", F.lit(""))))
+    named = F.when(level > 0, F.concat(F.get(F.array(*map(F.lit, LEVELS)), (level - 1).cast("int")), F.lit(" priority items"))).otherwise("Items of other priority")
+    rows = items.withColumn("form", form).select(
+        "doc_id", "item_id", category.alias("category"),
+        F.when(F.col("form") == "priority", F.when(level > 0, level).otherwise(len(LEVELS) + 1)).otherwise(0).alias("k"),
+        F.when(F.col("form") == "priority", named).when(~flat, category).alias("block"),
+        F.concat_ws(
+            "\n\n", F.concat(F.when(flat, "### ").otherwise("#### "), F.coalesce("title", F.lit("Untitled item"))), F.when(flat | (F.col("form") == "priority"), F.concat(F.lit("**Category**: "), category)),
+            F.concat(F.lit("**Raised by**: "), F.nullif(author, F.lit(""))), F.coalesce("description", F.lit("No description provided.")), F.lit("---"),
+        ).alias("line"),
+    )
+    listed = lambda c, sep, order: F.expr(f"listagg({c}, '{sep}') within group (order by {order})")
+    blocks = rows.groupBy("doc_id", "k", "block").agg(listed("line", "\\n\\n", "item_id").alias("lines"), F.count(F.lit(1)).alias("n"))
+    head = F.concat(F.lit("### "), F.col("block"), F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    body = blocks.withColumn("text", F.concat_ws("\n\n", head, "lines")).groupBy("doc_id").agg(listed("text", "\\n\\n", "k, block").alias("body"), F.sum("n").alias("total"))
+    counts = rows.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("n")).withColumn("c", F.concat(F.lit("- **"), "category", F.lit("**: "), F.col("n").cast("string"), F.lit(" items")))
+    counts = counts.groupBy("doc_id").agg(listed("c", "\\n", "category").alias("counts"))
+    found = body.join(counts, "doc_id").join(summaries.select("doc_id", "summary"), "doc_id", "left")
+    items_head = F.concat(F.lit("## Identified items ("), F.col("total").cast("string"), F.lit(")"))
+    return found.select("doc_id", document(F.lit(title), section("Summary", F.col("summary")), section("Categories", F.col("counts")), items_head, F.col("body")).alias("report"))

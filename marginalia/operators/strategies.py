@@ -43,7 +43,7 @@ def metrics(docs: DataFrame, strategies: dict[str, Strategy]) -> DataFrame:
     """
     rows = docs.select("doc_id", F.transform(results(F.col("text"), strategies), lambda r: F.struct(r["strategy"].alias("strategy"), r["divisions"].alias("divisions"), F.length(r["summary"]).cast("long").alias("length"))).alias("r"))
     largest = lambda c: F.array_max(F.col(f"r.{c}")).alias(f"most_{c}")
-    rows = rows.select("doc_id", largest("divisions"), largest("length"), F.inline("r"))
+    rows = rows.select("doc_id", largest("divisions"), largest("length"), F.inline_outer("r"))  # plain inline would have the results filtered by their size, and so made twice
     share = lambda c: F.when(F.col(f"most_{c}") > 0, F.col(c) / F.col(f"most_{c}")).otherwise(0.0)
     rows = rows.withColumns({"ds": share("divisions"), "ls": share("length")})
     g = rows.groupingSets([[F.col("doc_id"), F.col("strategy")], [F.col("strategy")]], "doc_id", "strategy")

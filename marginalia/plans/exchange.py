@@ -22,7 +22,7 @@ from ..sources.scratch import scratch
 from ..streaming import arrivals as ST
 from ..views import load
 from . import profile  # noqa: F401
-from .items import ORDER, _kept, _rank
+from .items import ORDER, _kept
 
 def _case(col, table, default=""):
     return f"CASE {col} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items()) + f" ELSE {q(default)} END"
@@ -85,25 +85,34 @@ def synthesis_prompts(spark, sf_dir):
     return E.queued(body.join(topics, "doc_id").join(who, "doc_id"), F.concat_ws("\n", head, "body", F.concat(F.lit("Topics: "), "topics"), speakers), "doc_id")
 
 
+#: Passes: type, purpose, instructions, key of the answer's list, categories and fields with their descriptions.
 PASSES = [
-    ("issue_identification", "Find issues.", "issues", ["Strategy", "People", "Platforms"]),
-    ("data_governance", "Judge maturity.", "assessments", ["Policy", "Quality"]),
-    ("opportunity", "Find opportunities.", "opportunities", ["Growth", "Cost"]),
-]
+    ("issue_identification", "Find issues.", "Name what goes wrong, not what may be done about it.", "issues",
+     [("Strategy", "goals and plans"), ("People", "skills, roles and workload"), ("Platforms", "tools and systems")],
+     [("title", "a short name"), ("description", "what is wrong, in a sentence or two"), ("category", "one of the categories"), ("severity", "High, Medium or Low"), ("speaker", "who raised it, if named")]),
+    ("data_governance", "Judge maturity.", "Give a level only where the text shows evidence of it.", "assessments",
+     [("Policy", "written rules"), ("Quality", "checks and measures")],
+     [("dimension", "one of the categories"), ("level", "1 to 5"), ("evidence", "the words that show it")]),
+    ("opportunity", "Find opportunities.", "", "opportunities", [], [("title", "a short name"), ("description", "what could be gained")]),
+]
 
 
 def _passes(spark):
-    return spark.createDataFrame(PASSES, "pass_type string, purpose string, item_key string, categories array<string>")
+    return spark.createDataFrame(PASSES, "pass_type string, purpose string, instructions string, item_key string, categories array<struct<name:string,description:string>>, fields array<struct<name:string,description:string>>")
 
 
-_passes_sql = "(VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)}, [{', '.join(map(q, d))}])" for a, b, c, d in PASSES) + ") p(pass_type, purpose, item_key, categories)"
+_described = lambda x: "[" + ", ".join(f"{{'name': {q(n)}, 'description': {q(d)}}}" for n, d in x) + "]" + "::STRUCT(name VARCHAR, description VARCHAR)[]"
+_passes_sql = "(VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)}, {q(d)}, {_described(e)}, {_described(f)})" for a, b, c, d, e, f in PASSES) + ") p(pass_type, purpose, instructions, item_key, categories, fields)"
+_listed = lambda c: f"array_to_string(list_transform({c}, lambda x: '- ' || x.name || ': ' || x.description), chr(10))"
 
 
-@query("pass_prompts", _keyed.format(f"SELECT doc_id, chunk_index, pass_type, concat_ws(chr(10), purpose, 'Categories: ' || array_to_string(categories, '; '), 'Answer as JSON with ' || item_key || '.', summary) AS prompt FROM annotations, {_passes_sql}"), "annotations")
+@query("pass_prompts", _keyed.format(f"""SELECT doc_id, chunk_index, pass_type, concat_ws(chr(10), purpose, CASE WHEN len(speakers) > 0 THEN 'Document type: meeting transcript' ELSE 'Document type: document' END, CASE WHEN doc_id % 4 = 0 THEN 'Client: Client ' || doc_id END, 'Section position: ' || position,
+ 'Instructions: ' || nullif(instructions, ''), CASE WHEN len(categories) > 0 THEN 'Use these categories:' || chr(10) || {_listed("categories")} END, 'Give for each item:' || chr(10) || {_listed("fields")}, 'Answer as JSON: {{"' || item_key || '": [items]}}', 'Text:', summary) AS prompt FROM annotations, {_passes_sql}"""), "annotations")
 def pass_prompts(spark, sf_dir):
-    rows = load(spark, sf_dir, "annotations").crossJoin(F.broadcast(_passes(spark)))  # every chunk by the three configured passes
-    p = F.concat_ws("\n", "purpose", F.concat(F.lit("Categories: "), F.array_join("categories", "; ")), F.concat(F.lit("Answer as JSON with "), "item_key", F.lit(".")), "summary")
-    return E.queued(rows, p, "doc_id", "chunk_index", "pass_type")
+    """Every chunk by the three configured passes; every fourth document has a client."""
+    client = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Client "), F.col("doc_id").cast("string")))
+    rows = load(spark, sf_dir, "annotations").withColumns({"client": client, "is_transcript": F.size("speakers") > 0, "text": F.col("summary")})
+    return E.queued(rows.crossJoin(F.broadcast(_passes(spark))), E.pass_prompt(), "doc_id", "chunk_index", "pass_type")
 
 
 @query("pass_summary_prompts", _keyed.format("""SELECT doc_id, 'Summarise:' || chr(10) || body || CASE WHEN n > 10 THEN chr(10) || '... and ' || (n - 10) || ' more' ELSE '' END AS prompt
@@ -234,18 +243,26 @@ def parse_section(spark, sf_dir):
     return load(spark, sf_dir, "responses").select("doc_id", "chunk_index", E.parsed_section(reply).alias("a")).select("doc_id", "chunk_index", "a.*")
 
 
-_preview = "'Summary: ' || replace(text, chr(10), ' ') || chr(10) || 'client_name: ' || CASE WHEN doc_id % 3 = 0 THEN 'N/A' ELSE source END || chr(10) || 'domain_categories: Data, People, other'"
+_p3 = "CASE doc_id % 3 WHEN 0 THEN {} WHEN 1 THEN {} ELSE {} END"
+_after = lambda name: f"string_split(low, '{name}:')[2]"
+_parts = lambda t: f"list_filter(list_transform(regexp_extract_all(coalesce({t}, ''), {q(E.PREVIEW_ITEM)}, 1), lambda x: trim(x)), lambda x: x <> '')"
+_null = lambda x: f"CASE WHEN {x} NOT IN ('', 'null', 'none', 'n/a') THEN {x} END"
+_line_of = lambda name: f"trim(regexp_extract(low, '{name}:([^\\n]*)', 1))"
 
 
-@query("parse_preview", f"""WITH r AS (SELECT doc_id, lower({_preview}) AS low FROM documents) SELECT doc_id, trim(regexp_extract(low, 'summary:([^\\n]*)', 1)) AS summary,
- CASE WHEN trim(regexp_extract(low, 'client_name:([^\\n]*)', 1)) IN ('', 'null', 'none', 'n/a') THEN NULL ELSE trim(regexp_extract(low, 'client_name:([^\\n]*)', 1)) END AS client_name, ['data', 'people'] AS domain_categories FROM r""")
+@query("parse_preview", f"""WITH r AS (SELECT doc_id, text, source, lower('Summary: ' || replace(text, chr(10), ' ') || chr(10) || CASE WHEN doc_id % 3 = 1 THEN 'client_name: ' || source || chr(10) || 'meeting_purpose: N/A' || chr(10) || 'key_topics: Plans, ' || lang || chr(10) || '- More'
+   ELSE 'client_name: None' || chr(10) || 'meeting_purpose: Review of ' || source END || chr(10) || 'domain_categories: Data, People, other' || CASE WHEN doc_id % 3 = 1 THEN chr(10) || 'participants: - Anna,' || chr(10) || 'Bob, , Cy' ELSE '' END) AS low FROM documents)
+ SELECT doc_id, {_p3.format("text", _line_of("summary"), _line_of("summary"))} AS summary, {_p3.format("CASE WHEN doc_id % 2 = 0 THEN source END", _null(_line_of("client_name")), _null(_line_of("client_name")))} AS client_name, {_p3.format("'Review'", _null(_line_of("meeting_purpose")), _null(_line_of("meeting_purpose")))} AS meeting_purpose,
+  {_p3.format("['A b', source]", _parts("string_split(" + _after("key_topics") + ", 'domain_categories:')[1]"), "[]::VARCHAR[]")} AS key_topics, {_p3.format("['Other']", "['data', 'people']", "['data', 'people']")} AS domain_categories,
+  {_p3.format("['Anna']", _parts(_after("participants")), "[]::VARCHAR[]")} AS participants FROM r""")
 def parse_preview(spark, sf_dir):
-    client = F.when(F.col("doc_id") % 3 == 0, "N/A").otherwise(F.col("source"))
-    reply = F.concat(F.lit("Summary: "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\nclient_name: "), client, F.lit("\ndomain_categories: Data, People, other"))
-    rows = load(spark, sf_dir, "documents").select("doc_id", reply.alias("response"))
-    field = lambda n: E.preview_field(F.col("response"), n)
-    domains = X.domain_filter(E.split_list(field("domain_categories"), ","))
-    return rows.select("doc_id", field("summary").alias("summary"), field("client_name").alias("client_name"), domains.alias("domain_categories"))
+    """Replies in JSON, labelled, and labelled with fields missing."""
+    i, client = F.col("doc_id") % 3, F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    given = F.to_json(F.struct(F.col("text").alias("summary"), client.alias("client_name"), F.lit("Review").alias("meeting_purpose"), F.array(F.lit("A b"), F.col("source")).alias("key_topics"), F.array(F.lit("Other")).alias("domain_categories"), F.lit("Anna").alias("participants")))
+    head, tail = F.concat(F.lit("Summary: "), F.replace("text", F.lit("\n"), F.lit(" "))), F.lit("\ndomain_categories: Data, People, other")
+    whole = F.concat(head, F.lit("\nclient_name: "), "source", F.lit("\nmeeting_purpose: N/A\nkey_topics: Plans, "), "lang", F.lit("\n- More"), tail, F.lit("\nparticipants: - Anna,\nBob, , Cy"))
+    reply = F.when(i == 0, given).when(i == 1, whole).otherwise(F.concat(head, F.lit("\nclient_name: None\nmeeting_purpose: Review of "), "source", tail))
+    return load(spark, sf_dir, "documents").select("doc_id", E.parsed_preview(reply).alias("p")).select("doc_id", "p.*")
 
 
 _ITEM = "struct<title:string,severity:string>"
@@ -305,26 +322,29 @@ def summary_report(spark, sf_dir):
     return g.select("doc_id", text.alias("report"))
 
 
-_blocks = "SELECT doc_id, {g} AS grp, string_agg({line}, chr(10) ORDER BY {o}) AS lines, count(*) AS n FROM {v} GROUP BY ALL"
-_whole = "SELECT doc_id, {head} || string_agg('### ' || grp || ' (' || n || ')' || chr(10) || lines, chr(10) || chr(10) ORDER BY grp) AS report FROM ({b}) GROUP BY doc_id"
+_nth = "list_position(['high', 'medium', 'low'], lower(coalesce(severity, '')))"
+_summed = "SELECT doc_id, 'Analysis identified ' || count(*) || ' items across ' || count(DISTINCT category) || ' categories.' AS summary FROM {v} GROUP BY doc_id"
 
 
-_line = "'- ' || title || ' [' || coalesce(severity, 'Unknown') || ']'"
-_priority = f"'Priority ' || (4 - {_rank}) || ': ' || coalesce(severity, 'Unknown')"
-_form = f"CASE doc_id % 3 WHEN 0 THEN category WHEN 1 THEN {_priority} ELSE 'All' END"
+def _pass_sql(title, form, v, author="speaker"):
+    """CTEs and statement of a pass's reports over the items of a table."""
+    gap = "chr(10) || chr(10)"
+    return f"""pr AS (SELECT *, {form} AS form, coalesce({_nth}, 0) AS lv, coalesce(category, 'Uncategorized') AS cat FROM {v}),
+ pb AS (SELECT doc_id, CASE WHEN form <> 'priority' THEN 0 WHEN lv > 0 THEN lv ELSE 4 END AS k, CASE form WHEN 'priority' THEN CASE WHEN lv > 0 THEN ['High', 'Medium', 'Low'][lv] || ' priority items' ELSE 'Items of other priority' END WHEN 'category' THEN cat END AS block,
+  count(*) AS n, string_agg(concat_ws({gap}, CASE WHEN form = 'flat' THEN '### ' ELSE '#### ' END || coalesce(title, 'Untitled item'), CASE WHEN form <> 'category' THEN '**Category**: ' || cat END, '**Raised by**: ' || nullif({author}, ''), coalesce(description, 'No description provided.'), '---'), {gap} ORDER BY item_id) AS lines FROM pr GROUP BY ALL),
+ pd AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS total, string_agg(concat_ws({gap}, '### ' || block || ' (' || n || ')', lines), {gap} ORDER BY k, block) AS body FROM pb GROUP BY doc_id),
+ pc AS (SELECT doc_id, string_agg('- **' || cat || '**: ' || n || ' items', chr(10) ORDER BY cat) AS counts FROM (SELECT doc_id, cat, count(*) AS n FROM pr GROUP BY ALL) GROUP BY doc_id)
+ SELECT doc_id, concat_ws({gap}, '# {title}', '## Summary' || chr(10) || summary, '## Categories' || chr(10) || counts, '## Identified items (' || total || ')', body) AS report FROM pd JOIN pc USING (doc_id) LEFT JOIN su USING (doc_id)"""
 
 
-def _by_priority(order):
-    rank = A.priority(F.col("severity"), order)
-    return F.concat(F.lit("Priority "), (4 - rank).cast("string"), F.lit(": "), F.coalesce("severity", F.lit("Unknown")))
+_form = "CASE doc_id % 3 WHEN 0 THEN 'category' WHEN 1 THEN 'priority' ELSE 'flat' END"
 
 
-@query("pass_report", f"SELECT doc_id, '# Issues' || chr(10) || total || ' items' || chr(10) || 'Categories: ' || names || substr(report, 1) AS report FROM ({_whole.format(head='chr(10) || chr(10)', b=_blocks.format(g=_form, line=_line, o='item_id', v='items'))}) JOIN (SELECT doc_id, count(*) AS total, string_agg(DISTINCT category, ', ' ORDER BY category) AS names FROM items GROUP BY doc_id) USING (doc_id)", "items")
+@query("pass_report", f"WITH su AS ({_summed.format(v='items')}), {_pass_sql('Issues', _form, 'items')}", "items")
 def pass_report(spark, sf_dir):
-    line = F.concat(F.lit("- "), "title", F.lit(" ["), F.coalesce("severity", F.lit("Unknown")), F.lit("]"))
-    # by category, by priority or flat
-    form = F.when(F.col("doc_id") % 3 == 0, F.col("category")).when(F.col("doc_id") % 3 == 1, _by_priority(ORDER)).otherwise("All")
-    return R.pass_report(load(spark, sf_dir, "items").withColumn("form", form), "Issues", "form", line)
+    """Reports by category, by priority or flat, as the document goes."""
+    form = F.when(F.col("doc_id") % 3 == 0, "category").when(F.col("doc_id") % 3 == 1, "priority").otherwise("flat")
+    return R.pass_report(load(spark, sf_dir, "items"), "Issues", form, QUERIES["default_summary_line"](spark, sf_dir))
 
 
 @query("collection_report", "SELECT collection_id, '# Collection of ' || count(*) || ' documents' || chr(10) || chr(10) || string_agg('## ' || coalesce(company, title, 'Document ' || doc_id) || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS report FROM calls GROUP BY collection_id", "calls")
@@ -380,7 +400,7 @@ _told = "SELECT doc_id, item_id, category, regexp_replace(title, '[^A-Za-z ]', '
 _custom = _kept.replace("FROM items", "FROM p").replace("WITH RECURSIVE o AS", f"WITH RECURSIVE p AS ({_told}), o AS") + ", kept AS (SELECT p.* FROM p JOIN l ON p.item_id = l.x.i)"
 
 
-@query("custom_pass", f"{_custom} SELECT doc_id, '# Opportunities' || chr(10) || total || ' items' || chr(10) || 'Categories: ' || names || report AS report FROM ({_whole.format(head='chr(10) || chr(10)', b=_blocks.format(g=_priority, line=_line, o='item_id', v='kept'))}) JOIN (SELECT doc_id, count(*) AS total, string_agg(DISTINCT category, ', ' ORDER BY category) AS names FROM kept GROUP BY doc_id) USING (doc_id)", "items")
+@query("custom_pass", _custom + f", su AS ({_summed.format(v='kept')}), " + _pass_sql("Opportunities", "'priority'", "kept", "NULL"), "items")
 def custom_pass(spark, sf_dir):
     """A configuration alone: prompts, parsing, ranking, removal of near-equal items, report."""
     config = {"pass_type": "opportunity", "purpose": "Find opportunities.", "item_key": "opportunities", "title": "Opportunities", "order": ORDER, "schema": "struct<title:string,severity:string,description:string>"}
@@ -391,8 +411,8 @@ def custom_pass(spark, sf_dir):
     answers = rows.select("item_id", reply.alias("response"))
     items = asked.join(answers, "item_id").select("doc_id", "item_id", "category", F.inline(E.parsed_items(F.col("response"), config["item_key"], config["schema"])))
     kept = S.deduped(items, A.priority(F.col("severity"), config["order"]))
-    line = F.concat(F.lit("- "), "title", F.lit(" ["), F.coalesce("severity", F.lit("Unknown")), F.lit("]"))
-    return R.pass_report(kept.withColumn("form", _by_priority(config["order"])), config["title"], "form", line)
+    told = kept.groupBy("doc_id").agg(F.format_string("Analysis identified %d items across %d categories.", F.count(F.lit(1)), F.count_distinct("category")).alias("summary"))
+    return R.pass_report(kept, config["title"], F.lit("priority"), told)
 
 
 @query("decode_text", "SELECT doc_id, text FROM documents")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from marginalia.operators import report
 from marginalia.sources import files, reports
 
 
@@ -33,3 +34,18 @@ def test_attempts(tmp_path, uri):
     again.write(iter(rows))
     again.abort([None])
     assert sorted(p.name for p in tmp_path.glob("*/*")) == ["a.md", "b.md"]
+
+
+def test_pass_report(spark):
+    """Levels without case in one block, others last; a summary only where there is one; standing texts for what is missing."""
+    rows = [(1, 3, "c", "third", "B", "low", None), (1, 1, "a", "first", "A", "Low", "Eve"), (1, 2, None, None, None, None, ""), (1, 4, "d", "fourth", "A", "HIGH", None), (2, 5, "e", "fifth", "A", "odd", None)]
+    items = spark.createDataFrame(rows, "doc_id long, item_id long, title string, description string, category string, severity string, speaker string").withColumn("n", F.lit(1)).withColumn("form", F.lit("own"))
+    told = spark.createDataFrame([(1, "All told.")], "doc_id long, summary string")
+    made = lambda form: {r.doc_id: r.report for r in report.pass_report(items, "Issues", F.lit(form), told).collect()}
+    got = made("priority")
+    assert [x for x in got[1].split("\n") if x.startswith("#")] == ["# Issues", "## Summary", "## Categories", "## Identified items (4)", "### High priority items (1)", "#### d", "### Low priority items (2)", "#### a", "#### c", "### Items of other priority (1)", "#### Untitled item"]
+    assert "- **A**: 2 items\n- **B**: 1 items\n- **Uncategorized**: 1 items" in got[1] and got[1].count("**Raised by**") == 1 and "No description provided." in got[1]
+    assert "## Summary" not in got[2] and "### Items of other priority (1)" in got[2]
+    assert [x for x in made("category")[1].split("\n") if x.startswith("### ")] == ["### A (2)", "### B (1)", "### Uncategorized (1)"]
+    assert [x for x in made("flat")[1].split("\n") if x.startswith("### ")] == ["### a", "### Untitled item", "### c", "### d"]
+    assert report.pass_report(items.limit(0), "Issues", F.lit("flat"), told).count() == 0
