@@ -3,6 +3,18 @@
 SECTION_STOP = "the and for that this are with was they have from has been were summary section document also which their there".split()
 COLLECTION_STOP = "the and for that this are with was they have from has been were summary also which their there".split()
 EXTRA_STOP = "would could should think going know like just call yeah um uh okay one thing way good right want say well time get go see look make lot kind really".split()
-ENGLISH_STOP = "a about after all also an and any are as at be because been before being but by can did do does for from had has have he her him his how i if in into is it its me more most my no not of on only or other our out over she so some such than that the their them then there these they this those to too under until up very was we were what when where which while who why will with you your".split()
+#: The English list of Spark's StopWordsRemover.
+ENGLISH_STOP = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+herself it its itself they them their theirs themselves what which who whom this that these those am is are
+was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after above below to
+from up down in out on off over under again further then once here there when where why how all
+any both each few more most other some such no nor not only own same so than too very s
+t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm
+you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't
+won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+""".split()
 COMMIT_TERMS = ["will", "should", "must", "with", "for"]
 LEVELS = ["Initial", "Developing", "Defined", "Managed", "Optimized"]

@@ -106,9 +106,13 @@ def merge_tree(rows: DataFrame, budget: int, sep: str = " | ") -> DataFrame:
     return out
 
 
-def key_sections(chunks: DataFrame) -> DataFrame:
-    """First, last and, of more than three, the middle chunk."""
-    n = F.count(F.lit(1)).over(W.Window.partitionBy("doc_id"))
-    rows = chunks.withColumn("n", n)
+def key_sections(chunks: DataFrame, whole: int = 0) -> DataFrame:
+    """(doc_id, chunk_index, text) of the first, the last and, of more than three, the middle chunk of a document; a document
+    of under ``whole`` characters gives one row instead, its whole text, chunks joined by a line feed, as chunk 0. Null texts are empty."""
+    doc = W.Window.partitionBy("doc_id")
+    rows = chunks.select("doc_id", "chunk_index", F.coalesce("text", F.lit("")).alias("text")).withColumns({"n": F.count(F.lit(1)).over(doc), "size": F.sum(F.length("text") + 1).over(doc) - 1})
     i = F.col("chunk_index")
-    return rows.where((i == 0) | (i == F.col("n") - 1) | ((F.col("n") > 3) & (i == F.floor(F.col("n") / 2)))).drop("n")
+    key = (i == 0) | (i == F.col("n") - 1) | ((F.col("n") > 3) & (i == F.floor(F.col("n") / 2)))
+    rows = rows.where((F.col("size") < whole) | key)
+    at = F.when(F.col("size") < whole, 0).otherwise(i).alias("chunk_index")
+    return rows.groupBy("doc_id", at).agg(F.expr("listagg(text, '\n') within group (order by chunk_index)").alias("text"))

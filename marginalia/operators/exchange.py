@@ -145,7 +145,7 @@ def parsed_preview(response: Column) -> Column:
     """The six fields of a preview: from the reply's JSON object as it says, else from its labelled lines in lower case, where null, none
     and n/a are no value and categories are those that hold a known domain.
 
-    Labelled lists run from their label to the next list's, so over several lines; only a mark at their start or right after a comma
+    Labelled lists run from their label to the next list's, so over several lines; only a mark right after the label or a comma
     goes. Missing texts are null but for the summary, which is then empty; missing lists are empty. A null reply gives null.
     """
     found, low = json_of(response), F.lower(response)
@@ -192,9 +192,17 @@ def bullets(text: Column) -> Column:
     return F.transform(found, lambda x: F.trim(x))
 
 
-def batched_parts(reply: Column, marker: str = "## SUMMARY FOR SECTION ") -> Column:
+#: Marks of the sections of a combined reply, the second where a reply has none of the first.
+MARKS = ["## SUMMARY FOR SECTION ", "SECTION "]
+
+
+def batched_parts(reply: Column) -> Column:
     """Parts of a combined reply, after each numbered marker."""
-    return F.transform(F.filter(F.split(reply, f"(?={marker}\\d+)"), lambda x: F.startswith(x, F.lit(marker))), lambda x: F.trim(F.regexp_replace(x, f"^{marker}\\d+", "")))
+
+    def cut_at(marker: str) -> Column:
+        return F.transform(F.filter(F.split(reply, f"(?={marker}\\d+)"), lambda x: F.regexp_like(x, F.lit(f"^{marker}\\d"))), lambda x: F.trim(F.regexp_replace(x, f"^{marker}\\d+", "")))
+
+    return F.when(F.regexp_like(reply, F.lit(MARKS[0] + r"\d")), cut_at(MARKS[0])).otherwise(cut_at(MARKS[1]))
 
 
 def split_batched(asked: DataFrame) -> DataFrame:

@@ -302,7 +302,9 @@ def parse_validation(spark, sf_dir):
 
 @query("split_batched", "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN CAST(chunk_index AS INTEGER) END AS part, CASE WHEN doc_id % 5 <> 0 THEN regexp_replace(summary, '^\\s+|\\s+$', '', 'g') END AS summary, doc_id % 5 = 0 AS requeue FROM annotations WHERE doc_id % 5 <> 0 OR chunk_index = 0", "annotations")
 def split_batched(spark, sf_dir):
-    rows = load(spark, sf_dir, "annotations").withColumn("line", F.concat(F.lit("## SUMMARY FOR SECTION "), F.col("chunk_index").cast("string"), F.lit("\n"), "summary"))
+    """Every third document's reply has the shorter markers."""
+    mark = F.when(F.col("doc_id") % 3 == 0, E.MARKS[1]).otherwise(E.MARKS[0])
+    rows = load(spark, sf_dir, "annotations").withColumn("line", F.concat(mark, F.col("chunk_index").cast("string"), F.lit("\n"), "summary"))
     # replies of every fifth document lack their first section
     reply = E.joined_text(rows.where("doc_id % 5 <> 0 OR chunk_index > 0"), "doc_id", "line", "chunk_index", "\\n")
     asked = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(reply, "doc_id", "left")

@@ -125,9 +125,14 @@ def tiered_summary(spark, sf_dir):
     return tree.withColumn("top", top).where("top = 1").select("doc_id", F.col("level").alias("levels"), F.col("text").alias("summary"))
 
 
-@query("key_section_sample", "SELECT doc_id, chunk_index, summary AS text FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM annotations) WHERE chunk_index = 0 OR chunk_index = n - 1 OR (n > 3 AND chunk_index = n // 2)", "annotations")
+WHOLE = 2000  # characters below which a text is its own sample
+
+
+@query("key_section_sample", f"""WITH s AS (SELECT doc_id, chunk_index, summary, count(*) OVER (PARTITION BY doc_id) AS n, sum(length(summary) + 1) OVER (PARTITION BY doc_id) - 1 AS size FROM annotations)
+ SELECT doc_id, chunk_index, summary AS text FROM s WHERE size >= {WHOLE} AND (chunk_index = 0 OR chunk_index = n - 1 OR (n > 3 AND chunk_index = n // 2))
+ UNION ALL SELECT doc_id, 0, string_agg(summary, chr(10) ORDER BY chunk_index) FROM s WHERE size < {WHOLE} GROUP BY doc_id""", "annotations")
 def key_section_sample(spark, sf_dir):
-    return A.key_sections(_chunks(spark, sf_dir))
+    return A.key_sections(_chunks(spark, sf_dir), WHOLE)
 
 
 _k = "k AS (SELECT doc_id, chunk_index, position, importance, unnest(keywords) AS keyword, generate_subscripts(keywords, 1) AS ix FROM annotations)"

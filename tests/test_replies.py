@@ -61,3 +61,37 @@ def test_section(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, answer string")
     got = [r["a"]["next_steps"] for r in df.select("i", E.parsed_section(F.col("answer")).alias("a")).orderBy("i").collect()]
     assert got == ["write", "a; b", "call; write", ""]
+
+
+#: reply, (summary, client_name, meeting_purpose, key_topics, domain_categories, participants)
+PREVIEWS = [
+    ('{"summary":"S","client_name":null,"key_topics":["A"],"participants":"Bo, Cy"}', ("S", None, None, ["A"], [], ["Bo", "Cy"])),
+    ('Of course: {"summary":"S","domain_categories":["Odd"]} so.', ("S", None, None, [], ["Odd"], [])),
+    ("{}", ("", None, None, [], [], [])),
+    ("Summary: It Is\nclient_name: N/A\nmeeting_purpose: none\nkey_topics: One, two\nthree, , \ndomain_categories: Data, other\nparticipants: - Bo,- Cy", ("it is", None, None, ["one", "two", "three"], ["data"], ["- bo", "cy"])),
+    ("client_name: Acme\nparticipants:\n- Bo\n- Cy", ("", "acme", None, [], [], ["- bo", "- cy"])),
+    ("summary: none\nmeeting_purpose:\nkey_topics: x", ("none", None, None, ["x"], [], [])),
+    ("", ("", None, None, [], [], [])),
+    (None, None),
+]
+
+
+def test_previews(spark):
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(PREVIEWS)], "i int, answer string")
+    got = [tuple(r["p"]) if r["p"] else None for r in df.select("i", E.parsed_preview(F.col("answer")).alias("p")).orderBy("i").collect()]
+    assert got == [want for _, want in PREVIEWS]
+
+
+def test_sections_of_a_combined_reply(spark):
+    replies = ["x\n## SUMMARY FOR SECTION 1\na SECTION 9\n## SUMMARY FOR SECTION 2\nb", "SECTION 1\na\nSECTION 2: b", "SECTION one", ""]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "doc_id int, body string")
+    got = [[x.strip() for x in r["p"]] for r in df.select("doc_id", E.batched_parts(F.col("body")).alias("p")).orderBy("doc_id").collect()]
+    assert got == [["a SECTION 9", "b"], ["a", ": b"], [], []]
+
+
+def test_standard_stopwords(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from marginalia.functions.lists import ENGLISH_STOP
+
+    assert sorted(ENGLISH_STOP) == sorted(StopWordsRemover.loadDefaultStopWords("english"))
