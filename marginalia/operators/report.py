@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def section(title: str, body: Column) -> Column:
     """A headed section; null, and so left out by concat_ws, without a body."""
@@ -19,6 +21,43 @@ def bullet_list(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
 
 
+def information(text: Column) -> Column:
+    """Size of a text as lines: characters, words and, where it has any, speakers. A null text counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.when(F.regexp_like(text, F.lit(r"\S")), F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))).otherwise(0)
+    who = X.bound(F.size(X.speakers(text)), lambda n: F.when(n > 0, F.concat(F.lit("- Speakers: "), F.format_number(n, 0))))
+    return F.concat_ws("\n", F.concat(F.lit("- Characters: "), F.format_number(F.length(text), 0)), F.concat(F.lit("- Words: "), F.format_number(words, 0)), who)
+
+
+#: Kinds of collections as a report names them.
+KINDS = {"earnings_calls_multi_company": "Comparison of companies", "earnings_calls_sequential": "Development of a company"}
+TOGETHER = "Documents together"
+
+
+def collection_report(rows: DataFrame) -> DataFrame:
+    """(collection_id, report) over documents (collection_id, doc_id, collection_type, company, label, place, text, actions): how
+    they were taken, whom or what they cover by the type of the collection, all action items, each whole text under its label.
+
+    Documents come by place, then id. Null labels are the ids, null texts and lists of actions empty; a collection without
+    actions has no section of them. Types not known are taken together.
+    """
+    label = F.coalesce("label", F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
+    rows = rows.withColumns({"label": label, "acts": F.nullif(bullet_list(F.col("actions")), F.lit("")), "block": F.concat(F.lit("### "), label, F.lit("\n"), F.coalesce("text", F.lit("")))})
+    listed = lambda c, sep: F.expr(f"listagg({c}, '{sep}') within group (order by place, doc_id)").alias(c)
+    g = rows.groupBy("collection_id").agg(
+        F.min("collection_type").alias("kind"), F.min("company").alias("company"), F.count(F.lit(1)).alias("n"),
+        listed("label", ", "), listed("acts", "\\n"), listed("block", "\\n\\n---\\n\\n"),
+    )
+    kind, named = F.col("kind"), F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+    covers = F.when(kind == "earnings_calls_multi_company", "Companies: ").when(kind == "earnings_calls_sequential", "Periods: ").otherwise("Titles: ")
+    known = F.concat_ws(
+        "\n", F.concat(F.lit("Analysis: "), F.coalesce(F.element_at(named, kind), F.lit(TOGETHER))), F.when(kind == "earnings_calls_sequential", F.concat(F.lit("Company: "), "company")),
+        F.concat(covers, "label"), F.concat(F.lit("Documents: "), F.col("n").cast("string")),
+    )
+    title = F.concat(F.lit("Collection "), F.coalesce(F.col("collection_id").cast("string"), F.lit("-")))
+    return g.select("collection_id", document(title, section("Analysis information", known), section("Action items", F.col("acts")), section("Documents", F.col("block"))).alias("report"))
+
+
 #: Levels with a block of their own in reports by priority, compared without case.
 LEVELS = ["High", "Medium", "Low"]
 

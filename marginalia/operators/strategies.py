@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.breaks import sized
 from .annotate import sentences
-from .report import document
+from .report import document, information
 
 #: A strategy: pieces (s, e, kind) of a text of a given length.
 Strategy = Callable[[Column, Column], Column]
@@ -56,14 +56,12 @@ def comparison_report(docs: DataFrame, strategies: dict[str, Strategy]) -> DataF
     """(doc_id, report): size and speakers of a document, a table of its strategies, the summary of each. Every report is made
     in its own row, without a shuffle. A null text counts as empty; times of models have no place here."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.size(X.speakers(F.col("text"))).alias("who"), results(F.col("text"), strategies).alias("r"))
+    rows = rows.select("doc_id", "text", results(F.col("text"), strategies).alias("r"))
     comma = lambda x: F.format_number(x, 0)
-    words = F.when(F.regexp_like("text", F.lit(r"\S")), F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "))).otherwise(0)
-    known = F.concat_ws("\n", F.concat(F.lit("- Characters: "), comma(F.length("text"))), F.concat(F.lit("- Words: "), comma(words)), F.when(F.col("who") > 0, F.concat(F.lit("- Speakers: "), comma(F.col("who")))))
     line = lambda r: F.concat(F.lit("| "), r["strategy"], F.lit(" | "), comma(r["divisions"]), F.lit(" | "), comma(F.length(r["summary"])), F.lit(" chars |"))
     table = F.concat(F.lit("| Strategy | Divisions | Summary length |\n|---|---|---|\n"), F.array_join(F.transform("r", line), "\n"))
     part = lambda r: F.concat(F.lit("### "), F.initcap(r["strategy"]), F.lit(" strategy\n"), F.when(r["summary"] == "", NONE).otherwise(r["summary"]))
     parts = F.array_join(F.transform("r", part), "\n\n---\n\n")
     head = lambda t, body: F.concat(F.lit(f"## {t}\n"), body)
     title = F.concat(F.lit("Comparison "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    return rows.select("doc_id", document(title, head("Document information", known), head("Strategy comparison", table), head("Strategy summaries", parts)).alias("report"))
+    return rows.select("doc_id", document(title, head("Document information", information(F.col("text"))), head("Strategy comparison", table), head("Strategy summaries", parts)).alias("report"))

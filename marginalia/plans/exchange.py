@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as X
+from ..functions.breaks import sized
 from ..operators import actions as A
 from ..operators import annotate as N
 from ..operators import apply as U
+from ..operators import divide as D
 from ..operators import exchange as E
 from ..operators import report as R
 from ..operators import similar as S
@@ -22,7 +24,9 @@ from ..sources.scratch import scratch
 from ..streaming import arrivals as ST
 from ..views import load
 from . import profile  # noqa: F401
+from .division import TOKENS, _essential_sql
 from .items import ORDER, _kept
+from .notes import _acts, _count, _named
 
 def _case(col, table, default=""):
     return f"CASE {col} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items()) + f" ELSE {q(default)} END"
@@ -159,23 +163,28 @@ _BETWEEN = chr(10) * 2 + "===== NEXT =====" + chr(10) * 2
 _ACTIONS = "List the action items of this document, with owner and date where named." + chr(10) * 2
 _form_sql = lambda i: "CASE collection_type " + " ".join(f"WHEN {q(k)} THEN {q(v[i])}" for k, v in _FORMS.items()) + " END"
 _told_sql = f"""WITH {", ".join(f"{n} AS ({BODY[n]})" for n in ("collection_type", "company_name", "period_label", "title_label", "chronological"))},
- r AS (SELECT c.collection_id, c.doc_id, c.text, collection_type, CASE collection_type WHEN 'earnings_calls_multi_company' THEN n.company WHEN 'earnings_calls_sequential' THEN p.period ELSE t.title END AS label,
+ r AS (SELECT c.collection_id, c.doc_id, c.text, collection_type, n.company, CASE collection_type WHEN 'earnings_calls_multi_company' THEN n.company WHEN 'earnings_calls_sequential' THEN p.period ELSE t.title END AS label,
   CASE WHEN collection_type = 'earnings_calls_sequential' THEN o.place ELSE c.doc_id END AS k FROM calls c JOIN collection_type USING (collection_id) JOIN company_name n USING (doc_id) JOIN period_label p USING (doc_id) JOIN title_label t USING (doc_id) JOIN chronological o USING (doc_id)),
  a AS (SELECT collection_id, NULL::BIGINT AS doc_id, 'collection' AS kind, any_value({_form_sql(0)}) || ' (' || string_agg(label, ', ' ORDER BY k) || ')' || {q(chr(10) * 2)} || string_agg({_form_sql(1)} || label || {q(chr(10) * 2)} || text, {q(_BETWEEN)} ORDER BY k) AS prompt FROM r GROUP BY collection_id
   UNION ALL SELECT collection_id, doc_id, 'actions', {q(_ACTIONS)} || label || chr(10) || substr(text, 1, 8000) FROM r)"""
 
 
-@query("collection_prompts", _told_sql + " SELECT *, md5(prompt) AS prompt_key FROM a", "calls")
-def collection_prompts(spark, sf_dir):
-    """One prompt a collection, in the form of its type over its documents' whole texts, by company, period
-    or title, and one a document for its actions, from its first 8,000 characters."""
+def _labelled_calls(spark, sf_dir):
+    """Documents of collections with their type, label and place in it."""
     made = lambda name: QUERIES[name](spark, sf_dir)
     rows = load(spark, sf_dir, "calls").select("collection_id", "doc_id", "text").join(made("collection_type").select("collection_id", "collection_type"), "collection_id")
     for name, column in (("company_name", "company"), ("period_label", "period"), ("title_label", "title"), ("chronological", "place")):
         rows = rows.join(made(name).select("doc_id", column), "doc_id")
     kind = F.col("collection_type")
     label = F.when(kind == "earnings_calls_multi_company", F.col("company")).when(kind == "earnings_calls_sequential", F.col("period")).otherwise(F.col("title"))
-    rows = rows.withColumns({"label": label, "k": F.when(kind == "earnings_calls_sequential", F.col("place")).otherwise(F.col("doc_id"))})
+    return rows.withColumns({"label": label, "k": F.when(kind == "earnings_calls_sequential", F.col("place")).otherwise(F.col("doc_id"))})
+
+
+@query("collection_prompts", _told_sql + " SELECT *, md5(prompt) AS prompt_key FROM a", "calls")
+def collection_prompts(spark, sf_dir):
+    """One prompt a collection, in the form of its type over its documents' whole texts, by company, period
+    or title, and one a document for its actions, from its first 8,000 characters."""
+    rows, kind = _labelled_calls(spark, sf_dir), F.col("collection_type")
     form = lambda i: E.lookup(kind, {k: v[i] for k, v in _FORMS.items()})
     rows = rows.withColumns({"task": form(0), "block": F.concat(form(1), "label", F.lit("\n\n"), "text")})
     listed = lambda c, sep: F.expr(f"listagg({c}, '{sep}') within group (order by k)")
@@ -349,17 +358,31 @@ def pass_report(spark, sf_dir):
     return R.pass_report(load(spark, sf_dir, "items"), "Issues", form, QUERIES["default_summary_line"](spark, sf_dir))
 
 
-@query("collection_report", "SELECT collection_id, '# Collection of ' || count(*) || ' documents' || chr(10) || chr(10) || string_agg('## ' || coalesce(company, title, 'Document ' || doc_id) || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS report FROM calls GROUP BY collection_id", "calls")
+_kind = "CASE any_value(collection_type) " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in R.KINDS.items()) + f" ELSE {q(R.TOGETHER)} END"
+
+
+@query("collection_report", _told_sql + f""", l AS (SELECT *, CASE WHEN collection_type = 'earnings_calls_sequential' THEN company || ' ' || label ELSE label END AS name, nullif(array_to_string(list_transform({_acts("text")}, lambda x: '- ' || x), chr(10)), '') AS acts FROM r),
+ g AS (SELECT collection_id, concat_ws(chr(10), 'Analysis: ' || {_kind}, CASE WHEN any_value(collection_type) = 'earnings_calls_sequential' THEN 'Company: ' || min(company) END,
+   CASE any_value(collection_type) WHEN 'earnings_calls_multi_company' THEN 'Companies: ' WHEN 'earnings_calls_sequential' THEN 'Periods: ' ELSE 'Titles: ' END || string_agg(name, ', ' ORDER BY k, doc_id), 'Documents: ' || count(*)) AS known,
+  string_agg(acts, chr(10) ORDER BY k, doc_id) AS acts, string_agg('### ' || name || chr(10) || text, {q(chr(10) * 2 + "---" + chr(10) * 2)} ORDER BY k, doc_id) AS body FROM l GROUP BY collection_id)
+ SELECT collection_id, concat_ws(chr(10) || chr(10), '# Collection ' || collection_id, '## Analysis information' || chr(10) || known, '## Action items' || chr(10) || acts, '## Documents' || chr(10) || body) AS report FROM g""", "calls")
 def collection_report(spark, sf_dir):
-    rows = load(spark, sf_dir, "calls").withColumn("block", F.concat(F.lit("## "), F.coalesce("company", "title", F.concat(F.lit("Document "), F.col("doc_id").cast("string"))), F.lit("\n"), "text"))
-    g = rows.groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"), F.expr("listagg(block, '\\n\\n') within group (order by doc_id)").alias("body"))
-    return g.select("collection_id", F.concat(F.format_string("# Collection of %d documents\n\n", "n"), "body").alias("report"))
+    rows = _labelled_calls(spark, sf_dir)
+    label = F.when(F.col("collection_type") == "earnings_calls_sequential", F.concat_ws(" ", "company", "label")).otherwise(F.col("label"))
+    return R.collection_report(rows.withColumns({"label": label, "place": F.col("k"), "actions": N.actions(F.col("text"))}))
 
 
-@query("single_report", "SELECT doc_id, concat_ws(chr(10), '# Document ' || doc_id, 'Language: ' || lang, 'Source: ' || source, 'Characters: ' || format('{:,}', length(text)), 'Processed: ' || len(string_split(text, chr(10))) || ' lines', text) AS report FROM documents")
+@query("single_report", f"""WITH c AS (SELECT doc_id, count(*) AS k FROM ({_essential_sql("documents", 1)}) GROUP BY doc_id), x AS (SELECT *, array_to_string(list_transform({_acts("text")}, lambda x: '- ' || x), chr(10)) AS acts FROM documents)
+ SELECT doc_id, concat_ws(chr(10) || chr(10), '# Document ' || doc_id, '## Document information' || chr(10) || concat_ws(chr(10), '- Characters: ' || {_count("length(text)")}, '- Words: ' || {_count("len(string_split(trim(regexp_replace(text, '[[:space:]]+', ' ', 'g')), ' '))")}, CASE WHEN {_named} > 0 THEN '- Speakers: ' || {_count(_named)} END, '- Language: ' || lang, '- Source: ' || source),
+  '## Processing information' || chr(10) || '- Strategy: essential' || chr(10) || '- Divisions: ' || coalesce(k, 0), '## Text' || chr(10) || nullif(text, ''), '## Action items' || chr(10) || nullif(acts, '')) AS report FROM x LEFT JOIN c USING (doc_id)""")
 def single_report(spark, sf_dir):
-    parts = [F.concat(F.lit("# Document "), F.col("doc_id").cast("string")), F.concat(F.lit("Language: "), "lang"), F.concat(F.lit("Source: "), "source"), F.concat(F.lit("Characters: "), F.format_number(F.length("text"), 0)), F.concat(F.lit("Processed: "), F.size(F.split("text", "\n")).cast("string"), F.lit(" lines")), F.col("text")]
-    return load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *parts).alias("report"))
+    """Size and origin of a document, how it was divided, its whole text, its actions; each made in its row."""
+    text = F.col("text")
+    rows = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.size(sized(text, lambda t, n: D.essential(t, n, 1, TOKENS))).alias("k"))
+    known = F.concat_ws("\n", R.information(text), F.concat(F.lit("- Language: "), "lang"), F.concat(F.lit("- Source: "), "source"))
+    how = F.concat(F.lit("- Strategy: essential\n- Divisions: "), F.greatest("k", F.lit(0)).cast("string"))
+    report = R.document(F.concat(F.lit("Document "), F.col("doc_id").cast("string")), R.section("Document information", known), R.section("Processing information", how), R.section("Text", text), R.section("Action items", R.bullet_list(N.actions(text))))
+    return rows.select("doc_id", report.alias("report"))
 
 
 @query("map_items", "SELECT item_id, substr(title, 1, 5) AS title, length(description) AS size FROM items", "items")

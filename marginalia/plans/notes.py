@@ -70,6 +70,13 @@ def chunk_importance(spark, sf_dir):
 _said = r"(^|\s)(" + "|".join(L.COMMIT_TERMS) + r")(\s|$)"
 
 
+def _acts(text):
+    """A text's actions: its bullet lines, else its sentences with a word of commitment."""
+    lines = f"list_transform(list_filter(string_split({text}, chr(10)), lambda x: regexp_matches(x, {q(A.BULLET)})), lambda x: regexp_replace(x, {q(A.BULLET)}, ''))"
+    said = f"list_filter(list_filter(string_split_regex({text}, '[.!?]+\\s+'), lambda x: x <> ''), lambda x: regexp_matches(lower(x), {q(_said)}))"
+    return f"CASE WHEN len({lines}) > 0 THEN {lines} ELSE {said} END"
+
+
 @query("chunk_actions", f"""SELECT doc_id, CASE WHEN len(b) > 0 THEN list_transform(b, lambda x: regexp_replace(x, {q(A.BULLET)}, '')) ELSE s END AS actions FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {q(A.BULLET)})) AS b,
  list_filter(list_filter(string_split_regex(text, '[.!?]+\\s+'), lambda x: x <> ''), lambda x: regexp_matches(lower(x), {q(_said)})) AS s FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, text FROM dossiers))""", "dossiers")
 def chunk_actions(spark, sf_dir):
