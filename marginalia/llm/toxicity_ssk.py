@@ -1,10 +1,12 @@
 """Toxicity by a support vector machine on a gapped-subsequence string kernel.
 
 Words are compared with landmark words by the normalised kernel of common subsequences of four
-letters, where gaps only damp a match, so inserted characters leave an insult close to itself.
-Its third power, a kernel as well, is summed over the words of a text; Nyström features of the
-landmarks' kernel matrix carry the sums and the closest words to a linear machine. It also
-learns from its toxic texts with signs inserted in the landmark words.
+letters, three for landmarks of three, where gaps only damp a match, so inserted characters
+leave an insult close to itself. The kernel and its square are summed over the words of a text;
+Nyström features of the landmarks' kernel matrices carry the sums to a linear machine, next to
+each landmark's closest word and how far words stand out of what is usual in clean texts. It also
+learns from its toxic texts with a single landmark word left, with and without letters inserted,
+and from clean texts joined to long ones.
 """
 
 from __future__ import annotations
@@ -24,11 +26,16 @@ from .common import Units, held_out
 #: Bounds of the labelled sample that the machine is fitted on: rows of each label, characters
 #: of a row and of a label's rows.
 TOXIC_ROWS, CLEAN_ROWS, ROW_CHARS, LABEL_CHARS = 1500, 3500, 500_000, 8_000_000
-LANDMARKS = 64
-#: Subsequence length, damping a letter of span, power of the kernel that is summed.
-LENGTH, DAMP, POWER = 4, np.float32(0.9), 3
-#: Training weight of a toxic text whose landmark words have one or two signs inserted.
-STRETCH = 0.3
+LANDMARKS, CANDIDATES = 64, 512
+#: Subsequence length, damping a letter of span, powers of the kernel that are summed.
+LENGTH, DAMP, POWERS = 4, np.float32(0.9), (1, 2)
+#: Training weight of a toxic text with one of its landmark words left, and the numbers of letters
+#: inserted in that.
+STRETCH, COPIES = 0.3, (0, 1, 2)
+#: Clean texts of one joined training text; weight of Nyström features.
+JOINED, NYSTROM = 16, 0.2
+#: A landmark's closest word stands out above the level that this share of clean texts keeps to.
+USUAL = 0.995
 #: Tokens over this many characters are read in windows that overlap by half.
 WINDOW = 32
 _token = re.compile(r"[^\s|,;:\"()<>/\[\]{}=+]+")
@@ -69,12 +76,12 @@ def codes(words: list[str], width: int) -> np.ndarray:
     return out
 
 
-def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+def kernel(s: np.ndarray, t: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Gapped-subsequence kernel of rows of ``s`` with the same rows of ``t`` (padded codes)."""
     n, ls, lt = len(s), s.shape[1], t.shape[1]
     same = [[((s[:, a] == t[:, b]) & (s[:, a] > 0)).astype(np.float32) * (DAMP * DAMP) for b in range(lt)] for a in range(ls)]
     before = np.ones((ls + 1, lt + 1, n), np.float32)
-    for _ in range(LENGTH - 1):
+    for _ in range(length - 1):
         now = np.zeros_like(before)
         for a in range(1, ls + 1):
             run = np.zeros(n, np.float32)
@@ -89,11 +96,11 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
-class Landmarks:
-    """Landmark words with their kernel matrix."""
+class Subsequences:
+    """Words that are compared with others by subsequences of one length."""
 
-    def __init__(self, words: list[str]):
-        self.words = words
+    def __init__(self, words: list[str], length: int):
+        self.words, self.length = words, length
         # for the longest common subsequence: the places of each letter in each word as bits
         letters = sorted(set("".join(words)))
         self.letter = {ord(c): i + 1 for i, c in enumerate(letters)}
@@ -104,27 +111,23 @@ class Landmarks:
         self.own = self.self_kernel(words)
         self.width = max(map(len, words), default=1)
         self.codes = codes(words, self.width)
-        k = self.dense(words) ** POWER
-        value, vector = np.linalg.eigh((k + k.T) / 2 + 1e-3 * np.eye(len(words)))
-        self.whiten = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
 
-    @staticmethod
-    def self_kernel(words: list[str]) -> np.ndarray:
+    def self_kernel(self, words: list[str]) -> np.ndarray:
         out, lens = np.zeros(len(words), np.float32), np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(lens):
             at = np.flatnonzero(lens == n)
             for c in range(0, len(at), 20_000):
                 x = codes([words[i] for i in at[c : c + 20_000]], int(n))
-                out[at[c : c + 20_000]] = kernel(x, x)
+                out[at[c : c + 20_000]] = kernel(x, x, self.length)
         return out
 
     def related(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(word, landmark) pairs whose longest common subsequence has ``LENGTH`` letters or more,
-        by the bit-parallel recurrence over all words and landmarks at once."""
+        """(word, own word) pairs whose longest common subsequence has ``length`` letters or more,
+        by the bit-parallel recurrence over all of both at once."""
         rows, cols = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         lens = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lens, kind="stable")
-        order = order[np.searchsorted(lens[order], LENGTH) :]
+        order = order[np.searchsorted(lens[order], self.length) :]
         full = np.array([(1 << len(w)) - 1 for w in self.words], np.uint64)
         for c in range(0, len(order), 4000):
             part = order[c : c + 4000]
@@ -135,15 +138,14 @@ class Landmarks:
             for t in range(x.shape[1]):
                 u = v & self.places[cls[:, t]]
                 v = (v + u) | (v - u)
-            i, j = np.nonzero(np.bitwise_count(~v & full) >= LENGTH)
+            i, j = np.nonzero(np.bitwise_count(~v & full) >= self.length)
             rows.append(part[i])
             cols.append(j)
         return np.concatenate(rows), np.concatenate(cols)
 
     def compare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, landmark, value): the normalised kernel where it isn't 0. It is 0 exactly where
-        no subsequence of ``LENGTH`` letters is common, so these pairs are not evaluated. Words
-        that are too short for a subsequence match only themselves."""
+        """(word, own word, value): the normalised kernel where it isn't 0. It is 0 exactly where
+        no subsequence of ``length`` letters is common, so these pairs are not evaluated."""
         rows, cols = self.related(words)
         used, place = np.unique(rows, return_inverse=True)
         picked = [words[i] for i in used]
@@ -155,13 +157,41 @@ class Landmarks:
             for c in range(0, len(at), 8192):
                 p = at[c : c + 8192]
                 some, each = np.unique(place[p], return_inverse=True)
-                k = kernel(codes([picked[i] for i in some], int(n))[each], self.codes[cols[p]])
+                k = kernel(codes([picked[i] for i in some], int(n))[each], self.codes[cols[p]], self.length)
                 value[p] = k / np.sqrt(own[place[p]] * self.own[cols[p]])
-        short = {w: j for j, w in enumerate(self.words) if len(w) < LENGTH}
-        same = [(i, short[w]) for i, w in enumerate(words) if w in short]
-        more = np.array(same, np.int64).reshape(-1, 2)
         keep = value > 0
-        return np.concatenate([rows[keep], more[:, 0]]), np.concatenate([cols[keep], more[:, 1]]), np.concatenate([value[keep], np.ones(len(more), np.float32)])
+        return rows[keep], cols[keep], value[keep]
+
+
+class Landmarks:
+    """Landmark words with their kernel matrices: those of three letters by subsequences of three
+    letters, all others by such of ``LENGTH``. Shorter words match only themselves."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        self.parts = []
+        for length, which in ((3, lens == 3), (LENGTH, lens >= LENGTH)):
+            at = np.flatnonzero(which)
+            if len(at):
+                self.parts.append((at, Subsequences([words[i] for i in at], length)))
+        self.short = {w: j for j, w in enumerate(words) if len(w) < 3}
+        k = self.dense(words)
+        apart = (lens[:, None] >= LENGTH) != (lens >= LENGTH)  # the two lengths are kernels apart
+        self.whiten = []
+        for p in POWERS:
+            value, vector = np.linalg.eigh(np.where(apart, 0, k**p + k.T**p) / 2 + 1e-3 * np.eye(len(words)))
+            self.whiten.append(vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T)
+
+    def compare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, landmark, value) where the normalised kernel isn't 0."""
+        same = [(i, self.short[w]) for i, w in enumerate(words) if w in self.short]
+        more = np.array(same, np.int64).reshape(-1, 2)
+        found = [(more[:, 0], more[:, 1], np.ones(len(more), np.float32))]
+        for at, part in self.parts:
+            rows, cols, values = part.compare(words)
+            found.append((rows, at[cols], values))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def dense(self, words: list[str]) -> np.ndarray:
         """Normalised kernel of each word with each landmark."""
@@ -204,31 +234,46 @@ class Machine:
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
-        self.weights, self.slope, self.shift = np.zeros(3 * len(landmarks.words) + 1), 0.0, -2.0
+        n = len(landmarks.words)
+        self.weights, self.slope, self.shift = np.zeros((2 * len(POWERS) + 3) * n + 1), 0.0, -2.0
+        #: Of each landmark's closest word: the level usual in clean texts, and what the landmark
+        #: itself has with two letters inserted.
+        self.usual, self.gapped = np.zeros(n), np.ones(n)
         self.key = hashlib.md5(repr(landmarks.words).encode()).hexdigest()
 
-    def features(self, found: list[list[str]], kept: Words) -> np.ndarray:
-        """Of texts as lists of words: damped totals and densities in the landmarks' whitened
-        space, each landmark's closest word, and a constant."""
+    def totals(self, found: list[list[str]], kept: Words) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Of texts as lists of words: their number, each landmark's sums of the powers of its
+        kernel values and of their ways from the usual level to the gapped one, and its closest
+        word's value."""
         kept.ready()
         new = list({w for ws in found for w in ws} - kept.keys())
         kept.learn(new)
         n = np.fromiter(map(len, found), np.int64, len(found))
-        sums, best = np.zeros((len(found), kept.table.shape[1])), np.zeros((len(found), kept.table.shape[1]))
-        place, text = np.fromiter((kept[w] for ws in found for w in ws), np.int64, n.sum()), np.repeat(np.arange(len(found)), n)
+        shape = (len(found), kept.table.shape[1])
+        sums, best = [np.zeros(shape) for _ in (*POWERS, "way")], np.zeros(shape)
+        low, span = self.usual.astype(np.float32), (self.gapped - self.usual).astype(np.float32)
+        place, text = np.fromiter((kept[w] for ws in found for w in ws), np.int64, int(n.sum())), np.repeat(np.arange(len(found)), n)
         for s in range(0, len(place), 50_000):  # a block of words; a text may go on in the next one
             k, t = kept.table[place[s : s + 50_000]], text[s : s + 50_000]
             first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            sums[t[first]] += np.add.reduceat(k**POWER, first)
             best[t[first]] = np.maximum(best[t[first]], np.maximum.reduceat(k, first))
-        kept.done(new, 150 + 4 * sums.shape[1])
-        w = self.landmarks.whiten
-        dense = np.log1p(200 * sums / (n[:, None] + 50))
-        return np.hstack([np.log1p(sums) @ w, dense @ w, best, np.ones((len(sums), 1))])
+            for values, total in zip((k, k * k, np.clip((k - low) / span, 0, 1)), sums):
+                total[t[first]] += np.add.reduceat(values, first)
+        kept.done(new, 150 + 4 * shape[1])
+        return n, sums, best
+
+    def features(self, n: np.ndarray, sums: list[np.ndarray], best: np.ndarray) -> np.ndarray:
+        """Of such totals: each landmark's closest word, damped totals and densities of the powers
+        in the landmarks' whitened spaces and of the ways from the usual to the gapped level,
+        and a constant."""
+        out = [best]
+        for total, w in zip(sums, (*(NYSTROM * w for w in self.landmarks.whiten), np.eye(best.shape[1]))):
+            out += [np.log1p(total) @ w, np.log1p(200 * total / (n[:, None] + 50)) @ w]
+        return np.hstack([*out, np.ones((len(best), 1))])
 
     def score(self, texts: list[str | None], kept: Words) -> np.ndarray:
         """Probability that each whole text is toxic."""
-        margin = self.features([tokens(t) for t in texts], kept) @ self.weights
+        margin = self.features(*self.totals([tokens(t) for t in texts], kept)) @ self.weights
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
@@ -248,7 +293,9 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int) -> list[str]:
-    """Words whose share of texts differs most in favour of the toxic ones, by a z score."""
+    """Words whose share of texts differs in favour of the toxic ones, by a z score, one after
+    another by the score times the part of the word that those before leave in the kernel (its
+    leverage), so that many forms of one word don't take all places."""
     pos, neg = Counter(), Counter()
     of = lambda t: {f for w in set(tokens(t)) for f in forms(w) if len(f) > 2}
     for i in np.flatnonzero(toxic):
@@ -261,18 +308,35 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int) -> list[str
     for w, c in pos.items():
         a, b, m = c / p, neg[w] / n, (c + neg[w]) / (p + n)
         scored.append(((a - b) / np.sqrt(m * (1 - m) * (1 / p + 1 / n) + 1e-12), w))
-    return [w for z, w in sorted(scored, key=lambda x: (-x[0], x[1]))[:most] if z > 0]
+    scored = [(z, w) for z, w in sorted(scored, key=lambda x: (-x[0], x[1]))[:CANDIDATES] if z > 0]
+    if not scored:
+        return []
+    words, z = [w for _, w in scored], np.array([z for z, _ in scored])
+    k = Landmarks(words).dense(words)
+    left, rows, chosen = np.ones(len(words)), np.zeros((0, len(words))), []
+    while len(chosen) < min(most, len(words)):
+        i = int((z * left).argmax())
+        if left[i] < 1e-3:
+            break
+        row = (k[i] - rows[:, i] @ rows) / np.sqrt(left[i])
+        rows, left = np.vstack([rows, row]), np.maximum(left - row**2, 0)
+        left[i] = 0
+        chosen.append(words[i])
+    return chosen
 
 
-def stretch(words: list[str], landmarks: set[str], signs: int, seed: int) -> list[str]:
-    """A text's words with foreign signs inside each landmark word."""
-    out, rng = [], np.random.default_rng(seed)
-    for w in words:
-        if w in landmarks and len(w) > LENGTH - 1:
-            for i in sorted(rng.choice(len(w) - 1, min(signs, len(w) - 1), replace=False) + 1, reverse=True):
-                w = w[:i] + "\u3007" + w[i:]
-        out.append(w)
-    return out
+def stretched(word: str, letters: str, count: int, rng: np.random.Generator) -> str:
+    """A word with letters inserted inside it."""
+    for i in sorted(rng.integers(1, len(word), count).tolist(), reverse=True):
+        word = word[:i] + letters[rng.integers(len(letters))] + word[i:]
+    return word
+
+
+def alone(words: list[str], landmarks: set[str], letters: str, count: int, rng: np.random.Generator) -> list[str]:
+    """A text's words with one of its landmark words left, letters inserted in it."""
+    found = sorted(landmarks.intersection(words))
+    one = found[rng.integers(len(found))]
+    return [stretched(w, letters, count, rng) if w == one else w for w in words if w == one or w not in landmarks]
 
 
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Machine | None:
@@ -284,37 +348,57 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Ma
         return None
     machine = Machine(Landmarks(words))
     kept, chosen = Words(machine.landmarks, 40_000_000), set(words)
+    letters = "".join(sorted({c for w in words for c in w}))
 
-    def features(which: np.ndarray, signs: int = 0) -> np.ndarray:
-        """Features of some texts, in blocks, so that few words are in memory at a time."""
-        out = [np.zeros((0, len(machine.weights)))]
+    def totals(which: np.ndarray, count: int | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Totals of some texts, in blocks, so that few words are in memory at a time; with
+        ``count``, of what ``alone`` makes of them."""
+        out = [machine.totals([], kept)]
         for s in range(0, len(which), 500):
             found = [tokens(texts[i]) for i in which[s : s + 500]]
-            out.append(machine.features([stretch(ws, chosen, signs, int(i)) for ws, i in zip(found, which[s : s + 500])] if signs else found, kept))
-        return np.concatenate(out)
-
-    x = features(np.arange(len(texts)))
+            if count is not None:
+                found = [alone(ws, chosen, letters, count, np.random.default_rng([count, int(i)])) for ws, i in zip(found, which[s : s + 500])]
+            out.append(machine.totals(found, kept))
+        n, sums, best = zip(*out)
+        return np.concatenate(n), [np.concatenate(t) for t in zip(*sums)], np.concatenate(best)
+
+    machine.usual = np.quantile(totals(np.flatnonzero(~toxic))[2], USUAL, axis=0)
+    rng = np.random.default_rng(0)
+    gapped = machine.landmarks.dense([stretched(w, letters, 2, rng) for w in words for _ in range(8)])
+    gapped = gapped.reshape(len(words), 8, len(words)).mean(1).diagonal()
+    machine.gapped = np.maximum(gapped, machine.usual + 0.05)
+    fold = np.arange(len(texts)) % 4
+    n, sums, best = totals(np.arange(len(texts)))
+    x = machine.features(n, sums, best)
     bad = np.array([i for i in np.flatnonzero(toxic) if not chosen.isdisjoint(tokens(texts[i]))], np.int64)
-    more = np.concatenate([features(bad, 1), features(bad, 2)])
+    more = [machine.features(*totals(bad, count)) for count in COPIES]
+    # clean texts joined are clean as well: totals of several texts of a fold, added up
+    joins = [c[s : s + JOINED] for k in range(4) for c in [np.flatnonzero(~toxic & (fold == k))] for s in range(0, len(c), JOINED)]
+    first, order = np.cumsum([0] + [len(j) for j in joins[:-1]]), np.concatenate(joins)
+    more.append(machine.features(np.add.reduceat(n[order], first), [np.add.reduceat(t[order], first) for t in sums], np.maximum.reduceat(best[order], first)))
+    more = np.concatenate(more)
+    again = np.concatenate([np.tile(fold[bad], len(COPIES)), fold[order[first]]])
+    sign = np.repeat([1.0, -1.0], [len(COPIES) * len(bad), len(joins)])
     y = np.where(toxic, 1.0, -1.0)
     cost = np.where(toxic, min(4.0, (~toxic).sum() / toxic.sum()), 1.0)
-    fold = np.arange(len(y)) % 4
-    again = np.tile(fold[bad], 2)
+    extra = np.where(sign > 0, STRETCH * cost.max(), 1.0)
 
     def fitted(on: np.ndarray, also: np.ndarray) -> np.ndarray:
-        costs = np.concatenate([cost[on], np.full(also.sum(), STRETCH * cost.max())])
-        return squared_hinge(np.concatenate([x[on], more[also]]), np.concatenate([y[on], np.ones(also.sum())]), costs)
+        return squared_hinge(np.concatenate([x[on], more[also]]), np.concatenate([y[on], sign[also]]), np.concatenate([cost[on], extra[also]]))
 
-    margin = np.zeros(len(y))
+    margin, others = np.zeros(len(y)), np.zeros(len(again))
     for k in range(4):
-        margin[fold == k] = x[fold == k] @ fitted(fold != k, again != k)
+        w = fitted(fold != k, again != k)
+        margin[fold == k], others[again == k] = x[fold == k] @ w, more[again == k] @ w
     machine.weights = fitted(fold >= 0, again >= 0)
     a, b = 1.0, 0.0  # logistic scale of the margins of texts left out, by Newton steps
-    t = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
+    margin, label = np.concatenate([margin, others]), np.concatenate([toxic, sign > 0])
+    share = np.concatenate([np.ones(len(y)), np.where(sign > 0, STRETCH, 1.0)])
+    t = np.where(label, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - t) * margin).sum() + 1e-3 * a, (p - t).sum()])
-        v = np.maximum(p * (1 - p), 1e-9)
+        g = np.array([(share * (p - t) * margin).sum() + 1e-3 * a, (share * (p - t)).sum()])
+        v = share * np.maximum(p * (1 - p), 1e-9)
         h = np.array([[(v * margin**2).sum() + 1e-3, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)

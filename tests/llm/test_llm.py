@@ -507,6 +507,72 @@ def test_kernel():
             assert abs(k - exact(s, t)) < 1e-4 * max(1, k)
             norm = np.sqrt(exact(s, s) * exact(t, t))
             assert abs(values[i, j] - (exact(s, t) / norm if norm else 0)) < 1e-4
+    # landmarks of three letters by subsequences of three, two letters by equality, each apart from the others
+    mixed = toxicity_ssk.Landmarks(["idiot", "ass", "xy"])
+    read = ["a.ss", "ass", "axss", "axsxs", "idiot", "as", "xy", "xya"]
+    got = mixed.dense(read)
+    short = lambda s, t: slow(s, t, 3, float(toxicity_ssk.DAMP))
+    for i, s in enumerate(read):
+        want = short(s, "ass") / np.sqrt(short(s, s) * short("ass", "ass")) if len(s) > 2 and short(s, s) else 0
+        assert abs(got[i, 1] - want) < 1e-4 and got[i, 2] == (s == "xy")
+    assert got[1, 1] > got[2, 1] > got[3, 1] > 0.1
+
+
+def test_toxicity_features():
+    """Totals and features against sums word by word, over blocks and texts of any length."""
+    rng = random.Random(4)
+    marks = toxicity_ssk.Landmarks(["idiot", "moron", "ass", "pathetic"])
+    machine = toxicity_ssk.Machine(marks)
+    machine.usual, machine.gapped = np.array([0.1, 0.0, 0.2, 0.3]), np.array([0.35, 0.3, 0.4, 0.6])
+    words = ["idiot", "idxiot", "mornings", "mo", "pathetically", "axss", "thetic", "q"]
+    texts = [[], ["idiot"], [rng.choice(words) for _ in range(60_000)], ["q"], [rng.choice(words) for _ in range(9)]]
+    n, sums, best = machine.totals(texts, toxicity_ssk.Words(marks))
+    x = machine.features(n, sums, best)
+    k = dict(zip(words, marks.dense(words)))
+    ramp = lambda v: np.clip((v - machine.usual) / (machine.gapped - machine.usual), 0, 1)
+    for i, ws in enumerate(texts):
+        rows = np.array([k[w] for w in ws]).reshape(-1, 4)
+        found = [rows.sum(0), (rows**2).sum(0), np.array([ramp(v) for v in rows]).reshape(-1, 4).sum(0)]
+        near = rows.max(0) if ws else np.zeros(4)
+        want = [near]
+        for total, w in zip(found, (*(toxicity_ssk.NYSTROM * w for w in marks.whiten), np.eye(4))):
+            want += [np.log1p(total) @ w, np.log1p(200 * total / (len(ws) + 50)) @ w]
+        assert np.allclose(x[i], np.concatenate([*want, [1.0]]), rtol=1e-3, atol=1e-3)
+    for p, w in zip(toxicity_ssk.POWERS, marks.whiten):  # Nyström: the features' products are the kernel of landmarks
+        km = marks.dense(marks.words) ** p
+        km[[0, 1, 3], 2] = km[2, [0, 1, 3]] = 0
+        assert np.allclose((km @ w) @ (km @ w).T, km, atol=0.02)
+
+
+def test_toxicity_inserted_letters():
+    """Single insults with one or two real letters inserted, and long clean texts."""
+    rng = random.Random(7)
+    bad = ["moron", "idiot", "clown", "pathetic", "scum"]
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    texts, toxic = [], []
+    for i in range(500):
+        w = [rng.choice(words) for _ in range(rng.randrange(10, 200))]
+        if i % 5 == 0:
+            for _ in range(rng.randrange(2, 5)):
+                w.insert(rng.randrange(len(w)), rng.choice(bad))
+        texts.append(" ".join(w))
+        toxic.append(i % 5 == 0)
+    machine = toxicity_ssk.train(texts, np.array(toxic))
+    assert set(bad) <= set(machine.landmarks.words[: 2 * len(bad)])
+    kept = toxicity_ssk.Words(machine.landmarks)
+
+    def caught(count: int) -> float:
+        out = []
+        for i in range(200):
+            w, one = [rng.choice(words) for _ in range(15)], list(rng.choice(bad))
+            for _ in range(count):
+                one.insert(rng.randrange(1, len(one)), rng.choice("abcdefghijklmnopqrstuvwxyz"))
+            out.append(" ".join(w[:7] + ["".join(one)] + w[7:]))
+        return (machine.score(out, kept) >= 0.7).mean()
+
+    assert caught(0) > 0.95 and caught(1) > 0.8 and caught(2) > 0.5
+    clean = [" ".join(rng.choice(words) for _ in range(n)) for n in [15] * 200 + [200] * 50 + [5000] * 5]
+    assert (machine.score(clean, kept) < 0.7).mean() > 0.98
 
 
 def test_toxicity(spark):
