@@ -83,7 +83,8 @@ def packed(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col:
     with running starts inside the partition; the partitions' totals, summed up in partition
     order, are global offsets. Pass 2 reads the ids where they lie, adds the offset and cuts each document at the multiples of ``size``. Only the last sequence is not
     full. Pieces that go on from or into another sequence say so (``continued``,
-    ``continues``). Null text: empty, that is its end id alone. Repeated rows are packed each.
+    ``continues``). Null text: empty, that is its end id alone. Repeated rows are packed each,
+    null ids too. An empty table gives no rows, extra columns are not read.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

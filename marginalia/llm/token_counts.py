@@ -102,7 +102,8 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
 
     Texts over ``huge`` characters go through ``splice_ids``; shorter ones are summed from
     their stable units, each distinct unit encoded once a worker (``common.Units``). Null text: empty, 0 tokens.
-    Repeated rows stay, null ids stay. Map only.
+    Repeated rows stay, null ids stay. An empty table gives no rows, extra columns are not
+    read. Map only.
     """
 
     def run(cols):

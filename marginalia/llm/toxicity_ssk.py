@@ -257,8 +257,10 @@ class Machine:
             k, t = kept.table[place[s : s + 50_000]], text[s : s + 50_000]
             first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             best[t[first]] = np.maximum(best[t[first]], np.maximum.reduceat(k, first))
-            for values, total in zip((k, k * k, np.clip((k - low) / span, 0, 1)), sums):
+            for values, total in zip((k, k * k), sums):
                 total[t[first]] += np.add.reduceat(values, first)
+            out = np.flatnonzero((k > low).any(1))  # few words stand out at all
+            np.add.at(sums[-1], t[out], np.clip((k[out] - low) / span, 0, 1))
         kept.done(new, 150 + 4 * shape[1])
         return n, sums, best
 
@@ -466,7 +468,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
     Null and empty texts get the score of a text without words. Labels of unknown documents
     and null labels are not used; of several labels of one id the highest holds. Repeated rows
     are scored each. Null ids are scored, not held out. Ids of documents and labels are compared
-    as text. Without both labels among the training rows every score is 0.
+    as text. Without both labels among the training rows every score is 0. An empty table gives
+    no rows, extra columns are not read.
     """
     machine = fit(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), score_column(machine, F.col(text_col)).alias("score"))
