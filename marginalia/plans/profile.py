@@ -107,17 +107,46 @@ _score = " + ".join(f"CAST(contains(lower(substr(text, 1, 5000)), {q(w)}) AS INT
  CASE WHEN score > 2 * n AND (CASE WHEN named > 0 THEN named ELSE coalesce(headed, 0) END) > 1 THEN 'earnings_calls_multi_company' WHEN score > 2 * n AND n > 1 THEN 'earnings_calls_sequential' ELSE 'generic_documents' END AS collection_type
  FROM g LEFT JOIN f USING (collection_id)""", "calls")
 def collection_type(spark, sf_dir):
+    score, headers = _signs()
+    g = load(spark, sf_dir, "calls").groupBy("collection_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(score).alias("score"), F.count_distinct("company").alias("named"), F.collect_set(headers).alias("headers")
+    )
+    companies, kind = _kind(F.col("documents"), F.col("score"), F.col("named"), F.col("headers"))
+    return g.select("collection_id", "documents", "score", companies.alias("companies"), kind.alias("collection_type"))
+
+
+def _signs():
+    """How many words of earnings calls a text has, and the companies in its headers."""
     text = F.col("text")
     low = F.lower(F.substring(text, 1, 5000))
     score = sum((F.contains(low, F.lit(w)).cast("int") for w in X.INDICATORS[1:]), F.contains(low, F.lit(X.INDICATORS[0])).cast("int"))
     headers = F.flatten(F.array(*[X.all_matches(F.substring(text, 1, 1000), p, 1) for p in X.COMPANY_HEADERS]))
-    g = load(spark, sf_dir, "calls").groupBy("collection_id").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum(score).alias("score"), F.count_distinct("company").alias("named"), F.size(F.array_distinct(F.flatten(F.collect_set(headers)))).cast("long").alias("headed")
-    )
-    companies = F.when(F.col("named") > 0, F.col("named")).otherwise(F.col("headed"))
-    strong = F.col("score") > 2 * F.col("documents")
-    kind = F.when(strong & (companies > 1), "earnings_calls_multi_company").when(strong & (F.col("documents") > 1), "earnings_calls_sequential").otherwise("generic_documents")
-    return g.select("collection_id", "documents", "score", companies.alias("companies"), kind.alias("collection_type"))
+    return score, headers
+
+
+def _kind(documents, score, named, headers):
+    """Number of companies of a collection, and its type."""
+    companies = F.when(named > 0, named).otherwise(F.size(F.array_distinct(F.flatten(headers))).cast("long"))
+    strong = score > 2 * documents
+    return companies, F.when(strong & (companies > 1), "earnings_calls_multi_company").when(strong & (documents > 1), "earnings_calls_sequential").otherwise("generic_documents")
+
+
+def labelled_calls(spark, sf_dir):
+    """Documents of collections with collection_type, company, label and place ``k``. Windows over the collection find them
+    beside the text, so that texts are shuffled once."""
+    whole = W.Window.partitionBy("collection_id")
+    rows = load(spark, sf_dir, "calls")
+    score, headers = _signs()
+    rows = rows.withColumns({"score": score, "headers": headers, "day": X.parsed_date(F.col("date"))})
+    rows = rows.withColumns({
+        "documents": F.count(F.lit(1)).over(whole), "score": F.sum("score").over(whole), "named": F.size(F.collect_set("company").over(whole)).cast("long"), "headers": F.collect_set("headers").over(whole),
+        "place": F.row_number().over(whole.orderBy("doc_id")), "in_time": F.row_number().over(whole.orderBy(F.asc_nulls_last("day"), "doc_id")),
+    })
+    kind = _kind(F.col("documents"), F.col("score"), F.col("named"), F.col("headers"))[1]
+    rows = rows.select("collection_id", "doc_id", "text", kind.alias("collection_type"), _company().alias("company"), _period(_cut_period()).alias("period"), _title().alias("title"), "place", "in_time")
+    kind = F.col("collection_type")
+    label = F.when(kind == "earnings_calls_multi_company", F.col("company")).when(kind == "earnings_calls_sequential", F.col("period")).otherwise(F.col("title"))
+    return rows.select("collection_id", "doc_id", "text", "collection_type", "company", label.alias("label"), F.when(kind == "earnings_calls_sequential", F.col("in_time")).otherwise(F.col("doc_id")).alias("k"))
 
 
 _place = "row_number() OVER (PARTITION BY collection_id ORDER BY doc_id)"
@@ -129,14 +158,26 @@ def _ranked(spark, sf_dir):
 
 @query("company_name", f"SELECT doc_id, coalesce(company, nullif(trim(regexp_extract(string_split(text, chr(10))[1], {q(X.COMPANY)}, 1)), ''), 'Company ' || {_place}) AS company FROM calls", "calls")
 def company_name(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("doc_id", _company().alias("company"))
+
+
+def _company():
     found = F.trim(X.first_match(X.first_line(F.col("text")), X.COMPANY))
-    return _ranked(spark, sf_dir).select("doc_id", F.coalesce("company", found, F.concat(F.lit("Company "), F.col("place").cast("string"))).alias("company"))
+    return F.coalesce("company", found, F.concat(F.lit("Company "), F.col("place").cast("string")))
 
 
 @query("period_label", f"SELECT doc_id, coalesce(nullif(regexp_extract(substr(text, 1, 500), {q(X.PERIOD)}, 1), ''), date, 'Period ' || {_place}) AS period FROM (SELECT doc_id, collection_id, date, CASE WHEN doc_id % 3 = 0 THEN substr(text, 30) ELSE text END AS text FROM calls)", "calls")
 def period_label(spark, sf_dir):
-    rows = _ranked(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.expr("substr(text, 30)")).otherwise(F.col("text")))
-    return rows.select("doc_id", F.coalesce(X.first_match(F.substring("text", 1, 500), X.PERIOD), "date", F.concat(F.lit("Period "), F.col("place").cast("string"))).alias("period"))
+    return _ranked(spark, sf_dir).select("doc_id", _period(_cut_period()).alias("period"))
+
+
+def _cut_period():
+    """The text, of every third document without its head line's period."""
+    return F.when(F.col("doc_id") % 3 == 0, F.expr("substr(text, 30)")).otherwise(F.col("text"))
+
+
+def _period(text):
+    return F.coalesce(X.first_match(F.substring(text, 1, 500), X.PERIOD), "date", F.concat(F.lit("Period "), F.col("place").cast("string")))
 
 
 @query("chronological", """WITH p AS (SELECT collection_id, doc_id, coalesce(try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%m/%d/%Y'), try_strptime(date, '%B %d, %Y'))::DATE AS day FROM calls)
@@ -148,8 +189,12 @@ def chronological(spark, sf_dir):
 
 @query("title_label", f"SELECT doc_id, coalesce(title, CASE WHEN length(line) < 100 THEN line ELSE 'Document ' || place END) AS title FROM (SELECT doc_id, title, trim(trim(string_split(text, chr(10))[1], '#')) AS line, {_place} AS place FROM calls)", "calls")
 def title_label(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("doc_id", _title().alias("title"))
+
+
+def _title():
     line = F.trim(F.trim(X.first_line(F.col("text")), F.lit("#")))
-    return _ranked(spark, sf_dir).select("doc_id", F.coalesce("title", F.when(F.length(line) < 100, line), F.concat(F.lit("Document "), F.col("place").cast("string"))).alias("title"))
+    return F.coalesce("title", F.when(F.length(line) < 100, line), F.concat(F.lit("Document "), F.col("place").cast("string")))
 
 
 @query("content_dates", f"SELECT doc_id, flatten([{', '.join(f'regexp_extract_all(substr(t, 1, 1000), {q(p)})' for p in X.DATES)}]) AS dates FROM (SELECT doc_id, date || ' ' || text AS t FROM calls)", "calls")
