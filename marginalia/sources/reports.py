@@ -7,9 +7,10 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -25,23 +26,27 @@ class Staged(WriterCommitMessage):
     files: int
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Each attempt of a task writes into a folder of its own below ``_staged``. A commit moves the folders of
     the attempts that count beside it, a rename a task, and drops the rest, so a repeated task leaves no file twice; an abort
-    drops all. Names repeat only across tasks, where their folders differ."""
+    drops all. Names repeat only across tasks, where their folders differ. Contents go from Arrow's buffers to the files, one at a
+    time: a batch of rows is never text in Python."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.run = path.rstrip("/"), overwrite, uuid.uuid4().hex
 
-    def write(self, rows: Iterator[Row]) -> Staged:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
         system, base = opened(self.path)
         folder, n = f"{base}/_staged-{self.run}/part-{uuid.uuid4().hex}", 0
-        for row in rows:
-            if not n:
-                system.create_dir(folder)
-            with system.open_output_stream(f"{folder}/{row['name']}") as out:
-                out.write((row["content"] or "").encode())
-            n += 1
+        for batch in batches:
+            for name, content in zip(batch.column("name"), batch.column("content")):
+                if not name.is_valid:
+                    raise ValueError("a file without a name")
+                if not n:
+                    system.create_dir(folder)
+                with system.open_output_stream(f"{folder}/{name.as_py()}") as out:
+                    out.write(content.as_buffer() if content.is_valid else b"")
+                n += 1
         return Staged(posixpath.basename(folder), n)
 
     def commit(self, messages: list[Staged | None]) -> None:

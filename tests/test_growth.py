@@ -2,6 +2,7 @@
 
 import pytest
 from marginalia.catalog import QUERIES
+from marginalia.sources.reports import write_files
 from pyspark.sql import functions as F
 
 
@@ -12,3 +13,10 @@ def plan(df):
 @pytest.mark.parametrize("name", ["collection_prompts", "collection_report"])
 def test_texts_of_collections_are_shuffled_once(spark, sf, name):
     assert plan(QUERIES[name](spark, sf)).count("Exchange hashpartitioning") == 1
+
+
+def test_files_from_buffers(spark, tmp_path):
+    write_files(spark.createDataFrame([("a", "é\n😀"), ("b", None), ("c", "")], "name string, content string"), str(tmp_path / "x"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "x").rglob("?")} == {"a": "é\n😀".encode(), "b": b"", "c": b""}
+    with pytest.raises(Exception, match="a file without a name"):
+        write_files(spark.createDataFrame([(None, "x")], "name string, content string"), str(tmp_path / "y"))
