@@ -5,20 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+#: Arrow bytes of items that a user function gets at once.
+PART_BYTES = 4 << 20
+
 
 def map_items(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A user function over batches of items; Spark's cores bound the parallelism."""
+    """A user function over batches of items; Spark's cores bound the parallelism. A batch becomes pandas in parts of about
+    ``PART_BYTES``, so that what a task holds follows neither the number of rows nor the length of texts."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = StructType.fromDDL(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(kind)
         for batch in batches:
-            yield f(batch)
+            step = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                made = f(batch.slice(at, step).to_pandas())
+                yield from pa.Table.from_pandas(made[kind.names], schema=arrow, preserve_index=False).to_batches()
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, kind)
 
 
 def _merged(size: int, f: Callable[[pd.DataFrame], str]) -> Callable[[pd.DataFrame], pd.DataFrame]:

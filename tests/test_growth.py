@@ -2,6 +2,7 @@
 
 import pytest
 from marginalia.catalog import QUERIES
+from marginalia.operators import apply as U
 from marginalia.sources.reports import write_files
 from pyspark.sql import functions as F
 
@@ -20,3 +21,10 @@ def test_files_from_buffers(spark, tmp_path):
     assert {p.name: p.read_bytes() for p in (tmp_path / "x").rglob("?")} == {"a": "é\n😀".encode(), "b": b"", "c": b""}
     with pytest.raises(Exception, match="a file without a name"):
         write_files(spark.createDataFrame([(None, "x")], "name string, content string"), str(tmp_path / "y"))
+
+
+def test_items_come_in_parts(spark):
+    df = spark.range(3000, numPartitions=1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    got = U.map_items(df, lambda d: d.assign(n=len(d), size=d["text"].str.len())[["size", "n", "id"]], "id long, n long, size long").collect()
+    assert sorted(r.id for r in got) == list(range(3000)) and {r.size for r in got} == {10_000}
+    assert max(r.n for r in got) * 10_000 <= 2 * U.PART_BYTES
