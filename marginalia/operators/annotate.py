@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -13,12 +17,50 @@ from ..sources.scratch import cut
 BULLET = r"^\s*(?:[-*•]|\d+\.)\s+"
 
 
+#: The same words of a lower-case text in one match each, for the tasks that count them.
+TERM = re.compile(r"(?<!\w)[a-z]{3,}+(?!\w)")
+
+
 def terms(text: Column, stop: list[str]) -> Column:
     """Lower-case words of three or more ASCII letters, without stopwords."""
     words = F.filter(all_matches(F.lower(text), WORD), lambda w: F.regexp_like(w, F.lit("^[a-z]{3,}$")))
     return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 
+def sentence_weights(lowered: Column, stop: list[str]) -> Column:
+    """For each of a chunk's sentences, in lower case, the sum of its terms' counts in the chunk and the number of
+    its terms. A task holds the words of one chunk at a time."""
+    known, kind = frozenset(stop), pa.list_(pa.struct([("total", pa.int64()), ("n", pa.int64())]))
+
+    def weighed(said: list[str] | None) -> list[dict] | None:
+        if said is None:
+            return None
+        words = [[w for w in TERM.findall(s) if w not in known] for s in said]
+        tf = Counter(w for ws in words for w in ws)
+        return [{"total": sum(tf[w] for w in ws), "n": len(ws)} for ws in words]
+
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array((weighed(x.as_py()) for x in rows), kind)
+
+    run.__annotations__ = {"rows": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<total:bigint,n:bigint>>")(lowered)
+
+
+def most_frequent(lowered: Column, k: int, stop: list[str]) -> Column:
+    """The k most frequent terms of a list of texts in lower case, with their counts; equal counts by term."""
+    known, kind = frozenset(stop), pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+
+    def counted(texts: pa.Scalar) -> list[dict]:
+        tf = Counter(w for t in texts.values or () if t.is_valid for w in TERM.findall(t.as_py()) if w not in known)
+        return [{"term": w, "tf": n} for w, n in sorted(tf.items(), key=lambda x: (-x[1], x[0]))[:k]]
+
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array((counted(x) for x in rows), kind)
+
+    run.__annotations__ = {"rows": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<term:string,tf:bigint>>")(lowered)
+
+
 def chunk_terms(chunks: DataFrame, key: tuple[str, ...] = ("doc_id", "chunk_index"), stop: list[str] = SECTION_STOP) -> DataFrame:
     """Term counts a chunk."""
     return chunks.select(*key, F.explode(terms(F.col("text"), stop)).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -39,15 +81,14 @@ def sentences(text: Column) -> Column:
 
 
 def extractive_summary(chunks: DataFrame, k: int = 3) -> DataFrame:
-    """The k sentences whose terms are the most frequent in the chunk on average, in order."""
-    key = ("doc_id", "chunk_index")
-    rows = chunks.select(*key, F.posexplode(sentences(F.col("text"))).alias("i", "sentence"))
-    words = rows.select(*key, "i", F.explode(terms(F.col("sentence"), SECTION_STOP)).alias("term"))
-    weight = words.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    score = words.join(weight, [*key, "term"]).groupBy(*key, "i").agg(F.round(F.avg("tf"), 9).alias("score"))
-    ranked = rows.join(score, [*key, "i"]).withColumn("rank", F.row_number().over(W.Window.partitionBy(*key).orderBy(F.desc("score"), "i")))
-    best = ranked.where(F.col("rank") <= k).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "sentence"))).alias("x"))  # k rows a chunk
-    return best.select(*key, F.array_join("x.sentence", ". ").alias("summary"))
+    """The k sentences whose terms are the most frequent in the chunk on average, in order. Each row is a chunk and
+    summed up by itself, without a shuffle; chunks without a term give no row."""
+    rows = chunks.select("doc_id", "chunk_index", sentences(F.col("text")).alias("said"))
+    rows = rows.withColumn("weights", sentence_weights(F.transform("said", F.lower), SECTION_STOP))
+    score = lambda w, i: F.struct(F.when(w["n"] > 0, -F.round(w["total"] / w["n"], 9)).alias("score"), i.alias("i"))
+    best = F.slice(F.sort_array(F.filter(F.transform("weights", score), lambda x: x["score"].isNotNull())), 1, k)
+    rows = rows.withColumn("best", F.sort_array(F.transform(best, lambda x: x["i"]))).where(F.size("best") > 0)
+    return rows.select("doc_id", "chunk_index", F.array_join(F.transform("best", lambda i: F.get("said", i)), ". ").alias("summary"))
 
 
 def importance(chunks: DataFrame) -> DataFrame:

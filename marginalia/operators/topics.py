@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.lists import COLLECTION_STOP, ENGLISH_STOP, EXTRA_STOP, SECTION_STOP
-from .annotate import chunk_terms
+from .annotate import chunk_terms, most_frequent
 
 
 def exploded_keywords(notes: DataFrame) -> DataFrame:
@@ -54,9 +54,12 @@ def merged_keywords(parts: list[DataFrame]) -> DataFrame:
 
 
 def top_terms(docs: DataFrame, k: int, stop: list[str], key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The k most frequent terms a key; equal counts by term."""
-    rank = F.row_number().over(W.Window.partitionBy(*key).orderBy(F.desc("tf"), "term"))
-    return chunk_terms(docs, key, stop).withColumn("rank", rank).where(F.col("rank") <= k)
+    """The k most frequent terms a key; equal counts by term. A key's texts are counted in one row, so that a task holds
+    the words of one key at a time, not those of all its keys."""
+    texts = docs.groupBy(*key).agg(F.collect_list("text").alias("texts"))  # a document's
+    top = most_frequent(F.transform("texts", F.lower), k, stop)
+    rows = texts.select(*key, F.posexplode_outer(top).alias("at", "t")).where("t is not null")
+    return rows.select(*key, "t.term", "t.tf", (F.col("at") + 1).alias("rank"))
 
 
 def wordcloud_terms(docs: DataFrame) -> DataFrame:

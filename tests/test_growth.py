@@ -2,7 +2,9 @@
 
 import pytest
 from marginalia.catalog import QUERIES
+from marginalia.operators import annotate as A
 from marginalia.operators import apply as U
+from marginalia.operators import topics as T
 from marginalia.sources.reports import write_files
 from pyspark.sql import functions as F
 
@@ -28,3 +30,17 @@ def test_items_come_in_parts(spark):
     got = U.map_items(df, lambda d: d.assign(n=len(d), size=d["text"].str.len())[["size", "n", "id"]], "id long, n long, size long").collect()
     assert sorted(r.id for r in got) == list(range(3000)) and {r.size for r in got} == {10_000}
     assert max(r.n for r in got) * 10_000 <= 2 * U.PART_BYTES
+
+
+def test_terms_of_a_key_in_one_row(spark):
+    rows = [(1, "The été cat, cat_1 cat9 CAT dog"), (1, "dog dog cat"), (2, None), (3, "a b"), (4, "zoo ant zoo")]
+    df = T.top_terms(spark.createDataFrame(rows, "doc_id int, text string"), 2, ["the"])
+    assert sorted(map(tuple, df.collect())) == [(1, "cat", 3, 1), (1, "dog", 3, 2), (4, "ant", 1, 2), (4, "zoo", 2, 1)]
+    assert ", term" not in "".join(x for x in plan(df).splitlines() if "HashAggregate" in x)
+
+
+def test_summary_in_its_row(spark):
+    rows = [(1, 0, "Cats eat fish. Dogs bark. CATS eat mice! 12 34. Cats_x eat."), (1, 1, None), (2, 0, "1 2 3. a b."), (2, 1, "")]
+    df = A.extractive_summary(spark.createDataFrame(rows, "doc_id int, chunk_index int, text string"), 2)
+    assert "Exchange" not in plan(df) and "Join" not in plan(df)
+    assert [tuple(r) for r in df.collect()] == [(1, 0, "Cats eat fish. Cats_x eat.")]  # eat 3; cats, eat: 2.5, fish: 1
