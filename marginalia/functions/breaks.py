@@ -26,7 +26,7 @@ def starts(text: Column, pattern: str, ends: bool = False) -> Column:
 
 def all_starts(text: Column, patterns: list[str]) -> Column:
     """Sorted starts of several patterns, repeats kept."""
-    return F.array_sort(F.flatten(F.array(*[starts(text, p) for p in patterns])))
+    return F.sort_array(F.flatten(F.array(*[starts(text, p) for p in patterns])))
 
 
 def _tagged(at: Column, k: int, strength: float) -> Column:
@@ -46,7 +46,7 @@ def weighted(text: Column, patterns: list[tuple[str, float]], late: frozenset =
         if p in late:
             at = F.filter(at, lambda x: x > 10)
         found.append(_tagged(at, k, strength))
-    return F.transform(F.array_sort(F.flatten(F.array(*found))), lambda x, i: F.struct(x["pos"].alias("pos"), x["k"].alias("k"), x["strength"].alias("strength"), i.alias("i")))
+    return F.transform(F.sort_array(F.flatten(F.array(*found))), lambda x, i: F.struct(x["pos"].alias("pos"), x["k"].alias("k"), x["strength"].alias("strength"), i.alias("i")))
 
 
 def pieces(cuts: Column, length: Column, kind: str) -> Column:
@@ -56,15 +56,36 @@ def pieces(cuts: Column, length: Column, kind: str) -> Column:
     return F.filter(made, lambda x: x["e"] > x["s"]).cast(PIECE)
 
 
-def last_in(text: Column, part: str, lo: Column, hi: Column) -> Column:
-    """Position of the last occurrence that lies within [lo, hi); -1 without one."""
-    lo = F.greatest(F.lit(0), lo)
-    window = F.substr(text, lo + 1, F.greatest(F.lit(0), hi - lo))
-    found = F.locate(part[::-1], F.reverse(window))
-    return F.when(found > 0, lo + F.length(window) - (found - 1) - len(part)).otherwise(F.lit(-1))
+#: Characters of a block: 2 ** BITS.
+BITS = 12
+
+
+def blocks(text: Column) -> Column:
+    """A text in blocks of 2 ** BITS characters, out of which ``cut_out`` takes parts without reading the text from its start."""
+    return all_matches(text, "(?s).{1,%d}" % 2**BITS)
+
+
+def cut_out(parts: Column, s: Column, e: Column) -> Column:
+    """Characters [s, e) of the text of these blocks, s at least 0; empty where e is not above s."""
+    first = F.shiftright(s, BITS)
+    found = F.slice(parts, first + 1, F.shiftright(F.greatest(e - 1, s), BITS) - first + 1)
+    return F.substr(F.array_join(found, ""), s - F.shiftleft(first, BITS) + 1, F.greatest(F.lit(0), e - s))
+
+
+def last_in(text: Column, parts: tuple[str, ...], lo: Column, hi: Column) -> Column:
+    """Position of the last occurrence of any of the parts, all of one length, that lies within [lo, hi); -1 without
+    one. ``text`` is in blocks; the window is cut out once."""
+    lo, size = F.greatest(F.lit(0), lo), len(parts[0])
+    before = lambda back, part: F.locate(part[::-1], back)
+
+    def at(back: Column) -> Column:
+        found = F.array_min(F.filter(F.array(*[before(back, x) for x in parts]), lambda f: f > 0))
+        return bound(found, lambda f: F.coalesce(lo + F.length(back) - (f - 1) - size, F.lit(-1)))
+
+    return bound(F.reverse(cut_out(text, lo, hi)), at)
 
 
-def first_in(text: Column, part: str, lo: Column, hi: Column) -> Column:
+def first_in(text: Column, parts: tuple[str, ...], lo: Column, hi: Column) -> Column:
+    """Largest of the first positions of each part within [lo, hi), -1 for a part without one; ``text`` is in blocks."""
     lo = F.greatest(F.lit(0), lo)
-    found = F.locate(part, F.substr(text, lo + 1, F.greatest(F.lit(0), hi - lo)))
-    return F.when(found > 0, lo + found - 1).otherwise(F.lit(-1))
+    return bound(cut_out(text, lo, hi), lambda w: bound(F.array_max(F.array(*[F.locate(x, w) for x in parts])), lambda f: F.when(f > 0, lo + f - 1).otherwise(F.lit(-1))))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.breaks import PIECE, all_starts, first_in, last_in, pieces, sized, starts, weighted
+from ..functions.breaks import PIECE, all_starts, blocks, cut_out, first_in, last_in, pieces, sized, starts, weighted
 from ..functions.text import SPEAKERS, any_match, bound, transcript_like
 
 # Patterns with strengths, and sizes, that define the results.
@@ -33,6 +33,7 @@ CONTEXT = [
 TURN = r"(^|\n)(?:[A-Z][a-z]+ [A-Z][a-z]+|[A-Z][a-z]+|(?:Dr|Mr|Mrs|Ms)\. [A-Z][a-z]+):"
 TEAMS_TURN = r"\d{1,2}:\d{2}:\d{2}\s+[AP]M\s+From\s+[^:]+:"
 INTS = "array<int>"
+STOPS, GAP = (". ", "! ", "? "), ("\n\n",)
 
 
 def _ints(*x):
@@ -54,7 +55,7 @@ def even(text: Column, length: Column, min_chunks: int, most: Column) -> Column:
             near = F.filter(ends, lambda b: (b > a["pos"]) & (F.abs(b - aim) <= t * 0.3))
             best = F.array_min(F.transform(near, lambda b: F.struct(F.abs(b - aim).alias("d"), b.alias("b"))))["b"]
             end = F.coalesce(best, F.least(a["pos"] + F.floor(t).cast("int"), length))
-            return F.when(a["pos"] >= length, a).otherwise(F.struct(end.alias("pos"), F.array_append(a["cuts"], end).alias("cuts")))
+            return F.when(a["pos"] >= length, a).otherwise(bound(end, lambda e: F.struct(e.alias("pos"), F.array_append(a["cuts"], e).alias("cuts"))))
 
         zero = F.struct(F.lit(0).alias("pos"), _ints().alias("cuts"))
         return F.aggregate(F.sequence(F.lit(1), (F.ceil(length / (t * 0.7)) + 3).cast("int")), zero, step, lambda a: F.filter(a["cuts"], lambda x: x < length))
@@ -67,26 +68,27 @@ def even(text: Column, length: Column, min_chunks: int, most: Column) -> Column:
 
 def structural(text: Column, length: Column, min_chunks: int, most: Column) -> Column:
     """Chunks that end at the best-scored structural break before they grow too large."""
-    target = length / min_chunks
+    none = F.lit(None).cast("int")
+
+    def state(s: Column, best: Column, score: Column, cuts: Column) -> Column:
+        return F.struct(s.alias("s"), best.alias("best"), score.alias("score"), cuts.alias("cuts"))
+
+    def cut_at(a: Column, e: Column, kind: Column) -> Column:
+        return state(e, none, F.lit(0.0), F.array_append(a["cuts"], F.struct(e.alias("e"), kind.alias("kind"))))
+
+    def fold(breaks: Column, most: Column, target: Column) -> Column:
+        def scored(a: Column, pos: Column, strength: Column) -> Column:
+            size = pos - a["s"]
+            new = strength * F.greatest(F.lit(0.5), F.lit(1.0) - F.abs(size - target) / target)
+            best = bound(new, lambda v: F.struct(F.when(v > a["score"], pos).otherwise(a["best"]).alias("at"), F.greatest(a["score"], v).alias("score")))
+            whole = F.lit("structural_segment")
+            return bound(best, lambda x: F.when((size >= target * 0.8) & (x["score"] > 0.6), cut_at(a, x["at"], whole)).otherwise(state(a["s"], x["at"], x["score"], a["cuts"])))
 
-    def fold(breaks: Column) -> Column:
         def step(a: Column, b: Column) -> Column:
             pos = b["pos"]
-            over = pos - a["s"] > most
-            hard = over & a["best"].isNull()
-            start = F.when(over, F.coalesce(a["best"], a["s"] + most)).otherwise(a["s"])
-            cuts = F.when(over, F.array_append(a["cuts"], F.struct(start.alias("e"), F.when(hard, "size_limited_segment").otherwise("structural_segment").alias("kind")))).otherwise(a["cuts"])
-            best, score = F.when(over, F.lit(None).cast("int")).otherwise(a["best"]), F.when(over, F.lit(0.0)).otherwise(a["score"])
-            size = pos - start
-            new = b["strength"] * F.greatest(F.lit(0.5), F.lit(1.0) - F.abs(size - target) / target)
-            better = new > score
-            best, score = F.when(better, pos).otherwise(best), F.greatest(score, new)
-            take = (size >= target * 0.8) & (score > 0.6)
-            made = F.struct(
-                F.when(take, best).otherwise(start).alias("s"), F.when(take, F.lit(None).cast("int")).otherwise(best).alias("best"), F.when(take, F.lit(0.0)).otherwise(score).alias("score"),
-                F.when(take, F.array_append(cuts, F.struct(best.alias("e"), F.lit("structural_segment").alias("kind")))).otherwise(cuts).alias("cuts"),
-            )
-            return F.when(pos <= a["s"], a).otherwise(made)
+            hard = F.when(a["best"].isNull(), "size_limited_segment").otherwise("structural_segment")
+            closed = F.when(pos - a["s"] > most, cut_at(a, F.coalesce(a["best"], a["s"] + most), hard)).otherwise(a)
+            return F.when(pos <= a["s"], a).otherwise(bound(closed, lambda x: scored(x, pos, b["strength"])))
 
         zero = F.struct(F.lit(0).alias("s"), F.lit(None).cast("int").alias("best"), F.lit(0.0).alias("score"), F.array().cast("array<struct<e:int,kind:string>>").alias("cuts"))
         return F.aggregate(breaks, zero, step, lambda a: a["cuts"])
@@ -97,7 +99,7 @@ def structural(text: Column, length: Column, min_chunks: int, most: Column) -> C
         return F.filter(rows, lambda x: x["e"] > x["s"]).cast(PIECE)
 
     late = frozenset([r"\n\s*\n", r"\n"])
-    return bound(weighted(text, STRUCTURE, late), lambda b: F.when(F.size(b) > 0, bound(fold(b), made)).otherwise(even(text, length, min_chunks, most)))
+    return bound(weighted(text, STRUCTURE, late), lambda b: F.when(F.size(b) > 0, bound(bound(F.struct(most.alias("most"), (length / min_chunks).alias("target")), lambda z: fold(b, z["most"], z["target"])), made)).otherwise(even(text, length, min_chunks, most)))
 
 
 def by_turns(text: Column, length: Column, min_chunks: int, most: Column) -> Column:
@@ -137,9 +139,11 @@ def chunked(text: Column, min_chunks: int = 3, most: int | None = None) -> Colum
 
 
 def exploded(docs: DataFrame, column: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows of pieces: index, start, end, kind, text. Wide text work stays in its partition."""
-    rows = docs.select(*keep, "text", F.posexplode(column).alias("chunk_index", "p"))
-    return rows.select(*keep, "chunk_index", F.col("p.s").alias("start_pos"), F.col("p.e").alias("end_pos"), F.col("p.kind").alias("chunk_type"), F.substr("text", F.col("p.s") + 1, F.col("p.e") - F.col("p.s")).alias("text"))
+    """Rows of pieces: index, start, end, kind, text. Wide text work stays in its partition, and is done once: a plain
+    explode has its array filtered by size first, and so made again."""
+    whole = lambda parts: F.transform(column, lambda p: F.struct(p["s"].alias("start_pos"), p["e"].alias("end_pos"), p["kind"].alias("chunk_type"), cut_out(parts, p["s"], p["e"]).alias("text")))
+    rows = docs.select(*keep, F.posexplode_outer(bound(blocks(F.col("text")), whole)).alias("chunk_index", "p")).where("p is not null")
+    return rows.select(*keep, "chunk_index", "p.*")
 
 
 def position_labels(chunks: DataFrame, doc: str = "doc_id", index: str = "chunk_index") -> DataFrame:
@@ -162,19 +166,21 @@ def sections_of(length: Column, least: int, tokens: int) -> Column:
 
 def essential(text: Column, length: Column, least: int = 1, tokens: int = 25000) -> Column:
     """Equal sections whose edges snap to a near paragraph or else sentence break."""
-    n = sections_of(length, least, tokens)
+    return bound(blocks(text), lambda x: _essential(x, length, sections_of(length, least, tokens)))
+
 
+def _essential(text: Column, length: Column, n: Column) -> Column:
     def snapped(i: Column, at: Column) -> Column:
-        p = last_in(text, "\n\n", at - 500, at + 500)
+        p = last_in(text, GAP, at - 500, at + 500)
         near = lambda p: F.when((p >= 0) & (F.abs(p - at) < 500), p + 2)
-        mark = F.greatest(*[last_in(text, x, at - 200, at + 200) for x in (". ", "! ", "? ")])
+        mark = last_in(text, STOPS, at - 200, at + 200)
         other = lambda s: F.when((s >= 0) & (F.abs(s - at) < 200), s + 2).otherwise(at)
         return F.when((i > 0) & (at > 0), F.coalesce(bound(p, near), bound(mark, other))).otherwise(at)
 
     def closed(i: Column, at: Column) -> Column:
-        p = first_in(text, "\n\n", at - 500, at + 500)
+        p = first_in(text, GAP, at - 500, at + 500)
         near = lambda p: F.when((p >= 0) & (F.abs(p - at) < 500), p)
-        mark = F.greatest(*[first_in(text, x, at - 200, at + 200) for x in (". ", "! ", "? ")])
+        mark = first_in(text, STOPS, at - 200, at + 200)
         other = lambda s: F.when((s >= 0) & (F.abs(s - at) < 200), s + 2).otherwise(at)
         return F.when((i < n - 1) & (at < length), F.coalesce(bound(p, near), bound(mark, other))).otherwise(at)
 
@@ -183,7 +189,7 @@ def essential(text: Column, length: Column, least: int = 1, tokens: int = 25000)
         return F.struct(bound(start, lambda x: snapped(i, x)).alias("s"), bound(end, lambda x: closed(i, x)).alias("e"), F.lit("essential").alias("kind"))
 
     made = F.transform(F.sequence(F.lit(0), n - 1), section)
-    return F.filter(made, lambda x: F.regexp_like(F.substr(text, x["s"] + 1, F.greatest(F.lit(0), x["e"] - x["s"])), F.lit(r"\S"))).cast(PIECE)
+    return F.filter(made, lambda x: F.regexp_like(cut_out(text, x["s"], x["e"]), F.lit(r"\S"))).cast(PIECE)
 
 
 def nearest(breaks: Column, length: Column, sections: Column) -> Column:
@@ -197,7 +203,7 @@ def nearest(breaks: Column, length: Column, sections: Column) -> Column:
         return F.when(F.size(a["rest"]) == 0, a).otherwise(bound(best, made))
 
     zero = F.struct(breaks.cast(INTS).alias("rest"), _ints().alias("out"))
-    chosen = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), sections - 1)), zero, step, lambda a: F.array_sort(F.array_distinct(a["out"])))
+    chosen = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), sections - 1)), zero, step, lambda a: F.sort_array(F.array_distinct(a["out"])))
     return F.when(sections <= 1, _ints()).when(F.size(breaks) <= sections - 1, F.array_distinct(breaks)).otherwise(chosen)
 
 
@@ -255,7 +261,7 @@ def context_aware(text: Column, length: Column, least: int = 2, tokens: int = 25
     """Greedy sections that end at the break of most adjusted strength near the target size."""
     n = sections_of(length, least, tokens)
 
-    def fold(breaks: Column, t: Column) -> Column:
+    def fold(breaks: Column, t: Column, parts: Column) -> Column:
         small = F.greatest(F.lit(1000.0), F.floor(t / 3))
         back = F.floor(t * 0.2).cast("int")
 
@@ -271,18 +277,20 @@ def context_aware(text: Column, length: Column, least: int = 2, tokens: int = 25
 
             best = F.array_max(F.transform(near, scored))["pos"]
             hard = F.least(s + F.floor(t).cast("int"), length)
-            end = F.greatest(*[last_in(text, x, hard - back, hard) for x in (". ", "! ", "? ")])
-            hard = F.when((hard < length) & (end >= 0) & (end + 2 > s), end + 2).otherwise(hard)
-            nxt = F.coalesce(best, hard)
-            return F.when(s >= length, a).otherwise(F.struct(nxt.alias("s"), F.array_append(a["cuts"], nxt).alias("cuts")))
+            snapped = bound(last_in(parts, STOPS, hard - back, hard), lambda end: F.when((hard < length) & (end >= 0) & (end + 2 > s), end + 2).otherwise(hard))
+            nxt = F.coalesce(best, snapped)
+            return F.when(s >= length, a).otherwise(bound(nxt, lambda x: F.struct(x.alias("s"), F.array_append(a["cuts"], x).alias("cuts"))))
 
         zero = F.struct(F.lit(0).alias("s"), _ints().alias("cuts"))
         steps = (F.ceil(length / F.greatest(F.lit(1.0), F.least(t * 0.75, small))) + 3).cast("int")
         return F.aggregate(F.sequence(F.lit(1), steps), zero, step, lambda a: F.filter(a["cuts"], lambda x: x < length))
 
-    run = lambda b: bound(length / n, lambda t: pieces(fold(b, F.greatest(F.lit(1.0), t)), length, "complex"))
-    kept = bound(weighted(text, CONTEXT), lambda b: F.when(F.size(b) > 0, run(b)).otherwise(essential(text, length, least, tokens)))
-    return F.filter(kept, lambda x: F.regexp_like(F.substr(text, x["s"] + 1, x["e"] - x["s"]), F.lit(r"\S")))
+    def kept(parts: Column) -> Column:
+        run = lambda b: bound(length / n, lambda t: pieces(fold(b, F.greatest(F.lit(1.0), t), parts), length, "complex"))
+        made = bound(weighted(text, CONTEXT), lambda b: F.when(F.size(b) > 0, run(b)).otherwise(_essential(parts, length, n)))
+        return F.filter(made, lambda x: F.regexp_like(cut_out(parts, x["s"], x["e"]), F.lit(r"\S")))
+
+    return bound(blocks(text), kept)
 
 
 def complex_(text: Column, length: Column, least: int = 2, tokens: int = 25000) -> Column:
@@ -329,21 +337,20 @@ def by_size(text: Column, length: Column, most: int) -> Column:
     """About equal parts, each closed at the last paragraph or else sentence break in reach."""
     target = F.greatest(F.lit(1), F.floor(length / F.ceil(length / most)).cast("int"))
 
-    def fold(t: Column) -> Column:
+    def fold(t: Column, parts: Column) -> Column:
         def step(a: Column, _: Column) -> Column:
             s = a["s"]
             aim = F.least(s + t, length)
-            p = last_in(text, "\n\n", s, aim + 500)
-            r = F.greatest(*[last_in(text, x, s, aim + 200) for x in (". ", "! ", "? ")])
-            end = F.when(aim >= length, aim).when(p >= 0, p + 2).when(r >= 0, r + 2).otherwise(aim)
-            return F.when(s >= length, a).otherwise(F.struct(end.alias("s"), F.array_append(a["cuts"], end).alias("cuts")))
+            after = lambda part, reach: bound(last_in(parts, part, s, aim + reach), lambda p: F.when(p >= 0, p + 2))
+            end = F.when(aim >= length, aim).otherwise(F.coalesce(after(GAP, 500), after(STOPS, 200), aim))
+            return F.when(s >= length, a).otherwise(bound(end, lambda e: F.struct(e.alias("s"), F.array_append(a["cuts"], e).alias("cuts"))))
 
         zero = F.struct(F.lit(0).alias("s"), _ints().alias("cuts"))
         # a paragraph or sentence that ends early may leave a short part: as many steps as breaks allow
         steps = F.least(length, F.ceil(length / t).cast("int") * 4 + F.size(F.split(text, "\n\n")) + F.size(F.split(text, r"[.!?] ")))
         return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), steps)), zero, step, lambda a: F.filter(a["cuts"], lambda x: x < length))
 
-    return F.when(length <= most, pieces(_ints(), length, "size")).otherwise(bound(target, lambda t: pieces(fold(t), length, "size")))
+    return F.when(length <= most, pieces(_ints(), length, "size")).otherwise(bound(target, lambda t: bound(blocks(text), lambda x: pieces(fold(t, x), length, "size"))))
 
 
 def paragraphs(text: Column, most: int = 1000) -> Column:

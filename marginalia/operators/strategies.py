@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.breaks import sized
+from ..functions.breaks import blocks, cut_out, sized
 from .annotate import sentences
 from .report import document, information
 
@@ -21,17 +21,17 @@ def results(text: Column, strategies: dict[str, Strategy]) -> Column:
     """An array of (strategy, divisions, summary) in the order given: the summary is the first whole sentence of each
     division. A strategy without divisions, or a null text, has 0 divisions and no summary."""
 
-    def lead(piece: Column) -> Column:
-        return F.get(sentences(F.trim(F.substr(text, piece["s"] + 1, piece["e"] - piece["s"]))), F.lit(0))
+    def lead(parts: Column, piece: Column) -> Column:
+        return F.get(sentences(F.trim(cut_out(parts, piece["s"], piece["e"]))), F.lit(0))
 
-    def told(name: str, make: Strategy) -> Column:
+    def told(name: str, make: Strategy, parts: Column) -> Column:
         row = lambda p: F.struct(
             F.lit(name).alias("strategy"), F.coalesce(F.size(p), F.lit(0)).cast("long").alias("divisions"),
-            F.coalesce(F.array_join(F.filter(F.transform(p, lead), lambda x: x.isNotNull()), ". "), F.lit("")).alias("summary"),
+            F.coalesce(F.array_join(F.filter(F.transform(p, lambda x: lead(parts, x)), lambda x: x.isNotNull()), ". "), F.lit("")).alias("summary"),
         )
         return X.bound(F.when(text.isNotNull(), sized(text, make)), row)
 
-    return F.array(*[told(name, make) for name, make in strategies.items()])
+    return X.bound(blocks(text), lambda parts: F.array(*[told(name, make, parts) for name, make in strategies.items()]))
 
 
 def metrics(docs: DataFrame, strategies: dict[str, Strategy]) -> DataFrame:

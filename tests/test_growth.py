@@ -2,6 +2,8 @@
 
 import pytest
 from marginalia.catalog import QUERIES
+from marginalia.functions.breaks import BITS, blocks, cut_out
+from marginalia.functions.text import bound
 from marginalia.operators import annotate as A
 from marginalia.operators import apply as U
 from marginalia.operators import topics as T
@@ -44,3 +46,12 @@ def test_summary_in_its_row(spark):
     df = A.extractive_summary(spark.createDataFrame(rows, "doc_id int, chunk_index int, text string"), 2)
     assert "Exchange" not in plan(df) and "Join" not in plan(df)
     assert [tuple(r) for r in df.collect()] == [(1, 0, "Cats eat fish. Cats_x eat.")]  # eat 3; cats, eat: 2.5, fish: 1
+
+
+def test_cut_out(spark):
+    text = "".join(chr(97 + i % 26) if i % 7 else "\n" if i % 3 else "😀é"[i % 2] for i in range(3 * 2**BITS + 5))
+    n, b = len(text), 2**BITS
+    spans = [(0, 0), (0, 1), (0, n), (b - 1, b + 1), (b, b), (b, 2 * b), (5, 3), (2 * b - 3, n), (n - 1, n + 50), (n, n + 9), (n + b, n + b + 1), (17, 3 * b + 2)]
+    df = spark.createDataFrame([(text, s, e) for s, e in spans], "text string, s int, e int")
+    got = df.select("s", "e", bound(blocks(F.col("text")), lambda x: cut_out(x, F.col("s"), F.col("e"))).alias("x")).collect()
+    assert all(r.x == text[r.s : max(r.s, r.e)] for r in got) and len(got) == len(spans)
