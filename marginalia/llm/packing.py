@@ -19,6 +19,8 @@ from .common import Units, cut, map_rows, slices
 
 #: Partitions up to which their offsets (some 16 bytes each) go to every task.
 SMALL = 1_000_000
+#: Bytes of words and their ids that a worker keeps: those of some batches, not only of one, which has up to 30 million.
+KEPT = 96_000_000
 _loaded: dict[str, tuple] = {}
 #: Letters of one code point in composed form with a lower case of one code point, then other
 #: ASCII characters but for the apostrophe and those of special strings: two pieces at most.
@@ -32,7 +34,7 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path), WordEndEncoder(path), Units(24_000_000)
+        _loaded[path] = Tokenizer.from_file(path), WordEndEncoder(path), Units(KEPT)
     return _loaded[path]
 
 
