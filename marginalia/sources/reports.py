@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 
@@ -26,27 +26,28 @@ class Staged(WriterCommitMessage):
     files: int
 
 
-class _Writer(DataSourceArrowWriter):
+class _Writer(DataSourceWriter):
     """Each attempt of a task writes into a folder of its own below ``_staged``. A commit moves the folders of
     the attempts that count beside it, a rename a task, and drops the rest, so a repeated task leaves no file twice; an abort
-    drops all. Names repeat only across tasks, where their folders differ. Contents go from Arrow's buffers to the files, one at a
-    time: a batch of rows is never text in Python."""
+    drops all. Names repeat only across tasks, where their folders differ."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.run = path.rstrip("/"), overwrite, uuid.uuid4().hex
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
+    def write(self, rows: Iterator[Row]) -> Staged:
+        return self._put((row["name"], (row["content"] or "").encode()) for row in rows)
+
+    def _put(self, files: Iterator[tuple[str | None, bytes | pa.Buffer]]) -> Staged:
         system, base = opened(self.path)
         folder, n = f"{base}/_staged-{self.run}/part-{uuid.uuid4().hex}", 0
-        for batch in batches:
-            for name, content in zip(batch.column("name"), batch.column("content")):
-                if not name.is_valid:
-                    raise ValueError("a file without a name")
-                if not n:
-                    system.create_dir(folder)
-                with system.open_output_stream(f"{folder}/{name.as_py()}") as out:
-                    out.write(content.as_buffer() if content.is_valid else b"")
-                n += 1
+        for name, content in files:
+            if name is None:
+                raise ValueError("a file without a name")
+            if not n:
+                system.create_dir(folder)
+            with system.open_output_stream(f"{folder}/{name}") as out:
+                out.write(content)
+            n += 1
         return Staged(posixpath.basename(folder), n)
 
     def commit(self, messages: list[Staged | None]) -> None:
@@ -71,6 +72,14 @@ class _Writer(DataSourceArrowWriter):
             system.delete_dir(staged)
 
 
+class _BatchWriter(_Writer, DataSourceArrowWriter):
+    """Contents go from Arrow's buffers to the files, one at a time: a batch of rows is never text in Python."""
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
+        pairs = (pair for b in batches for pair in zip(b.column("name"), b.column("content")))
+        return self._put((name.as_py(), content.as_buffer() if content.is_valid else b"") for name, content in pairs)
+
+
 class NamedFiles(DataSource):
     """``df.write.format("named_files")`` for rows of (name, content): a file a row, a folder a task."""
 
@@ -79,7 +88,7 @@ class NamedFiles(DataSource):
         return "named_files"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], overwrite)
+        return _BatchWriter(self.options["path"], overwrite)
 
 
 def write_files(rows: DataFrame, path: str) -> None:
