@@ -139,8 +139,8 @@ def chunked(text: Column, min_chunks: int = 3, most: int | None = None) -> Colum
 
 
 def exploded(docs: DataFrame, column: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows of pieces: index, start, end, kind, text. Wide text work stays in its partition, and is done once: a plain
-    explode has its array filtered by size first, and so made again."""
+    """Rows of pieces: index, start, end, kind, text. Wide text work stays in its partition; the pieces' texts
+    are cut out of blocks in the row, so that no row carries the whole text."""
     whole = lambda parts: F.transform(column, lambda p: F.struct(p["s"].alias("start_pos"), p["e"].alias("end_pos"), p["kind"].alias("chunk_type"), cut_out(parts, p["s"], p["e"]).alias("text")))
     rows = docs.select(*keep, F.posexplode_outer(bound(blocks(F.col("text")), whole)).alias("chunk_index", "p")).where("p is not null")
     return rows.select(*keep, "chunk_index", "p.*")
