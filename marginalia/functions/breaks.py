@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import all_matches, bound
@@ -10,23 +10,49 @@ from .text import all_matches, bound
 PIECE = "array<struct<s:int,e:int,kind:string>>"
 
 
+#: Entries of a run of positions: what a fold adds one by one, since every addition copies the array.
+RUN = 32
+
+
+def runs(rows: Column) -> Column:
+    """An array in arrays of ``RUN`` entries; none of an empty one."""
+    last = F.floor((F.size(rows) - 1) / RUN).cast("int")
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(rows, i * RUN + 1, RUN))).otherwise(F.slice(F.array(rows), 1, 0))
+
+
 def starts(text: Column, pattern: str, ends: bool = False) -> Column:
     """Start (or end) positions of all matches: lengths of what lies between and of matches,
-    summed up in one pass."""
+    summed up in one pass, run by run."""
+    none = F.array().cast("array<int>")
 
     def run(parts: Column, found: Column) -> Column:
         sizes = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
         step = lambda a, x: F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.array_append(a["out"], a["at"] + x["p"] + (x["m"] if ends else F.lit(0))).alias("out"))
-        return F.aggregate(sizes, zero, step, lambda a: a["out"])
+        some = lambda a, r: F.aggregate(r, F.struct(a["at"].alias("at"), none.alias("out")), step)
+        more = lambda a, r: bound(some(a, r), lambda x: F.struct(x["at"].alias("at"), F.array_append(a["out"], x["out"]).alias("out")))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        return bound(sizes, lambda rows: F.aggregate(runs(rows), zero, more, lambda a: F.flatten(a["out"])))
+
+    return bound(all_matches(text, pattern), lambda m: F.when(F.size(m) > 0, run(F.split(text, pattern), m)).otherwise(none))
+
+
+#: Starts of patterns that are found already.
+Known = dict[str, Column]
+
+
+def with_starts(docs: DataFrame, patterns: list[str]) -> tuple[DataFrame, Known]:
+    """Documents with the starts of patterns that several rules ask for, as columns, each looked for once."""
+    names = {p: f"starts_{i}" for i, p in enumerate(patterns)}
+    return docs.select("*", *[starts(F.col("text"), p).alias(n) for p, n in names.items()]), {p: F.col(n) for p, n in names.items()}
+
 
-    found = bound(all_matches(text, pattern), lambda m: F.when(F.size(m) > 0, run(F.split(text, pattern), m)).otherwise(F.array().cast("array<int>")))
-    return found
+def _known(text: Column, pattern: str, known: Known | None) -> Column:
+    return known[pattern] if known and pattern in known else starts(text, pattern)
 
 
-def all_starts(text: Column, patterns: list[str]) -> Column:
+def all_starts(text: Column, patterns: list[str], known: Known | None = None) -> Column:
     """Sorted starts of several patterns, repeats kept."""
-    return F.sort_array(F.flatten(F.array(*[starts(text, p) for p in patterns])))
+    return F.sort_array(F.flatten(F.array(*[_known(text, p, known) for p in patterns])))
 
 
 def _tagged(at: Column, k: int, strength: float) -> Column:
@@ -38,11 +64,11 @@ def sized(text: Column, f) -> Column:
     return bound(F.length(text), lambda n: f(text, n))
 
 
-def weighted(text: Column, patterns: list[tuple[str, float]], late: frozenset = frozenset()) -> Column:
+def weighted(text: Column, patterns: list[tuple[str, float]], late: frozenset = frozenset(), known: Known | None = None) -> Column:
     """Sorted (pos, k, strength, i) of weighted patterns; those in ``late`` count from 11 on."""
     found = []
     for k, (p, strength) in enumerate(patterns):
-        at = starts(text, p)
+        at = _known(text, p, known)
         if p in late:
             at = F.filter(at, lambda x: x > 10)
         found.append(_tagged(at, k, strength))

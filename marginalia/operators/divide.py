@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.breaks import PIECE, all_starts, blocks, cut_out, first_in, last_in, pieces, sized, starts, weighted
+from ..functions.breaks import PIECE, Known, all_starts, blocks, cut_out, first_in, last_in, pieces, runs, sized, starts, weighted
 from ..functions.text import SPEAKERS, any_match, bound, transcript_like
 
 # Patterns with strengths, and sizes, that define the results.
@@ -30,6 +30,8 @@ CONTEXT = [
     (r"(?i)(?:Next|Now|Moving on to|Let's discuss|Let's talk about|Turning to|Regarding|About)", 0.65),
     (r"\n[A-Z][a-z]+\s*[A-Z][a-z]*\s*:", 0.9), (r"\n[A-Z][a-z]+:", 0.85), (r"(?<=[.!?])\s+(?=[A-Z])", 0.5),
 ]
+#: Patterns of the context that other strategies look for too.
+COMMON = [p for p, _ in CONTEXT if p in BOUNDARIES or p in TOPICS]
 TURN = r"(^|\n)(?:[A-Z][a-z]+ [A-Z][a-z]+|[A-Z][a-z]+|(?:Dr|Mr|Mrs|Ms)\. [A-Z][a-z]+):"
 TEAMS_TURN = r"\d{1,2}:\d{2}:\d{2}\s+[AP]M\s+From\s+[^:]+:"
 INTS = "array<int>"
@@ -223,16 +225,16 @@ def by_speakers(text: Column, length: Column, least: int = 2, tokens: int = 2500
     return bound(target, lambda t: bound(starts(text, TURN), lambda turns: pieces(F.when(F.size(turns) > 0, fold(turns, t)).otherwise(_ints()), length, "long")))
 
 
-def by_topics(text: Column, length: Column, least: int = 2, tokens: int = 25000) -> Column:
+def by_topics(text: Column, length: Column, least: int = 2, tokens: int = 25000, known: Known | None = None) -> Column:
     n = sections_of(length, least, tokens)
-    return bound(all_starts(text, TOPICS), lambda b: F.when(F.size(b) < least - 1, essential(text, length, least, tokens)).otherwise(pieces(F.filter(nearest(b, length, n), lambda x: x > 0), length, "long")))
+    return bound(all_starts(text, TOPICS, known), lambda b: F.when(F.size(b) < least - 1, essential(text, length, least, tokens)).otherwise(pieces(F.filter(nearest(b, length, n), lambda x: x > 0), length, "long")))
 
 
-def long_(text: Column, length: Column, least: int = 2, tokens: int = 25000) -> Column:
-    return F.when(any_match(text, SPEAKERS), by_speakers(text, length, least, tokens)).otherwise(by_topics(text, length, least, tokens))
+def long_(text: Column, length: Column, least: int = 2, tokens: int = 25000, known: Known | None = None) -> Column:
+    return F.when(any_match(text, SPEAKERS), by_speakers(text, length, least, tokens)).otherwise(by_topics(text, length, least, tokens, known))
 
 
-def by_structure(text: Column, length: Column, least: int = 2, tokens: int = 25000) -> Column:
+def by_structure(text: Column, length: Column, least: int = 2, tokens: int = 25000, known: Known | None = None) -> Column:
     """Intervals between boundaries of 200 characters or more, merged while there are too many."""
     n = sections_of(length, least, tokens)
 
@@ -254,28 +256,32 @@ def by_structure(text: Column, length: Column, least: int = 2, tokens: int = 250
         rows = F.filter(pieces(b, length, "complex"), lambda x: x["e"] - x["s"] >= 200)
         return bound(rows, lambda r: F.when(F.size(r) > 2 * n, merged(r)).otherwise(r))
 
-    return bound(all_starts(text, BOUNDARIES), lambda b: F.when(F.size(b) > 0, run(b)).otherwise(F.array().cast(PIECE)))
+    return bound(all_starts(text, BOUNDARIES, known), lambda b: F.when(F.size(b) > 0, run(b)).otherwise(F.array().cast(PIECE)))
 
 
-def context_aware(text: Column, length: Column, least: int = 2, tokens: int = 25000) -> Column:
+def context_aware(text: Column, length: Column, least: int = 2, tokens: int = 25000, known: Known | None = None) -> Column:
     """Greedy sections that end at the break of most adjusted strength near the target size."""
     n = sections_of(length, least, tokens)
 
-    def fold(breaks: Column, t: Column, parts: Column) -> Column:
+    def fold(grouped: Column, t: Column, parts: Column) -> Column:
         small = F.greatest(F.lit(1000.0), F.floor(t / 3))
         back = F.floor(t * 0.2).cast("int")
 
         def step(a: Column, _: Column) -> Column:
             s = a["s"]
-            stop = F.coalesce(F.array_min(F.transform(F.filter(breaks, lambda b: b["pos"] > s + t * 1.5), lambda b: b["i"])), F.lit(2**31 - 1))
-            near = bound(stop, lambda z: F.filter(breaks, lambda b: (b["pos"] - s >= small) & (b["pos"] > s) & (b["i"] <= z)))
+            # runs up to the one that holds the first break beyond the reach
+            some = F.flatten(F.transform(F.filter(grouped, lambda r: (r["last"] >= s + F.least(small, t * 1.5)) & (r["before"] <= s + t * 1.5)), lambda r: r["rows"]))
+
+            def reached(some: Column) -> Column:
+                stop = F.coalesce(F.array_min(F.transform(F.filter(some, lambda b: b["pos"] > s + t * 1.5), lambda b: b["i"])), F.lit(2**31 - 1))
+                return bound(stop, lambda z: F.filter(some, lambda b: (b["pos"] - s >= small) & (b["pos"] > s) & (b["i"] <= z)))
 
             def scored(b: Column) -> Column:
                 size = b["pos"] - s
                 factor = F.when(size.between(t * 0.8, t * 1.2), 1.2).when(size < t * 0.5, 0.8).when(size > t * 1.5, 0.7).otherwise(1.0)
                 return F.struct((b["strength"] * factor).alias("v"), (-b["i"]).alias("o"), b["pos"].alias("pos"))
 
-            best = F.array_max(F.transform(near, scored))["pos"]
+            best = F.array_max(F.transform(bound(some, reached), scored))["pos"]
             hard = F.least(s + F.floor(t).cast("int"), length)
             snapped = bound(last_in(parts, STOPS, hard - back, hard), lambda end: F.when((hard < length) & (end >= 0) & (end + 2 > s), end + 2).otherwise(hard))
             nxt = F.coalesce(best, snapped)
@@ -286,14 +292,17 @@ def context_aware(text: Column, length: Column, least: int = 2, tokens: int = 25
         return F.aggregate(F.sequence(F.lit(1), steps), zero, step, lambda a: F.filter(a["cuts"], lambda x: x < length))
 
     def kept(parts: Column) -> Column:
-        run = lambda b: bound(length / n, lambda t: pieces(fold(b, F.greatest(F.lit(1.0), t), parts), length, "complex"))
-        made = bound(weighted(text, CONTEXT), lambda b: F.when(F.size(b) > 0, run(b)).otherwise(_essential(parts, length, n)))
+        edges = lambda r: F.struct(r.alias("rows"), F.element_at(r, -1)["pos"].alias("last"))
+        after = lambda e: F.transform(e, lambda r, i: F.struct(r["rows"].alias("rows"), r["last"].alias("last"), F.coalesce(F.get(e, i - 1)["last"], F.lit(-1)).alias("before")))
+        grouped = lambda b: bound(F.transform(runs(b), edges), after)
+        run = lambda b: bound(F.struct(F.greatest(F.lit(1.0), length / n).alias("t"), grouped(b).alias("r")), lambda z: pieces(fold(z["r"], z["t"], parts), length, "complex"))
+        made = bound(weighted(text, CONTEXT, known=known), lambda b: F.when(F.size(b) > 0, run(b)).otherwise(_essential(parts, length, n)))
         return F.filter(made, lambda x: F.regexp_like(cut_out(parts, x["s"], x["e"]), F.lit(r"\S")))
 
     return bound(blocks(text), kept)
 
 
-def complex_(text: Column, length: Column, least: int = 2, tokens: int = 25000) -> Column:
+def complex_(text: Column, length: Column, least: int = 2, tokens: int = 25000, known: Known | None = None) -> Column:
     """Of structure and context the division whose count is closest to the target."""
     target = F.greatest(F.lit(least), F.floor(length / (tokens * 4)).cast("int"))
 
@@ -302,7 +311,7 @@ def complex_(text: Column, length: Column, least: int = 2, tokens: int = 25000)
         closer = F.abs(F.size(a) - target) <= F.abs(F.size(b) - target)
         return F.when(ok_a & (~ok_b | closer), a).when(ok_b, b).otherwise(essential(text, length, least, tokens))
 
-    return bound(by_structure(text, length, least, tokens), lambda a: bound(context_aware(text, length, least, tokens), lambda b: pick(a, b)))
+    return bound(by_structure(text, length, least, tokens, known), lambda a: bound(context_aware(text, length, least, tokens, known), lambda b: pick(a, b)))
 
 
 ALIASES = {"basic": "essential", "speaker": "long", "boundary": "complex", "context_aware": "complex", "semantic": "complex"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.breaks import sized
+from ..functions.breaks import sized, with_starts
 from ..operators import divide as D
 from ..registry import query
 from ..views import load
@@ -106,10 +106,11 @@ def divide_essential(spark, sf_dir):
     return D.exploded(load(spark, sf_dir, "dossiers"), sized(F.col("text"), lambda t, n: D.essential(t, n, 1, TOKENS)))
 
 
-def _register(name, view, make, sql=None):
+def _register(name, view, make, sql=None, common=()):
     @query(name, sql, view if sql and view != "documents" else "")
     def run(spark, sf_dir):
-        return D.exploded(load(spark, sf_dir, view), sized(F.col("text"), make))
+        docs, known = with_starts(load(spark, sf_dir, view), list(common))
+        return D.exploded(docs, sized(F.col("text"), lambda t, n: make(t, n, known) if common else make(t, n)))
 
 
 _register("divide_long", "dossiers", lambda t, n: D.long_(t, n, 2, TOKENS), folds.long_sql("dossiers", 2, TOKENS))
@@ -117,7 +118,7 @@ _register("divide_speakers", "transcripts", lambda t, n: D.by_speakers(t, n, 2,
 _register("divide_topics", "dossiers", lambda t, n: D.by_topics(t, n, 2, TOKENS), folds.topics_sql("dossiers", 2, TOKENS))
 _register("divide_structure", "dossiers", lambda t, n: D.by_structure(t, n, 2, TOKENS), folds.intervals_sql("dossiers", 2, TOKENS))
 _register("divide_context_aware", "dossiers", lambda t, n: D.context_aware(t, n, 2, TOKENS), folds.context_sql("dossiers", 2, TOKENS))
-_register("divide_complex", "dossiers", lambda t, n: D.complex_(t, n, 2, TOKENS), folds.complex_sql("dossiers", _essential_sql, 2, TOKENS))
+_register("divide_complex", "dossiers", lambda t, n, known: D.complex_(t, n, 2, TOKENS, known), folds.complex_sql("dossiers", _essential_sql, 2, TOKENS), [p for p in D.COMMON if p in D.BOUNDARIES])
 _register("divide_document", "dossiers", lambda t, n: D.divided(t, F.element_at(F.array(*map(F.lit, ["essential", "long", "complex", "auto", "other"])), (F.col("doc_id") % 5 + 1).cast("int")), 1, TOKENS), folds.divided_sql("dossiers", "['essential', 'long', 'complex', 'auto', 'other'][doc_id % 5 + 1]", _essential_sql, TOKENS))
 _register("divide_teams", "teams_transcripts", lambda t, n: D.teams(t, n, 2000), folds.teams_sql("teams_transcripts", 2000))
 _register("divide_by_size", "documents", lambda t, n: D.by_size(t, n, 2000), folds.size_sql("documents", 2000))
@@ -170,9 +171,10 @@ _compared = f"""SELECT v.doc_id, CAST(length(text) AS INTEGER) AS text_length, C
 @query("compare_strategies", _compared, "dossiers")
 def compare_strategies(spark, sf_dir):
     t, n = F.col("text"), F.length("text")
+    docs, known = with_starts(load(spark, sf_dir, "dossiers"), D.COMMON)
     on = lambda f: sized(t, f)
-    strategies = {"essential": on(lambda t, n: D.essential(t, n, 1, TOKENS)), "long": on(lambda t, n: D.long_(t, n, 2, TOKENS)), "complex": on(lambda t, n: D.complex_(t, n, 2, TOKENS))}
-    return load(spark, sf_dir, "dossiers").select("doc_id", n.alias("text_length"), F.floor(n / 4).alias("estimated_tokens"), *[F.size(c).alias(k) for k, c in strategies.items()])
+    strategies = {"essential": on(lambda t, n: D.essential(t, n, 1, TOKENS)), "long": on(lambda t, n: D.long_(t, n, 2, TOKENS, known)), "complex": on(lambda t, n: D.complex_(t, n, 2, TOKENS, known))}
+    return docs.select("doc_id", n.alias("text_length"), F.floor(n / 4).alias("estimated_tokens"), *[F.size(c).alias(k) for k, c in strategies.items()])
 
 
 @query("detail_scaling", "SELECT doc_id, detail, 3 * CASE detail WHEN 'essential' THEN 1 WHEN 'detailed' THEN 2 WHEN 'detailed-complex' THEN 3 ELSE 1 END AS min_chunks FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'essential' WHEN 1 THEN 'detailed' WHEN 2 THEN 'detailed-complex' ELSE 'other' END AS detail FROM documents)")

@@ -243,7 +243,7 @@ def term_matrix(spark, sf_dir):
     return T.term_matrix(load(spark, sf_dir, "documents").select(F.col("source").alias("label"), "text"))
 
 
-_strategies = {"essential": lambda t, n: D.essential(t, n, 1, TOKENS), "long": lambda t, n: D.long_(t, n, 2, TOKENS), "complex": lambda t, n: D.complex_(t, n, 2, TOKENS)}
+_strategies = {"essential": lambda t, n, known: D.essential(t, n, 1, TOKENS), "long": lambda t, n, known: D.long_(t, n, 2, TOKENS, known), "complex": lambda t, n, known: D.complex_(t, n, 2, TOKENS, known)}
 _pieces = " UNION ALL ".join(f"SELECT {q(k)} AS strategy, {i} AS o, doc_id, chunk_index, text FROM ({s})" for i, (k, s) in enumerate({"essential": _essential, "long": folds.long_sql("dossiers", 2, TOKENS), "complex": folds.complex_sql("dossiers", _essential_sql, 2, TOKENS)}.items()))
 _told = f"SELECT doc_id, strategy, o, count(*) AS divisions, string_agg(list_filter(string_split_regex(trim(text), '[.!?]+\\s+'), lambda x: x <> '')[1], '. ' ORDER BY chunk_index) AS summary FROM ({_pieces}) GROUP BY ALL"
 
@@ -253,7 +253,7 @@ _told = f"SELECT doc_id, strategy, o, count(*) AS divisions, string_agg(list_fil
  SELECT doc_id, strategy, false AS total, divisions, n AS summary_length, round(ds, 9) AS division_share, round(ls, 9) AS length_share FROM m
  UNION ALL SELECT NULL, strategy, true, CAST(sum(divisions) AS BIGINT), CAST(sum(n) AS BIGINT), round(avg(ds), 9), round(avg(ls), 9) FROM m GROUP BY strategy""", "dossiers")
 def strategy_metrics(spark, sf_dir):
-    return ST.metrics(load(spark, sf_dir, "dossiers"), _strategies)
+    return ST.metrics(load(spark, sf_dir, "dossiers"), _strategies, D.COMMON)
 
 
 _count = lambda x: f"format('{{:,}}', {x})"
@@ -266,7 +266,7 @@ _named = "len(list_distinct(flatten([" + ", ".join(f"regexp_extract_all(text, {q
   '- Words: ' || {_count("len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '))")}, CASE WHEN {_named} > 0 THEN '- Speakers: ' || {_count(_named)} END),
   '## Strategy comparison' || chr(10) || '| Strategy | Divisions | Summary length |' || chr(10) || '|---|---|---|' || chr(10) || lines, '## Strategy summaries' || chr(10) || parts) AS report FROM dossiers JOIN g USING (doc_id)""", "dossiers")
 def comparison_report(spark, sf_dir):
-    return ST.comparison_report(load(spark, sf_dir, "dossiers"), _strategies)
+    return ST.comparison_report(load(spark, sf_dir, "dossiers"), _strategies, D.COMMON)
 
 
 @query("run_rollup", "SELECT doc_id, count(*) AS chunks, max(importance) AS top_importance, sum(len(action_items)) AS action_items, sum(len(keywords)) AS keywords FROM annotations GROUP BY doc_id", "annotations")

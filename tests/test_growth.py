@@ -1,8 +1,11 @@
 """What a task holds and what is shuffled, on growing tables: parts of texts, counts in a row, batches in parts."""
 
+import re
+import time
+
 import pytest
 from marginalia.catalog import QUERIES
-from marginalia.functions.breaks import BITS, blocks, cut_out
+from marginalia.functions.breaks import BITS, blocks, cut_out, starts
 from marginalia.functions.text import bound
 from marginalia.operators import annotate as A
 from marginalia.operators import apply as U
@@ -55,3 +58,19 @@ def test_cut_out(spark):
     df = spark.createDataFrame([(text, s, e) for s, e in spans], "text string, s int, e int")
     got = df.select("s", "e", bound(blocks(F.col("text")), lambda x: cut_out(x, F.col("s"), F.col("e"))).alias("x")).collect()
     assert all(r.x == text[r.s : max(r.s, r.e)] for r in got) and len(got) == len(spans)
+
+
+def test_positions_in_runs(spark):
+    """Positions are summed up in runs, so that no array is copied for every match; each pattern is looked for once in a text."""
+    texts = [("ab. " * n + "é. Z",) for n in (0, 1, 31, 32, 33, 64, 500)] + [("none",), ("",), (None,)]
+    df = spark.createDataFrame(texts, "text string").select("text", starts(F.col("text"), r"\.\s").alias("s"), starts(F.col("text"), r"\.\s", ends=True).alias("e"))
+    for text, s, e in df.collect():
+        found = list(re.finditer(r"\.\s", text or ""))
+        assert (s, e) == ([m.start() for m in found], [m.end() for m in found])
+    long = spark.range(1).select(F.repeat(F.lit("ab. "), 60_000).alias("text"))
+    began = time.time()
+    assert long.select(F.size(starts(F.col("text"), r"\.\s"))).first()[0] == 60_000
+    assert time.time() - began < 20  # one array copied for every match: over a minute
+    for name in ("strategy_metrics", "compare_strategies", "comparison_report"):
+        made = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"split\(text#\d+, \(\?<=\[\.!\?\]\)\\s\+\(\?=\[A-Z\]\)", made)) == 1
