@@ -1,7 +1,7 @@
 """Main text of pages by the template that pages of one host share.
 
 Tags (by their path) and whole text nodes are tokens. Tokens with equal occurrence vectors over
-a sample of same-host pages form an equivalence class; valid classes, which nearly every page
+the pages of a host form an equivalence class; valid classes, which nearly every page
 holds once and in one order, are the template's skeleton, and classes whose every occurrence
 lies in one of its gaps are nested there. Gaps are slots. Slots that pages fill with long, varied
 text outside links hold content; the skeleton's deepest element around most of it is where the
@@ -17,18 +17,17 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .common import cut, slices
 
-#: Pages of a host that its template is deduced from, the first by a hash: the bound of the sample.
-SAMPLE = 48
 #: Distinct pages from which on variation between pages counts, share of them that holds a token
 #: of the skeleton, characters a page from which on a slot is long, share of the content around
 #: which the main element stands.
@@ -433,35 +432,301 @@ def extract(sources: list[str | None], labels: bool = True) -> list[str]:
     return [read(p, template, labels) for p in pages]
 
 
-def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+_hashes: dict[tuple[int, str], int] = {}
+
+
+def named(path: int, text: str) -> int:
+    """64 bits of a token or of a path below another, the same in every task."""
+    return int.from_bytes(blake2b(text.encode(errors="surrogatepass"), digest_size=8, key=path.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+
+
+def _tag(path: int, label: str) -> int:
+    """``named`` for the few names of tags, kept."""
+    found = _hashes.get((path, label))
+    if found is None:
+        if len(_hashes) > 200_000:
+            _hashes.clear()
+        found = _hashes[path, label] = named(path, label)
+    return found
+
+
+def path_names(paths: Paths) -> list[int]:
+    """The 64 bits of each path by its number; 0 stays 0."""
+    out = [0]
+    for parent, label in paths.keys:
+        out.append(_tag(out[parent], label))
+    return out
+
+
+#: A different token of a page: name, occurrences, first and last place, and of an opening tag the element's
+#: path, the path around it and whether it holds running text.
+_TOKENS = pa.struct([("t", pa.int64()), ("c", pa.int32()), ("a", pa.int32()), ("z", pa.int32()), ("e", pa.int64()), ("up", pa.int64()), ("kind", pa.int32())])
+#: A text: token, place, length, path, and boilerplate, main and link as bits.
+_TEXTS = pa.struct([("t", pa.int64()), ("a", pa.int32()), ("size", pa.int32()), ("path", pa.int64()), ("flags", pa.int32())])
+_PATHS = pa.struct([("path", pa.int64()), ("up", pa.int64())])
+_TEXT, _OPEN, _LEAF, _CLOSE = range(4)
+
+
+def summary(page: Page) -> tuple[int, list[tuple], list[tuple], list[tuple]]:
+    """A digest of a page's tokens, and what of it the template is deduced from."""
+    path_of = path_names(page.paths)
+    places = {x.place for x in page.texts}
+    found: dict[int, list] = {}
+    digest = blake2b(digest_size=8)
+    for i, (path, text) in enumerate(page.tokens):
+        at = path_of[path]
+        if i in places:  # a text may begin with < or / too
+            name, more = named(at, "=" + text), (0, 0, _TEXT)
+        elif text[0] == "<":
+            name, more = _tag(at, text), (_tag(at, text[1:]), at, _LEAF if text[1:].partition(".")[0] in _leaves else _OPEN)
+        else:
+            name, more = _tag(at, text), (0, 0, _CLOSE)
+        digest.update(name.to_bytes(8, "little", signed=True))
+        if name in found:
+            found[name][1] += 1
+            found[name][3] = i
+        else:
+            found[name] = [name, 1, i, i, *more]
+    texts = [(named(path_of[x.token[0]], "=" + x.token[1]), x.place, len(x.text), path_of[x.token[0]], x.boiler + 2 * x.main + 4 * x.link) for x in page.texts]
+    ups = [(path_of[i + 1], path_of[parent]) for i, (parent, _) in enumerate(page.paths.keys)]
+    return int.from_bytes(digest.digest(), "little", signed=True), [tuple(x) for x in found.values()], texts, ups
+
+
+def _nested(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
+    """Lists of tuples as an Arrow column of lists of structs."""
+    flat = [x for r in rows for x in r]
+    columns = list(zip(*flat)) or [()] * kind.num_fields
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, kind.field(i).type) for i, c in enumerate(columns)], fields=list(kind)))
+
+
+def _unnested(column: pa.Array) -> list[list[tuple]]:
+    """The other way round."""
+    flat = list(zip(*(c.to_pylist() for c in column.flatten().flatten())))
+    upto = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+    return [flat[a:b] for a, b in zip(upto[:-1], upto[1:])]
+
+
+def _summaries(rows: DataFrame) -> DataFrame:
+    """(h, digest, tokens, texts, paths) of the different pages of each host that hold text."""
+    names = ["h", "digest", "tokens", "texts", "paths"]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                made = [(h, *summary(page)) for h, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if (page := parse(x)).texts]
+                h, digest, tokens, texts, paths = ([m[i] for m in made] for i in range(5))
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(digest, pa.int64()), _nested(tokens, _TOKENS), _nested(texts, _TEXTS), _nested(paths, _PATHS)], names=names)
+
+    kinds = "h long, digest long, tokens array<struct<t:long,c:int,a:int,z:int,e:long,up:long,kind:int>>, texts array<struct<t:long,a:int,size:int,path:long,flags:int>>, paths array<struct<path:long,up:long>>"
+    pages = cut(rows.where("html is not null").select("h", "html").mapInArrow(run, kinds).withColumn("row", F.monotonically_increasing_id()), "page-summaries")
+    again = pages.groupBy("h", "digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return pages.join(again, ["h", "digest"], "left").where("first is null or first = row").drop("first", "row")
+
+
+def _by_host(pages: DataFrame, plans: DataFrame, column: str, kind: str, f: Callable) -> DataFrame:
+    """Rows that ``f(plan, pages)`` adds up in a task; it gets the pages of a batch host by host, and rows
+    of equal keys come as often as batches hold their host."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                of: dict[int, tuple[bytes, list]] = {}
+                for h, plan, *page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _unnested(part.column(2)), _unnested(part.column(3)), _unnested(part.column(4))):
+                    of.setdefault(h, (plan, []))[1].append(page)
+                made = [(h, *row) for h, (plan, some) in of.items() for row in f(json.loads(plan), some)]
+                columns = list(zip(*made)) or [()] * len(kind.split(","))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in kind.split(", ")])
+
+    return pages.join(plans.select("h", column), "h").select("h", column, "tokens", "texts", "paths").mapInArrow(run, kind)
+
+
+def _turned(order: list[int], pages: list) -> set[tuple[int, int]]:
+    """Pairs of the order's places whose tokens some page holds the other way round."""
+    at = {t: i for i, t in enumerate(order)}
+    found: set[tuple[int, int]] = set()
+    for tokens, _, _ in pages:
+        seen = [at[x[0]] for x in sorted((x for x in tokens if x[0] in at), key=lambda x: x[2])]
+        if seen != sorted(seen):
+            places = np.array(seen)
+            i, j = np.nonzero(np.triu(places[:, None] > places[None, :], 1))
+            found.update(zip(places[j].tolist(), places[i].tolist()))
+    return found
+
+
+def _filled(plan: dict, pages: list) -> list[tuple]:
+    """What stands in the slots, by (what, slot, path, flags, token): texts, length and pages of the slot that
+    they are the first of; and of the recurring tokens the lowest and highest gap."""
+    root, known = {t: i for i, t in enumerate(plan["root"])}, set(plan["recurring"])
+    ups = {0, *map(int, plan["ups"])}
+    gaps: dict[int, tuple[int, int]] = {}
+    out: dict[tuple, list[int]] = {}
+    for tokens, texts, paths in pages:
+        at = sorted((x[2], root[x[0]]) for x in tokens if x[0] in root)
+        places = [a for a, _ in at]
+        for t, _, a, z, *_ in tokens:
+            if t in known:
+                low, high = gaps.get(t, (2**31, -1))
+                gaps[t] = min(low, bisect_right(places, a)), max(high, bisect_right(places, z))
+        above, begun = dict(paths), set()
+        for t, a, size, path, flags in texts:
+            while path not in ups:
+                path = above[path]
+            k = bisect_right(places, a)
+            slot = at[k - 1][1] if k else -1
+            now = out.setdefault((0, slot, path, flags, t), [0, 0, 0])
+            now[0] += 1
+            now[1] += size
+            now[2] += slot not in begun
+            begun.add(slot)
+    return [(*k, *v) for k, v in out.items()] + [(1, 0, 0, 0, t, *g, 0) for t, g in gaps.items()]
+
+
+def _main(plan: dict, rows: list[tuple]) -> tuple[int, list[int], bool]:
+    """The path of a host's main element, the texts that are notices, and whether variation stands behind them, as ``deduce``
+    finds them: from rows (what, slot, path, flags, token or 0, texts, length, pages, different texts)."""
+    known, ups = plan["pages"] >= LEAST, {int(k): v for k, v in plan["ups"].items()}
+    groups: dict[int, list[int]] = defaultdict(list)
+    for t, g in zip(plan["recurring"], plan["classes"]):
+        groups[g].append(t)
+    gaps = {r[4]: (r[5], r[6]) for r in rows if r[0] == 1}
+    inside = {t for tokens in groups.values() if len({g for t in tokens for g in gaps[t]}) == 1 for t in tokens}
+    texts = set(plan["texts"])
+    fixed = {t for t in [*plan["root"], *inside] if t in texts} if known else set()
+    rows = [r for r in rows if r[0] == 0]
+    slots: dict[int, list] = defaultdict(list)
+    for r in rows:
+        slots[r[1]].append(r)
+    content = []
+    for some in slots.values():
+        size, linked = sum(r[6] for r in some), sum(r[6] for r in some if r[3] & 4)
+        varied = sum(r[8] for r in some) > 0.5 * sum(r[5] for r in some)
+        if 2 * linked <= size and size >= LONG * sum(r[7] for r in some) and (varied or not known):
+            content += some
+    free = [r for r in rows if not r[3] & 1]
+    content = [r for r in content if not r[3] & 1] or [r for r in free if not r[3] & 4]
+    if not known and any(r[3] & 2 for r in content):
+        content = [r for r in content if r[3] & 2]
+
+    depth = {0: 0}
+    for path in ups:
+        way = []
+        while path not in depth:
+            way.append(path)
+            path = ups[path]
+        for p in reversed(way):
+            depth[p] = depth[ups[p]] + 1
+    upwards = sorted(ups, key=lambda p: -depth[p])
+
+    def summed(sizes: list[tuple[int, int]]) -> Counter:
+        out: Counter = Counter()
+        for p, n in sizes:
+            out[p] += n
+        for p in upwards:
+            out[ups[p]] += out[p]
+        return out
+
+    held, there = summed([(r[2], r[6]) for r in content]), summed([(r[2], r[5]) for r in free])
+    fresh = summed([(r[2], r[8]) for r in free if not r[3] & 4 and r[4] not in fixed])
+    total = held[0]
+    main = max((m for m in plan["elements"] if total and held[m] >= MOST * total), key=lambda m: (depth[m], held[m], m), default=0)
+    while main:
+        up = ups[main]
+        more = there[up] - there[main]
+        good = 2 * (fresh[up] - fresh[main]) > more
+        if more and (not good or not known or depth[up] < 2) or not up:
+            break
+        main = up
+    return main, sorted(t for t in plan["root"] if t in fixed) if plan["pages"] >= 2 * LEAST else [], known
+
+
+def _on(page: Page, made: tuple[int, set[int], bool]) -> Template:
+    """A host's template in the numbers of a page; no path of the page is the main element where it has none."""
+    main, fixed, known = made
+    path_of = path_names(page.paths)
+    notices = {x.token for x in page.texts if named(path_of[x.token[0]], "=" + x.token[1]) in fixed} if fixed else set()
+    return Template(page.paths, [], path_of.index(main) if main in path_of else -1, notices, known)
+
+
+def host_templates(rows: DataFrame) -> DataFrame:
+    """(h, template) of pages (h, html): the template of each host from all its different pages.
+
+    Each page is parsed once into names of its tokens, texts and paths. What all pages say is added up by Spark: in how many a token
+    occurs and a fingerprint of its occurrence vector, which pairs of the skeleton some page turns round, what stands in each slot.
+    A group of one host holds only tokens that half its pages have, and sums by slot and element.
+    """
+    pages = cut(_summaries(rows), "different-pages")
+    sizes = pages.groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
+    place = F.floor(F.col("x.a").cast("long") * 2**20 / F.col("size")).alias("place")
+    tokens = pages.select("h", "digest", F.size("tokens").alias("size"), F.explode("tokens").alias("x")).select("h", "digest", place, "x.*")
+    tokens = tokens.groupBy("h", "t").agg(
+        F.count(F.lit(1)).alias("n"), F.max("c").alias("most"), F.bit_xor(F.xxhash64("digest", "c")).alias("vector"), F.min_by("a", "digest").alias("first"),
+        F.sum("place").alias("place"), F.max("e").alias("e"), F.max("up").alias("up"), F.max("kind").alias("kind"),
+    )
+    often = cut(tokens.join(sizes, "h").where("2 * n >= pages"), "host-tokens")
+
+    def order_of(rows: list[dict]) -> list[int]:
+        # by the place on the first page, by its digest, that holds them
+        once = sorted((r for r in rows if r["most"] == 1 and r["n"] >= SHARE * r["pages"]), key=lambda r: (r["first"], r["place"] / r["n"], r["t"]))
+        return [r["t"] for r in once]
+
+    def ordered(group: pa.Table) -> pa.Table:
+        return pa.table({"h": group.column("h")[:1], "skeleton": [json.dumps(order_of(group.to_pylist())).encode()]})
+
+    skeletons = cut(often.groupBy("h").applyInArrow(ordered, "h long, skeleton binary"), "host-skeletons")
+    turned = _by_host(pages, skeletons, "skeleton", "h long, i long, j long", _turned).distinct()
+
+    def planned(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, wrong = left.to_pylist(), set(zip(right.column("i").to_pylist(), right.column("j").to_pylist()))
+        order, root = order_of(rows), []
+        for i in range(len(order)):
+            if not root or (root[-1], i) not in wrong:
+                root.append(i)
+        root = [order[i] for i in root]
+        of = {r["t"]: r for r in rows}
+        vectors: dict[tuple, int] = {}
+        # a class whose every token belongs to the skeleton isn't nested anywhere
+        classes = {r["t"]: vectors.setdefault((r["n"], r["vector"]), len(vectors)) for r in rows}
+        outside = {classes[t] for t in of.keys() - set(root)}
+        recurring = sorted(t for t in of if classes[t] in outside)
+        plan = {
+            "root": root, "recurring": recurring, "classes": [classes[t] for t in recurring], "ups": {r["e"]: r["up"] for r in rows if r["kind"] in (_OPEN, _LEAF)},
+            "texts": sorted(t for t, r in of.items() if r["kind"] == _TEXT), "elements": sorted(of[t]["e"] for t in root if of[t]["kind"] == _OPEN), "pages": rows[0]["pages"],
+        }
+        return pa.table({"h": [rows[0]["h"]], "plan": [json.dumps(plan).encode()]})
+
+    plans = cut(often.groupBy("h").cogroup(turned.groupBy("h")).applyInArrow(planned, "h long, plan binary"), "host-plans")
+    kind = "h long, what long, slot long, path long, flags long, t long, texts long, size long, pages long"
+    found = _by_host(pages, plans, "plan", kind, _filled)
+    key = ["h", "what", "slot", "path", "flags"]
+    texts = found.where("what = 0").groupBy(*key, "t").agg(*[F.sum(c).alias(c) for c in ("texts", "size", "pages")])
+    texts = texts.join(often.select("h", "t", F.lit(True).alias("often")), ["h", "t"], "left").withColumn("t", F.when(F.col("often"), F.col("t")).otherwise(0))
+    texts = texts.groupBy(*key, "t").agg(*[F.sum(c).alias(c) for c in ("texts", "size", "pages")], F.count(F.lit(1)).alias("kinds"))
+    gaps = found.where("what = 1").groupBy(*key, "t").agg(F.min("texts").alias("texts"), F.max("size").alias("size"), F.max("pages").alias("pages")).withColumn("kinds", F.lit(0).cast("long"))
+
+    def template(group: pa.Table, plans: pa.Table) -> pa.Table:
+        plan = json.loads(plans.column("plan")[0].as_py())
+        made = _main(plan, list(zip(*(group.column(c).to_pylist() for c in ("what", "slot", "path", "flags", "t", "texts", "size", "pages", "kinds")))))
+        return pa.table({"h": plans.column("h")[:1], "template": pa.array([json.dumps(made).encode()], pa.binary())})
+
+    return cut(texts.union(gaps).groupBy("h").cogroup(plans.groupBy("h")).applyInArrow(template, "h long, template binary"), "host-templates")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    The template of a host comes from at most ``sample`` of its pages, the first by a hash of
-    all columns, so a host's size does not matter; equal pages count once. Templates, some KB a
-    host, are joined back on the host, in a join that Spark broadcasts where they are few and
+    The template of a host comes from all its different pages (``host_templates``), some KB a
+    host, and is joined back on the host, in a join that Spark broadcasts where they are few and
     splits where a host is hot. A host of under ``LEAST`` different pages has no template: its pages are
     read by ``<article>``, ``<main>`` and names alone, or as a whole where they have none of them; notices that
     pages repeat inside the main element are told from ``2 * LEAST`` pages on. Null or empty html: an empty text. Null urls share one host.
     Repeated rows give a row each; null ids stay. Extra columns are not read.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id"), F.col("url"), F.col("html"), host.alias("host"))
+    rows = pages.select(F.col("page_id"), F.col("url"), F.col("html"), F.xxhash64(host).alias("h"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    whole, place = 2**40, F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(2**40))
-    sizes = cut(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host-sizes")
-    # about three times the sample is read of a larger host, then the first of it by the hash
-    some = rows.where("html is not null").join(sizes, "host").withColumn("place", place).where(F.col("place") <= whole * F.least(F.lit(1.0), 3 * sample / F.col("n")))
-    some = some.withColumn("number", F.row_number().over(W.Window.partitionBy("host").orderBy("place", "page_id", "url"))).where(F.col("number") <= sample)
-
-    def template(group: pa.Table) -> pa.Table:
-        group = group.sort_by("number")
-        paths = Paths()
-        made = deduce([parse(x, paths) for x in group.column("html").to_pylist()]).dump()
-        return pa.table({"host": group.column("host")[:1], "template": pa.array([made], pa.binary())})
-
-    templates = cut(some.select("host", "html", "number").groupBy("host").applyInArrow(template, "host string, template binary"), "host-templates")
-    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "template")
-    kept: dict[bytes | None, Template] = {}
+    joined = rows.join(host_templates(rows), "h", "left").select("page_id", "url", "html", "template")
+    kept: dict[bytes | None, tuple[int, set[int], bool]] = {}
 
     def run(batches):
         for batch in batches:
@@ -471,8 +736,10 @@ def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     if data not in kept:
                         if len(kept) > 200:
                             kept.clear()
-                        kept[data] = Template.load(data) if data else deduce([])
-                    made.append(read(parse(source, Paths(kept[data].paths)), kept[data]))
+                        main, fixed, known = json.loads(data) if data else (0, [], False)
+                        kept[data] = main, set(fixed), known
+                    page = parse(source)
+                    made.append(read(page, _on(page, kept[data])))
                 lens = pa.array([len(x) for x in made], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.string()), lens], names=["page_id", "url", "text", "n_chars"])
 

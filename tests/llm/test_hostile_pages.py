@@ -100,3 +100,22 @@ def test_paths():
     below = own.below(a)
     assert below(c) and below(a) and not below(0) and not own.below(c)(b) and own.below(0)(c)
     assert own.summed({c: 5, a: 1})[0] == 6 and own.summed({c: 5, a: 1})[b] == 5
+
+
+def test_template_from_all_pages(spark):
+    """What 90 % of all 200 pages of a host hold is a notice, what 89.5 % hold is not: no choice of some pages tells them apart
+    on every host. Copies of pages change nothing."""
+
+    def body(i, host):
+        said = "<p>Offer ends soon</p>" if (i % 10 if host % 2 else i % 10 and i != 1) else ""
+        return article(i, said + f"<p>one {i}</p>")
+
+    rows = [(1000 * h + i, f"http://h{h}.example.com/{i}", body(i, h)) for h in range(8) for i in range(200)]
+    rows += [(10_000 + j, "http://h1.example.com/0", rows[200][2]) for j in range(100)]
+    rows.append((20_000, "http://deep.example.com", deep(3000)))
+    got = dict(T.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).select("page_id", "text").collect())
+    assert got.pop(20_000).count("\n") > 2400
+    for k, url, html in rows[:-1]:
+        i = k % 1000 if k < 10_000 else 0
+        offer = ["Offer ends soon"] if "Offer" in html and "h1." not in url and k // 1000 % 2 == 0 else []
+        assert got[k] == plain(i, [*offer, f"one {i}"]), k
