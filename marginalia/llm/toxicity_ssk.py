@@ -15,6 +15,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,22 +39,29 @@ JOINED, NYSTROM = 16, 0.2
 USUAL = 0.995
 #: Tokens over this many characters are read in windows that overlap by half.
 WINDOW = 32
-_token = re.compile(r"[^\s|,;:\"()<>/\[\]{}=+]+")
+#: Cells of the kernel's tables that are filled at once, so that they stay in a core's cache.
+CELLS = 200_000
+_apart = "|,;:\"()<>/[]{}=+"
 _spelled = re.compile(r"(?<![^\s])(?:\w[ .\-_*]){2,}\w(?![^\s.,;!?])")
 _edge = ".-_!?*'%&$#~^`"
 _inner = re.compile(r"[.\-_*'~^`]")
 _like = str.maketrans("013457@$", "oieastas")
 
 
-def tokens(text: str | None) -> list[str]:
-    """Lower-case words of a whole text; letters spelled with blanks or marks between make one."""
+def pieces(text: str | None) -> list[str]:
+    """Lower-case words of a whole text with the marks at their edges; letters spelled with blanks
+    or marks between make one."""
     if not text:
         return []
-    text = text.lower()
-    found = _token.findall(text)
-    out = [w for x in found if (w := x.strip(_edge))]
-    out += [re.sub(r"[ .\-_*]", "", x) for x in _spelled.findall(text)]
-    return out
+    text = plain = text.lower()
+    for c in _apart:
+        plain = plain.replace(c, " ")
+    return plain.split() + [re.sub(r"[ .\-_*]", "", x) for x in _spelled.findall(text)]
+
+
+def tokens(text: str | None) -> list[str]:
+    """Lower-case words of a whole text without the marks at their edges."""
+    return [w for x in pieces(text) if (w := x.strip(_edge))]
 
 
 def forms(word: str) -> list[str]:
@@ -77,23 +85,22 @@ def codes(words: list[str], width: int) -> np.ndarray:
 
 
 def kernel(s: np.ndarray, t: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Gapped-subsequence kernel of rows of ``s`` with the same rows of ``t`` (padded codes)."""
-    n, ls, lt = len(s), s.shape[1], t.shape[1]
-    same = [[((s[:, a] == t[:, b]) & (s[:, a] > 0)).astype(np.float32) * (DAMP * DAMP) for b in range(lt)] for a in range(ls)]
-    before = np.ones((ls + 1, lt + 1, n), np.float32)
-    for _ in range(length - 1):
-        now = np.zeros_like(before)
-        for a in range(1, ls + 1):
-            run = np.zeros(n, np.float32)
-            for b in range(1, lt + 1):
-                run = DAMP * run + same[a - 1][b - 1] * before[a - 1, b - 1]
-                now[a, b] = DAMP * now[a - 1, b] + run
-        before = now
-    total = np.zeros(n, np.float32)
-    for a in range(ls):
-        for b in range(lt):
-            total += same[a][b] * before[a, b]
-    return total
+    """Gapped-subsequence kernel of rows of ``s`` with the same rows of ``t`` (padded codes).
+
+    Divided by the damping of all letters before a place, what comes before it is a plain sum over
+    both words, so each letter of a subsequence takes one product and two prefix sums.
+    """
+    s, t = np.ascontiguousarray(s.T)[:, None], np.ascontiguousarray(t.T)[None]
+    same = ((s == t) & (s > 0)).astype(np.float32)
+    damp = (DAMP ** (np.arange(same.shape[0])[:, None] + np.arange(same.shape[1]))).astype(np.float32)[..., None]
+    now = same / damp
+    for i in range(1, length):
+        for a in range(1, now.shape[0]):
+            now[a] += now[a - 1]
+        for b in range(1, now.shape[1]):
+            now[:, b] += now[:, b - 1]
+        now = same[i:, i:] * now[:-1, :-1]
+    return (now * (damp[length - 1 :, length - 1 :] * DAMP**2)).sum((0, 1))
 
 
 class Subsequences:
@@ -103,22 +110,25 @@ class Subsequences:
         self.words, self.length = words, length
         # for the longest common subsequence: the places of each letter in each word as bits
         letters = sorted(set("".join(words)))
-        self.letter = {ord(c): i + 1 for i, c in enumerate(letters)}
-        self.places = np.zeros((len(letters) + 1, len(words)), np.uint64)
+        self.lens = np.fromiter(map(len, words), np.int64, len(words))
+        self.bits = np.uint32 if self.lens.max(initial=1) <= 32 else np.uint64
+        self.letter = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)  # the last one for all others
+        self.letter[[ord(c) for c in letters]] = np.arange(len(letters)) + 1
+        self.places = np.zeros((len(letters) + 1, len(words)), self.bits)
         for j, w in enumerate(words):
             for i, c in enumerate(w):
-                self.places[self.letter[ord(c)], j] |= np.uint64(1 << i)
+                self.places[self.letter[ord(c)], j] |= self.bits(1 << i)
         self.own = self.self_kernel(words)
-        self.width = max(map(len, words), default=1)
-        self.codes = codes(words, self.width)
+        self.codes = codes(words, int(self.lens.max(initial=1)))
 
     def self_kernel(self, words: list[str]) -> np.ndarray:
         out, lens = np.zeros(len(words), np.float32), np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(lens):
             at = np.flatnonzero(lens == n)
-            for c in range(0, len(at), 20_000):
-                x = codes([words[i] for i in at[c : c + 20_000]], int(n))
-                out[at[c : c + 20_000]] = kernel(x, x, self.length)
+            step = max(64, CELLS // max(1, n * n))
+            for c in range(0, len(at), step):
+                x = codes([words[i] for i in at[c : c + step]], int(n))
+                out[at[c : c + step]] = kernel(x, x, self.length)
         return out
 
     def related(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,12 +138,11 @@ class Subsequences:
         lens = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lens, kind="stable")
         order = order[np.searchsorted(lens[order], self.length) :]
-        full = np.array([(1 << len(w)) - 1 for w in self.words], np.uint64)
-        for c in range(0, len(order), 4000):
-            part = order[c : c + 4000]
+        full = np.array([(1 << len(w)) - 1 for w in self.words], self.bits)
+        for c in range(0, len(order), 512):
+            part = order[c : c + 512]
             x = codes([words[i] for i in part], int(lens[part[-1]]))
-            each, at = np.unique(x, return_inverse=True)
-            cls = np.array([self.letter.get(int(v), 0) for v in each])[at].reshape(x.shape)
+            cls = self.letter[np.minimum(x, len(self.letter) - 1)]
             v = np.broadcast_to(full, (len(part), len(full))).copy()
             for t in range(x.shape[1]):
                 u = v & self.places[cls[:, t]]
@@ -150,14 +159,17 @@ class Subsequences:
         used, place = np.unique(rows, return_inverse=True)
         picked = [words[i] for i in used]
         own = self.self_kernel(picked)
-        lens = np.fromiter(map(len, picked), np.int64, len(picked))[place]
-        value = np.zeros(len(rows), np.float32)
-        for n in np.unique(lens):
-            at = np.flatnonzero(lens == n)
-            for c in range(0, len(at), 8192):
-                p = at[c : c + 8192]
+        lens = np.fromiter(map(len, picked), np.int64, len(picked))
+        lens, widths = lens[place], self.lens[cols]
+        value, order = np.zeros(len(rows), np.float32), np.lexsort((widths, lens))
+        ends = np.flatnonzero(np.diff(lens[order]) | np.diff(widths[order])) + 1
+        for at in np.split(order, ends) if len(order) else []:  # words of one length, own ones of one length
+            n, m = int(lens[at[0]]), int(widths[at[0]])
+            step = max(64, CELLS // (n * m))
+            for c in range(0, len(at), step):
+                p = at[c : c + step]
                 some, each = np.unique(place[p], return_inverse=True)
-                k = kernel(codes([picked[i] for i in some], int(n))[each], self.codes[cols[p]], self.length)
+                k = kernel(codes([picked[i] for i in some], n)[each], self.codes[cols[p], :m], self.length)
                 value[p] = k / np.sqrt(own[place[p]] * self.own[cols[p]])
         keep = value > 0
         return rows[keep], cols[keep], value[keep]
@@ -202,31 +214,40 @@ class Landmarks:
 
 
 class Words(Units):
-    """Words to rows of a table of their kernel values, the largest of their forms."""
+    """Words, with or without marks at their edges, to rows of a sparse table of their kernel values, the
+    largest of their forms. Row 0 is that of marks alone."""
 
-    def __init__(self, landmarks: Landmarks, most: int = 32_000_000):
+    def __init__(self, landmarks: Landmarks, most: int = 64_000_000):
         super().__init__(most)
-        self.landmarks, self.table, self.used = landmarks, np.zeros((4096, len(landmarks.words)), np.float32), 0
+        self.landmarks = landmarks
+        self.forget()
 
     def forget(self) -> None:
         super().forget()
-        self.table, self.used = np.zeros_like(self.table[:4096]), 0
+        #: A row's values lie between those places; landmarks and values.
+        self.upto, self.cols, self.values = np.zeros(2, np.int64), np.empty(0, np.int32), np.empty(0, np.float32)
 
-    def learn(self, words: list[str]) -> None:
-        n = len(words)
-        if self.used + n > len(self.table):
-            self.table = np.concatenate([self.table[: self.used], np.zeros((max(n, self.used // 4), self.table.shape[1]), np.float32)])
+    def learn(self, words: list[str]) -> int:
+        """Add words; the bytes that their rows take."""
+        plain = {x: x.strip(_edge) for x in words}
+        new = list({w for w in plain.values() if w and w not in self})
         at, read = [], []
-        for i, w in enumerate(words):
+        for i, w in enumerate(new):
             for f in forms(w):
-                at.append(self.used + i)
+                at.append(i)
                 read.append(f)
         rows, cols, values = self.landmarks.compare(read)
-        new = self.table[self.used : self.used + n]
-        new[:] = 0
-        np.maximum.at(self.table, (np.array(at, np.int64)[rows], cols), values)
-        self.update(zip(words, range(self.used, self.used + n)))
-        self.used += n
+        width = len(self.landmarks.words)
+        cells, place = np.unique(np.array(at, np.int64)[rows] * width + cols, return_inverse=True)
+        most = np.zeros(len(cells), np.float32)
+        np.maximum.at(most, place, values)
+        first, counts = len(self.upto) - 1, np.bincount(cells // width, minlength=len(new))
+        self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(counts)])
+        self.cols = np.concatenate([self.cols, (cells % width).astype(np.int32)])
+        self.values = np.concatenate([self.values, most])
+        row = dict(zip(new, range(first, first + len(new))))
+        self.update((x, row[w] if w in row else self[w] if w else 0) for x, w in plain.items())
+        return 8 * len(new) + 8 * len(cells)
 
 
 class Machine:
@@ -246,23 +267,28 @@ class Machine:
         kernel values and of their ways from the usual level to the gapped one, and its closest
         word's value."""
         kept.ready()
-        new = list({w for ws in found for w in ws} - kept.keys())
-        kept.learn(new)
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        shape = (len(found), kept.table.shape[1])
-        sums, best = [np.zeros(shape) for _ in (*POWERS, "way")], np.zeros(shape)
+        new = [w for w in set().union(*found) if w not in kept]
+        more = kept.learn(new)
+        texts, width = len(found), len(self.usual)
+        sums, best = [np.zeros(texts * width) for _ in (*POWERS, "way")], np.zeros(texts * width, np.float32)
         low, span = self.usual.astype(np.float32), (self.gapped - self.usual).astype(np.float32)
-        place, text = np.fromiter((kept[w] for ws in found for w in ws), np.int64, int(n.sum())), np.repeat(np.arange(len(found)), n)
-        for s in range(0, len(place), 50_000):  # a block of words; a text may go on in the next one
-            k, t = kept.table[place[s : s + 50_000]], text[s : s + 50_000]
-            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            best[t[first]] = np.maximum(best[t[first]], np.maximum.reduceat(k, first))
-            for values, total in zip((k, k * k), sums):
-                total[t[first]] += np.add.reduceat(values, first)
-            out = np.flatnonzero((k > low).any(1))  # few words stand out at all
-            np.add.at(sums[-1], t[out], np.clip((k[out] - low) / span, 0, 1))
-        kept.done(new, 150 + 4 * shape[1])
-        return n, sums, best
+        lens = np.fromiter(map(len, found), np.int64, texts)
+        place = np.fromiter(map(kept.__getitem__, chain.from_iterable(found)), np.int64, int(lens.sum()))
+        text = np.repeat(np.arange(texts), lens)
+        n = np.bincount(text, place > 0, texts).astype(np.int64)
+        for s in range(0, len(place), 100_000):  # a block of words; a text may go on in the next one
+            p = place[s : s + 100_000]
+            first, size = kept.upto[p], kept.upto[p + 1] - kept.upto[p]
+            at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            k, c = kept.values[at], kept.cols[at]
+            cell = np.repeat(text[s : s + 100_000] * width, size) + c
+            np.maximum.at(best, cell, k)
+            out = np.flatnonzero(k > low[c])  # few words stand out at all
+            way = np.minimum((k[out] - low[c[out]]) / span[c[out]], 1)
+            for total, cells, values in zip(sums, (cell, cell, cell[out]), (k, k * k, way)):
+                total += np.bincount(cells, values, len(total))
+        kept.done(new, 150, more)
+        return n, [x.reshape(texts, width) for x in sums], best.reshape(texts, width).astype(np.float64)
 
     def features(self, n: np.ndarray, sums: list[np.ndarray], best: np.ndarray) -> np.ndarray:
         """Of such totals: each landmark's closest word, damped totals and densities of the powers
@@ -275,7 +301,7 @@ class Machine:
 
     def score(self, texts: list[str | None], kept: Words) -> np.ndarray:
         """Probability that each whole text is toxic."""
-        margin = self.features(*self.totals([tokens(t) for t in texts], kept)) @ self.weights
+        margin = self.features(*self.totals([pieces(t) for t in texts], kept)) @ self.weights
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
@@ -349,18 +375,21 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Ma
     if not words:
         return None
     machine = Machine(Landmarks(words))
-    kept, chosen = Words(machine.landmarks, 40_000_000), set(words)
+    kept, chosen = Words(machine.landmarks, 30_000_000), set(words)
     letters = "".join(sorted({c for w in words for c in w}))
 
     def totals(which: np.ndarray, count: int | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Totals of some texts, in blocks, so that few words are in memory at a time; with
         ``count``, of what ``alone`` makes of them."""
-        out = [machine.totals([], kept)]
-        for s in range(0, len(which), 500):
-            found = [tokens(texts[i]) for i in which[s : s + 500]]
+        out, part, size = [machine.totals([], kept)], [], 0
+        for k, i in enumerate(which.tolist()):
+            part.append(tokens(texts[i]))
+            size += len(texts[i])
             if count is not None:
-                found = [alone(ws, chosen, letters, count, np.random.default_rng([count, int(i)])) for ws, i in zip(found, which[s : s + 500])]
-            out.append(machine.totals(found, kept))
+                part[-1] = alone(part[-1], chosen, letters, count, np.random.default_rng([count, i]))
+            if size > 1_000_000 or len(part) == 500 or k == len(which) - 1:
+                out.append(machine.totals(part, kept))
+                part, size = [], 0
         n, sums, best = zip(*out)
         return np.concatenate(n), [np.concatenate(t) for t in zip(*sums)], np.concatenate(best)
 

@@ -544,6 +544,18 @@ def test_toxicity_features():
         assert np.allclose((km @ w) @ (km @ w).T, km, atol=0.02)
 
 
+def test_toxicity_words_kept():
+    """100,000 words are compared once, whatever marks stand at their edges, and are still known in the next batch."""
+    machine = toxicity_ssk.Machine(toxicity_ssk.Landmarks([f"{a}{b}idiot" for a in "abcdefgh" for b in "ijklmnop"]))
+    kept, compared = toxicity_ssk.Words(machine.landmarks), []
+    compare = machine.landmarks.compare
+    machine.landmarks.compare = lambda words: compared.append(len(words)) or compare(words)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(6)) for i in range(100_000)]
+    first = machine.score([" ".join(words) + " idiot", "(idiot!)"], kept)
+    again = machine.score([" ".join(w + "." for w in words[:50_000]) + " " + " ".join(words[50_000:]) + " 'idiot'", "idiot"], kept)
+    assert sum(compared) == 100_001 and np.allclose(first, again)
+
+
 def test_toxicity_inserted_letters():
     """Single insults with one or two real letters inserted, and long clean texts."""
     rng = random.Random(7)
