@@ -17,6 +17,7 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import blake2b
 from heapq import heapify, heappop, heappush
 
@@ -169,6 +170,9 @@ def _is_boiler(tag: str, attributes: str) -> tuple[bool, str, bool]:
     return boiler, tag + "".join("." + n for n in names[:4]), main
 
 
+_often_boiler = lru_cache(20_000)(_is_boiler)
+
+
 def _bare(source: str) -> str:
     """A page without comments, scripts, styles and the like, each a blank; one that isn't closed
     goes to the end. One pass: what isn't found once isn't looked for again."""
@@ -239,9 +243,10 @@ def parse(source: str | None, paths: Paths | None = None) -> Page:
         path, boiler, main = open_.top()
         if text is not None:
             if not text.isspace():
-                clean = " ".join(html.unescape(text).split())
+                text = html.unescape(text)
+                clean = " ".join(text.split())
                 if clean:
-                    page.texts.append(Text((path, clean), len(page.tokens), html.unescape(text), block, boiler, main, open_.count["a"] > 0))
+                    page.texts.append(Text((path, clean), len(page.tokens), text, block, boiler, main, open_.count["a"] > 0))
                     page.tokens.append((path, clean))
                     continue
             if page.texts and page.texts[-1].block == block:
@@ -263,7 +268,7 @@ def parse(source: str | None, paths: Paths | None = None) -> Page:
             if tag in _rows:
                 open_.end_before(tag, _lists - {tag})
             path, boiler, main = open_.top()
-        bad, label, opens = _is_boiler(tag, attributes or "")
+        bad, label, opens = (_often_boiler if len(attributes or "") < 500 else _is_boiler)(tag, attributes or "")
         if tag == "header" and not main:
             bad = True
         page.tokens.append((path, "<" + label))
@@ -450,6 +455,23 @@ def _tag(path: int, label: str) -> int:
     return found
 
 
+_marks: dict[tuple[int, str], tuple] = {}
+
+
+def _mark(path: int, text: str) -> tuple:
+    """Of a tag's token below a path: its name, and what ``_TOKENS`` has of its element; kept."""
+    found = _marks.get((path, text))
+    if found is None:
+        if len(_marks) > 100_000:
+            _marks.clear()
+        if text[0] == "<":
+            found = _tag(path, text), _tag(path, text[1:]), path, _LEAF if text[1:].partition(".")[0] in _leaves else _OPEN
+        else:
+            found = _tag(path, text), 0, 0, _CLOSE
+        _marks[path, text] = found
+    return found
+
+
 def path_names(paths: Paths) -> list[int]:
     """The 64 bits of each path by its number; 0 stays 0."""
     out = [0]
@@ -470,24 +492,20 @@ _TEXT, _OPEN, _LEAF, _CLOSE = range(4)
 def summary(page: Page) -> tuple[int, list[tuple], list[tuple], list[tuple]]:
     """A digest of a page's tokens, and what of it the template is deduced from."""
     path_of = path_names(page.paths)
-    places = {x.place for x in page.texts}
+    texts = {x.place: named(path_of[x.token[0]], "=" + x.token[1]) for x in page.texts}
     found: dict[int, list] = {}
-    digest = blake2b(digest_size=8)
+    names = []
     for i, (path, text) in enumerate(page.tokens):
-        at = path_of[path]
-        if i in places:  # a text may begin with < or / too
-            name, more = named(at, "=" + text), (0, 0, _TEXT)
-        elif text[0] == "<":
-            name, more = _tag(at, text), (_tag(at, text[1:]), at, _LEAF if text[1:].partition(".")[0] in _leaves else _OPEN)
-        else:
-            name, more = _tag(at, text), (0, 0, _CLOSE)
-        digest.update(name.to_bytes(8, "little", signed=True))
+        # a text may begin with < or / too
+        name, *more = (texts[i], 0, 0, _TEXT) if i in texts else _mark(path_of[path], text)
+        names.append(name)
         if name in found:
             found[name][1] += 1
             found[name][3] = i
         else:
             found[name] = [name, 1, i, i, *more]
-    texts = [(named(path_of[x.token[0]], "=" + x.token[1]), x.place, len(x.text), path_of[x.token[0]], x.boiler + 2 * x.main + 4 * x.link) for x in page.texts]
+    digest = blake2b(np.array(names, "<i8").tobytes(), digest_size=8)
+    texts = [(texts[x.place], x.place, len(x.text), path_of[x.token[0]], x.boiler + 2 * x.main + 4 * x.link) for x in page.texts]
     ups = [(path_of[i + 1], path_of[parent]) for i, (parent, _) in enumerate(page.paths.keys)]
     return int.from_bytes(digest.digest(), "little", signed=True), [tuple(x) for x in found.values()], texts, ups
 
@@ -502,7 +520,7 @@ def _nested(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
 
 def _unnested(column: pa.Array) -> list[list[tuple]]:
     """The other way round."""
-    flat = list(zip(*(c.to_pylist() for c in column.flatten().flatten())))
+    flat = list(zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in column.flatten().flatten())))
     upto = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
     return [flat[a:b] for a, b in zip(upto[:-1], upto[1:])]
 
@@ -699,17 +717,19 @@ def host_templates(rows: DataFrame) -> DataFrame:
     kind = "h long, what long, slot long, path long, flags long, t long, texts long, size long, pages long"
     found = _by_host(pages, plans, "plan", kind, _filled)
     key = ["h", "what", "slot", "path", "flags"]
-    texts = found.where("what = 0").groupBy(*key, "t").agg(*[F.sum(c).alias(c) for c in ("texts", "size", "pages")])
-    texts = texts.join(often.select("h", "t", F.lit(True).alias("often")), ["h", "t"], "left").withColumn("t", F.when(F.col("often"), F.col("t")).otherwise(0))
-    texts = texts.groupBy(*key, "t").agg(*[F.sum(c).alias(c) for c in ("texts", "size", "pages")], F.count(F.lit(1)).alias("kinds"))
-    gaps = found.where("what = 1").groupBy(*key, "t").agg(F.min("texts").alias("texts"), F.max("size").alias("size"), F.max("pages").alias("pages")).withColumn("kinds", F.lit(0).cast("long"))
+    # sums of what stands in slots, bounds of what says in which gaps a token lies, from one pass over the pages
+    slot = F.col("what") == 0
+    sums = found.groupBy(*key, "t").agg(F.min("texts").alias("low"), F.max("size").alias("high"), *[F.sum(c).alias(c) for c in ("texts", "size", "pages")])
+    sums = sums.withColumns({"texts": F.when(slot, F.col("texts")).otherwise(F.col("low")), "size": F.when(slot, F.col("size")).otherwise(F.col("high"))})
+    sums = sums.join(often.select("h", "t", F.lit(True).alias("often")), ["h", "t"], "left").withColumn("t", F.when(~slot | F.col("often"), F.col("t")).otherwise(0))
+    sums = sums.groupBy(*key, "t").agg(*[F.sum(c).alias(c) for c in ("texts", "size", "pages")], F.count(F.lit(1)).alias("kinds"))
 
     def template(group: pa.Table, plans: pa.Table) -> pa.Table:
         plan = json.loads(plans.column("plan")[0].as_py())
         made = _main(plan, list(zip(*(group.column(c).to_pylist() for c in ("what", "slot", "path", "flags", "t", "texts", "size", "pages", "kinds")))))
         return pa.table({"h": plans.column("h")[:1], "template": pa.array([json.dumps(made).encode()], pa.binary())})
 
-    return cut(texts.union(gaps).groupBy("h").cogroup(plans.groupBy("h")).applyInArrow(template, "h long, template binary"), "host-templates")
+    return cut(sums.groupBy("h").cogroup(plans.groupBy("h")).applyInArrow(template, "h long, template binary"), "host-templates")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

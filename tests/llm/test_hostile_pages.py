@@ -119,3 +119,13 @@ def test_template_from_all_pages(spark):
         i = k % 1000 if k < 10_000 else 0
         offer = ["Offer ends soon"] if "Offer" in html and "h1." not in url and k // 1000 % 2 == 0 else []
         assert got[k] == plain(i, [*offer, f"one {i}"]), k
+
+
+def test_slots_are_filled_in_one_pass(spark, monkeypatch):
+    """The pages of all hosts go through Python once for what stands in slots and for the gaps of tokens."""
+    plans, cut = {}, T.cut
+    monkeypatch.setattr(T, "cut", lambda df, label: plans.update({label: df._jdf.queryExecution().optimizedPlan().toString()}) or cut(df, label))
+    rows = [(i, f"http://a.example.com/{i}", article(i, f"<p>one {i}</p>")) for i in range(9)]
+    got = T.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect()
+    assert dict(got) == {i: plain(i, [f"one {i}"]) for i in range(9)}
+    assert plans["host-templates"].count("MapInArrow") == 1
