@@ -39,7 +39,7 @@ def tracked(items: DataFrame, threshold: float = 0.7, by: str = "company_id", pe
     both = known.select("g", pair.alias("pair"), F.struct("rank", "item", F.length("x").cast("long").alias("n")).alias("id"), F.array("x").alias("texts"))
     both = both.select(F.struct("g", "pair").alias("g"), "id", "texts")
     longer = F.greatest("a.n", "b.n", F.lit(1))
-    found = near(both, [threshold], "g").where("a.rank < b.rank").select("g.g", "a", "b", F.round(1 - F.col("distances")[0] / longer, 9).alias("ratio"))
+    found = near(both, [threshold], "g", kind="rank").select("g.g", "a", "b", F.round(1 - F.col("distances")[0] / longer, 9).alias("ratio"))
     found = cut(found, "commitment-pairs")
     best = lambda one, other: found.groupBy("g", one).agg(F.min_by(F.struct(other, "ratio"), F.struct(-F.col("ratio"), f"{other}.item")).alias("m")).select("g", one, F.col(f"m.{other}").alias(other), "m.ratio")
     links = best("b", "a").join(best("a", "b").drop("ratio"), ["g", "a", "b"])
