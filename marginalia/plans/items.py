@@ -13,6 +13,7 @@ from ..operators import intervals as I
 from ..operators import similar as S
 from ..registry import literal as q
 from ..registry import query
+from ..sources.scratch import cut
 from ..views import load
 
 ORDER = {"High": 3, "Medium": 2, "Low": 1}
@@ -158,8 +159,8 @@ def issue_register(spark, sf_dir):
 
 @query("exact_ratio")
 def exact_ratio(spark, sf_dir):
-    rows = _grouped(spark, sf_dir).select("doc_id", "idx", S.normalised(F.col("text")).alias("x"))
-    pairs = S.similar_pairs(_grouped(spark, sf_dir), 0.5)
+    rows = cut(_grouped(spark, sf_dir).select("doc_id", "idx", S.normalised(F.col("text")).alias("x")), "normalised")
+    pairs = S.similar_pairs(rows, 0.5, text="x")
     texts = pairs.join(rows.select("doc_id", F.col("idx").alias("a"), "x"), ["doc_id", "a"]).join(rows.select("doc_id", F.col("idx").alias("b"), F.col("x").alias("y")), ["doc_id", "b"])
     return S.exact_ratio(texts.drop("ratio")).select("doc_id", "a", "b", "ratio")
 
