@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Patterns and lists that define the results.
 WORD = r"[\p{L}\p{N}_]+"
+#: White space as SQL's patterns have it, and all else; Java's own classes differ in the vertical tab.
+SPACE, INK = r"[\t\n\f\r ]", r"[^\t\n\f\r ]"
 SENTENCE_INNER, SENTENCE_LAST = r"[.!?]+\s+[A-Z]", r"[.!?]+\n?\z"
 SPEAKERS = [r"([A-Z][a-z]+ [A-Z][a-z]+):", r"([A-Z][a-z]+):", r"(Dr\. [A-Z][a-z]+):", r"(Mr\. [A-Z][a-z]+):", r"(Mrs\. [A-Z][a-z]+):", r"(Ms\. [A-Z][a-z]+):"]
 STRUCTURE = [r"\n#{1,3}\s+", r"\n[A-Z][A-Z\s]+[A-Z]:", r"\n[A-Z][A-Z\s]+\n"]

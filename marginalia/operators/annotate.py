@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.lists import COMMIT_TERMS, SECTION_STOP
-from ..functions.text import WORD, all_matches
+from ..functions.text import SPACE, WORD, all_matches
 from ..sources.scratch import cut
 
 BULLET = r"^\s*(?:[-*•]|\d+\.)\s+"
@@ -77,7 +77,7 @@ def chunk_keywords(chunks: DataFrame, k: int = 10) -> DataFrame:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, r"[.!?]+\s+"), lambda s: s != "")
+    return F.filter(F.split(text, rf"[.!?]+{SPACE}+"), lambda s: s != "")
 
 
 def extractive_summary(chunks: DataFrame, k: int = 3) -> DataFrame:
@@ -98,9 +98,12 @@ def importance(chunks: DataFrame) -> DataFrame:
 
 
 def actions(text: Column, terms_: list[str] = COMMIT_TERMS) -> Column:
-    """Bullet lines without their marks, else sentences with a word of commitment."""
-    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(BULLET))), lambda x: F.regexp_replace(x, BULLET, ""))
-    said = F.filter(sentences(text), lambda s: F.regexp_like(F.lower(s), F.lit(r"(^|\s)(" + "|".join(terms_) + r")(\s|$)")))
+    """Bullet lines without their marks, else sentences with a word of commitment between white space, their start or their
+    very end. Patterns and lower case are those of SQL, where a dotted capital I becomes a plain i."""
+    mark = BULLET.replace(r"\s", SPACE)
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(mark))), lambda x: F.regexp_replace(x, mark, ""))
+    word = rf"(^|{SPACE})({'|'.join(terms_)})({SPACE}|\z)"
+    said = F.filter(sentences(text), lambda s: F.regexp_like(F.lower(F.replace(s, F.lit("\u0130"), F.lit("i"))), F.lit(word)))
     return F.when(F.size(lines) > 0, lines).otherwise(said)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.breaks import PIECE, Known, all_starts, blocks, cut_out, first_in, last_in, pieces, runs, sized, starts, weighted
-from ..functions.text import SPEAKERS, any_match, bound, transcript_like
+from ..functions.text import INK, SPEAKERS, any_match, bound, transcript_like
 
 # Patterns with strengths, and sizes, that define the results.
 SENTENCE_END = r"[.!?]\s+"
@@ -191,7 +191,7 @@ def _essential(text: Column, length: Column, n: Column) -> Column:
         return F.struct(bound(start, lambda x: snapped(i, x)).alias("s"), bound(end, lambda x: closed(i, x)).alias("e"), F.lit("essential").alias("kind"))
 
     made = F.transform(F.sequence(F.lit(0), n - 1), section)
-    return F.filter(made, lambda x: F.regexp_like(cut_out(text, x["s"], x["e"]), F.lit(r"\S"))).cast(PIECE)
+    return F.filter(made, lambda x: F.regexp_like(cut_out(text, x["s"], x["e"]), F.lit(INK))).cast(PIECE)
 
 
 def nearest(breaks: Column, length: Column, sections: Column) -> Column:

@@ -21,10 +21,11 @@ def bullet_list(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
 
 
-def information(text: Column) -> Column:
-    """Size of a text as lines: characters, words and, where it has any, speakers. A null text counts as empty."""
+def information(text: Column, blank: int = 0) -> Column:
+    """Size of a text as lines: characters, words and, where it has any, speakers. A null text counts as empty; ``blank``: the
+    words of a text of white space alone."""
     text = F.coalesce(text, F.lit(""))
-    words = F.when(F.regexp_like(text, F.lit(r"\S")), F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))).otherwise(0)
+    words = F.when(F.regexp_like(text, F.lit(r"\S")), F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))).otherwise(blank)
     who = X.bound(F.size(X.speakers(text)), lambda n: F.when(n > 0, F.concat(F.lit("- Speakers: "), F.format_number(n, 0))))
     return F.concat_ws("\n", F.concat(F.lit("- Characters: "), F.format_number(F.length(text), 0)), F.concat(F.lit("- Words: "), F.format_number(words, 0)), who)
 
